@@ -51,10 +51,9 @@ def edges_by_name(named: DataFrame, users: DataFrame, strict: bool = False) -> D
     a = ids.select(F.col("username").alias("follower_name"), F.col("user_id").alias("follower"))
     b = ids.select(F.col("username").alias("followee_name"), F.col("user_id").alias("followee"))
     found = named.join(a, "follower_name", "left").join(b, "followee_name", "left")
-    known = F.col("follower").isNotNull() & F.col("followee").isNotNull()
     if strict:
-        found = found.where(F.when(known, True).otherwise(F.raise_error(F.lit("an unknown user name"))))
-    return found.where(known & (F.col("follower") != 0) & (F.col("followee") != 0)).select("follower", "followee")
+        found = found.select(*[_known(c, "long", F.lit("an unknown user name")).alias(c) for c in ("follower", "followee")])
+    return found.where((F.col("follower") != 0) & (F.col("followee") != 0)).select("follower", "followee")
 
 
 def write_user_timeline(timeline: DataFrame, posts: DataFrame) -> DataFrame:
@@ -139,12 +138,17 @@ def remove_posts(
     )
 
 
+def _known(column: str, kind: str, message: Column) -> Column:
+    """The column; where it is null, the query fails."""
+    return F.coalesce(F.col(column), F.raise_error(message).cast(kind))
+
+
 def resolved_mentions(posts: DataFrame, users: DataFrame, text: str = "text", strict: bool = False) -> DataFrame:
     """SN06: (post_id, pos, username, user_id) of each mention; unknown names drop, or fail if strict."""
     named = posts.select("post_id", F.posexplode(texts.mentions(F.col(text))).alias("pos", "username"))
     found = named.join(users.select("username", "user_id"), "username", "left")
     if strict:
-        found = found.where(F.when(F.col("user_id").isNotNull(), True).otherwise(F.raise_error(F.concat(F.lit("unknown user "), F.col("username")))))
+        return found.select("post_id", "pos", "username", _known("user_id", "long", F.concat(F.lit("unknown user "), F.col("username"))).alias("user_id"))
     return found.where("user_id is not null").select("post_id", "pos", "username", "user_id")
 
 
@@ -185,7 +189,7 @@ def extended_urls(short_links: DataFrame, asked: DataFrame, strict: bool = True)
     """SN08: expanded links of short ones; unknown ones fail if strict, else drop."""
     found = asked.join(short_links, "shortened_url", "left")
     if strict:
-        found = found.where(F.when(F.col("expanded_url").isNotNull(), True).otherwise(F.raise_error(F.lit("an unknown short link"))))
+        return found.withColumn("expanded_url", _known("expanded_url", "string", F.lit("an unknown short link")))
     return found.where("expanded_url is not null")
 
 
