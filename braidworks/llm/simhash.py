@@ -138,8 +138,8 @@ def near_duplicates(documents: DataFrame, radius: int = 4, words: int = 4, seed:
     return docs.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Share of the pairs at exactly the least similarity that meet in some shard. More similar pairs meet more surely.
-RECALL = 0.97
+#: Share of the pairs that meet in some shard, of those at exactly the least similarity whose fingerprints differ by a standard deviation more than expected. Nearly all others meet.
+RECALL = 0.98
 #: Distinct texts that a shard of the similarity search should hold on average, at most.
 SHARD_TEXTS = 32
 #: Wide fingerprints at most this far apart are one class while candidates are searched: one of them stands for the others.
@@ -171,9 +171,10 @@ def candidate_links(texts: DataFrame, similarity: float) -> DataFrame:
     texts so that recall stays and shards stay small.
     """
     n, differ = texts.count(), _bit_difference(similarity)
+    spread = np.sqrt(128 * differ * (1 - differ))
     sampled = int(np.clip(np.ceil(np.log2(max(1, n) / SHARD_TEXTS)), 8, 40))
-    tables = int(np.ceil(np.log(1 - RECALL) / np.log(1 - (1 - differ) ** sampled)))
-    radius = int(np.ceil(128 * differ + 3 * np.sqrt(128 * differ * (1 - differ))))
+    tables = int(np.ceil(np.log(1 - RECALL) / np.log(1 - (1 - differ - spread / 128) ** sampled)))
+    radius = int(np.ceil(128 * differ + 4 * spread))
     chosen = [np.random.default_rng(table).permutation(128)[:sampled] for table in range(tables)]
 
     def deal(batches):
