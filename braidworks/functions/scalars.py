@@ -57,19 +57,24 @@ def splitmix64(seed: int, n: Column) -> Column:
         k_low, k_high = k & 0xFFFFFFFF, k >> 32
         product = lambda a, b: (a.cast("decimal(20,0)") * F.lit(Decimal(b)).cast("decimal(20,0)")).cast("decimal(38,0)")
         cross = (product(low, k_high) + product(high, k_low)) % F.lit(Decimal(1 << 32)).cast("decimal(38,0)")
-        return _wrapped(product(low, k_low) + cross * F.lit(Decimal(1 << 32)).cast("decimal(38,0)"))
+        return product(low, k_low) + cross * F.lit(Decimal(1 << 32)).cast("decimal(38,0)")
 
-    z = _wrapped((n.cast("decimal(20,0)") * F.lit(Decimal(step)).cast("decimal(20,0)")).cast("decimal(38,0)") + F.lit(Decimal(seed)).cast("decimal(38,0)"))
-    z = times(z.bitwiseXOR(F.shiftrightunsigned(z, 30)), first)
-    z = times(z.bitwiseXOR(F.shiftrightunsigned(z, 27)), second)
-    z = z.bitwiseXOR(F.shiftrightunsigned(z, 31))
-    return F.when(z < 0, z.cast("decimal(20,0)") + F.lit(Decimal(1 << 64)).cast("decimal(20,0)")).otherwise(z.cast("decimal(20,0)"))
+    mixed = lambda z, bits: z.bitwiseXOR(F.shiftrightunsigned(z, bits))
+    state = (n.cast("decimal(20,0)") * F.lit(Decimal(step)).cast("decimal(20,0)")).cast("decimal(38,0)") + F.lit(Decimal(seed)).cast("decimal(38,0)")
+    z = _with(_wrapped(state), lambda z: mixed(z, 30))
+    z = _with(_with(z, lambda z: _wrapped(times(z, first))), lambda z: mixed(z, 27))
+    z = _with(_with(z, lambda z: _wrapped(times(z, second))), lambda z: mixed(z, 31))
+    return _with(z, lambda z: F.when(z < 0, z.cast("decimal(20,0)") + F.lit(Decimal(1 << 64)).cast("decimal(20,0)")).otherwise(z.cast("decimal(20,0)")))
+
+
+def _with(x: Column, f) -> Column:
+    """f(x), where x is computed once however often f uses it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
 
 
 def _wrapped(x: Column) -> Column:
     """A non-negative decimal modulo 2**64 as the signed long with its bits."""
-    low = x % F.lit(Decimal(1 << 64)).cast("decimal(38,0)")
-    return F.when(low >= F.lit(Decimal(1 << 63)).cast("decimal(38,0)"), low - F.lit(Decimal(1 << 64)).cast("decimal(38,0)")).otherwise(low).cast("long")
+    return _with(x % F.lit(Decimal(1 << 64)).cast("decimal(38,0)"), lambda low: F.when(low >= F.lit(Decimal(1 << 63)).cast("decimal(38,0)"), low - F.lit(Decimal(1 << 64)).cast("decimal(38,0)")).otherwise(low).cast("long"))
 
 
 def shifted(time: Column, offset: Column) -> Column:
