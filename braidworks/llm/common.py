@@ -28,6 +28,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as it takes not to be a column's."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def held_out(doc_id: Column) -> Column:
     """The fold that no model learns from: crc32 of the id as text is a multiple of 5. A null id is always held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
 from .fmindex import FMIndex
 
 WINDOW_WORDS = 10
@@ -140,7 +141,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     for k in range(slices):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == k) if slices > 1 else items
         phrases = Phrases.of([(r.item_id, r.text) for r in part.toLocalIterator()], window)
-        names.append(f"__found{k}")
+        names.append(fresh(documents, f"__found{k}"))
         documents = documents.withColumn(names[-1], _search(F.col("text"), phrases, documents))
     if slices == 1:
         return documents.withColumnRenamed(names[0], into)

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: Hashes are modulo 2**31 - 1, whose products fit 64 bits and which is reduced by shifts, for two bases: both must agree.
 MODULUS = np.uint64(2**31 - 1)
 BASES = np.array([1102937413, 736492951], np.uint64)
+#: Code points of a block that is looked up anywhere in another text.
+BLOCK = 32
 #: Documents of one run of neighbouring ids, on average.
 RUN_DOCUMENTS = 512
 #: Runs at most: their first ids go through the driver.
@@ -97,14 +99,33 @@ class PrefixHashes:
         return f"{self.n:08x}" + "".join(f"{int(h):08x}" for h in self.prefix[:, -1])
 
 
+    def windows(self, length: int, step: int, at: int) -> np.ndarray:
+        """Hashes of the spans of a length that begin at every step, as if all began at `at`, both bases in one number."""
+        last = self.n - length
+        values = reduced(self.prefix[:, length :: step][:, : last // step + 1] + MODULUS - self.prefix[:, : last + 1 : step])
+        values = reduced(values * Powers.upto(at + 1)[:, at - last : at + 1][:, ::-1][:, ::step])
+        return values[0] << np.uint64(31) | values[1]
+
+
 def likeness(a: PrefixHashes, b: PrefixHashes) -> float:
-    """Share of the longer text that both begin and end with alike; 1 only for equal texts."""
-    longer, shorter = max(a.n, b.n), min(a.n, b.n)
-    if not longer:
+    """Share of the longer text that the other one covers; 1 only for equal texts.
+
+    Covered are the longest common extensions from both ends, and each block of BLOCK code points
+    of the shorter text that stands anywhere in the longer one.
+    """
+    short, long = (a, b) if a.n <= b.n else (b, a)
+    if a.n == b.n and a.fingerprint == b.fingerprint:
         return 1.0
-    ahead = a.extension(0, b, 0)
-    behind = min(a.extension_left(a.n, b, b.n), shorter - ahead)
-    return (ahead + behind) / longer
+    covered = np.zeros(short.n, bool)
+    covered[: short.extension(0, long, 0)] = True
+    covered[short.n - short.extension_left(short.n, long, long.n) :] = True
+    if short.n >= BLOCK and not covered.all():
+        blocks, there = short.windows(BLOCK, BLOCK, long.n), long.windows(BLOCK, 1, long.n)
+        hint = np.zeros(1 << 16, bool)  # most windows are no block's: their low bits say so
+        hint[blocks & np.uint64(0xFFFF)] = True
+        same = np.isin(blocks, there[hint[there & np.uint64(0xFFFF)]])
+        covered[: len(blocks) * BLOCK] |= np.repeat(same, BLOCK)
+    return min(int(covered.sum()), long.n - 1) / long.n
 
 
 def edited(own: PrefixHashes, following: PrefixHashes) -> PrefixHashes:

@@ -15,7 +15,7 @@ DATA = "/root/testdata/sf0.001"
 def staged(spark, tmp_path_factory):
     """Documents before the first and after each stage."""
     folder, docs = tmp_path_factory.mktemp("stages"), table(spark, DATA, "documents")
-    docs = docs.withColumns({c: F.lit("x") for c in ("__x", "w", "least", "id")})
+    docs = docs.withColumns({c: F.lit("x") for c in ("__h0", "__quality", "__language", "__found", "__found0", "__least", "w", "least", "id")})
     results = [docs]
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         stage(spark, docs, DATA).write.parquet(f"{folder}/{k}")
@@ -29,6 +29,7 @@ def test_stages_keep_the_columns_and_drop_rows(staged):
     assert len(names) == 5 and len(set(names)) == 5
     for before, after in zip(staged, staged[1:-1]):
         assert after.columns == staged[0].columns
+        assert after.where("__h0 <> 'x' or __quality <> 'x' or __language <> 'x' or __found <> 'x' or __found0 <> 'x' or __least <> 'x'").count() == 0
         assert after.select("doc_id", "text").exceptAll(before.select("doc_id", "text")).count() == 0
     counts = [d.count() for d in staged[:-1]]
     assert counts == sorted(counts, reverse=True) and counts[-1] > counts[0] / 2
