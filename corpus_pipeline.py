@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidworks.llm import decontaminate, langmix, packing, puquality, simhash
-from braidworks.llm.common import checkpoint_dir, table
+from braidworks.llm.common import checkpoint_dir, fresh, table
 from braidworks.llm.queries import VOCABULARY, vocabulary_path
 
 #: A document whose leading language has a smaller share of its n-grams is rejected; so is one without letters.
@@ -18,16 +18,18 @@ LEAST_LANGUAGE_SHARE = 0.4
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier takes for good ones."""
     model = puquality.train(docs, table(spark, sf_dir, "labels"))
-    scored = docs.withColumn("__quality", puquality.quality(F.col("text"), model, docs))
-    return scored.where(F.col("__quality") >= puquality.THRESHOLD).drop("__quality")
+    score = fresh(docs, "__quality")
+    scored = docs.withColumn(score, puquality.quality(F.col("text"), model, docs))
+    return scored.where(F.col(score) >= puquality.THRESHOLD).drop(score)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a leading language."""
     model = langmix.train(docs)
-    judged = docs.withColumn("__language", langmix.language(F.col("text"), model, docs))
-    keep = (F.col("__language.lang_pred") != langmix.UNKNOWN) & (F.col("__language.score") >= LEAST_LANGUAGE_SHARE)
-    return judged.where(keep).drop("__language")
+    name = fresh(docs, "__language")
+    judged = docs.withColumn(name, langmix.language(F.col("text"), model, docs))
+    keep = (F.col(name)["lang_pred"] != langmix.UNKNOWN) & (F.col(name)["score"] >= LEAST_LANGUAGE_SHARE)
+    return judged.where(keep).drop(name)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +39,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of a benchmark item."""
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), into="__found")
-    return found.where(F.size("__found.spans") == 0).drop("__found")
+    name = fresh(docs, "__found")
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), into=name)
+    return found.where(F.size(F.col(name)["spans"]) == 0).drop(name)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
