@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+MOST_STRATA = 256
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,9 +48,10 @@ def hashed_sample(df: DataFrame, strata: str, per_stratum: int, key: Column) ->
     """About `per_stratum` rows of each stratum, chosen by a hash of the key: a bounded training sample.
 
     A hash decides, not an order, so the choice needs one count a stratum and no sort,
-    and is the same whenever it's made again.
+    and is the same whenever it's made again. Strata are few (MOST_STRATA at most); their counts are
+    broadcast, so no row moves and no stratum, however large, meets in one task.
     """
     sizes = df.groupBy(F.col(strata).alias("__stratum")).agg(F.count(F.lit(1)).alias("__n"))
     share = F.least(F.lit(1.0), F.lit(float(per_stratum)) / F.col("__n"))
     unit = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 20)) / float(1 << 20)
-    return df.join(sizes, F.col(strata) == F.col("__stratum")).where(unit < share).drop("__stratum", "__n")
+    return df.join(F.broadcast(sizes.limit(MOST_STRATA)), F.col(strata) == F.col("__stratum")).where(unit < share).drop("__stratum", "__n")

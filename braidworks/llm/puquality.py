@@ -106,8 +106,8 @@ def train(documents: DataFrame, labels: DataFrame, texts: int = TRAIN_TEXTS) ->
     prior = min(0.98, max(0.02, kinds.get(True, 0) / max(1, sum(kinds.values()))))
     fold = documents.select("doc_id", "text").where(~held_out(F.col("doc_id")))
     trusted = labels.where("quality = 1").select("doc_id").distinct()
-    taken = hashed_sample(trusted.withColumn("kind", F.lit("p")), "kind", texts, F.col("doc_id"))
-    positive = fold.join(taken.select("doc_id"), "doc_id", "left_semi").select("text", F.lit(True).alias("trusted"))
+    taken = hashed_sample(trusted.withColumn("kind", F.lit("p")), "kind", texts, F.col("doc_id")).select("doc_id").limit(2 * texts)  # the limit bounds what is broadcast
+    positive = fold.join(F.broadcast(taken), "doc_id", "left_semi").select("text", F.lit(True).alias("trusted"))
     unlabelled = hashed_sample(fold.withColumn("kind", F.lit("u")), "kind", texts, F.col("doc_id")).select("text", F.lit(False).alias("trusted"))
 
     def extract(batches):

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bktree import Forest
-from .common import cut
+from .common import cut, fresh
 from .components import connected_components
 
 BITS = 64
@@ -144,11 +144,15 @@ RECALL = 0.98
 SHARD_TEXTS = 32
 #: Wide fingerprints at most this far apart are one class while candidates are searched: one of them stands for the others.
 NEAR_BITS = 8
+#: Bits of the sketches that leave out less similar pairs before they are checked: of all texts, and of those that have a candidate.
+SKETCH_BITS, FINE_BITS = 256, 2048
+#: Standard errors by which a sketch may differ more than it should.
+SKETCH_ERRORS = 3.5
+_FACTORS = np.random.default_rng(5).integers(0, 2**63, FINE_BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _wide(hashes: np.ndarray) -> tuple[int, int]:
-    """A 128-bit SimHash of the set of hashes: of themselves, and of themselves mixed."""
-    own = np.unique(hashes)
+def _wide(own: np.ndarray) -> tuple[int, int]:
+    """A 128-bit SimHash of a set of hashes: of themselves, and of themselves mixed."""
     mixed = own ^ (own >> np.uint64(30))
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(27)
@@ -157,25 +161,41 @@ def _wide(hashes: np.ndarray) -> tuple[int, int]:
     return majority(own), majority(mixed)
 
 
+def _sketch(own: np.ndarray, bits: int) -> bytes:
+    """One bit of each of some minimum hashes of a set: two sets differ in a bit with probability (1 - similarity) / 2."""
+    if not len(own):
+        return bytes(bits // 8)
+    least = np.full(bits, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(own), 512):
+        np.minimum(least, (own[None, i : i + 512] * _FACTORS[:bits, None]).min(axis=1), out=least)
+    return np.packbits((least >> np.uint64(17)) & np.uint64(1) == 1).tobytes()
+
+
 def _bit_difference(similarity: float) -> float:
     """Expected share of differing bits of the SimHashes of two sets with this Jaccard similarity."""
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def candidate_links(texts: DataFrame, similarity: float) -> DataFrame:
-    """Candidate edges (a, b) among `texts` (id, fp0, fp1): pairs whose wide fingerprints are as near as such similar sets' are.
+def candidate_links(texts: DataFrame, similarity: float, n: int, known: bool = False) -> DataFrame:
+    """Candidate edges (a, b, d) with a > b among `texts` (id, fp0, fp1, sketch, class): pairs whose fingerprints differ in d bits, as such similar sets' may.
 
-    Texts that agree in a table's sampled bits meet in a shard; a shard is searched by its BK-tree.
-    Nearly equal ones are linked to one of them, and others to the nearest of such a class, so a
-    crowd of near copies gives a star and not all its pairs. Bits and tables follow the number of
-    texts so that recall stays and shards stay small.
+    Texts that agree in a table's sampled bits meet in a shard; a shard is searched by its BK-tree. Pairs
+    whose sketches differ more than such similar sets' do (by SKETCH_ERRORS) are no candidates,
+    and a pair is put out by the first table only in which it meets. Unless `known`, a shard gives a forest that
+    connects what its candidates connect: fewer edges than texts, however many are near each other. If
+    `known`, texts with equal `class` are known to be connected, and each text gives its nearest candidate of every
+    other class. Bits and tables follow the number `n` of all texts, so that recall stays and shards stay small.
     """
-    n, differ = texts.count(), _bit_difference(similarity)
+    differ = _bit_difference(similarity)
     spread = np.sqrt(128 * differ * (1 - differ))
     sampled = int(np.clip(np.ceil(np.log2(max(1, n) / SHARD_TEXTS)), 8, 40))
     tables = int(np.ceil(np.log(1 - RECALL) / np.log(1 - (1 - differ - spread / 128) ** sampled)))
     radius = int(np.ceil(128 * differ + 4 * spread))
+    unlike = (1 - similarity) / 2
+    bits = FINE_BITS if known else SKETCH_BITS
+    most_unlike = int(np.ceil(bits * unlike + SKETCH_ERRORS * np.sqrt(bits * unlike * (1 - unlike))))
     chosen = [np.random.default_rng(table).permutation(128)[:sampled] for table in range(tables)]
+    masks = np.array([[sum(1 << int(b & 63) for b in bits if b >> 6 == w) for w in (0, 1)] for bits in chosen], np.uint64)
 
     def deal(batches):
         for batch in batches:
@@ -184,39 +204,69 @@ def candidate_links(texts: DataFrame, similarity: float) -> DataFrame:
                 key = np.full(len(batch), table, np.uint64)
                 for bit in bits.tolist():
                     key = key << np.uint64(1) | words[bit >> 6] >> np.uint64(bit & 63) & np.uint64(1)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch["id"], batch["fp0"], batch["fp1"]], names=["shard", "id", "fp0", "fp1"])
+                columns = [pa.array(key.view(np.int64)), *(batch.column(name) for name in ("id", "fp0", "fp1", "sketch", "class"))]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "id", "fp0", "fp1", "sketch", "class"])
 
     def grow(batches):
-        rows = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if rows is None or not len(rows):
+        held = list(batches)
+        if not held:
             return
+        rows = pa.Table.from_batches(held)
         shard, ids = rows["shard"].to_numpy(), rows["id"].to_numpy()
-        words = np.stack([rows["fp0"].to_numpy().view(np.uint64), rows["fp1"].to_numpy().view(np.uint64)], axis=1)
-        order = np.lexsort((ids, shard))
-        shard, ids, words = shard[order], ids[order], words[order]
-        crowd = np.r_[False, shard[1:] == shard[:-1]]
-        crowd |= np.r_[crowd[1:], False]
-        shard, ids, words = shard[crowd], ids[crowd], words[crowd]
-        forest = Forest(words, shard, NEAR_BITS)
-        label = forest.label
-        starred = np.flatnonzero(label != np.arange(len(label)))
-        yield _edges(ids[starred], ids[label[starred]])
+        words = np.stack([rows[name].to_numpy().view(np.uint64) for name in ("fp0", "fp1")], axis=1)
+        order = np.lexsort((ids, words[:, 1], words[:, 0], shard))
+        if not known:  # of equal fingerprints in a shard, the first stands for all
+            same = np.r_[False, (np.diff(shard[order]) == 0) & (words[order][1:] == words[order][:-1]).all(axis=1)]
+            one = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+            a, b = ids[order[same]], ids[one[same]]
+            new = shard[order[same]] >> sampled == 0  # they meet in every table
+            yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(np.zeros(new.sum(), np.int32))], names=["a", "b", "d"])
+            order = order[~same]
+        order = order[np.lexsort((ids[order], shard[order]))]
+        crowd = np.r_[False, shard[order][1:] == shard[order][:-1]]
+        order = order[crowd | np.r_[crowd[1:], False]]  # whoever is alone in a shard meets nobody
+        if not len(order):
+            return
+        rows, words = rows.take(pa.array(order)), words[order]
+        shard, ids = shard[order], ids[order]
+        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(ids), -1)
+        table = shard >> sampled
+
+        def alike(a, b):
+            return np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1) <= most_unlike
+
+        def edges(a, b):
+            differ = words[a] ^ words[b]
+            first = np.ones(len(a), bool)
+            for t in range(int(table[a].max(initial=0))):
+                first &= (table[a] <= t) | ((differ & masks[t]) != 0).any(axis=1)
+            a, b, d = a[first], b[first], np.bitwise_count(differ[first]).sum(axis=1).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[a], ids[b])), pa.array(np.minimum(ids[a], ids[b])), pa.array(d)], names=["a", "b", "d"])
+
+        if not known:
+            yield edges(*Forest(words, shard, NEAR_BITS).spanning(radius, alike))
+            return
+        classes = rows["class"].to_numpy()
+        by = np.lexsort((classes, shard))
+        same = np.r_[False, (np.diff(shard[by]) == 0) & (np.diff(classes[by]) == 0)]
+        label = np.empty(len(by), np.int64)
+        label[by] = by[np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))]
+        forest = Forest(words, shard, -1, label)
         for start in range(0, len(ids), 4096):
             found = list(forest.search(np.arange(start, min(len(ids), start + 4096)), radius))
             if found:
                 q, node, d = (np.concatenate(x) for x in zip(*found))
-                order = np.lexsort((d, label[node], q))
+                kept = alike(q, node)
+                q, node, d = q[kept], node[kept], d[kept]
+                order = np.lexsort((d, forest.label[node], q))
                 q, node = q[order], node[order]
-                nearest = np.r_[True, (q[1:] != q[:-1]) | (label[node][1:] != label[node][:-1])]
-                yield _edges(ids[q[nearest]], ids[node[nearest]])
+                if len(q):
+                    nearest = np.r_[True, (q[1:] != q[:-1]) | (forest.label[node][1:] != forest.label[node][:-1])]
+                    yield edges(q[nearest], node[nearest])
 
-    dealt = texts.select("id", "fp0", "fp1").mapInArrow(deal, "shard long, id long, fp0 long, fp1 long")
+    dealt = texts.select("id", "fp0", "fp1", "sketch", "class").mapInArrow(deal, "shard long, id long, fp0 long, fp1 long, sketch binary, class long")
     tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * tables >> 20)
-    return dealt.repartition(tasks, "shard").mapInArrow(grow, "a long, b long").where("a <> b").distinct()
-
-
-def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+    return dealt.repartition(tasks, "shard").mapInArrow(grow, "a long, b long, d int").where("a <> b").distinct()
 
 
 def similarity_of(a: bytes, b: bytes) -> float:
@@ -235,33 +285,56 @@ def drop_near_duplicates(documents: DataFrame, words: int = 5, similarity: float
     other; a null doc_id comes last in its class; of rows that repeat one stays.
     """
 
-    @F.pandas_udf("struct<fp0: long, fp1: long>")
+    @F.pandas_udf("struct<fp0: long, fp1: long, sketch: binary>")
     def wide(texts: pd.Series) -> pd.DataFrame:
-        bits = np.array([_wide(shingle_hashes(t, words)) for t in texts], np.uint64).reshape(-1, 2)
-        return pd.DataFrame(bits.view(np.int64), columns=["fp0", "fp1"])
+        sets = [np.unique(shingle_hashes(t, words)) for t in texts]
+        bits = np.array([_wide(s) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+        return pd.DataFrame({"fp0": bits[:, 0], "fp1": bits[:, 1], "sketch": [_sketch(s, SKETCH_BITS) for s in sets]})
 
     @F.pandas_udf("binary")
     def shingle_set(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(shingle_hashes(t, words)).astype("<u8").tobytes() for t in texts])
 
+    @F.pandas_udf("binary")
+    def fine_sketch(sets: pd.Series) -> pd.Series:
+        return pd.Series([_sketch(np.frombuffer(s, "<u8"), FINE_BITS) for s in sets])
+
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similarity_of(x, y) >= similarity for x, y in zip(a, b)], dtype=bool)
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    keys = [F.xxhash64(text).alias("__h0"), F.xxhash64(F.lit(1), text).alias("__h1")]  # together they name a text
+    h0, h1, least = (fresh(documents, name) for name in ("__h0", "__h1", "__least"))
+    keys = [F.xxhash64(text).alias(h0), F.xxhash64(F.lit(1), text).alias(h1)]  # together they name a text
     hashed = documents.select("doc_id", *keys, wide.asNondeterministic()(text).alias("w"))
-    texts = hashed.groupBy("__h0", "__h1").agg(F.min("doc_id").alias("least"), F.any_value("w").alias("w"))
-    texts = cut(texts.select("__h0", "__h1", "least", "w.fp0", "w.fp1").withColumn("id", F.monotonically_increasing_id()))
-    edges = cut(candidate_links(texts, similarity))
-    involved = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct().join(texts, "id").select("id", "__h0", "__h1", "least")
-    whole = documents.select(*keys, "doc_id", text.alias("__text")).join(involved, ["__h0", "__h1"]).where(F.col("doc_id").eqNullSafe(F.col("least")))
+    texts = hashed.groupBy(h0, h1).agg(F.min("doc_id").alias("least"), F.any_value("w").alias("w"))
+    texts = cut(texts.select(h0, h1, "least", "w.fp0", "w.fp1", "w.sketch").withColumn("id", F.monotonically_increasing_id()))
+    n = texts.count()
+    edges = cut(candidate_links(texts.withColumn("class", F.col("id")), similarity, n))
+    involved = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct().join(texts, "id").select("id", h0, h1, "least")
+    whole = documents.select(*keys, "doc_id", text.alias("__text")).join(involved, [h0, h1]).where(F.col("doc_id").eqNullSafe(F.col("least")))
     sets = whole.select("id", shingle_set("__text").alias("shingles")).groupBy("id").agg(F.any_value("shingles").alias("shingles"))
     sets = cut(sets)
-    checked = edges.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    roots = connected_components(checked.where(similar("sa", "sb")).select("a", "b"))
-    rooted = texts.join(roots, texts.id == roots.node, "left").select("__h0", "__h1", "least", "id", F.coalesce("root", "id").alias("root"))
+
+    def checked(some: DataFrame) -> DataFrame:
+        sides = [sets.select(F.col("id").alias(side), F.col("shingles").alias("s" + side)) for side in ("a", "b")]
+        return cut(some.join(sides[0], "a").join(sides[1], "b").where(similar("sa", "sb")).select("a", "b"))
+
+    def between_classes(some: DataFrame, found: DataFrame) -> DataFrame:
+        ends = [found.select(F.col("node").alias(side), F.col("root").alias("r" + side)) for side in ("a", "b")]
+        open_ = some.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+        return open_.select("a", "b")
+
+    # A forest of the candidates first: each text's nearest one, then what still connects two classes. Then any
+    # candidates between the classes that these have made; a text without candidates is in no forest and has none here either.
+    linked = checked(edges.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b")))
+    linked = linked.unionByName(checked(between_classes(edges, connected_components(linked))))
+    found = cut(connected_components(linked))
+    again = texts.drop("sketch").join(sets.select("id", fine_sketch("shingles").alias("sketch")), "id").join(found.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("class", F.coalesce("root", "id"))
+    more = cut(candidate_links(again, similarity, n, known=True)).join(edges, ["a", "b"], "left_anti").select("a", "b")
+    roots = connected_components(linked.unionByName(checked(more)))
+    rooted = texts.join(roots, texts.id == roots.node, "left").select(h0, h1, "least", "id", F.coalesce("root", "id").alias("root"))
     first = F.struct(F.col("least").isNull(), F.col("least"), F.col("id"))
-    kept = rooted.groupBy("root").agg(F.min_by(F.struct("__h0", "__h1", "least"), first).alias("k")).select("k.__h0", "k.__h1", F.col("k.least").alias("__least"))
-    marked = documents.withColumns({"__h0": keys[0], "__h1": keys[1]}).join(kept, ["__h0", "__h1"]).where(F.col("doc_id").eqNullSafe(F.col("__least")))
-    return marked.dropDuplicates(["__h0", "__h1"]).select(*[F.col(f"`{c}`") for c in documents.columns])
+    kept = rooted.groupBy("root").agg(F.min_by(F.struct(F.col(h0).alias("h0"), F.col(h1).alias("h1"), "least"), first).alias("k")).select(F.col("k.h0").alias(h0), F.col("k.h1").alias(h1), F.col("k.least").alias(least))
+    marked = documents.withColumns({h0: keys[0], h1: keys[1]}).join(kept, [h0, h1]).where(F.col("doc_id").eqNullSafe(F.col(least)))
+    return marked.dropDuplicates([h0, h1]).select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -20,7 +20,7 @@ MASK = (1 << 20) - 1
 #: Lengths of words' beginnings that are features too: inflected words share them.
 BEGINNINGS = (4, 5)
 #: Labelled texts of either label that the model is fitted on, about: the bounded training sample.
-TRAIN_TEXTS = 3000
+TRAIN_TEXTS = 2000
 #: A word bucket takes part if this many training texts have it.
 LEAST_TEXTS = 3
 #: and if the logarithm of its odds between grade 0 and the others is this many standard errors from zero.
@@ -145,19 +145,19 @@ def train(documents: DataFrame, labels: DataFrame, texts: int = TRAIN_TEXTS) ->
     """Fits on a bounded sample of labelled texts outside the held-out fold."""
     labels = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null").where(~held_out(F.col("doc_id")))
     labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    taken = hashed_sample(labels, "toxic", texts, F.col("doc_id"))
-    rows = documents.select("doc_id", "text").where("text is not null").join(taken, "doc_id").select("text", "toxic")
+    taken = hashed_sample(labels, "toxic", texts, F.col("doc_id")).limit(4 * texts)  # about half of that; the limit bounds what is broadcast
+    rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(taken), "doc_id").select("text", "toxic")
 
     def extract(batches):
         for batch in batches:
             found = [features(t) for t in batch["text"]]
-            yield pd.DataFrame({"toxic": batch["toxic"], "at": [f[0] for f in found], "value": [f[1] for f in found]})
+            yield pd.DataFrame({"toxic": batch["toxic"], "at": [f[0].astype("<i4").tobytes() for f in found], "value": [f[1].astype("<f4").tobytes() for f in found]})
 
-    found = rows.mapInPandas(extract, "toxic int, at array<long>, value array<double>").toPandas()
+    found = rows.mapInPandas(extract, "toxic int, at binary, value binary").toPandas()
     toxic = found["toxic"].to_numpy(int) == 1
     if not len(found) or toxic.all() or not toxic.any():
         return Model(np.zeros(0, np.int64), np.zeros(0), np.array([6.0, 12.0]))
-    sparse = [(np.asarray(at, np.int64), np.asarray(value, float)) for at, value in zip(found["at"], found["value"])]
+    sparse = [(np.frombuffer(at, "<i4").astype(np.int64), np.frombuffer(value, "<f4").astype(float)) for at, value in zip(found["at"], found["value"])]
     return fit(sparse, density_grades(sparse, toxic))
 
 
