@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bktree import Forest
+from .bktree import Forest, distance
 from .common import cut, fresh
 from .components import connected_components
 
@@ -146,6 +146,8 @@ SHARD_TEXTS = 32
 NEAR_BITS = 8
 #: Bits of the sketches that leave out less similar pairs before they are checked: of all texts, and of those that have a candidate.
 SKETCH_BITS, FINE_BITS = 256, 2048
+#: Times as many candidates of another class a text gives in each further search.
+NEXT_CANDIDATES = 4
 #: Standard errors by which a sketch may differ more than it should.
 SKETCH_ERRORS = 3.5
 _FACTORS = np.random.default_rng(5).integers(0, 2**63, FINE_BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -176,15 +178,17 @@ def _bit_difference(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def candidate_links(texts: DataFrame, similarity: float, n: int, known: bool = False) -> DataFrame:
+def candidate_links(texts: DataFrame, similarity: float, n: int, known: bool = False, most: int = 1) -> DataFrame:
     """Candidate edges (a, b, d) with a > b among `texts` (id, fp0, fp1, sketch, class): pairs whose fingerprints differ in d bits, as such similar sets' may.
 
     Texts that agree in a table's sampled bits meet in a shard; a shard is searched by its BK-tree. Pairs
     whose sketches differ more than such similar sets' do (by SKETCH_ERRORS) are no candidates,
     and a pair is put out by the first table only in which it meets. Unless `known`, a shard gives a forest that
     connects what its candidates connect: fewer edges than texts, however many are near each other. If
-    `known`, texts with equal `class` are known to be connected, and each text gives its nearest candidate of every
-    other class. Bits and tables follow the number `n` of all texts, so that recall stays and shards stay small.
+    `known`, texts with equal `class` are known to be connected, and each text gives, of the candidates that it first
+    meets in a shard, the `most` nearest of every other class; where that leaves out a pair from both sides, an edge with
+    a d of -1 joins some text of each of the two classes, which are to be searched again with a larger `most`.
+    Bits and tables follow the number `n` of all texts, so that recall stays and shards stay small.
     """
     differ = _bit_difference(similarity)
     spread = np.sqrt(128 * differ * (1 - differ))
@@ -235,16 +239,20 @@ def candidate_links(texts: DataFrame, similarity: float, n: int, known: bool = F
         def alike(a, b):
             return np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1) <= most_unlike
 
-        def edges(a, b):
+        def first_met(a, b):
             differ = words[a] ^ words[b]
             first = np.ones(len(a), bool)
             for t in range(int(table[a].max(initial=0))):
                 first &= (table[a] <= t) | ((differ & masks[t]) != 0).any(axis=1)
-            a, b, d = a[first], b[first], np.bitwise_count(differ[first]).sum(axis=1).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[a], ids[b])), pa.array(np.minimum(ids[a], ids[b])), pa.array(d)], names=["a", "b", "d"])
+            return first
+
+        def edges(a, b, d):
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[a], ids[b])), pa.array(np.minimum(ids[a], ids[b])), pa.array(d.astype(np.int32))], names=["a", "b", "d"])
 
         if not known:
-            yield edges(*Forest(words, shard, NEAR_BITS).spanning(radius, alike))
+            a, b = Forest(words, shard, NEAR_BITS).spanning(radius, alike)
+            first = first_met(a, b)
+            yield edges(a[first], b[first], distance(words[a[first]], words[b[first]]))
             return
         classes = rows["class"].to_numpy()
         by = np.lexsort((classes, shard))
@@ -252,17 +260,26 @@ def candidate_links(texts: DataFrame, similarity: float, n: int, known: bool = F
         label = np.empty(len(by), np.int64)
         label[by] = by[np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))]
         forest = Forest(words, shard, -1, label)
+        left_out = [np.zeros((0, 2), np.int64)]  # (class, other class) of lists that were cut
         for start in range(0, len(ids), 4096):
-            found = list(forest.search(np.arange(start, min(len(ids), start + 4096)), radius))
+            found = []
+            for q, node, d in forest.search(np.arange(start, min(len(ids), start + 4096)), radius):
+                kept = np.flatnonzero(alike(q, node))
+                kept = kept[first_met(q[kept], node[kept])]
+                found.append((q[kept], node[kept], d[kept]))
             if found:
                 q, node, d = (np.concatenate(x) for x in zip(*found))
-                kept = alike(q, node)
-                q, node, d = q[kept], node[kept], d[kept]
-                order = np.lexsort((d, forest.label[node], q))
-                q, node = q[order], node[order]
+                order = np.lexsort((d, label[node], q))
+                q, node, d = q[order], node[order], d[order]
                 if len(q):
-                    nearest = np.r_[True, (q[1:] != q[:-1]) | (forest.label[node][1:] != forest.label[node][:-1])]
-                    yield edges(q[nearest], node[nearest])
+                    head = np.r_[True, (q[1:] != q[:-1]) | (label[node][1:] != label[node][:-1])]
+                    rank = np.arange(len(q)) - np.maximum.accumulate(np.where(head, np.arange(len(q)), 0))
+                    near, over = rank < most, rank == most
+                    left_out.append(np.unique(np.stack([label[q[over]], label[node[over]]], axis=1), axis=0))
+                    yield edges(q[near], node[near], d[near])
+        a, b = np.unique(np.concatenate(left_out), axis=0).T
+        both = (a < b) & np.isin(a * len(ids) + b, b * len(ids) + a)  # cut from one side only, the other side gave all
+        yield edges(a[both], b[both], np.full(both.sum(), -1))
 
     dealt = texts.select("id", "fp0", "fp1", "sketch", "class").mapInArrow(deal, "shard long, id long, fp0 long, fp1 long, sketch binary, class long")
     tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * tables >> 20)
@@ -323,16 +340,30 @@ def drop_near_duplicates(documents: DataFrame, words: int = 5, similarity: float
     def between_classes(some: DataFrame, found: DataFrame) -> DataFrame:
         ends = [found.select(F.col("node").alias(side), F.col("root").alias("r" + side)) for side in ("a", "b")]
         open_ = some.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-        return open_.select("a", "b")
+        return open_.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
 
     # A forest of the candidates first: each text's nearest one, then what still connects two classes. Then any
     # candidates between the classes that these have made; a text without candidates is in no forest and has none here either.
+    # Classes that left some out are searched again for more of them, until all are checked or their classes are joined.
     linked = checked(edges.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b")))
     linked = linked.unionByName(checked(between_classes(edges, connected_components(linked))))
-    found = cut(connected_components(linked))
-    again = texts.drop("sketch").join(sets.select("id", fine_sketch("shingles").alias("sketch")), "id").join(found.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("class", F.coalesce("root", "id"))
-    more = cut(candidate_links(again, similarity, n, known=True)).join(edges, ["a", "b"], "left_anti").select("a", "b")
-    roots = connected_components(linked.unionByName(checked(more)))
+    roots = cut(connected_components(linked))
+    seen, most, again, sketched = edges.select("a", "b"), 1, texts.drop("sketch"), sets
+    while True:
+        sketches = sketched.select("id", fine_sketch("shingles").alias("sketch"))
+        classed = again.join(sketches, "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("class", F.coalesce("root", "id"))
+        some = cut(candidate_links(classed, similarity, n, known=True, most=most))
+        pairs = some.where("d >= 0").select("a", "b").join(seen, ["a", "b"], "left_anti")
+        linked = linked.unionByName(checked(pairs))
+        roots = cut(connected_components(linked))
+        left = between_classes(some.where("d < 0"), roots)
+        open_ = cut(left.select(F.explode(F.array("ra", "rb")).alias("class")).distinct())
+        if open_.isEmpty():
+            break
+        of = again.select("id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("id", F.coalesce("root", "id").alias("class"))
+        of = cut(of.join(open_, "class", "left_semi").select("id"))
+        seen, most = seen.unionByName(some.where("d >= 0").select("a", "b")), most * NEXT_CANDIDATES
+        again, sketched = texts.drop("sketch").join(of, "id", "left_semi"), sets.join(of, "id", "left_semi")
     rooted = texts.join(roots, texts.id == roots.node, "left").select(h0, h1, "least", "id", F.coalesce("root", "id").alias("root"))
     first = F.struct(F.col("least").isNull(), F.col("least"), F.col("id"))
     kept = rooted.groupBy("root").agg(F.min_by(F.struct(F.col(h0).alias("h0"), F.col(h1).alias("h1"), "least"), first).alias("k")).select(F.col("k.h0").alias(h0), F.col("k.h1").alias(h1), F.col("k.least").alias(least))

@@ -228,6 +228,26 @@ def test_near_dedup_keeps_one_of_each_class(spark):
     assert simhash.drop_near_duplicates(documents(spark, [])).count() == 0
 
 
+def two_classes(seed):
+    """Near copies of two texts: these have a Jaccard similarity of 270 / 330, and no other pair across reaches 0.8."""
+    draw = random.Random(seed)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(8))
+    base = [word() for _ in range(304)]
+    places = draw.sample(range(5, 295, 10), 28)
+    changed = lambda text, at: [word() if i in at else w for i, w in enumerate(text)]
+    other = changed(base, places[:6])
+    texts = [base, *(changed(base, [i]) for i in places[6:17]), other, *(changed(other, [i]) for i in places[17:])]
+    return [" ".join(t) for t in texts]
+
+
+def test_large_classes_are_joined_by_a_single_borderline_pair(spark):
+    rows = [(100 * g + i, t) for g in range(12) for i, t in enumerate(two_classes(g))]
+    first = [shingles(t) for _, t in rows[:24]]
+    assert [(i, j) for i in range(12) for j in range(12, 24) if jaccard(first[i], first[j]) >= 0.8] == [(0, 12)]
+    kept = simhash.drop_near_duplicates(documents(spark, rows))
+    assert sorted(r.doc_id for r in kept.collect()) == [100 * g for g in range(12)]
+
+
 def test_a_crowd_of_near_copies_gives_a_star(spark):
     draw = np.random.default_rng(3)
     centre = draw.integers(0, 2**63, 2, dtype=np.uint64)
