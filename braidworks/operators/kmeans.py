@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -89,27 +90,45 @@ def update(assigned: DataFrame, means: DataFrame) -> DataFrame:
     return means.join(new, "cluster", "left").select("cluster", F.coalesce("new_d", "d").alias("d"))
 
 
-def fit(rows: DataFrame, means: DataFrame, most: int = 100) -> tuple[DataFrame, int]:
-    """KM06: assigns and updates until no mean changes, or `most` times; the means and the number of rounds."""
+class Unsettled(RuntimeError):
+    """The rounds allowed are over, or the means have come back to former ones and would go round for ever."""
+
+
+def _unsettled(means: DataFrame, rounds: int, most: int | None, former: set[int]) -> None:
+    """Raises Unsettled if another round is useless or not allowed; adds the means' hash to the former ones."""
+    now = int(means.agg(F.sum(F.xxhash64("cluster", "d").cast("decimal(38,0)"))).first()[0] or 0)
+    if now in former:
+        raise Unsettled(f"the means of round {rounds} are those of a round before: they never settle")
+    if rounds == most:
+        raise Unsettled(f"the means still change after {most} rounds")
+    former.add(now)
+
+
+def fit(rows: DataFrame, means: DataFrame, most: int | None = None) -> tuple[DataFrame, int]:
+    """KM06: assigns and updates until no mean changes; the means and the number of rounds. Raises Unsettled if that takes over `most` rounds, where given."""
     means = snapshot(means.select(F.col("cluster").cast("int").alias("cluster"), "d"))
-    for rounds in range(1, most + 1):
+    former: set[int] = set()
+    for rounds in count(1):
         new = snapshot(update(assign(rows, means), means))
         changed = new.join(means.select("cluster", F.col("d").alias("old")), "cluster").where("d <> old").limit(1).count()
         means = new
         if not changed:
             break
+        _unsettled(means, rounds, most, former)
     return means, rounds
 
 
-def fit_until_settled(rows: DataFrame, means: DataFrame, most: int = 100) -> tuple[DataFrame, int]:
+def fit_until_settled(rows: DataFrame, means: DataFrame, most: int | None = None) -> tuple[DataFrame, int]:
     """KM07: the same until no point changes its cluster."""
     means = snapshot(means.select(F.col("cluster").cast("int").alias("cluster"), "d"))
     assigned = snapshot(assign(rows, means))
-    for rounds in range(1, most + 1):
+    former: set[int] = set()
+    for rounds in count(1):
         means = snapshot(update(assigned, means))
         new = snapshot(assign(assigned.withColumnRenamed("cluster", "old"), means))
         changed = new.where("cluster <> old").limit(1).count()
         assigned = new.drop("old")
         if not changed:
             break
+        _unsettled(means, rounds, most, former)
     return assigned, rounds

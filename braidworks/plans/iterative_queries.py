@@ -56,4 +56,4 @@ def km_squared_distance(spark, d):
 @query()
 def km_fit(spark, d):
     points = _points(spark, d)
-    return kmeans.fit(points, _means(points), 20)[0].select("cluster", F.posexplode("d").alias("k", "x"))
+    return kmeans.fit(points, _means(points))[0].select("cluster", F.posexplode("d").alias("k", "x"))
