@@ -165,6 +165,14 @@ def pf_successor_lookup(spark, d):
     return keyed.successors(probes, keys, "probe", "l_extendedprice")
 
 
+@query("""
+SELECT probe, l_extendedprice AS successor FROM (SELECT DISTINCT o_totalprice / 3 AS probe FROM orders)
+ASOF LEFT JOIN (SELECT DISTINCT l_extendedprice FROM lineitem) ON probe <= l_extendedprice""")
+def pf_successor_lookup_all(spark, d):
+    probes = read(spark, d, "orders").select((F.col("o_totalprice") / 3).alias("probe")).distinct()
+    return keyed.successors(probes, read(spark, d, "lineitem").select("l_extendedprice"), "probe", "l_extendedprice")
+
+
 @query("SELECT count(*) AS size, count(*) = 0 AS empty FROM part")
 def gc_size(spark, d):
     return keyed.size(_parts(spark, d))

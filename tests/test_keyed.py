@@ -1,6 +1,9 @@
+from bisect import bisect_left
+
 from pyspark.sql import functions as F
 
 from braidworks.operators import keyed
+from braidworks.plans import keyed_queries
 
 
 def pairs(df):
@@ -71,6 +74,14 @@ def test_successors_match_a_scan(spark):
     assert {r.p: r.successor for r in got.collect()} == {p: min((k for k in keys if k >= p), default=None) for p in probes}
 
 
+def test_every_order_gets_its_successor(spark):
+    data = "/root/testdata/sf0.001"
+    keys = sorted({r.k for r in spark.read.parquet(f"{data}/lineitem.parquet").selectExpr("l_extendedprice AS k").collect()})
+    probes = {r.p for r in spark.read.parquet(f"{data}/orders.parquet").selectExpr("o_totalprice / 3 AS p").collect()}
+    got = keyed_queries.pf_successor_lookup_all(spark, data).collect()
+    assert sorted((r.probe, r.successor) for r in got) == sorted((p, keys[i] if (i := bisect_left(keys, p)) < len(keys) else None) for p in probes)
+
+
 def test_ordered_container(spark):
     t = table(spark)
     assert pairs(keyed.nth(t, "k", 1)) == [(2, "b")]
