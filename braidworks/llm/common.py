@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
+#: Strata of a sample at most; more of them fail.
 MOST_STRATA = 256
 
 
@@ -16,10 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set (tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir, or that the session has set. Without either it fails: a folder of one machine is none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="braidworks-checkpoints-")
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -44,14 +42,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def hashed_sample(df: DataFrame, strata: str, per_stratum: int, key: Column) -> DataFrame:
-    """About `per_stratum` rows of each stratum, chosen by a hash of the key: a bounded training sample.
+def bounded_sample(df: DataFrame, per_stratum: int, stratum: str | None = None) -> DataFrame:
+    """At most `per_stratum` ids of each stratum, each once: a bounded training sample. Columns doc_id, the stratum's and, if `df` has it, text.
 
-    A hash decides, not an order, so the choice needs one count a stratum and no sort,
-    and is the same whenever it's made again. Strata are few (MOST_STRATA at most); their counts are
-    broadcast, so no row moves and no stratum, however large, meets in one task.
+    Ids are chosen by their hash, so the choice is the same whenever it's made again. Each
+    stratum's different ids are counted by a sketch (they are few numbers, which go to the driver), a
+    threshold on the hash leaves little more than the sample, repeats of an id
+    become one row (with its least text), and the rest is cut at the bound by rank. More than MOST_STRATA strata fail.
     """
-    sizes = df.groupBy(F.col(strata).alias("__stratum")).agg(F.count(F.lit(1)).alias("__n"))
-    share = F.least(F.lit(1.0), F.lit(float(per_stratum)) / F.col("__n"))
-    unit = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 20)) / float(1 << 20)
-    return df.join(F.broadcast(sizes.limit(MOST_STRATA)), F.col(strata) == F.col("__stratum")).where(unit < share).drop("__stratum", "__n")
+    strata = [stratum] if stratum else []
+    unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(7)), 11) / float(1 << 53)
+    ids = df.select("doc_id", *strata, *(["text"] if "text" in df.columns else []))
+    sizes = ids.groupBy(*strata).agg(F.approx_count_distinct("doc_id").alias("n")).limit(MOST_STRATA + 1).collect()
+    if len(sizes) > MOST_STRATA:
+        raise ValueError(f"more than {MOST_STRATA} strata")
+    wanted, share = per_stratum + 6 * per_stratum**0.5, F.lit(0.0)
+    for row in sizes:
+        own = F.lit(min(1.0, 1.2 * wanted / max(1, row["n"])))  # the sketch errs by a twentieth
+        share = F.when(F.col(stratum).eqNullSafe(F.lit(row[0])), own).otherwise(share) if stratum else own
+    texts = [F.min("text").alias("text")] if "text" in df.columns else []
+    few = ids.where(unit < share).groupBy("doc_id", *strata).agg(*texts or [F.count(F.lit(1)).alias("__n")])
+    rank = F.row_number().over(Window.partitionBy(*(strata or [F.lit(0)])).orderBy(unit, "doc_id"))
+    few = few.withColumn("__rank", rank).where(F.col("__rank") <= per_stratum)
+    return few.select("doc_id", *strata, *(["text"] if texts else []))

@@ -9,14 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, held_out
+from .common import bounded_sample, held_out
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
-#: Labelled documents of each language that the n-gram counts are taken from, about: the bounded training sample.
+#: Labelled documents of each language that the n-gram counts are taken from at most: the bounded training sample.
 TRAIN_PER_LANGUAGE = 1500
-#: Languages that a model holds at most; training stops with an error beyond.
-MOST_LANGUAGES = 256
 #: Log-likelihood that one more language must add, for each halved log of the number of n-grams (1 would be the Bayesian criterion; n-grams overlap, so they're fewer than they look).
 PENALTY = 3.0
 STEPS = 40
@@ -91,13 +89,11 @@ class Model:
 def train(documents: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, buckets: int = BUCKETS) -> Model:
     """N-gram probabilities of each language, counted over a sample of labelled documents outside the held-out fold.
 
-    Each task adds up what it has read; a row a language and bucket at most leaves it.
+    Each task adds up what it has read; a row a language and bucket at most leaves it. A model holds
+    MOST_STRATA languages at most; training fails with more.
     """
     labelled = documents.select("doc_id", "text", "lang").where("lang is not null and text is not null").where(~held_out(F.col("doc_id")))
-    languages = [r.lang for r in labelled.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    sample = hashed_sample(labelled, "lang", per_language, F.col("doc_id")).select("lang", "text")
+    sample = bounded_sample(labelled, per_language, "lang").select("lang", "text")
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,12 +10,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, held_out
+from .common import bounded_sample, held_out
 
-#: Texts of each kind (trusted positive, unlabelled) that the model is fitted on, about: the bounded training sample.
+#: Texts of each kind (trusted positive, unlabelled) that the model is fitted on at most: the bounded training sample.
 TRAIN_TEXTS = 6000
 BINS = 10
-STEPS = 1500
+#: Steps of the fit, and of those whose scores the class prior is read from.
+STEPS, PRIOR_STEPS = 1500, 400
 BATCH = 4096
 THRESHOLD = 0.3
 
@@ -96,30 +98,50 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return model
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled, from these two samples alone.
+
+    Positives score alike whether trusted or not, so at any threshold the unlabelled that reach it are
+    at least the prior times the positives that do, and at the top, where few negatives are, hardly
+    more. A model is fitted on one half of the samples; on the other half the
+    threshold is taken whose ratio, with what chance may add to it, is least (Garg et al., 2021). Both halves take turns.
+    """
+    found = []
+    for own in (0, 1):
+        model = fit(positive[1 - own :: 2], unlabelled[1 - own :: 2], 0.5, PRIOR_STEPS)
+        p, u = np.sort(model.score(positive[own::2])), np.sort(model.score(unlabelled[own::2]))
+        if not len(p) or not len(u):
+            continue
+        at = np.unique(p)
+        reach_p, reach_u = 1 - np.searchsorted(p, at) / len(p), 1 - np.searchsorted(u, at) / len(u)
+        chance = np.sqrt(np.log(40) / 2 / len(p)) + np.sqrt(np.log(40) / 2 / len(u))
+        best = np.argmin((reach_u + chance) / reach_p)
+        found.append(reach_u[best] / reach_p[best])
+    return float(np.clip(np.mean(found), 0.02, 0.98)) if found else 0.5
+
+
 def train(documents: DataFrame, labels: DataFrame, texts: int = TRAIN_TEXTS) -> Model:
-    """Fits on texts outside the held-out fold: labelled 1 as positives, any as unlabelled.
+    """Fits on texts outside the held-out fold: labelled 1 as positives, any as unlabelled. Labels of 0 aren't used.
 
-    The class prior is estimated by the share of positives among that fold's labels. Without any positive, the model says 0.5 of all.
+    The class prior is estimated from the two samples. Without any positive, the model says 0.5 of all.
     """
-    labels = labels.select("doc_id", "quality").where("quality is not null").where(~held_out(F.col("doc_id")))
-    kinds = {r.quality: r.n for r in labels.groupBy((F.col("quality") == 1).alias("quality")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    prior = min(0.98, max(0.02, kinds.get(True, 0) / max(1, sum(kinds.values()))))
     fold = documents.select("doc_id", "text").where(~held_out(F.col("doc_id")))
-    trusted = labels.where("quality = 1").select("doc_id").distinct()
-    taken = hashed_sample(trusted.withColumn("kind", F.lit("p")), "kind", texts, F.col("doc_id")).select("doc_id").limit(2 * texts)  # the limit bounds what is broadcast
-    positive = fold.join(F.broadcast(taken), "doc_id", "left_semi").select("text", F.lit(True).alias("trusted"))
-    unlabelled = hashed_sample(fold.withColumn("kind", F.lit("u")), "kind", texts, F.col("doc_id")).select("text", F.lit(False).alias("trusted"))
+    taken = bounded_sample(labels.where("quality = 1").where(~held_out(F.col("doc_id"))), texts)
+    positive = fold.join(F.broadcast(taken), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    unlabelled = bounded_sample(fold, texts)
+    rows = positive.select(F.col("doc_id").cast("string"), "text", F.lit(True).alias("trusted")).unionByName(unlabelled.select(F.col("doc_id").cast("string"), "text", F.lit(False).alias("trusted")))
 
     def extract(batches):
         for batch in batches:
-            yield pd.DataFrame({"trusted": batch["trusted"], "x": [features(t) for t in batch["text"].fillna("")]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "trusted": batch["trusted"], "x": [features(t) for t in batch["text"].fillna("")]})
 
-    rows = positive.unionByName(unlabelled).mapInPandas(extract, "trusted boolean, x array<double>").toPandas()
-    x = np.stack(rows["x"].tolist()) if len(rows) else np.zeros((0, len(features(""))))
-    known = rows["trusted"].to_numpy(bool)
+    found = rows.mapInPandas(extract, "doc_id string, trusted boolean, x array<double>").toPandas()
+    found = found.iloc[np.argsort([zlib.crc32(i.encode()) for i in found["doc_id"]], kind="stable")]  # in the same order whatever task was first
+    x = np.stack(found["x"].tolist()) if len(found) else np.zeros((0, len(features(""))))
+    known = found["trusted"].to_numpy(bool)
     if not known.any() or known.all():
-        return Model([np.zeros(0)] * x.shape[1], np.zeros(x.shape[1] + 1), prior)
-    return fit(x[known], x[~known], prior)
+        return Model([np.zeros(0)] * x.shape[1], np.zeros(x.shape[1] + 1), 0.5)
+    return fit(x[known], x[~known], estimated_prior(x[known], x[~known]))
 
 
 def quality(text: Column, model: Model, documents: DataFrame) -> Column:

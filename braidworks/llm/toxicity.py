@@ -14,12 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, held_out
+from .common import bounded_sample, held_out
 
 MASK = (1 << 20) - 1
 #: Lengths of words' beginnings that are features too: inflected words share them.
 BEGINNINGS = (4, 5)
-#: Labelled texts of either label that the model is fitted on, about: the bounded training sample.
+#: Labelled texts of either label that the model is fitted on at most: the bounded training sample.
 TRAIN_TEXTS = 2000
 #: A word bucket takes part if this many training texts have it.
 LEAST_TEXTS = 3
@@ -93,6 +93,15 @@ class Model:
         return _sigmoid(evidence - self.thresholds)
 
 
+def odds(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the rows, where each row's are among them, in how many rows each is, and its odds of being in a toxic row: their logarithm in standard errors."""
+    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    columns, at, texts = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True, return_counts=True)
+    upper = np.bincount(at, toxic[row], minlength=len(columns)) + 0.5
+    lower, high, low = texts + 1.0 - upper, toxic.sum() + 1.0, (~toxic).sum() + 1.0
+    return columns, at, texts, np.log(upper * low / (lower * high)) / np.sqrt(1 / upper + 1 / lower)
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, steps: int = STEPS, l1: float = L1) -> Model:
     """Maximises the likelihood of the grades (0 to K) by proximal steps, with an L1 price on the weights.
 
@@ -100,12 +109,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, steps: in
     say nothing of the grade are left out before.
     """
     top, n = int(grades.max(initial=0)), len(rows)
-    buckets, value = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+    value = np.concatenate([r[1] for r in rows])
     row = np.repeat(np.arange(n), [len(r[0]) for r in rows])
-    columns, at, texts = np.unique(buckets, return_inverse=True, return_counts=True)
-    upper = np.bincount(at, (grades > 0)[row], minlength=len(columns)) + 0.5
-    lower, high, low = texts + 1.0 - upper, (grades > 0).sum() + 1.0, (grades == 0).sum() + 1.0
-    z = np.log(upper * low / (lower * high)) / np.sqrt(1 / upper + 1 / lower)
+    columns, at, texts, z = odds(rows, grades > 0)
     live = (texts >= LEAST_TEXTS) & (np.abs(z) >= LEAST_Z)
     keep = live[at]
     row, at, value, columns = row[keep], (np.cumsum(live) - 1)[at[keep]], value[keep], columns[live]
@@ -128,33 +134,38 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, steps: in
 
 
 def density_grades(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.ndarray:
-    """Grades 0 (not toxic), 1 and 2 of labelled texts: toxic ones are split at the median of their evidence.
+    """Grades 0 (not toxic), 1 and 2 of labelled texts: toxic ones are split at the median share of their words that are toxic ones.
 
-    Labels give only two grades. A first fit on these finds the words that tell them apart; how much of
-    them a toxic text holds ranks it among the toxic.
+    Labels give only two grades. Which words are toxic is counted in one half of the rows (LEAST_Z standard
+    errors of their odds) and looked up in the other half, so no text takes part in its own grade, nor does the model.
     """
     grades = toxic.astype(np.int64)
-    if len(np.unique(grades)) < 2:
-        return grades
-    two = fit(rows, grades)
-    evidence = np.array([two.evidence(r) for r in rows])
-    return grades + (toxic & (evidence > np.median(evidence[toxic])))
+    for half in (0, 1):
+        other, own = np.arange(1 - half, len(rows), 2), np.arange(half, len(rows), 2)
+        if not toxic[own].any() or not toxic[other].any() or toxic[other].all():
+            continue
+        columns, _, texts, z = odds([rows[i] for i in other], toxic[other])
+        words = columns[(texts >= LEAST_TEXTS) & (z >= LEAST_Z)]
+        dense = np.array([np.expm1(rows[i][1][np.isin(rows[i][0], words)] - 0.5).sum() for i in own])
+        grades[own] += toxic[own] & (dense > np.median(dense[toxic[own]]))
+    return grades
 
 
 def train(documents: DataFrame, labels: DataFrame, texts: int = TRAIN_TEXTS) -> Model:
     """Fits on a bounded sample of labelled texts outside the held-out fold."""
     labels = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null").where(~held_out(F.col("doc_id")))
-    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    taken = hashed_sample(labels, "toxic", texts, F.col("doc_id")).limit(4 * texts)  # about half of that; the limit bounds what is broadcast
-    rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(taken), "doc_id").select("text", "toxic")
+    labels = labels.groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
+    taken = bounded_sample(labels, texts, "toxic")
+    rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(taken), "doc_id").groupBy(F.col("doc_id").cast("string").alias("doc_id"), "toxic").agg(F.min("text").alias("text"))
 
     def extract(batches):
         for batch in batches:
             found = [features(t) for t in batch["text"]]
-            yield pd.DataFrame({"toxic": batch["toxic"], "at": [f[0].astype("<i4").tobytes() for f in found], "value": [f[1].astype("<f4").tobytes() for f in found]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "at": [f[0].astype("<i4").tobytes() for f in found], "value": [f[1].astype("<f4").tobytes() for f in found]})
 
-    found = rows.mapInPandas(extract, "toxic int, at binary, value binary").toPandas()
-    toxic = found["toxic"].to_numpy(int) == 1
+    found = rows.mapInPandas(extract, "doc_id string, toxic boolean, at binary, value binary").toPandas()
+    found = found.iloc[np.argsort([zlib.crc32(i.encode()) for i in found["doc_id"]], kind="stable")]  # in the same order whatever task was first
+    toxic = found["toxic"].to_numpy(bool)
     if not len(found) or toxic.all() or not toxic.any():
         return Model(np.zeros(0, np.int64), np.zeros(0), np.array([6.0, 12.0]))
     sparse = [(np.frombuffer(at, "<i4").astype(np.int64), np.frombuffer(value, "<f4").astype(float)) for at, value in zip(found["at"], found["value"])]
