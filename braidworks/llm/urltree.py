@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Segments of a path that the tree tells apart; what is deeper is one `**`.
-MOST_DEPTH = 8
 #: A node whose children are at least so many, and so many of which its URLs have on average one, varies: they become `*`.
 VARIABLE_CHILDREN, VARIABLE_SHARE = 8, 0.5
 #: Branches merge if their children are spread as their siblings' are, up to this total variation distance, and their labels differ by less than so many standard errors.
 MERGE_DISTANCE, MERGE_Z = 0.2, 2.0
-#: Weight of the host's share of blocked labels in a template's, the smoothed share from which a template is rejected, and the labels it needs.
+#: Labels that the share of blocked ones above a node is worth in the node's own, the smoothed share from which a template is rejected, and the labels its host needs.
 PRIOR_WEIGHT, REJECT_PURITY, LEAST_LABELS = 2.0, 0.8, 3
+#: A key with more rows than this share of all is joined by broadcast: at most twice its inverse of them are.
+HOT_SHARE = 1e-4
 MOST_RULES = 1000
 
 
@@ -61,55 +62,84 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
 def shape_of(path: Column) -> Column:
     """A path's segments, empty ones left out, with numbers and long hexadecimal ids as marks."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    marked = F.transform(segments, lambda s: F.regexp_replace(F.regexp_replace(s, "(?i)[0-9a-f]{8}(?:-?[0-9a-f]{4}){2,}[0-9a-f-]*", "{x}"), "[0-9]+", "{n}"))
-    return F.when(F.size(marked) > MOST_DEPTH, F.concat(F.slice(marked, 1, MOST_DEPTH), F.array(F.lit("**")))).otherwise(marked)
+    return F.transform(segments, lambda s: F.regexp_replace(F.regexp_replace(s, "(?i)[0-9a-f]{8}(?:-?[0-9a-f]{4}){2,}[0-9a-f-]*", "{x}"), "[0-9]+", "{n}"))
+
+
+def _looked_up(rows: DataFrame, found: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """`rows` with the columns of `found`, which has one row a key and in `size` how many of `rows` have it.
+
+    Keys with more than HOT_SHARE of all rows are at most its inverse in number; these are
+    broadcast, and their rows stay where they are. The others meet by shuffle.
+    """
+    least = (found.agg(F.sum(size)).first()[0] or 0) * HOT_SHARE
+    left, right = [F.col(c) for c in rows.columns], [F.col(c) for c in found.columns if c not in (*keys, size)]
+    hot = found.where(F.col(size) > least)
+    first = rows.join(F.broadcast(hot), keys).select(*left, *right)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(found.where(F.col(size) <= least), keys)
+    return first.unionByName(rest.select(*left, *right))
+
+
+def _node_above(shared: str) -> Column:
+    """The first `shared` segments of `rest` as the end of a template."""
+    parts = F.slice("rest", F.lit(1), F.col(shared))
+    return F.when(F.size(parts) > 0, F.concat(F.lit("/"), F.array_join(parts, "/"))).otherwise("")
 
 
 def learn_templates(urls: DataFrame) -> DataFrame:
-    """(host, shape, template, purity, rejected) of every shape of `urls` (host, shape, bad: 1, 0 or null).
+    """(host, shape, n, template, purity, rejected) of every shape of `urls` (host, shape, bad: 1, 0 or null), which n URLs have.
+
+    The tree is grown for all hosts at once, over counts of shapes, not over URLs; a node is a (host,
+    template so far), and its shapes differ in the `rest` of their segments. In a round each open node first goes down the
+    segments that all its shapes share; of the children that follow, those that vary too much become `*`, and of the others
+    those that are like their siblings pooled become one branch `~`. A node with one `rest` ends at once, however deep
+    that is, so rounds follow the branching of paths. A hot host is summed up before any shuffle, and nothing compares pairs.
 
-    The tree is grown a level at a time for all hosts at once, over counts of shapes, not over
-    URLs; a node is a (host, template so far). At each level the children of a node that
-    vary too much become `*`; of the others, those that are like their siblings pooled become one
-    branch `~`. So a hot host is summed up before any shuffle, and nothing compares pairs.
+    A node's purity is its share of blocked labels, smoothed toward that of the node above it, and the host's
+    toward that of all: a branch without labels is judged by the nearest evidence above it. A template is rejected from
+    REJECT_PURITY on, on hosts with LEAST_LABELS labels.
     """
     counts = [F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")]
-    shapes = cut(
-        urls.groupBy("host", "shape")
-        .agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
-        .withColumn("template", F.lit(""))
-    )
-    depth = shapes.agg(F.max(F.size("shape"))).first()[0] or 0
-    for level in range(1, depth + 1):
-        here = shapes.where(F.size("shape") >= level).withColumn("child", F.element_at("shape", level))
-        after = F.coalesce(F.try_element_at("shape", F.lit(level + 1)), F.lit("/"))
-        spread = here.groupBy("host", "template", "child", after.alias("after")).agg(*counts)
-        branches = spread.groupBy("host", "template", "child").agg(*counts)
-        node = branches.groupBy("host", "template").agg(
+    smoothed = (F.coalesce(F.sum("bad"), F.lit(0)) + PRIOR_WEIGHT * F.first("above")) / (F.coalesce(F.sum("labelled"), F.lit(0)) + PRIOR_WEIGHT)
+    keys = ["host", "template"]
+    shapes = cut(urls.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad")))
+    total = shapes.agg(F.sum("bad") / F.greatest(F.sum("labelled"), F.lit(1))).first()[0] or 0.0
+    open_ = shapes.select("*", F.lit("").alias("template"), F.col("shape").alias("rest"), F.lit(total).alias("above"))
+    ended = []
+    while True:
+        differ = F.array_position(F.zip_with("low", "high", lambda a, b: a.eqNullSafe(b)), False).cast("int")
+        nodes = open_.groupBy(*keys).agg(F.min("rest").alias("low"), F.max("rest").alias("high"), smoothed.alias("purity"))
+        nodes = nodes.select(*keys, "purity", F.when(differ == 0, F.size("low")).otherwise(differ - 1).alias("shared"))
+        at = open_.join(nodes, keys).withColumn("template", F.concat("template", _node_above("shared")))
+        at = cut(at.withColumn("rest", F.slice("rest", F.col("shared") + 1, F.greatest(F.size("rest"), F.lit(1)))).drop("shared", "above"))
+        ended.append(at.where("size(rest) = 0").drop("rest"))
+        here = at.where("size(rest) > 0").withColumn("child", F.element_at("rest", 1))
+        if here.isEmpty():
+            break
+        after = F.coalesce(F.try_element_at("rest", F.lit(2)), F.lit("/"))
+        spread = here.groupBy(*keys, "child", after.alias("after")).agg(*counts)
+        branches = spread.groupBy(*keys, "child").agg(*counts)
+        node = branches.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("children"), F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"),
             F.sum((F.col("labelled") > 0).cast("int")).alias("labelled_children"),
         )
-        pooled = spread.groupBy("host", "template", "after").agg(F.sum("n").alias("pooled_n"))
-        own = branches.select("host", "template", "child", F.col("n").alias("own_n"), F.col("labelled").alias("own_labelled"), F.col("bad").alias("own_bad"))
-        compared = spread.join(pooled, ["host", "template", "after"]).join(own, ["host", "template", "child"]).join(node, ["host", "template"])
+        pooled = spread.groupBy(*keys, "after").agg(F.sum("n").alias("pooled_n"))
+        own = branches.select(*keys, "child", F.col("n").alias("own_n"), F.col("labelled").alias("own_labelled"), F.col("bad").alias("own_bad"))
+        compared = spread.join(pooled, [*keys, "after"]).join(own, [*keys, "child"]).join(node, keys)
         p, q = F.col("n") / F.col("own_n"), F.col("pooled_n") / F.col("all_n")
         first = [F.first(c).alias(c) for c in ("own_n", "own_labelled", "own_bad", "children", "all_n", "all_labelled", "all_bad", "labelled_children")]
-        judged = compared.groupBy("host", "template", "child").agg(((F.sum(F.abs(p - q)) + 1 - F.sum(q)) / 2).alias("distance"), *first)
+        judged = compared.groupBy(*keys, "child").agg(((F.sum(F.abs(p - q)) + 1 - F.sum(q)) / 2).alias("distance"), *first)
         rest, rate = F.col("all_labelled") - F.col("own_labelled"), F.col("all_bad") / F.col("all_labelled")
         error = F.sqrt(rate * (1 - rate) * (1 / F.col("own_labelled") + 1 / rest))
         gap = F.abs(F.col("own_bad") / F.col("own_labelled") - (F.col("all_bad") - F.col("own_bad")) / rest)
         labels_agree = F.when(F.col("own_labelled") == 0, (F.col("labelled_children") != 1)).when(rest == 0, False).otherwise(gap <= MERGE_Z * error)
         variable = (F.col("children") >= VARIABLE_CHILDREN) & (F.col("children") >= VARIABLE_SHARE * F.col("all_n"))
-        alike = (F.col("children") > 1) & (F.col("distance") <= MERGE_DISTANCE) & labels_agree
-        step = judged.select("host", "template", "child", F.when(variable, "*").when(alike, "~").otherwise(F.col("child")).alias("step"))
-        named = here.join(step, ["host", "template", "child"]).select("host", "shape", "n", "labelled", "bad", F.concat("template", F.lit("/"), "step").alias("template"))
-        shapes = cut(shapes.where(F.size("shape") < level).unionByName(named))
-    total = shapes.agg(F.sum("bad") / F.greatest(F.sum("labelled"), F.lit(1))).first()[0] or 0.0
-    hosts = shapes.groupBy("host").agg(((F.sum("bad") + PRIOR_WEIGHT * total) / (F.sum("labelled") + PRIOR_WEIGHT)).alias("host_rate"))
-    purity = (F.col("bad") + PRIOR_WEIGHT * F.col("host_rate")) / (F.col("labelled") + PRIOR_WEIGHT)
-    templates = shapes.groupBy("host", "template").agg(*counts).join(hosts, "host").withColumn("purity", purity)
-    templates = templates.select("host", "template", "purity", ((F.col("purity") >= REJECT_PURITY) & (F.col("labelled") >= LEAST_LABELS)).alias("rejected"))
-    return shapes.select("host", "shape", "template").join(templates, ["host", "template"])
+        alike = (F.col("children") > 1) & (F.col("distance") <= MERGE_DISTANCE + 1e-9) & labels_agree
+        step = judged.select(*keys, "child", F.when(variable, "*").when(alike, "~").otherwise(F.col("child")).alias("step"))
+        named = here.join(step, [*keys, "child"]).withColumn("template", F.concat("template", F.lit("/"), "step"))
+        open_ = cut(named.withColumn("rest", F.slice("rest", 2, F.size("rest"))).withColumnRenamed("purity", "above").drop("child", "step"))
+    of_host = shapes.groupBy("host").agg(F.sum("labelled").alias("host_labelled"))
+    found = reduce(DataFrame.unionByName, ended).join(of_host, "host")
+    return cut(found.select("host", "shape", "n", "template", "purity", ((F.col("purity") >= REJECT_PURITY) & (F.col("host_labelled") >= LEAST_LABELS)).alias("rejected")))
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], labels: Column | None = None) -> DataFrame:
@@ -127,6 +157,6 @@ def judge_urls(pages: DataFrame, rules: list[Rule], labels: Column | None = None
     if labels is None:
         ruled = ruled.withColumn("bad", F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0))
     templates = learn_templates(ruled.select("host", "shape", "bad"))
-    judged = ruled.join(templates, ["host", "shape"])
+    judged = _looked_up(ruled, templates, ["host", "shape"], "n")
     verdict = F.coalesce("ruled", F.when(F.col("rejected"), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
