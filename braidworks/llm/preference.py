@@ -2,61 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rendered(turn: Column) -> Column:
-    """A turn as text: role, colon, text, line break; nulls are empty."""
-    return F.concat(F.coalesce(turn["role"], F.lit("")), F.lit(": "), F.coalesce(turn["text"], F.lit("")), F.lit("\n"))
+def _gathered(column: Column, when: Column) -> Column:
+    """Values of a group's turns that meet the condition, by their place."""
+    placed = F.array_sort(F.collect_list(F.when(when, F.struct(F.col("pos"), column.alias("v")))))
+    return F.transform(placed, lambda p: p["v"])
 
 
-def _masked(turns: Column, common: Column) -> Column:
-    """struct(text, mask) of the turns after the common ones. A span [start, end) of characters that are learned covers an assistant's text and line break."""
-    empty = F.struct(F.lit("").alias("text"), F.lit(0).alias("length"), F.array().cast("array<struct<start: int, end: int>>").alias("mask"))
+def format_turns(turns: DataFrame) -> DataFrame:
+    """pair_id, n_common, prompt, chosen, chosen_mask, rejected, rejected_mask of every pair of conversations.
 
-    def add(done: Column, turn: Column) -> Column:
-        text = rendered(turn)
-        end = (done["length"] + F.length(text)).cast("int")
-        body = (done["length"] + F.length(F.coalesce(turn["role"], F.lit(""))) + 2).cast("int")
-        span = F.array(F.struct(body.alias("start"), end.alias("end")))
-        mask = F.when(turn["role"].eqNullSafe("assistant"), F.concat(done["mask"], span)).otherwise(done["mask"])
-        return F.struct(F.concat(done["text"], text).alias("text"), end.alias("length"), mask.alias("mask"))
+    `turns` has rows (pair_id, is_chosen, turn, role, text); one with a null `is_chosen` is no turn but
+    makes its pair known. Turns go by their number (nulls first), then role and text; rows that repeat are turns each; a
+    null role or text is empty. The prompt is the longest run of first turns with equal roles and texts, rendered
+    once: role, colon, text, line break. Masks are the spans [start, end) of characters that are learned:
+    the assistant's texts with their line break. A side without turns is empty. Other columns aren't read.
 
-    return F.aggregate(F.slice(turns, common + 1, F.size(turns)), empty, add)
+    Turns are shuffled once, by pair: places, lengths and the first difference come from sorted windows, which
+    spill. A pair's own texts are gathered only into its result, which is one row by nature.
+    """
+    plain = turns.select("pair_id", "is_chosen", "turn", *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")])
+    side = Window.partitionBy("pair_id", "is_chosen")
+    placed = plain.repartition("pair_id").withColumn("pos", F.row_number().over(side.orderBy(F.asc_nulls_first("turn"), "role", "text")))
+    there = F.col("is_chosen").isNotNull()
+    at = Window.partitionBy("pair_id", "pos")  # a place's turns, one of each side
+    equal = lambda c: F.min(F.when(there, F.col(c))).over(at) == F.max(F.when(there, F.col(c))).over(at)
+    same = (F.count("is_chosen").over(at) == 2) & equal("role") & equal("text")
+    placed = placed.withColumn("differs", F.when(there & ~same, F.col("pos")))
+    pair = Window.partitionBy("pair_id")
+    n_common = F.coalesce(F.min("differs").over(pair) - 1, F.max(F.when(there, F.col("pos"))).over(pair), F.lit(0)).cast("int")
+    placed = placed.withColumn("n_common", n_common).withColumn("line", F.concat("role", F.lit(": "), "text", F.lit("\n"))).withColumn("shared", F.col("pos") <= F.col("n_common"))
+    upto = F.sum(F.length("line")).over(Window.partitionBy("pair_id", "is_chosen", "shared").orderBy("pos")).cast("int")
+    placed = placed.withColumn("end", upto)
+    span = F.struct((F.col("end") - F.length("text") - 1).alias("start"), F.col("end").alias("end"))
+    own = lambda chosen: F.col("is_chosen").eqNullSafe(chosen) & ~F.col("shared")
+    text = lambda when: F.array_join(_gathered(F.col("line"), when), "")
+    mask = lambda chosen: _gathered(span, own(chosen) & (F.col("role") == "assistant"))
+    return placed.groupBy("pair_id").agg(
+        F.any_value("n_common").alias("n_common"), text(F.col("is_chosen").eqNullSafe(True) & F.col("shared")).alias("prompt"),
+        text(own(True)).alias("chosen"), mask(True).alias("chosen_mask"), text(own(False)).alias("rejected"), mask(False).alias("rejected_mask"),
+    )
 
 
 def format_preferences(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pair_id, n_common, prompt, chosen, chosen_mask, rejected, rejected_mask of every pair.
+    """The result of `format_turns` for `pairs` (pair_id, chosen_id, rejected_id) of `conversations` (conv_id, turn, role, text).
 
-    `conversations` has rows (conv_id, turn, role, text), `pairs` (pair_id, chosen_id,
-    rejected_id). Turns go by their number, then role and text; rows that repeat are turns each. The
-    prompt is the longest run of first turns with equal roles and texts (nulls are equal). A
-    conversation without turns, or a null id, has none: empty texts and masks. Other columns aren't read.
+    A conversation without turns, or a null id, has none.
     """
     sides = F.array(
-        F.struct(F.col("chosen_id").alias("conv_id"), F.lit(True).alias("is_chosen")), F.struct(F.col("rejected_id").alias("conv_id"), F.lit(False).alias("is_chosen"))
+        F.struct(F.col("chosen_id").alias("conv_id"), F.lit(True).alias("is_chosen")), F.struct(F.col("rejected_id").alias("conv_id"), F.lit(False).alias("is_chosen")),
+        F.struct(F.lit(None).alias("conv_id"), F.lit(None).cast("boolean").alias("is_chosen")),
     )
     wanted = pairs.select("pair_id", F.inline(sides))
-    turns = wanted.join(conversations.select("conv_id", "turn", "role", "text"), "conv_id", "left")
-    turn = F.struct("turn", "role", "text")
-    there = F.col("turn").isNotNull() | F.col("role").isNotNull() | F.col("text").isNotNull()
-    own = lambda side: F.transform(F.array_sort(F.collect_list(F.when(side & there, turn))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    both = turns.groupBy("pair_id").agg(own(F.col("is_chosen")).alias("a"), own(~F.col("is_chosen")).alias("b"))
-    equal = F.zip_with("a", "b", lambda x, y: x.eqNullSafe(y))
-    both = both.withColumn("n_common", F.coalesce(F.nullif(F.array_position(equal, False), F.lit(0)) - 1, F.size(equal)).cast("int"))
-    parts = both.select(
-        "pair_id", "n_common", F.array_join(F.transform(F.slice("a", F.lit(1), F.col("n_common")), rendered), "").alias("prompt"),
-        _masked(F.col("a"), F.col("n_common")).alias("c"), _masked(F.col("b"), F.col("n_common")).alias("r"),
-    )
-    return parts.select("pair_id", "n_common", "prompt", F.col("c.text").alias("chosen"), F.col("c.mask").alias("chosen_mask"), F.col("r.text").alias("rejected"), F.col("r.mask").alias("rejected_mask"))
+    turns = wanted.where("is_chosen is not null").join(conversations.select("conv_id", "turn", "role", "text"), "conv_id").drop("conv_id")
+    empty = [F.lit(None).cast(turns.schema[c].dataType).alias(c) for c in ("turn", "role", "text")]
+    return format_turns(turns.unionByName(wanted.where("is_chosen is null").select("pair_id", "is_chosen", *empty)))
 
 
-def neighbours_as_pairs(conversations: DataFrame) -> DataFrame:
-    """Pairs of conversation 2k as chosen and 2k + 1 as rejected, for tables without judgements."""
-    pair = F.floor(F.col("conv_id") / 2).cast("long")
-    ids = conversations.where("conv_id is not null").select(pair.alias("pair_id")).distinct()
-    return ids.select("pair_id", (F.col("pair_id") * 2).alias("chosen_id"), (F.col("pair_id") * 2 + 1).alias("rejected_id"))
+def branched(conversations: DataFrame) -> DataFrame:
+    """Turns of pairs for tables without judgements: (pair_id, is_chosen, turn, role, text), a pair for each conversation.
+
+    The conversation is the chosen side. The rejected one has the same turns up to a place drawn by a
+    hash of the conversation's id, and from there the turns that its neighbour (2k and 2k + 1 are neighbours) has after as many of its
+    own: an answer that belongs elsewhere. A conversation of n turns shares 1 to n - 1 of them, a single turn is
+    shared; without a neighbour the rejected side ends there. Conversations with a null id have no pair.
+    """
+    turns = conversations.where("conv_id is not null").select("conv_id", "turn", "role", "text")
+    place = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    turns = turns.withColumn("pos", F.row_number().over(place)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("conv_id")))
+    draw = F.conv(F.substring(F.md5(F.col("conv_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    cuts = turns.where("pos = 1").select("conv_id", (F.pmod(draw, F.greatest(F.col("n") - 1, F.lit(1))) + 1).alias("keep"))
+    own = turns.join(cuts, "conv_id").select(F.col("conv_id").alias("pair_id"), F.explode(F.when(F.col("pos") <= F.col("keep"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("is_chosen"), "pos", "role", "text")
+    neighbour = F.col("conv_id").bitwiseXOR(F.lit(1).cast("long"))
+    other = turns.withColumn("conv_id", neighbour).join(cuts, "conv_id").where("pos > keep").select(F.col("conv_id").alias("pair_id"), F.lit(False).alias("is_chosen"), "pos", "role", "text")
+    return own.unionByName(other).withColumnRenamed("pos", "turn")
 
 
 def spans_as_text(spans: Column) -> Column:

@@ -31,10 +31,9 @@ def op2_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .preference import format_preferences, neighbours_as_pairs, spans_as_text
+    from .preference import branched, format_turns, spans_as_text
 
-    conversations = table(spark, sf_dir, "conversations")
-    pairs = format_preferences(conversations, neighbours_as_pairs(conversations))
+    pairs = format_turns(branched(table(spark, sf_dir, "conversations")))
     return pairs.withColumn("chosen_mask", spans_as_text(pairs.chosen_mask)).withColumn("rejected_mask", spans_as_text(pairs.rejected_mask))
 
 
@@ -95,10 +94,16 @@ def oracle_sql() -> dict[str, str]:
 
 
 OP3_SQL = """
-WITH t AS (
-  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos
+WITH c AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+         count(*) OVER (PARTITION BY conv_id) AS n
   FROM conversations WHERE conv_id IS NOT NULL),
+cuts AS (SELECT conv_id, CAST('0x' || substr(md5(CAST(conv_id AS VARCHAR)), 1, 8) AS BIGINT) % greatest(n - 1, 1) + 1 AS keep FROM c WHERE pos = 1),
+t AS (
+  SELECT conv_id AS pair_id, 0 AS side, role, text, pos FROM c
+  UNION ALL SELECT conv_id, 1, role, text, pos FROM c JOIN cuts USING (conv_id) WHERE pos <= keep
+  UNION ALL SELECT cuts.conv_id, 1, role, text, row_number() OVER (PARTITION BY cuts.conv_id ORDER BY pos) + keep FROM c JOIN cuts ON cuts.conv_id = xor(c.conv_id, 1) WHERE pos > keep),
 ids AS (SELECT DISTINCT pair_id FROM t),
 diff AS (
   SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, min(coalesce(a.pos, b.pos)) AS pos

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -158,6 +159,7 @@ def test_too_many_rules_fail(spark):
 
 
 def brute_pair(a, b):
+    a, b = ([(r or "", x or "") for r, x in side] for side in (a, b))
     n = 0
     while n < min(len(a), len(b)) and a[n] == b[n]:
         n += 1
@@ -197,5 +199,22 @@ def test_pairs_match_a_scan(spark):
 def test_equal_conversations_are_all_prompt(spark):
     rows = [(c, t, r, x) for c in (0, 1) for t, r, x in ((0, "user", "q"), (1, "assistant", "a"), (1, "assistant", "a"))]
     conversations = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = preference.format_preferences(conversations, preference.neighbours_as_pairs(conversations)).first()
-    assert (got.n_common, got.chosen, got.rejected, got.chosen_mask) == (3, "", "", [])
+    got = preference.format_preferences(conversations, spark.createDataFrame([(7, 0, 1)], "pair_id long, chosen_id long, rejected_id long")).first()
+    assert (got.pair_id, got.n_common, got.chosen, got.rejected, got.chosen_mask) == (7, 3, "", "", [])
+
+
+def test_branches_share_their_first_turns(spark):
+    big = (1 << 60) + 3
+    talks = {c: [(("user", "assistant")[i % 2], f"{c} says {i}") for i in range(n)] for c, n in ((4, 5), (5, 3), (9, 4), (big, 6), (big - 1, 2), (12, 1), (20, 3000), (21, 4000))}
+    rows = [(c, i, *t) for c, talk in talks.items() for i, t in enumerate(talk)]
+    conversations = spark.createDataFrame([*rows, (None, 0, "user", "lost"), (30, None, None, None)], "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("pos", "n", "keep", "pair_id", "is_chosen")})
+    talks[30] = [("", "")]
+    got = {r.pair_id: r for r in preference.format_turns(preference.branched(conversations)).collect()}
+    assert got.keys() == talks.keys()
+    for c, talk in talks.items():
+        keep = int(hashlib.md5(str(c).encode()).hexdigest()[:8], 16) % max(len(talk) - 1, 1) + 1
+        n, prompt, chosen, mask, rejected, other_mask = brute_pair(talk, talk[:keep] + talks.get(c ^ 1, [])[keep:])
+        r = got[c]
+        assert n == min(keep, len(talk)) and (r.n_common, r.prompt, r.chosen, r.rejected) == (n, prompt, chosen, rejected)
+        assert [tuple(s) for s in r.chosen_mask] == mask and [tuple(s) for s in r.rejected_mask] == other_mask
+    assert preference.format_turns(preference.branched(conversations.limit(0))).count() == 0
