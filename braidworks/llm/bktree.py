@@ -43,7 +43,7 @@ class Forest:
     """One tree for each shard of the rows given. `words`: n x w fingerprints; `shard`: n shard numbers.
 
     Rows that are within `near` of a node on their way down while the trees are built
-    are joined at once; `label` holds the classes so far (those given, to begin with), `joined` the pairs that joined more.
+    are joined at once; `label` holds the classes so far (those given, to begin with).
     """
 
     def __init__(self, words: np.ndarray, shard: np.ndarray, near: int, label: np.ndarray | None = None):
@@ -55,13 +55,11 @@ class Forest:
         self.parent, self.edge, self.depth = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
         waiting = np.flatnonzero(self.root != np.arange(n))
         at, depth = self.root[waiting], 0
-        joined = [np.zeros((2, 0), np.int64)]
         while len(waiting):
             depth += 1
             d = distance(words[waiting], words[at])
             close = (d <= near) & (self.label[waiting] != self.label[at])
-            joined.append(np.stack([waiting, at])[:, close])
-            self.label = join_pairs(self.label, *joined[-1])
+            self.label = join_pairs(self.label, waiting[close], at[close])
             key = at * (self.bits + 1) + d
             order = np.argsort(key, kind="stable")
             starts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
@@ -72,7 +70,6 @@ class Forest:
             down[order] = np.repeat(new, np.diff(np.r_[starts, len(order)]))
             rest = down != waiting
             waiting, at = waiting[rest], down[rest]
-        self.joined = np.concatenate(joined, axis=1)
         inner = np.flatnonzero(self.parent != np.arange(n))
         keys = self.parent[inner] * (self.bits + 1) + self.edge[inner]
         order = np.argsort(keys)
@@ -114,27 +111,6 @@ class Forest:
                 within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 stack.append((np.repeat(q, n), self.children[np.repeat(low, n) + within]))
 
-    def spanning(self, radius: int, alike) -> np.ndarray:
-        """Pairs of a shard within the radius and alike that connect whatever such pairs connect: fewer than rows.
-
-        Of the pairs that a few queries find, each class takes its nearest pair to another one, until
-        none is left (Boruvka); what that joins is skipped by the queries that follow.
-        """
-        n, done, size, kept = len(self.label), 0, 64, [self.joined]
-        while done < n:
-            for q, node, d in self.search(np.arange(done, min(n, done + size)), radius):
-                good = alike(q, node)
-                q, node, d = q[good], node[good], d[good]
-                while (open_ := self.label[q] != self.label[node]).any():
-                    q, node, d = q[open_], node[open_], d[open_]
-                    ends, pair = np.concatenate([self.label[q], self.label[node]]), np.tile(np.arange(len(q)), 2)
-                    order = np.lexsort((d[pair], ends))
-                    least = np.unique(pair[order[np.r_[True, np.diff(ends[order]) != 0]]])
-                    kept.append(np.stack([q[least], node[least]]))
-                    self.label = join_pairs(self.label, *kept[-1])
-            done, size = done + size, min(size * 4, 4096)
-        return np.concatenate(kept, axis=1)
-
     def link_all(self, radius: int) -> np.ndarray:
         """Joins all pairs of a shard within the radius; returns the labels."""
         n, done, size = len(self.label), 0, 1024

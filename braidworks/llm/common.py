@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: A key with more rows than this share of all is joined by broadcast: at most its inverse of them are.
+HOT_SHARE = 1e-4
 #: Strata of a sample at most; more of them fail.
 MOST_STRATA = 256
 
@@ -65,3 +67,17 @@ def bounded_sample(df: DataFrame, per_stratum: int, stratum: str | None = None)
     rank = F.row_number().over(Window.partitionBy(*(strata or [F.lit(0)])).orderBy(unit, "doc_id"))
     few = few.withColumn("__rank", rank).where(F.col("__rank") <= per_stratum)
     return few.select("doc_id", *strata, *(["text"] if texts else []))
+
+
+def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """`rows` with the columns of `found`, which has one row a key and in `size` how many of `rows` have it.
+
+    Keys with more than HOT_SHARE of all rows are at most its inverse in number; these are
+    broadcast, and their rows stay where they are. The others meet by shuffle.
+    """
+    least = (found.agg(F.sum(size)).first()[0] or 0) * HOT_SHARE
+    left, right = [F.col(c) for c in rows.columns], [F.col(c) for c in found.columns if c not in (*keys, size)]
+    hot = found.where(F.col(size) > least)
+    first = rows.join(F.broadcast(hot), keys).select(*left, *right)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(found.where(F.col(size) <= least), keys)
+    return first.unionByName(rest.select(*left, *right))

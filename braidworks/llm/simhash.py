@@ -12,11 +12,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bktree import Forest, distance
-from .common import cut, fresh
+from .bktree import Forest
+from .common import cut, fresh, looked_up
 from .components import connected_components
+from .signatures import mix, signatures
 
 BITS = 64
+#: Members that a shard's tree holds at most; shards with more are searched slice against slice.
+SHARD_MOST = 1 << 18
 #: Distinct fingerprints that a shard should hold on average, at most.
 SHARD_FINGERPRINTS = 64
 
@@ -86,41 +89,44 @@ def shard_keys(fp: Column, n: int, radius: int) -> Column:
     return F.array(*keys)
 
 
-def links(fingerprints: DataFrame, radius: int) -> DataFrame:
+def links(fingerprints: DataFrame, radius: int, most: int = SHARD_MOST) -> DataFrame:
     """Edges (a, b) that connect what fingerprints within `radius` bits connect.
 
     `fingerprints` has one distinct long column `fp`. Each shard becomes a BK-tree in the task that
     holds it; a dense shard yields a star a class, never all its pairs, and no pair is lost
-    to the classes.
+    to the classes. A shard of more than `most` members is cut into slices by a hash; each two slices
+    meet in a tree of their own, so no task holds more than that of one shard, however large it is.
     """
     n = fingerprints.count()
+    blocks, chosen = blocks_for(n, radius)
     sharded = fingerprints.select("fp", F.explode(shard_keys(F.col("fp"), n, radius)).alias("shard"))
+    members = sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > most)  # at most n * comb / most of them
+    dense = F.broadcast(members.select(F.col("shard").alias("dense"), F.ceil(2 * F.col("members") / most).cast("long").alias("slices")))
+    own = F.pmod(F.xxhash64("fp"), F.col("slices"))
+    place = F.transform(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), lambda j: F.least(own, j) * F.col("slices") + F.greatest(own, j) + 1)
+    sliced = sharded.join(dense, F.col("shard") == F.col("dense"), "left")
+    sliced = sliced.select("fp", "shard", F.explode(F.when(F.col("slices").isNull(), F.array(F.lit(0).cast("long"))).otherwise(place)).alias("part"))
 
     def grow(batches):
         tables = list(batches)
         if not tables:
             return
         rows = pa.Table.from_batches(tables)
-        shard, fp = rows["shard"].to_numpy(), rows["fp"].to_numpy()
-        order = np.lexsort((fp, shard))
-        shard, fp = shard[order], fp[order]
-        crowd = np.flatnonzero(np.diff(shard) == 0)
-        alone = np.ones(len(shard), bool)
-        alone[crowd], alone[crowd + 1] = False, False
-        shard, fp = shard[~alone], fp[~alone]
-        label = Forest(fp.view(np.uint64).reshape(-1, 1), shard, radius).link_all(radius)
+        shard, part, fp = (rows[c].to_numpy() for c in ("shard", "part", "fp"))
+        order = np.lexsort((fp, part, shard))
+        shard, part, fp = shard[order], part[order], fp[order]
+        same = np.r_[False, (np.diff(shard) == 0) & (np.diff(part) == 0)]
+        crowd = same | np.r_[same[1:], False]  # whoever is alone in a shard meets nobody
+        group, fp = np.cumsum(~same)[crowd], fp[crowd]
+        label = Forest(fp.view(np.uint64).reshape(-1, 1), group, radius).link_all(radius)
         linked = np.flatnonzero(label != np.arange(len(label)))
         yield pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[label[linked]])], names=["a", "b"])
 
-    found = sharded.repartition(_tasks(sharded, n), "shard").mapInArrow(grow, "a long, b long")
+    tasks = max(int(sharded.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * comb(blocks, chosen) >> 20)
+    found = sliced.repartition(tasks, "shard", "part").mapInArrow(grow, "a long, b long")
     return found.where("a <> b")
 
 
-def _tasks(sharded: DataFrame, n: int) -> int:
-    """Tasks of about a million shard members at most."""
-    return max(int(sharded.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * 5 >> 20)
-
-
 def near_duplicates(documents: DataFrame, radius: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document.
 
@@ -130,160 +136,114 @@ def near_duplicates(documents: DataFrame, radius: int = 4, words: int = 4, seed:
     ids of the component are null; an empty table gives an empty one; other columns are not read.
     """
     docs = cut(documents.select("doc_id", fingerprint(F.col("text"), words, seed).alias("fp")))
-    distinct = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("documents")))
     roots = connected_components(links(distinct.select("fp"), radius))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = rooted.join(classes, "root").select("fp", "component_id")
-    return docs.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-#: Share of the pairs that meet in some shard, of those at exactly the least similarity whose fingerprints differ by a standard deviation more than expected. Nearly all others meet.
-RECALL = 0.98
-#: Distinct texts that a shard of the similarity search should hold on average, at most.
-SHARD_TEXTS = 32
-#: Wide fingerprints at most this far apart are one class while candidates are searched: one of them stands for the others.
-NEAR_BITS = 8
-#: Bits of the sketches that leave out less similar pairs before they are checked: of all texts, and of those that have a candidate.
-SKETCH_BITS, FINE_BITS = 256, 2048
+    rooted = cut(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", "documents", F.coalesce("root", "fp").alias("root")))
+    classes = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fingerprints")))
+    of_fp = cut(looked_up(rooted, classes, ["root"], "fingerprints").select("fp", "component_id", "documents"))
+    named = looked_up(docs, of_fp, ["fp"], "documents")
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Standard deviations by which the fingerprints of two texts at exactly the least similarity may differ more than expected. One pair in 10^9 does.
+SPREAD = 6.0
+#: Shingle signatures that a task of the candidate search takes, about.
+TASK_SIGNATURES = 1 << 21
 #: Times as many candidates of another class a text gives in each further search.
 NEXT_CANDIDATES = 4
-#: Standard errors by which a sketch may differ more than it should.
-SKETCH_ERRORS = 3.5
-_FACTORS = np.random.default_rng(5).integers(0, 2**63, FINE_BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _wide(own: np.ndarray) -> tuple[int, int]:
+def wide(own: np.ndarray) -> tuple[int, int]:
     """A 128-bit SimHash of a set of hashes: of themselves, and of themselves mixed."""
-    mixed = own ^ (own >> np.uint64(30))
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(27)
-    mixed *= np.uint64(0x94D049BB133111EB)
-    mixed ^= mixed >> np.uint64(31)
-    return majority(own), majority(mixed)
-
-
-def _sketch(own: np.ndarray, bits: int) -> bytes:
-    """One bit of each of some minimum hashes of a set: two sets differ in a bit with probability (1 - similarity) / 2."""
-    if not len(own):
-        return bytes(bits // 8)
-    least = np.full(bits, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(own), 512):
-        np.minimum(least, (own[None, i : i + 512] * _FACTORS[:bits, None]).min(axis=1), out=least)
-    return np.packbits((least >> np.uint64(17)) & np.uint64(1) == 1).tobytes()
-
-
-def _bit_difference(similarity: float) -> float:
-    """Expected share of differing bits of the SimHashes of two sets with this Jaccard similarity."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
-def candidate_links(texts: DataFrame, similarity: float, n: int, known: bool = False, most: int = 1) -> DataFrame:
-    """Candidate edges (a, b, d) with a > b among `texts` (id, fp0, fp1, sketch, class): pairs whose fingerprints differ in d bits, as such similar sets' may.
-
-    Texts that agree in a table's sampled bits meet in a shard; a shard is searched by its BK-tree. Pairs
-    whose sketches differ more than such similar sets' do (by SKETCH_ERRORS) are no candidates,
-    and a pair is put out by the first table only in which it meets. Unless `known`, a shard gives a forest that
-    connects what its candidates connect: fewer edges than texts, however many are near each other. If
-    `known`, texts with equal `class` are known to be connected, and each text gives, of the candidates that it first
-    meets in a shard, the `most` nearest of every other class; where that leaves out a pair from both sides, an edge with
-    a d of -1 joins some text of each of the two classes, which are to be searched again with a larger `most`.
-    Bits and tables follow the number `n` of all texts, so that recall stays and shards stay small.
+    return majority(own), majority(mix(own))
+
+
+def wide_radius(similarity: float) -> int:
+    """Bits in which the 128-bit SimHashes of two sets with this Jaccard similarity or more differ at most, but for chance beyond SPREAD."""
+    differ = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(128 * differ + SPREAD * np.sqrt(128 * differ * (1 - differ))))
+
+
+def shared_signatures(documents: DataFrame, words: int, similarity: float, tasks: int) -> DataFrame:
+    """(signature, id, first): the texts of each signature that several different texts have, with the least id of these.
+
+    `documents` has id (a hash of the text) and text. A text that a task has seen before isn't
+    dealt again, so however many exact copies there are, few rows leave each task.
     """
-    differ = _bit_difference(similarity)
-    spread = np.sqrt(128 * differ * (1 - differ))
-    sampled = int(np.clip(np.ceil(np.log2(max(1, n) / SHARD_TEXTS)), 8, 40))
-    tables = int(np.ceil(np.log(1 - RECALL) / np.log(1 - (1 - differ - spread / 128) ** sampled)))
-    radius = int(np.ceil(128 * differ + 4 * spread))
-    unlike = (1 - similarity) / 2
-    bits = FINE_BITS if known else SKETCH_BITS
-    most_unlike = int(np.ceil(bits * unlike + SKETCH_ERRORS * np.sqrt(bits * unlike * (1 - unlike))))
-    chosen = [np.random.default_rng(table).permutation(128)[:sampled] for table in range(tables)]
-    masks = np.array([[sum(1 << int(b & 63) for b in bits if b >> 6 == w) for w in (0, 1)] for bits in chosen], np.uint64)
 
     def deal(batches):
+        seen: set[int] = set()
         for batch in batches:
-            words = [batch.column(name).to_numpy().view(np.uint64) for name in ("fp0", "fp1")]
-            for table, bits in enumerate(chosen):
-                key = np.full(len(batch), table, np.uint64)
-                for bit in bits.tolist():
-                    key = key << np.uint64(1) | words[bit >> 6] >> np.uint64(bit & 63) & np.uint64(1)
-                columns = [pa.array(key.view(np.int64)), *(batch.column(name) for name in ("id", "fp0", "fp1", "sketch", "class"))]
-                yield pa.RecordBatch.from_arrays(columns, names=["shard", "id", "fp0", "fp1", "sketch", "class"])
+            ids, marks = [], []
+            for i, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist()):
+                if i not in seen:
+                    seen.add(i)
+                    marks.append(signatures(np.unique(shingle_hashes(text, words)), similarity))
+                    ids.append(np.full(len(marks[-1]), i, np.int64))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(marks).view(np.int64)), pa.array(np.concatenate(ids))], names=["signature", "id"])
+
+    def meet(batches):
+        held = [(b["signature"].to_numpy(), b["id"].to_numpy()) for b in batches]
+        if not held:
+            return
+        mark, ids = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((ids, mark))
+        mark, ids = mark[order], ids[order]
+        same = np.r_[False, mark[1:] == mark[:-1]]
+        new = ~(same & np.r_[False, ids[1:] == ids[:-1]])
+        mark, ids, same = mark[new], ids[new], same[new]
+        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(mark))))
+        crowd = same | np.r_[same[1:], False]
+        yield pa.RecordBatch.from_arrays([pa.array(mark[crowd]), pa.array(ids[crowd]), pa.array(ids[first[crowd]])], names=["signature", "id", "first"])
+
+    dealt = documents.select("id", "text").mapInArrow(deal, "signature long, id long")
+    return dealt.repartition(tasks, "signature").mapInArrow(meet, "signature long, id long, first long")
+
+
+def nearest_of_classes(texts: DataFrame, radius: int, most: int, tasks: int) -> DataFrame:
+    """Candidate edges (a, b, d) among `texts` (signature, id, fp0, fp1, class): of a signature's texts, those of another class whose fingerprints differ in d bits, up to `radius`.
+
+    The texts of a signature are a shard, and its BK-tree is searched for each of them. A text gives the `most` nearest of every
+    other class in the shard; where that leaves out a pair from both sides, an edge with a d of -1 joins some text
+    of each of the two classes, which are to be searched again with a larger `most`.
+    """
 
     def grow(batches):
         held = list(batches)
         if not held:
             return
         rows = pa.Table.from_batches(held)
-        shard, ids = rows["shard"].to_numpy(), rows["id"].to_numpy()
+        mark, ids, classes = (rows[c].to_numpy() for c in ("signature", "id", "class"))
         words = np.stack([rows[name].to_numpy().view(np.uint64) for name in ("fp0", "fp1")], axis=1)
-        order = np.lexsort((ids, words[:, 1], words[:, 0], shard))
-        if not known:  # of equal fingerprints in a shard, the first stands for all
-            same = np.r_[False, (np.diff(shard[order]) == 0) & (words[order][1:] == words[order][:-1]).all(axis=1)]
-            one = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-            a, b = ids[order[same]], ids[one[same]]
-            new = shard[order[same]] >> sampled == 0  # they meet in every table
-            yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(np.zeros(new.sum(), np.int32))], names=["a", "b", "d"])
-            order = order[~same]
-        order = order[np.lexsort((ids[order], shard[order]))]
-        crowd = np.r_[False, shard[order][1:] == shard[order][:-1]]
-        order = order[crowd | np.r_[crowd[1:], False]]  # whoever is alone in a shard meets nobody
-        if not len(order):
-            return
-        rows, words = rows.take(pa.array(order)), words[order]
-        shard, ids = shard[order], ids[order]
-        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(ids), -1)
-        table = shard >> sampled
-
-        def alike(a, b):
-            return np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1) <= most_unlike
-
-        def first_met(a, b):
-            differ = words[a] ^ words[b]
-            first = np.ones(len(a), bool)
-            for t in range(int(table[a].max(initial=0))):
-                first &= (table[a] <= t) | ((differ & masks[t]) != 0).any(axis=1)
-            return first
+        order = np.lexsort((ids, classes, mark))
+        mark, ids, classes, words = mark[order], ids[order], classes[order], words[order]
+        same = np.r_[False, (np.diff(mark) == 0) & (np.diff(classes) == 0)]
+        label = np.maximum.accumulate(np.where(same, 0, np.arange(len(mark))))
+        forest = Forest(words, mark, -1, label)
 
         def edges(a, b, d):
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[a], ids[b])), pa.array(np.minimum(ids[a], ids[b])), pa.array(d.astype(np.int32))], names=["a", "b", "d"])
 
-        if not known:
-            a, b = Forest(words, shard, NEAR_BITS).spanning(radius, alike)
-            first = first_met(a, b)
-            yield edges(a[first], b[first], distance(words[a[first]], words[b[first]]))
-            return
-        classes = rows["class"].to_numpy()
-        by = np.lexsort((classes, shard))
-        same = np.r_[False, (np.diff(shard[by]) == 0) & (np.diff(classes[by]) == 0)]
-        label = np.empty(len(by), np.int64)
-        label[by] = by[np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))]
-        forest = Forest(words, shard, -1, label)
         left_out = [np.zeros((0, 2), np.int64)]  # (class, other class) of lists that were cut
         for start in range(0, len(ids), 4096):
-            found = []
-            for q, node, d in forest.search(np.arange(start, min(len(ids), start + 4096)), radius):
-                kept = np.flatnonzero(alike(q, node))
-                kept = kept[first_met(q[kept], node[kept])]
-                found.append((q[kept], node[kept], d[kept]))
-            if found:
-                q, node, d = (np.concatenate(x) for x in zip(*found))
-                order = np.lexsort((d, label[node], q))
-                q, node, d = q[order], node[order], d[order]
-                if len(q):
-                    head = np.r_[True, (q[1:] != q[:-1]) | (label[node][1:] != label[node][:-1])]
-                    rank = np.arange(len(q)) - np.maximum.accumulate(np.where(head, np.arange(len(q)), 0))
-                    near, over = rank < most, rank == most
-                    left_out.append(np.unique(np.stack([label[q[over]], label[node[over]]], axis=1), axis=0))
-                    yield edges(q[near], node[near], d[near])
+            found = list(forest.search(np.arange(start, min(len(ids), start + 4096)), radius))
+            if not found:
+                continue
+            q, node, d = (np.concatenate(x) for x in zip(*found))
+            by = np.lexsort((d, label[node], q))
+            q, node, d = q[by], node[by], d[by]
+            head = np.r_[True, (q[1:] != q[:-1]) | (label[node][1:] != label[node][:-1])]
+            rank = np.arange(len(q)) - np.maximum.accumulate(np.where(head, np.arange(len(q)), 0))
+            near, over = rank < most, rank == most
+            left_out.append(np.unique(np.stack([label[q[over]], label[node[over]]], axis=1), axis=0))
+            yield edges(q[near], node[near], d[near])
         a, b = np.unique(np.concatenate(left_out), axis=0).T
         both = (a < b) & np.isin(a * len(ids) + b, b * len(ids) + a)  # cut from one side only, the other side gave all
         yield edges(a[both], b[both], np.full(both.sum(), -1))
 
-    dealt = texts.select("id", "fp0", "fp1", "sketch", "class").mapInArrow(deal, "shard long, id long, fp0 long, fp1 long, sketch binary, class long")
-    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * tables >> 20)
-    return dealt.repartition(tasks, "shard").mapInArrow(grow, "a long, b long, d int").where("a <> b").distinct()
+    found = texts.select("signature", "id", "fp0", "fp1", "class").repartition(tasks, "signature").mapInArrow(grow, "a long, b long, d int")
+    return found.groupBy("a", "b").agg(F.max("d").alias("d"), F.min("d").alias("least_d"))
 
 
 def similarity_of(a: bytes, b: bytes) -> float:
@@ -297,73 +257,79 @@ def drop_near_duplicates(documents: DataFrame, words: int = 5, similarity: float
     """Of each class of near copies, the document with the least doc_id; all columns.
 
     Two texts are linked if the Jaccard similarity of their sets of word shingles is at least
-    `similarity`; candidates come from SimHash shards, and each is checked on the whole texts. Classes are
-    connected components. Null texts are empty; texts without words are near copies of each
+    `similarity`, and classes are connected components. Any two such texts share a signature (see
+    signatures.py), so the texts of a signature are a shard. First each shard's texts are compared with one of them, which joins
+    nearly all copies; in the shards that still hold several classes, BK-trees of 128-bit SimHash fingerprints find
+    what may be similar across classes, and this is repeated until nothing is left unchecked between two classes.
+    Each candidate is checked on the whole texts. Signatures are less than one a shingle whatever the number of texts.
+
+    Null texts are empty; texts without words are near copies of each
     other; a null doc_id comes last in its class; of rows that repeat one stays.
     """
+    radius = wide_radius(similarity)
 
-    @F.pandas_udf("struct<fp0: long, fp1: long, sketch: binary>")
-    def wide(texts: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("struct<fp0: long, fp1: long, size: long>")
+    def described(texts: pd.Series) -> pd.DataFrame:
         sets = [np.unique(shingle_hashes(t, words)) for t in texts]
-        bits = np.array([_wide(s) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
-        return pd.DataFrame({"fp0": bits[:, 0], "fp1": bits[:, 1], "sketch": [_sketch(s, SKETCH_BITS) for s in sets]})
+        bits = np.array([wide(s) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+        return pd.DataFrame({"fp0": bits[:, 0], "fp1": bits[:, 1], "size": np.array([len(s) for s in sets], np.int64)})
 
     @F.pandas_udf("binary")
     def shingle_set(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(shingle_hashes(t, words)).astype("<u8").tobytes() for t in texts])
 
-    @F.pandas_udf("binary")
-    def fine_sketch(sets: pd.Series) -> pd.Series:
-        return pd.Series([_sketch(np.frombuffer(s, "<u8"), FINE_BITS) for s in sets])
-
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similarity_of(x, y) >= similarity for x, y in zip(a, b)], dtype=bool)
 
     text = F.coalesce(F.col("text"), F.lit(""))
     h0, h1, least = (fresh(documents, name) for name in ("__h0", "__h1", "__least"))
-    keys = [F.xxhash64(text).alias(h0), F.xxhash64(F.lit(1), text).alias(h1)]  # together they name a text
-    hashed = documents.select("doc_id", *keys, wide.asNondeterministic()(text).alias("w"))
+    keys = [F.xxhash64(text).alias(h0), F.xxhash64(F.lit(1), text).alias(h1)]  # together they name a text; h0 alone names it well enough for candidates
+    hashed = documents.select("doc_id", *keys, described.asNondeterministic()(text).alias("w"))
     texts = hashed.groupBy(h0, h1).agg(F.min("doc_id").alias("least"), F.any_value("w").alias("w"))
-    texts = cut(texts.select(h0, h1, "least", "w.fp0", "w.fp1", "w.sketch").withColumn("id", F.monotonically_increasing_id()))
-    n = texts.count()
-    edges = cut(candidate_links(texts.withColumn("class", F.col("id")), similarity, n))
-    involved = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct().join(texts, "id").select("id", h0, h1, "least")
-    whole = documents.select(*keys, "doc_id", text.alias("__text")).join(involved, [h0, h1]).where(F.col("doc_id").eqNullSafe(F.col("least")))
-    sets = whole.select("id", shingle_set("__text").alias("shingles")).groupBy("id").agg(F.any_value("shingles").alias("shingles"))
-    sets = cut(sets)
+    texts = cut(texts.select(h0, h1, "least", "w.fp0", "w.fp1", "w.size").withColumn("id", F.monotonically_increasing_id()))
+    tasks = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), (texts.agg(F.sum("size")).first()[0] or 0) // TASK_SIGNATURES)
+    shards = cut(shared_signatures(documents.select(keys[0].alias("id"), text.alias("text")), words, similarity, tasks))
+    facts = ["id", "fp0", "fp1", "size"]
+    ends = {side: texts.select(F.col(h0).alias(side + "_hash"), *[F.col(c).alias(side if c == "id" else f"{side}_{c}") for c in facts]) for side in ("a", "b")}
+
+    def may_be_similar(pairs: DataFrame) -> DataFrame:
+        """(a, b) as numbers of texts, of pairs of hashes, as far as sizes and fingerprints let them be similar."""
+        both = pairs.join(ends["a"], "a_hash").join(ends["b"], "b_hash").where("a <> b")
+        sized = F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * similarity - 1e-6
+        bits = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in ("fp0", "fp1")), F.lit(0))
+        return both.where(sized & (bits <= radius)).select("a", "b")
 
     def checked(some: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are similar, by their whole texts."""
+        some = cut(some)
+        involved = some.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(texts, "id").select("id", h0, h1, "least")
+        whole = documents.select(*keys, "doc_id", text.alias("__text")).join(involved, [h0, h1]).where(F.col("doc_id").eqNullSafe(F.col("least")))
+        sets = cut(whole.select("id", shingle_set("__text").alias("shingles")).groupBy("id").agg(F.any_value("shingles").alias("shingles")))
         sides = [sets.select(F.col("id").alias(side), F.col("shingles").alias("s" + side)) for side in ("a", "b")]
         return cut(some.join(sides[0], "a").join(sides[1], "b").where(similar("sa", "sb")).select("a", "b"))
 
-    def between_classes(some: DataFrame, found: DataFrame) -> DataFrame:
-        ends = [found.select(F.col("node").alias(side), F.col("root").alias("r" + side)) for side in ("a", "b")]
-        open_ = some.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-        return open_.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
-
-    # A forest of the candidates first: each text's nearest one, then what still connects two classes. Then any
-    # candidates between the classes that these have made; a text without candidates is in no forest and has none here either.
-    # Classes that left some out are searched again for more of them, until all are checked or their classes are joined.
-    linked = checked(edges.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b")))
-    linked = linked.unionByName(checked(between_classes(edges, connected_components(linked))))
-    roots = cut(connected_components(linked))
-    seen, most, again, sketched = edges.select("a", "b"), 1, texts.drop("sketch"), sets
+    seen = cut(may_be_similar(shards.where("id <> first").select(F.col("id").alias("a_hash"), F.col("first").alias("b_hash")).distinct()))
+    same_hash = texts.groupBy(h0).agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("a", "b")  # two texts of one hash, if ever
+    linked, most, open_ = checked(seen.unionByName(same_hash)), 1, None
     while True:
-        sketches = sketched.select("id", fine_sketch("shingles").alias("sketch"))
-        classed = again.join(sketches, "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("class", F.coalesce("root", "id"))
-        some = cut(candidate_links(classed, similarity, n, known=True, most=most))
-        pairs = some.where("d >= 0").select("a", "b").join(seen, ["a", "b"], "left_anti")
-        linked = linked.unionByName(checked(pairs))
         roots = cut(connected_components(linked))
-        left = between_classes(some.where("d < 0"), roots)
+        class_of = texts.join(roots, texts.id == roots.node, "left").select(h0, "id", "fp0", "fp1", F.coalesce("root", "id").alias("class"))
+        if open_ is not None:
+            class_of = class_of.join(open_, "class", "left_semi")
+        placed = shards.select("signature", F.col("id").alias(h0)).join(class_of, h0)
+        mixed = placed.groupBy("signature").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("signature")
+        some = cut(nearest_of_classes(placed.join(mixed, "signature", "left_semi"), radius, most, tasks))
+        pairs = some.where("d >= 0").select("a", "b").join(seen.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+        new = cut(pairs)
+        linked = linked.unionByName(checked(new))
+        roots = cut(connected_components(linked))
+        ends_of = [roots.select(F.col("node").alias(side), F.col("root").alias("r" + side)) for side in ("a", "b")]
+        left = some.where("least_d < 0").join(ends_of[0], "a", "left").join(ends_of[1], "b", "left").select(F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
         open_ = cut(left.select(F.explode(F.array("ra", "rb")).alias("class")).distinct())
         if open_.isEmpty():
             break
-        of = again.select("id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("id", F.coalesce("root", "id").alias("class"))
-        of = cut(of.join(open_, "class", "left_semi").select("id"))
-        seen, most = seen.unionByName(some.where("d >= 0").select("a", "b")), most * NEXT_CANDIDATES
-        again, sketched = texts.drop("sketch").join(of, "id", "left_semi"), sets.join(of, "id", "left_semi")
+        seen, most = seen.unionByName(new), most * NEXT_CANDIDATES
     rooted = texts.join(roots, texts.id == roots.node, "left").select(h0, h1, "least", "id", F.coalesce("root", "id").alias("root"))
     first = F.struct(F.col("least").isNull(), F.col("least"), F.col("id"))
     kept = rooted.groupBy("root").agg(F.min_by(F.struct(F.col(h0).alias("h0"), F.col(h1).alias("h1"), "least"), first).alias("k")).select(F.col("k.h0").alias(h0), F.col("k.h1").alias(h1), F.col("k.least").alias(least))

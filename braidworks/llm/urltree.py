@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, looked_up
 
 #: A node whose children are at least so many, and so many of which its URLs have on average one, varies: they become `*`.
 VARIABLE_CHILDREN, VARIABLE_SHARE = 8, 0.5
@@ -16,8 +16,6 @@ VARIABLE_CHILDREN, VARIABLE_SHARE = 8, 0.5
 MERGE_DISTANCE, MERGE_Z = 0.2, 2.0
 #: Labels that the share of blocked ones above a node is worth in the node's own, the smoothed share from which a template is rejected, and the labels its host needs.
 PRIOR_WEIGHT, REJECT_PURITY, LEAST_LABELS = 2.0, 0.8, 3
-#: A key with more rows than this share of all is joined by broadcast: at most twice its inverse of them are.
-HOT_SHARE = 1e-4
 MOST_RULES = 1000
 
 
@@ -65,20 +63,6 @@ def shape_of(path: Column) -> Column:
     return F.transform(segments, lambda s: F.regexp_replace(F.regexp_replace(s, "(?i)[0-9a-f]{8}(?:-?[0-9a-f]{4}){2,}[0-9a-f-]*", "{x}"), "[0-9]+", "{n}"))
 
 
-def _looked_up(rows: DataFrame, found: DataFrame, keys: list[str], size: str) -> DataFrame:
-    """`rows` with the columns of `found`, which has one row a key and in `size` how many of `rows` have it.
-
-    Keys with more than HOT_SHARE of all rows are at most its inverse in number; these are
-    broadcast, and their rows stay where they are. The others meet by shuffle.
-    """
-    least = (found.agg(F.sum(size)).first()[0] or 0) * HOT_SHARE
-    left, right = [F.col(c) for c in rows.columns], [F.col(c) for c in found.columns if c not in (*keys, size)]
-    hot = found.where(F.col(size) > least)
-    first = rows.join(F.broadcast(hot), keys).select(*left, *right)
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(found.where(F.col(size) <= least), keys)
-    return first.unionByName(rest.select(*left, *right))
-
-
 def _node_above(shared: str) -> Column:
     """The first `shared` segments of `rest` as the end of a template."""
     parts = F.slice("rest", F.lit(1), F.col(shared))
@@ -157,6 +141,6 @@ def judge_urls(pages: DataFrame, rules: list[Rule], labels: Column | None = None
     if labels is None:
         ruled = ruled.withColumn("bad", F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0))
     templates = learn_templates(ruled.select("host", "shape", "bad"))
-    judged = _looked_up(ruled, templates, ["host", "shape"], "n")
+    judged = looked_up(ruled, templates, ["host", "shape"], "n")
     verdict = F.coalesce("ruled", F.when(F.col("rejected"), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")

@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from braidworks.llm.signatures import signatures
 from braidworks.llm import bktree, components, decontaminate, fmindex, packing, prefixhash, simhash, tokens
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -248,17 +249,65 @@ def test_large_classes_are_joined_by_a_single_borderline_pair(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [100 * g for g in range(12)]
 
 
+def test_similar_sets_share_a_signature():
+    draw = np.random.default_rng(5)
+    seen = 0
+    for _ in range(6000):
+        a = draw.integers(0, 2**63, int(draw.choice([1, 2, 3, 4, 5, 7, 9, 12, 17, 25, 40, 80, 250])) + int(draw.integers(0, 6)), dtype=np.uint64)
+        b = np.concatenate([a[draw.integers(0, len(a) // 4 + 1) :], draw.integers(0, 2**63, draw.integers(0, len(a) // 4 + 1), dtype=np.uint64)])
+        both = len(np.intersect1d(a, b))
+        if both >= 0.8 * (len(a) + len(b) - both):
+            seen += 1
+            assert len(np.intersect1d(signatures(a, 0.8), signatures(b, 0.8)))
+    assert seen > 2000
+    assert len(signatures(np.zeros(0, np.uint64), 0.8)) == 1
+    assert len(signatures(draw.integers(0, 2**63, 10**5, dtype=np.uint64), 0.8)) < 0.8 * 10**5
+
+
 def test_a_crowd_of_near_copies_gives_a_star(spark):
-    draw = np.random.default_rng(3)
-    centre = draw.integers(0, 2**63, 2, dtype=np.uint64)
+    draw = random.Random(3)
+    base = ["".join(draw.choice("abcdefgh") for _ in range(8)) for _ in range(200)]
     rows = []
-    for i in range(3000):
-        fp = centre.copy()
-        fp[draw.integers(0, 2)] ^= np.uint64(1) << np.uint64(draw.integers(0, 64))
-        rows.append((i, *(int(x) for x in fp.view(np.int64))))
-    edges = simhash.candidate_links(spark.createDataFrame(rows, "id long, fp0 long, fp1 long").withColumn("sketch", F.lit(bytearray(32))).withColumn("class", F.col("id")), 0.8, 3000)
-    assert 2999 <= edges.count() < 3000 * 12
-    assert {r.root for r in components.connected_components(edges).collect()} == {0}
+    for i in range(800):
+        copy = list(base)
+        copy[draw.randrange(200)] = f"x{i % 300}"
+        rows += [(i, " ".join(copy))] * (1 + i % 2)
+    shards = simhash.shared_signatures(spark.createDataFrame(rows, "id long, text string"), 5, 0.8, 8)
+    edges = shards.where("id <> first").select("id", "first").distinct()
+    assert 799 <= edges.count() < 800 * 12
+    assert {r.root for r in components.connected_components(edges.toDF("a", "b")).collect()} == {0}
+    assert simhash.drop_near_duplicates(documents(spark, rows)).count() == 1
+
+
+def test_near_dedup_matches_all_pairs(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    sets = {i: shingles(t) for i, t in rows}
+    ids, owners = list(sets), {}
+    for i in ids:
+        for s in sets[i]:
+            owners.setdefault(s, []).append(i)
+    linked = {(i, j) for own in owners.values() for i in own for j in own if i < j}  # pairs with a shingle in common: all that can be similar
+    linked = [(i, j) for i, j in linked if jaccard(sets[i], sets[j]) >= 0.8]
+    label = {i: i for i in ids}
+    for _ in ids:
+        new = dict(label)
+        for i, j in linked:
+            new[i] = new[j] = min(new[i], new[j])
+        if new == label:
+            break
+        label = new
+    kept = simhash.drop_near_duplicates(documents(spark, rows))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label.values()))
+
+
+def test_dense_shards_are_searched_slice_against_slice(spark):
+    draw = random.Random(9)
+    near = sorted({draw.getrandbits(5) << 40 | draw.getrandbits(6) << 3 | 7 for _ in range(400)})
+    fps = spark.createDataFrame([(x,) for x in near], "fp long")
+    for most in (1 << 18, 24):
+        roots = components.connected_components(simhash.links(fps, 4, most))
+        label = classes(near, lambda i, j: bin(i ^ j).count("1") <= 4)
+        assert {r.node: r.root for r in roots.collect()} == {i: r for i, r in label.items() if sum(x == r for x in label.values()) > 1}
 
 
 # Prefix hashes.
