@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -14,11 +15,13 @@ from .common import fresh
 from .fmindex import FMIndex
 
 WINDOW_WORDS = 10
-#: UTF-8 bytes of test items that are searched at once (and broadcast); more are searched slice by slice.
+#: UTF-8 bytes of test items that are searched at once (and broadcast, as about four times that); more are searched slice by slice.
 SLICE_BYTES = 32 << 20
-#: Bytes of text in a shard; a longer document is a shard by itself.
-SHARD_BYTES = 16 << 20
-RESULT = "struct<n_words: long, items: array<long>, spans: array<struct<start: long, end: long>>>"
+#: Characters of text in a shard; a longer document is a shard by itself.
+SHARD_CHARS = 16 << 20
+#: Windows that are searched at once, and hits that are located at once: what a task holds beside its index.
+SEARCHED_WINDOWS, LOCATED_HITS = 1 << 16, 1 << 18
+RESULT = "struct<n_words: long, items: array<string>, spans: array<struct<start: long, end: long>>>"
 
 #: ASCII letters lower-cased and other ASCII than letters and digits to spaces; bytes from 80 on (all of any other character) stay.
 _WORDS = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
@@ -30,31 +33,64 @@ def words_of(text: str) -> list[bytes]:
 
 @dataclass
 class Phrases:
-    """The windows of some test items. A window's symbols are right-aligned; `items` of window i are item[first[i]:first[i + 1]]."""
+    """The different windows of some test items: window i is symbols[starts[i] : starts[i] + lengths[i]], and the names of the items that have it are names[item[first[i] : first[i + 1]]]."""
 
     vocabulary: dict[bytes, int]
     symbols: np.ndarray
+    starts: np.ndarray
     lengths: np.ndarray
     first: np.ndarray
     item: np.ndarray
+    names: list[str]
 
     @classmethod
-    def of(cls, items: list[tuple[int | None, str]], window: int) -> "Phrases":
+    def of(cls, items: Iterable[tuple[object, str]], window: int) -> "Phrases":
         vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set] = {}
+        parts, names = [np.zeros(0, np.int32)], []
         for item, text in items:
-            numbers = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
-            for i in range(max(1, len(numbers) - window + 1) if numbers else 0):
-                owners.setdefault(tuple(numbers[i : i + window]), set()).add(item)
-        symbols = np.zeros((len(owners), window), np.int64)
-        for i, phrase in enumerate(owners):
-            symbols[i, window - len(phrase) :] = phrase
-        own = [sorted(x for x in s if x is not None) for s in owners.values()]
-        first = np.cumsum([0, *map(len, own)])
-        return cls(vocabulary, symbols, np.array([len(p) for p in owners], np.int64), first, np.array([x for s in own for x in s], np.int64))
-
-
-def search_shard(texts: list[str], phrases: Phrases) -> list[tuple[int, list[int], list[dict]]]:
+            numbers = np.fromiter((vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)), np.int32)
+            if len(numbers):
+                parts.append(numbers)
+                names.append(None if item is None else str(item))
+        sizes = np.array([len(p) for p in parts[1:]], np.int64)
+        symbols, begin = np.concatenate(parts), np.cumsum(sizes) - sizes
+        n = np.maximum(1, sizes - window + 1)
+        owner = np.repeat(np.arange(len(sizes)), n).astype(np.int32)
+        starts = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + begin[owner]).astype(np.int32)
+        lengths = np.minimum(sizes, window).astype(np.int32)[owner]
+        order, same = _grouped(symbols, starts, lengths, window)
+        starts, lengths, owner = starts[order], lengths[order], owner[order]
+        group = np.cumsum(~same) - 1
+        named = np.array([x is not None for x in names], bool)[owner]
+        pairs = np.unique(np.stack([group[named], owner[named]], axis=1), axis=0)
+        first = np.searchsorted(pairs[:, 0], np.arange((~same).sum() + 1)).astype(np.int32)
+        return cls(vocabulary, symbols, starts[~same], lengths[~same], first, pairs[:, 1].astype(np.int32), names)
+
+    def columns(self, some: slice, window: int) -> np.ndarray:
+        """Symbols of some windows, right-aligned after zeros."""
+        at = self.starts[some, None] + self.lengths[some, None] - window + np.arange(window)
+        return np.where(at >= self.starts[some, None], self.symbols[np.maximum(at, 0)], 0).astype(np.int64)
+
+
+def _grouped(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the windows in which equal ones stand together, and whether each equals the one before it.
+
+    Sorted by a symbol at a time, from the last to the first, so no table of all windows' symbols is made.
+    """
+    order = np.argsort(lengths, kind="stable")
+    at = lambda k, o: np.where(k < lengths[o], symbols[np.minimum(starts[o] + k, len(symbols) - 1)], 0)
+    if not len(starts):
+        return order, np.zeros(0, bool)
+    for k in range(window - 1, -1, -1):
+        order = order[np.argsort(at(k, order), kind="stable")]
+    same = np.r_[False, lengths[order][1:] == lengths[order][:-1]]
+    for k in range(window):
+        column = at(k, order)
+        same[1:] &= column[1:] == column[:-1]
+    return order, same
+
+
+def search_shard(texts: list[str], phrases: Phrases) -> list[tuple[int, list[str], list[dict]]]:
     """Words, items found and merged spans of words of each text.
 
     Only runs of words that some item has can hold a window, so the index holds these alone.
@@ -74,24 +110,35 @@ def search_shard(texts: list[str], phrases: Phrases) -> list[tuple[int, list[int
             runs += [numbers[a:b], [0]]
             documents.append(np.full(b - a + 1, d))
             offsets.append(np.arange(a, b + 1))
-    found: list[tuple[int, list[int], list[dict]]] = [(n, [], []) for n in counts]
+    found: list[tuple[int, list[str], list[dict]]] = [(n, [], []) for n in counts]
     if not runs:
         return found
     document, offset = np.concatenate(documents), np.concatenate(offsets)
     index = FMIndex(np.concatenate(runs).astype(np.int64), int(len(phrases.vocabulary)).bit_length())
-    low, high = index.find(phrases.symbols, phrases.lengths)
-    hits = high - low
-    which = np.repeat(np.arange(len(hits)), hits)
-    at = index.locate(np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits) + np.repeat(low, hits))
-    for d, w in np.unique(np.stack([document[at], which], axis=1), axis=0).tolist():
-        found[d][1].extend(phrases.item[phrases.first[w] : phrases.first[w + 1]].tolist())
     change = np.zeros(len(document) + 1, np.int64)
-    np.add.at(change, at, 1)
-    np.add.at(change, at + phrases.lengths[which], -1)
+    items: list[set[int]] = [set() for _ in texts]
+    window = int(phrases.lengths.max())
+    for start in range(0, len(phrases.starts), SEARCHED_WINDOWS):
+        some = slice(start, start + SEARCHED_WINDOWS)
+        low, high = index.find(phrases.columns(some, window), phrases.lengths[some])
+        ends = np.cumsum(high - low)
+        done = 0
+        while done < len(low):  # windows in turn, as many as have some hits in all
+            upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + LOCATED_HITS, "right")))
+            hits = (high - low)[done:upto]
+            for part in range(0, int(hits.sum()), LOCATED_HITS):  # one window may have more
+                which = np.repeat(np.arange(done, upto), hits)[part : part + LOCATED_HITS]
+                rows = (np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits) + np.repeat(low[done:upto], hits))[part : part + LOCATED_HITS]
+                at, which = index.locate(rows), which + start
+                for d, w in np.unique(np.stack([document[at], which], axis=1), axis=0).tolist():
+                    items[d].update(phrases.item[phrases.first[w] : phrases.first[w + 1]].tolist())
+                np.add.at(change, at, 1)
+                np.add.at(change, at + phrases.lengths[which], -1)
+            done = upto
     covered = np.r_[False, np.cumsum(change[:-1]) > 0, False]
     for a, b in np.flatnonzero(covered[1:] != covered[:-1]).reshape(-1, 2).tolist():
         found[document[a]][2].append({"start": int(offset[a]), "end": int(offset[b - 1]) + 1})
-    return [(n, sorted(set(items)), spans) for n, items, spans in found]
+    return [(n, sorted({phrases.names[i] for i in own}), spans) for (n, _, spans), own in zip(found, items)]
 
 
 def _search(text: Column, phrases: Phrases, documents: DataFrame) -> Column:
@@ -101,7 +148,7 @@ def _search(text: Column, phrases: Phrases, documents: DataFrame) -> Column:
     def search(texts: pd.Series) -> pd.DataFrame:
         rows, shard, size = [], [], 0
         for text in texts.fillna(""):
-            if shard and size + len(text) > SHARD_BYTES:
+            if shard and size + len(text) > SHARD_CHARS:
                 rows += search_shard(shard, shared.value)
                 shard, size = [], 0
             shard.append(text)
@@ -128,7 +175,7 @@ def _merged(spans: Column) -> Column:
 def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, slice_bytes: int = SLICE_BYTES, into: str = "contamination") -> DataFrame:
     """`documents` with one more column: struct(n_words, items, spans).
 
-    `items` are the ids of test items of which some window (of `window` words; all words of a
+    `items` are the ids, as strings and sorted as such, of test items of which some window (of `window` words; all words of a
     shorter item) occurs in the text, `spans` the merged ranges [start, end) of the text's words
     inside any occurrence. A null text has no words; null and empty items match nothing; an item
     with a null id marks words but is no item. Nothing is shuffled: each batch of documents is a
@@ -140,7 +187,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     names = []
     for k in range(slices):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == k) if slices > 1 else items
-        phrases = Phrases.of([(r.item_id, r.text) for r in part.toLocalIterator()], window)
+        phrases = Phrases.of(((r.item_id, r.text) for r in part.toLocalIterator()), window)
         names.append(fresh(documents, f"__found{k}"))
         documents = documents.withColumn(names[-1], _search(F.col("text"), phrases, documents))
     if slices == 1:
@@ -161,7 +208,7 @@ def contamination_report(documents: DataFrame, benchmark: DataFrame, window: int
     found = find_contamination(documents.select("doc_id", "text"), benchmark, window)
     items, spans = F.col("contamination.items"), F.col("contamination.spans")
     n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    listed = F.array_join(F.array_sort(F.transform(items, lambda i: i.cast("string"))), ",")
+    listed = F.array_join(items, ",")
     return found.select(
         "doc_id", F.col("contamination.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(listed, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),

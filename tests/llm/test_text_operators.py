@@ -381,7 +381,7 @@ def brute_contamination(text, items, k):
             for q in range(len(words) - len(window) + 1):
                 if words[q : q + len(window)] == window:
                     hit.update(range(q, q + len(window)))
-                    found.add(item)
+                    found.add(str(item))
     return len(words), sorted(found), hit
 
 
@@ -401,6 +401,30 @@ def test_contamination_matches_a_scan(spark, slice_bytes):
         assert all(a.end < b.start for a, b in zip(r.found.spans, r.found.spans[1:]))
 
 
+def test_item_ids_of_any_kind_sort_as_strings(spark):
+    for kind, ids in (("string", ["b/2", "b/10", "a"]), ("long", [(1 << 62) + 1, 9, 10])):
+        items = spark.createDataFrame([(i, "same old words") for i in ids] + [(None, "same old words")], f"item_id {kind}, text string")
+        got = decontaminate.contamination_report(documents(spark, [(1, "the same old words"), (2, "x " * 200_000 + "same old words")]), items).collect()
+        expected = ",".join(sorted(map(str, ids)))
+        assert {(r.n_items, r.n_hit, r.items_sha256) for r in got} == {(3, 3, hashlib.sha256(expected.encode()).hexdigest())}
+
+
+def test_equal_windows_are_one(spark):
+    draw = random.Random(6)
+    items = [(i, " ".join(draw.choice("ab") for _ in range(draw.randint(0, 14)))) for i in range(30)]
+    phrases = decontaminate.Phrases.of(items, 5)
+    owners = {}
+    for i, t in items:
+        w = t.split()
+        for k in range(max(1, len(w) - 4) if w else 0):
+            owners.setdefault(tuple(w[k : k + 5]), set()).add(str(i))
+    word = {n: w.decode() for w, n in phrases.vocabulary.items()}
+    got = {}
+    for i, (a, n) in enumerate(zip(phrases.starts, phrases.lengths)):
+        got[tuple(word[x] for x in phrases.symbols[a : a + n])] = {phrases.names[k] for k in phrases.item[phrases.first[i] : phrases.first[i + 1]]}
+    assert got == owners and len(phrases.starts) == len(owners)
+
+
 def test_contamination_report_of_no_rows_and_no_items(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     got = decontaminate.contamination_report(documents(spark, [(1, "a b")]), none).first()
