@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key with more rows than this share of all is joined by broadcast: at most its inverse of them are.
@@ -47,26 +47,32 @@ def held_out(doc_id: Column) -> Column:
 def bounded_sample(df: DataFrame, per_stratum: int, stratum: str | None = None) -> DataFrame:
     """At most `per_stratum` ids of each stratum, each once: a bounded training sample. Columns doc_id, the stratum's and, if `df` has it, text.
 
-    Ids are chosen by their hash, so the choice is the same whenever it's made again. Each
-    stratum's different ids are counted by a sketch (they are few numbers, which go to the driver), a
-    threshold on the hash leaves little more than the sample, repeats of an id
-    become one row (with its least text), and the rest is cut at the bound by rank. More than MOST_STRATA strata fail.
+    Those with the least hashes are taken, so the choice is the same whenever it's made again. Each
+    stratum's different ids are counted by a sketch, a threshold leaves little more hashes than the sample has, and these
+    go to the driver for the exact bound: counts and hashes alone, no texts. Repeats of
+    an id become one row, with its least text. More than MOST_STRATA strata fail.
     """
     strata = [stratum] if stratum else []
     unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(7)), 11) / float(1 << 53)
     ids = df.select("doc_id", *strata, *(["text"] if "text" in df.columns else []))
+
+    def below(bounds: dict) -> DataFrame:
+        bound = F.lit(0.0)
+        for value, own in bounds.items():
+            bound = F.when(F.col(stratum).eqNullSafe(F.lit(value)), F.lit(own)).otherwise(bound) if stratum else F.lit(own)
+        return ids.where(unit < bound)
+
     sizes = ids.groupBy(*strata).agg(F.approx_count_distinct("doc_id").alias("n")).limit(MOST_STRATA + 1).collect()
     if len(sizes) > MOST_STRATA:
         raise ValueError(f"more than {MOST_STRATA} strata")
-    wanted, share = per_stratum + 6 * per_stratum**0.5, F.lit(0.0)
-    for row in sizes:
-        own = F.lit(min(1.0, 1.2 * wanted / max(1, row["n"])))  # the sketch errs by a twentieth
-        share = F.when(F.col(stratum).eqNullSafe(F.lit(row[0])), own).otherwise(share) if stratum else own
+    wanted = 1.2 * (per_stratum + 6 * per_stratum**0.5)  # the sketch errs by a twentieth
+    bounds = {row[stratum] if stratum else None: min(1.0, wanted / max(1, row["n"])) for row in sizes}
+    hashes: dict = {value: [] for value in bounds}
+    for row in below(bounds).select(*strata, unit.alias("unit")).distinct().collect():
+        hashes[row[stratum] if stratum else None].append(row["unit"])
+    bounds = {value: sorted(own)[per_stratum] if len(own) > per_stratum else bounds[value] for value, own in hashes.items()}
     texts = [F.min("text").alias("text")] if "text" in df.columns else []
-    few = ids.where(unit < share).groupBy("doc_id", *strata).agg(*texts or [F.count(F.lit(1)).alias("__n")])
-    rank = F.row_number().over(Window.partitionBy(*(strata or [F.lit(0)])).orderBy(unit, "doc_id"))
-    few = few.withColumn("__rank", rank).where(F.col("__rank") <= per_stratum)
-    return few.select("doc_id", *strata, *(["text"] if texts else []))
+    return below(bounds).groupBy("doc_id", *strata).agg(*texts) if texts else below(bounds).distinct()
 
 
 def looked_up(rows: DataFrame, found: DataFrame, keys: list[str], size: str) -> DataFrame:

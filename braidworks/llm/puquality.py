@@ -104,14 +104,13 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     Positives score alike whether trusted or not, so at any threshold the unlabelled that reach it are
     at least the prior times the positives that do, and at the top, where few negatives are, hardly
     more. A model is fitted on one half of the samples; on the other half the
-    threshold is taken whose ratio, with what chance may add to it, is least (Garg et al., 2021). Both halves take turns.
+    threshold is taken whose ratio, with what chance may add to it, is least (Garg et al., 2021): an estimate from above. Both halves take
+    turns. Fewer than two of either kind tell nothing: 0.5.
     """
     found = []
-    for own in (0, 1):
+    for own in (0, 1) if min(len(positive), len(unlabelled)) > 1 else ():
         model = fit(positive[1 - own :: 2], unlabelled[1 - own :: 2], 0.5, PRIOR_STEPS)
         p, u = np.sort(model.score(positive[own::2])), np.sort(model.score(unlabelled[own::2]))
-        if not len(p) or not len(u):
-            continue
         at = np.unique(p)
         reach_p, reach_u = 1 - np.searchsorted(p, at) / len(p), 1 - np.searchsorted(u, at) / len(u)
         chance = np.sqrt(np.log(40) / 2 / len(p)) + np.sqrt(np.log(40) / 2 / len(u))

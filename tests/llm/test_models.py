@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from braidworks.llm import langmix, puquality, toxicity
-from braidworks.llm.common import held_out
+from braidworks.llm.common import bounded_sample, held_out
 
 DATA = "/root/testdata/sf0.1"
 
@@ -23,6 +23,20 @@ def test_fold_is_crc32_of_the_id(spark):
     assert all(r.h == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
 
 
+def test_samples_are_bounded_whatever_repeats(spark):
+    many = spark.range(100_000).select((F.col("id") % 2).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 3).alias("text"), (F.col("id") % 2 == 0).alias("kind"))
+    got = bounded_sample(many, 1000).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(0, "text 0"), (1, "text 0")]
+    mixed = spark.range(50_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "few").when(F.col("id") < 40_000, "many").alias("kind"))
+    sizes = lambda df: {r.kind: r["count"] for r in df.groupBy("kind").count().collect()}
+    sample = bounded_sample(mixed.unionByName(mixed), 3000, "kind")
+    assert sizes(sample) == {"few": 3000, "many": 3000, None: 3000} and sample.distinct().count() == 9000
+    assert sizes(bounded_sample(mixed, 10**6, "kind")) == sizes(mixed)
+    assert bounded_sample(mixed.limit(0), 5, "kind").count() == 0 and bounded_sample(many.limit(0), 5).count() == 0
+    with pytest.raises(ValueError, match="strata"):
+        bounded_sample(mixed.withColumn("kind", F.col("doc_id") % 300), 5, "kind")
+
+
 def test_language_held_out_accuracy(tables):
     documents, _ = tables
     got = langmix.identify(documents).join(documents.select("doc_id", "lang"), "doc_id").where("held_out")
@@ -40,6 +54,33 @@ def test_mixtures_are_found(tables):
     assert [model.languages[c] for c in model.infer(parts["de"])[0]] == ["de"]
 
 
+def test_proportions_match_plain_expectation_maximisation():
+    draw = np.random.default_rng(8)
+    p = draw.dirichlet(np.ones(40) * 0.2, 3) + 1e-6
+    model = langmix.Model(["a", "b", "c"], p / p.sum(axis=1, keepdims=True))
+    counts = draw.multinomial(4000, 0.7 * model.p[0] + 0.3 * model.p[2]).astype(float)
+    buckets = np.flatnonzero(counts)
+    share, likelihood = model.mixture(buckets, [0, 1, 2], counts[buckets])
+    plain = [1 / 3] * 3
+    for _ in range(500):
+        new = [0.0] * 3
+        for b in buckets:
+            parts = [plain[k] * model.p[k, b] for k in range(3)]
+            for k in range(3):
+                new[k] += counts[b] * parts[k] / sum(parts)
+        plain = [x / sum(new) for x in new]
+    best = sum(counts[b] * np.log(sum(plain[k] * model.p[k, b] for k in range(3))) for b in buckets)
+    assert np.abs(share - plain).max() < 0.02 and best - likelihood < 0.5
+
+
+def test_equal_likelihoods_go_to_the_first_language_and_long_texts_are_whole(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("ab ab", "yy"), ("ab ab", "xx"), ("cd cd", "zz")] * 9)]
+    df = spark.createDataFrame([*rows, (1000, "ab", None), (1001, "cd " * 400_000 + "ab " * 500_000, None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langmix.identify(df).where("doc_id >= 1000").collect()}
+    assert got[1000].lang_pred == "xx"
+    assert got[1001].lang_pred in ("xx", "yy") and set(got[1001].languages) >= {"zz"} and abs(got[1001].score - 5 / 9) < 0.05
+
+
 def test_language_edge_cases(spark):
     rows = [(1, "ab ab ab", "xx", "c"), (2, "cd cd cd", "yy", "c"), (3, None, "xx", "c"), (4, "12 34 !!", "xx", "c"), (5, "", None, "c"), (6, "ab ab", None, "c"), (None, "cd", "yy", "c"), (1, "ab ab ab", "xx", "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
@@ -69,6 +110,34 @@ def test_risk_is_estimated_without_negatives():
     assert (model.score(good[:500]) >= 0.5).mean() > 0.95 and (model.score(bad) < 0.5).mean() > 0.9
 
 
+def test_class_prior_is_found_without_negatives():
+    draw = np.random.default_rng(4)
+    for share in (0.3, 0.6, 0.85):
+        good, bad = draw.normal(0, 1, (3000, 6)), draw.normal(2.5, 1, (3000, 6))
+        n = int(3000 * share)
+        assert abs(puquality.estimated_prior(good[:2000], np.concatenate([draw.normal(0, 1, (n, 6)), bad[: 3000 - n]])) - share) < 0.1
+
+
+def test_fit_lowers_the_risk_to_a_direct_minimisers():
+    """The risk as defined, summed up by hand; the fit's is near the least that plain descent by differences finds."""
+    draw = np.random.default_rng(6)
+    good, bad = draw.integers(0, 3, (400, 2)).astype(float), draw.integers(1, 5, (400, 2)).astype(float)
+    positive, unlabelled, prior = good[:200], np.concatenate([good[200:], bad]), 1 / 3
+    model = puquality.fit(positive, unlabelled, prior)
+    p, u = model.encode(positive), model.encode(unlabelled)
+
+    def risk(w):
+        zp, zu = w[p].sum(axis=1) + w[-1], w[u].sum(axis=1) + w[-1]
+        loss = lambda z: np.log1p(np.exp(-z))
+        return prior * loss(zp).mean() + max(0.0, loss(-zu).mean() - prior * loss(-zp).mean())
+
+    w = np.zeros(len(model.weights))
+    for step in range(400):
+        slope = np.array([(risk(w + 1e-5 * e) - risk(w - 1e-5 * e)) / 2e-5 for e in np.eye(len(w))])
+        w -= slope * 2.0
+    assert risk(model.weights) < risk(np.zeros(len(w))) and risk(model.weights) <= risk(w) + 0.02
+
+
 def test_quality_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (None, "a", "x"), (2, "", "x"), (3, "word " * 50_000, "x")], "doc_id long, text string, quality string")
     labels = spark.createDataFrame([(1, 1, 0), (2, None, None), (77, 0, 1)], "doc_id long, quality int, toxic int")
@@ -103,6 +172,29 @@ def test_one_weight_vector_serves_ordered_thresholds():
     assert np.corrcoef(reach.sum(axis=1), grades)[0, 1] > 0.9
 
 
+def test_gradients_lead_to_the_likeliest_weights():
+    """One feature, two thresholds: the fit's likelihood is near the best on a grid."""
+    draw = np.random.default_rng(3)
+    x = draw.integers(0, 2, 900)
+    grades = np.where(x == 1, draw.choice(3, 900, p=[0.1, 0.3, 0.6]), draw.choice(3, 900, p=[0.8, 0.15, 0.05]))
+    model = toxicity.fit([(np.array([7]) if v else np.zeros(0, np.int64), np.ones(int(v))) for v in x], grades, l1=0.0)
+    s = lambda z: 1 / (1 + np.exp(-z))
+
+    def loss(w, a, b):  # cumulative: each threshold's own logistic loss
+        return sum(-np.log(np.where(grades >= k, s(w * x - t), 1 - s(w * x - t))).mean() for k, t in ((1, a), (2, b)))
+
+    grid = min(loss(w, a, b) for w in np.arange(1, 5, 0.1) for a in np.arange(0, 4, 0.2) for b in np.arange(1, 5, 0.2))
+    assert loss(model.weights[0], *model.thresholds) < grid + 0.01
+
+
+def test_a_texts_grade_comes_from_the_other_half():
+    rows = [(np.array([1]), np.array([0.5 + np.log1p(100 * d)])) for d in (0.1, 0.1, 0.5, 0.5)] * 20 + [(np.array([2]), np.array([0.5]))] * 80
+    toxic = np.arange(160) < 80
+    grades = toxicity.density_grades(rows, toxic)
+    assert grades[:80].tolist() == [1, 1, 2, 2] * 20 and not grades[80:].any()
+    assert toxicity.density_grades(rows[:2], toxic[:2]).tolist() == [1, 1]
+
+
 def test_evidence_by_words_is_evidence_by_features():
     model = toxicity.Model(np.sort(np.array(toxicity.word_buckets("stupid") + toxicity.word_buckets("über"))), np.arange(1.0, 6.0)[: len(toxicity.word_buckets("stupid") + toxicity.word_buckets("über"))], np.array([1.0, 2.0]))
     for text in ("stupid Über stupider", "", "nothing here", "stup ÜBER " * 40):
