@@ -41,7 +41,13 @@ def ip_number(ip: Column) -> Column:
 def random_text(seed: Column, length: int) -> Column:
     """SC07: letters and digits drawn by a hash of the seed."""
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: F.substr(F.lit(letters), (F.pmod(F.xxhash64(seed, i), F.lit(len(letters))) + 1).cast("int"), F.lit(1))), "")
+    place = lambda i: (F.floor(drawn(0, seed, i) * len(letters)) + 1).cast("int")
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: F.substr(F.lit(letters), place(i), F.lit(1))), "")
+
+
+def port_unique_id(ticks: Column, core: Column) -> Column:
+    """SN26: a clock's ticks above 8 bits of core."""
+    return F.shiftleft(ticks.cast("long"), 8).bitwiseOR(core.cast("long"))
 
 
 def splitmix64(seed: int, n: Column) -> Column:
@@ -96,15 +102,35 @@ def stream_triad(a: Column, b: Column, k: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y * k)
 
 
-def signed_token(user_id: Column, username: Column, timestamp: Column, secret: str, ttl: str = "3600") -> Column:
-    """SN24: the HS256 signature of a login's claims. The keyed hash is two SHA-256 of padded keys, all in the JVM."""
+def _signature(message: Column, secret: str) -> Column:
+    """HS256 of a message, as URL-safe base64. The keyed hash is two SHA-256 of padded keys, all in the JVM."""
     key = secret.encode() if len(secret.encode()) <= 64 else hashlib.sha256(secret.encode()).digest()
     key = key.ljust(64, b"\0")
     inner, outer = bytes(b ^ 0x36 for b in key), bytes(b ^ 0x5C for b in key)
+    first = F.unhex(F.sha2(F.concat(F.lit(bytearray(inner)), message.cast("binary")), 256))
+    return _url64(F.unhex(F.sha2(F.concat(F.lit(bytearray(outer)), first), 256)))
+
+
+def signed_token(user_id: Column, username: Column, timestamp: Column, secret: str, ttl: str = "3600") -> Column:
+    """SN24: a login's claims and their HS256 signature."""
     claims = F.to_json(F.struct(timestamp.cast("string").alias("timestamp"), F.lit(ttl).alias("ttl"), user_id.cast("string").alias("user_id"), username.alias("username")))
     message = F.concat_ws(".", _url64(F.lit('{"alg":"HS256","typ":"JWT"}').cast("binary")), _url64(claims.cast("binary")))
-    first = F.unhex(F.sha2(F.concat(F.lit(bytearray(inner)), message.cast("binary")), 256))
-    return F.concat_ws(".", message, _url64(F.unhex(F.sha2(F.concat(F.lit(bytearray(outer)), first), 256))))
+    return F.concat_ws(".", message, _signature(message, secret))
+
+
+def token_claims(token: Column, secret: str) -> Column:
+    """FE02: the claims of a token as JSON, or null where it isn't signed with the secret."""
+    parts = F.split(token, "\\.")
+    message = F.concat_ws(".", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))
+    claims = F.translate(F.get(parts, F.lit(1)), "-_", "+/")
+    padded = F.rpad(claims, F.call_function("div", F.length(claims) + 3, F.lit(4)).cast("int") * 4, F.lit("="))
+    return F.when((F.size(parts) == 3) & (F.get(parts, F.lit(2)) == _signature(message, secret)), F.unbase64(padded).cast("string"))
+
+
+def drawn(seed: int, *of: Column) -> Column:
+    """A number from [0, 1) drawn by a hash of the columns: the same whenever and wherever it's drawn again."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in of]).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def _url64(raw: Column) -> Column:

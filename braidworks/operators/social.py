@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidworks.functions import text as texts
-from braidworks.functions.scalars import signed_token
+from braidworks.functions.scalars import signed_token, token_claims
+from braidworks.sources.checkpoints import snapshot
 
 
 @dataclass(frozen=True)
@@ -62,12 +63,32 @@ def write_user_timeline(timeline: DataFrame, posts: DataFrame) -> DataFrame:
 
 
 def home_entries(posts: DataFrame, edges: DataFrame, mentioned: str | None = None) -> DataFrame:
-    """SN14: an entry for each follower of a post's author and each mentioned user; the author only if among these."""
+    """SN14: an entry for each follower of a post's author and each mentioned user; the author only if among these.
+
+    Posts have different ids and edges are distinct, so only a mentioned user can have an entry twice: mentions
+    of the author's followers are left out, and the fan-out itself, which is the bulk, isn't compared.
+    """
     by_edge = posts.join(edges.select(F.col("followee").alias("user_id"), "follower"), "user_id").select(F.col("follower").alias("user_id"), "timestamp", "post_id")
-    if mentioned is None:
-        return by_edge.distinct()
-    by_name = posts.select(F.explode(mentioned).alias("user_id"), "timestamp", "post_id")
-    return by_edge.union(by_name).distinct()
+    return by_edge if mentioned is None else by_edge.unionByName(_mention_entries(posts, edges, mentioned))
+
+
+def _mention_entries(posts: DataFrame, edges: DataFrame, mentioned: str) -> DataFrame:
+    """Entries of mentioned users that don't follow the author."""
+    by_name = posts.select(F.col("user_id").alias("followee"), F.explode(mentioned).alias("follower"), "timestamp", "post_id").distinct()
+    return by_name.join(edges, ["followee", "follower"], "left_anti").select(F.col("follower").alias("user_id"), "timestamp", "post_id")
+
+
+def home_page(posts: DataFrame, edges: DataFrame, start: int, stop: int, mentioned: str | None = None) -> DataFrame:
+    """SN15 from posts: every reader's entries of ranks [start, stop), without writing home timelines first.
+
+    Of an author's posts only the `stop` newest can be on any page, so the others are cut before the
+    fan-out: its size follows authors and readers, not their history.
+    """
+    newest = page(posts, 0, stop).drop("rank")
+    entries = home_entries(newest, edges)
+    if mentioned is not None:
+        entries = entries.unionByName(page(_mention_entries(posts, edges, mentioned), 0, stop).drop("rank"))
+    return page(entries, start, stop)
 
 
 def timeline_ranks(timeline: DataFrame) -> DataFrame:
@@ -116,6 +137,10 @@ class Removal:
     short_links: DataFrame | None
 
 
+#: Rows of a small side that are broadcast at most; with more, rows meet by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
 def remove_posts(
     posts: DataFrame, user_timeline: DataFrame, home_timeline: DataFrame, edges: DataFrame, requests: DataFrame,
     mentioned: str | None = None, urls: str | None = None, short_links: DataFrame | None = None,
@@ -123,21 +148,41 @@ def remove_posts(
     """SN18: a page of a user's posts goes from all tables.
 
     Home entries go from the present followers and the mentioned users only: whoever
-    unfollowed since keeps an entry without a post.
+    unfollowed since keeps an entry without a post. Only entries of removed posts are compared with these; all other rows of a
+    table pass by a look at their post's id, which is broadcast unless more than BROADCAST_ROWS posts go.
     """
-    cut = pages(user_timeline, requests).select("user_id", "timestamp", "post_id").distinct()
-    gone = cut.join(posts.drop("user_id", "timestamp"), "post_id")
-    entries = home_entries(gone, edges, mentioned)
+    cut = snapshot(pages(user_timeline, requests).select("user_id", "timestamp", "post_id").distinct())
+    gone = snapshot(cut.join(posts.drop("user_id", "timestamp"), "post_id"))
+    few = F.broadcast if cut.count() <= BROADCAST_ROWS else lambda df: df
+    removed = few(gone.select("post_id").distinct())
     keys = ["user_id", "timestamp", "post_id"]
+    touched = home_timeline.join(removed, "post_id").select(*home_timeline.columns).join(home_entries(gone, edges, mentioned), keys, "left_anti")
     links = short_links
     if urls is not None and short_links is not None:
-        links = short_links.join(gone.select(F.explode(urls).alias("u")).select("u.shortened_url").distinct(), "shortened_url", "left_anti")
+        links = remove_urls(short_links, gone.select(F.explode(urls).alias("u")).select("u.shortened_url"))
     return Removal(
-        posts.join(gone.select("post_id").distinct(), "post_id", "left_anti"), user_timeline.join(cut, keys, "left_anti"),
-        home_timeline.join(entries, keys, "left_anti"), links,
+        posts.join(removed, "post_id", "left_anti"), user_timeline.join(few(cut), keys, "left_anti"),
+        home_timeline.join(removed, "post_id", "left_anti").unionByName(touched), links,
     )
 
 
+def store_posts(posts: DataFrame, new: DataFrame) -> DataFrame:
+    """SN17: with the new posts; an id that is there keeps its post."""
+    return posts.unionByName(new.join(posts.select("post_id"), "post_id", "left_anti").select(*posts.columns))
+
+
+def posts_of(posts: DataFrame, asked: DataFrame) -> DataFrame:
+    """SN17: posts of the asked ids; ids without one give nothing."""
+    return posts.join(asked.select("post_id").distinct(), "post_id", "left_semi")
+
+
+def delete_posts(posts: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """SN17: the posts without those of the ids, and for each id whether it `existed`."""
+    ids = gone.select("post_id").distinct()
+    there = posts.select("post_id", F.lit(True).alias("existed"))
+    return posts.join(ids, "post_id", "left_anti"), ids.join(there, "post_id", "left").withColumn("existed", F.coalesce("existed", F.lit(False)))
+
+
 def _known(column: str, kind: str, message: Column) -> Column:
     """The column; where it is null, the query fails."""
     return F.coalesce(F.col(column), F.raise_error(message).cast(kind))
@@ -240,3 +285,21 @@ def timeline_json(entries: DataFrame) -> Column:
 def live_sessions(requests: DataFrame, now: Column) -> DataFrame:
     """FE02: requests with all arguments whose session hasn't run out."""
     return requests.where(F.col("user_id").isNotNull() & F.col("start").isNotNull() & F.col("stop").isNotNull() & ~(F.col("timestamp") + F.col("ttl") < now))
+
+
+def verified(requests: DataFrame, secret: str, now: Column, token: str = "token") -> DataFrame:
+    """FE02: requests whose token is signed with the secret and hasn't run out, with its `user_id` and `username`."""
+    claims = F.from_json(token_claims(F.col(token), secret), "timestamp string, ttl string, user_id string, username string")
+    found = requests.withColumn("__claims", claims)
+    live = F.col("__claims.timestamp").cast("long") + F.col("__claims.ttl").cast("long") >= now
+    return found.where(live).select(*requests.columns, F.col("__claims.user_id").cast("long").alias("user_id"), F.col("__claims.username").alias("username"))
+
+
+def decoded_media(ids: Column, types: Column) -> Column:
+    """FE03: a request's media from its JSON arrays; missing ones are empty, broken ones or such of different lengths fail."""
+    def listed(text: Column, schema: str) -> Column:
+        asked = F.coalesce(F.nullif(F.trim(text), F.lit("")), F.lit("[]"))
+        parsed = F.from_json(asked, schema)
+        return F.when(F.get(parsed, F.lit(0)).isNull() & (F.regexp_replace(asked, "\\s", "") != "[]"), F.raise_error(F.lit("not a JSON array")).cast(schema)).otherwise(parsed)
+
+    return composed_media(listed(ids, "array<bigint>"), listed(types, "array<string>"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidworks.functions import scalars, text
@@ -72,9 +75,14 @@ _HOME = f"""(SELECT DISTINCT user_id, ts, event_id FROM (
   UNION ALL SELECT (user_id + 1) % 150, ts, event_id FROM events WHERE event_id % 3 = 0))"""
 
 
-def _home(spark, d):
+def _mentioning(spark, d):
+    """Posts with whom they mention: every third one the author's neighbour."""
     mentioned = F.when(F.col("post_id") % 3 == 0, F.array((F.col("user_id") + 1) % 150)).otherwise(F.array().cast("array<bigint>"))
-    return social.home_entries(_timeline(spark, d).withColumn("mentioned", mentioned), _edges(spark, d), "mentioned")
+    return _timeline(spark, d).withColumn("mentioned", mentioned)
+
+
+def _home(spark, d):
+    return social.home_entries(_mentioning(spark, d), _edges(spark, d), "mentioned")
 
 
 @query(f"SELECT user_id, event_id AS post_id FROM {_HOME}")
@@ -86,7 +94,8 @@ def sn_write_home_timeline(spark, d):
 SELECT user_id, r.event_id AS post_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS rank FROM {_HOME}) r
 JOIN {_LIVE} l ON l.event_id = r.event_id WHERE rank < 10""")
 def sn_read_home_timeline_dangling(spark, d):
-    return social.read_posts(social.page(_home(spark, d), 0, 10), _posts(spark, d)).select("user_id", "post_id", "event_type")
+    entries = social.home_page(_mentioning(spark, d), _edges(spark, d), 0, 10, "mentioned")
+    return social.read_posts(entries, _posts(spark, d)).select("user_id", "post_id", "event_type")
 
 
 @query("SELECT DISTINCT user_id, event_id AS post_id FROM events")
@@ -95,7 +104,7 @@ def sn_write_user_timeline(spark, d):
     return social.write_user_timeline(timeline.where("post_id % 2 = 0"), timeline).select("user_id", "post_id")
 
 
-_CUT = f"(SELECT user_id, event_id FROM ({_RANKED}) WHERE rank < 3 AND user_id % 2 = 0)"
+_CUT = f"(SELECT user_id, event_id FROM ({_RANKED}) WHERE rank < 3 + user_id % 2)"
 _GONE = f"(SELECT c.user_id, c.event_id FROM {_CUT} c JOIN {_LIVE} l ON l.event_id = c.event_id)"
 
 
@@ -103,13 +112,36 @@ _GONE = f"(SELECT c.user_id, c.event_id FROM {_CUT} c JOIN {_LIVE} l ON l.event_
 SELECT 'posts' AS "table", count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM {_LIVE} WHERE event_id NOT IN (SELECT event_id FROM {_GONE})
 UNION ALL SELECT 'user_timeline', count(*), CAST(sum(event_id) AS BIGINT) FROM events WHERE event_id NOT IN (SELECT event_id FROM {_CUT})
 UNION ALL SELECT 'home_timeline', count(*), CAST(sum(event_id) AS BIGINT) FROM {_HOME} h WHERE NOT EXISTS (
-  SELECT 1 FROM {_GONE} g JOIN {_EDGES} e ON e.followee = g.user_id WHERE e.follower = h.user_id AND g.event_id = h.event_id)""")
+  SELECT 1 FROM {_GONE} g JOIN {_EDGES} e ON e.followee = g.user_id WHERE e.follower = h.user_id AND g.event_id = h.event_id)
+  AND NOT (event_id % 3 = 0 AND EXISTS (SELECT 1 FROM {_GONE} g WHERE g.event_id = h.event_id AND (g.user_id + 1) % 150 = h.user_id))
+UNION ALL SELECT 'short_links', count(*), CAST(sum(event_id) AS BIGINT) FROM events WHERE event_id NOT IN (SELECT event_id FROM {_GONE})""")
 def sn_remove_posts(spark, d):
-    timeline = _timeline(spark, d)
-    asked = timeline.select("user_id").distinct().where("user_id % 2 = 0").select("user_id", F.col("user_id").alias("req_id"), F.lit(0).alias("start"), F.lit(3).alias("stop"))
-    left = social.remove_posts(_posts(spark, d), timeline, _home(spark, d), _edges(spark, d), asked)
+    """Of every user's newest three or four posts: posts, both kinds of entries, mentioned users' entries and short links go."""
+    timeline, links = _timeline(spark, d), F.concat(F.lit("s"), F.col("post_id").cast("string"))
+    asked = timeline.select("user_id").distinct().select("user_id", F.col("user_id").alias("req_id"), F.lit(0).alias("start"), (F.col("user_id") % 2 + 3).cast("int").alias("stop"))
+    posts = _posts(spark, d).join(_mentioning(spark, d).select("post_id", "mentioned"), "post_id").withColumn("urls", F.array(F.struct(links.alias("shortened_url"))))
+    short = timeline.select(links.alias("shortened_url"), "post_id")
+    left = social.remove_posts(posts, timeline, _home(spark, d), _edges(spark, d), asked, "mentioned", "urls", short)
     count = lambda t, name: t.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("n"), F.sum("post_id").alias("ids"))
-    return count(left.posts, "posts").unionByName(count(left.user_timeline, "user_timeline")).unionByName(count(left.home_timeline, "home_timeline"))
+    return count(left.posts, "posts").unionByName(count(left.user_timeline, "user_timeline")).unionByName(count(left.home_timeline, "home_timeline")).unionByName(count(left.short_links, "short_links"))
+
+
+@query(f"""
+SELECT 'stored' AS step, event_id AS post_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'new' END AS state FROM events WHERE event_type <> 'error' OR event_id % 2 = 1
+UNION ALL SELECT 'read', event_id, event_type FROM {_LIVE} WHERE event_id IN (SELECT c_custkey * 5 FROM customer)
+UNION ALL SELECT 'left', event_id, event_type FROM {_LIVE} WHERE event_id NOT IN (SELECT c_custkey * 5 FROM customer)
+UNION ALL SELECT 'deleted', c_custkey * 5, CASE WHEN c_custkey * 5 IN (SELECT event_id FROM {_LIVE}) THEN 'existed' ELSE 'unknown' END FROM customer""")
+def sn_post_store(spark, d):
+    """Storing keeps the post of an id that is there; reading and deleting take lists of ids."""
+    posts = _posts(spark, d).select("post_id", F.col("event_type").alias("state"))
+    new = read(spark, d, "events").where("event_id % 2 = 1").select(F.col("event_id").alias("post_id"), F.lit("new").alias("state"))
+    ids = read(spark, d, "customer").select((F.col("c_custkey") * 5).alias("post_id"))
+    left, gone = social.delete_posts(posts, ids)
+    parts = {
+        "stored": social.store_posts(posts.where("post_id % 2 = 0"), new), "read": social.posts_of(posts, ids), "left": left,
+        "deleted": gone.select("post_id", F.when(F.col("existed"), "existed").otherwise("unknown").alias("state")),
+    }
+    return reduce(DataFrame.unionByName, [t.select(F.lit(step).alias("step"), "post_id", "state") for step, t in parts.items()])
 
 
 @query(f"SELECT followee AS user_id, string_agg(follower, ',' ORDER BY follower) AS ids FROM {_EDGES} GROUP BY 1")
@@ -183,13 +215,51 @@ def sn_login_status(spark, d):
     return social.login(attempts, _users(spark, d), "secret", F.lit(1700000000)).select("username", "status")
 
 
-@query()
-def sn_login_tokens(spark, d):
+def _keyed_pad(byte: int) -> str:
+    """The padded key `secret` of a keyed hash as a SQL blob."""
+    return "'" + "".join(f"\\x{b ^ byte:02X}" for b in b"secret".ljust(64, b"\0")) + "'::BLOB"
+
+
+_URL64 = "rtrim(translate(to_base64({0}), '+/', '-_'), '=')"
+_HEAD, _CLAIMS = """'{"alg":"HS256","typ":"JWT"}'""", """'{"timestamp":"1700000000","ttl":"3600","user_id":"' || user_id || '","username":"username_' || user_id || '"}'"""
+_MESSAGE = f"{_URL64.format(f'encode({_HEAD})')} || '.' || {_URL64.format(f'encode({_CLAIMS})')}"
+_TOKENS = f"""(SELECT user_id, message || '.' || {_URL64.format(f"unhex(sha256({_keyed_pad(0x5C)} || unhex(sha256({_keyed_pad(0x36)} || encode(message)))))")} AS token
+  FROM (SELECT user_id, {_MESSAGE} AS message FROM (SELECT DISTINCT user_id FROM events)))"""
+
+
+def _logged_in(spark, d):
     name = F.concat(F.lit("password_"), F.col("user_id").cast("string"))
     users = _users(spark, d)
     return social.login(users.select("username", name.alias("password")), users, "secret", F.lit(1700000000))
 
 
+@query(f"SELECT 'username_' || user_id AS username, 'password_' || user_id AS password, 'OK' AS status, token FROM {_TOKENS}")
+def sn_login_tokens(spark, d):
+    return _logged_in(spark, d)
+
+
+@query("SELECT user_id, 'username_' || user_id AS username FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 3 = 0")
+def sn_verified_tokens(spark, d):
+    """Of three users one sends the token as given, one with another's claims, one with a broken signature."""
+    n = F.regexp_extract("username", "[0-9]+", 0).cast("long") % 3
+    sent = _logged_in(spark, d).select("username", F.when(n == 0, F.col("token")).when(n == 1, F.regexp_replace("token", "\\.[^.]+\\.", ".e30.")).otherwise(F.concat("token", F.lit("A"))).alias("token"))
+    return social.verified(sent.select("token"), "secret", F.lit(1700000100)).select("user_id", "username")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_partkey || ':png,' || (p_size + 1) || ':jpg' ELSE '' END AS media FROM part")
+def sn_media_decoded(spark, d):
+    p, n = F.col("p_partkey").cast("string"), F.col("p_partkey") % 3
+    ids = F.when(n == 0, F.concat(F.lit("["), p, F.lit(","), (F.col("p_size") + 1).cast("string"), F.lit("]"))).when(n == 1, F.lit("[]"))
+    types = F.when(n == 0, F.lit('["png", "jpg"]')).when(n == 1, F.lit(""))
+    media = social.decoded_media(ids, types)
+    return read(spark, d, "part").select("p_partkey", F.array_join(F.transform(media, lambda m: F.concat_ws(":", m["media_id"].cast("string"), m["media_type"])), ",").alias("media"))
+
+
+@query("SELECT event_id, (event_id * 1000) << 8 | (user_id % 46) AS id FROM events")
+def sn_port_unique_id(spark, d):
+    return read(spark, d, "events").select("event_id", scalars.port_unique_id(F.col("event_id") * 1000, F.col("user_id") % 46).alias("id"))
+
+
 @query("SELECT username, user_id, sha256('password_' || user_id || 'salt_' || user_id) AS password_hashed, user_id << 16 AS shifted_id FROM (SELECT DISTINCT 'username_' || user_id AS username, user_id FROM events)")
 def sn_register_users(spark, d):
     return _users(spark, d).select("username", "user_id", "password_hashed", social.user_id_of(F.col("user_id")).alias("shifted_id"))

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def snapshot(df: DataFrame) -> DataFrame:
-    """`df` as it is now, written to the checkpoint folder; a folder of our own where the cluster names none."""
+    """`df` as it is now, written to the folder in spark.checkpoint.dir. Where none is set: to a new local one if all of Spark is in this process, else it fails."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="braidworks-checkpoints-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="braidworks-checkpoints-"))
     return df.checkpoint()
