@@ -95,9 +95,9 @@ def reduce(table: DataFrame, *aggregates: Column) -> DataFrame:
     return table.agg(*aggregates)
 
 
-def reduce_shards(table: DataFrame, key: str, power: int, *aggregates: Column) -> DataFrame:
-    """KV17: aggregates of each shard that has rows."""
-    return table.groupBy(shard_index(unsigned(F.xxhash64(key)), power).alias("shard")).agg(*aggregates)
+def reduce_shards(table: DataFrame, key: str, power: int, *aggregates: Column, hashed: Column | None = None) -> DataFrame:
+    """KV17: aggregates of each shard that has rows. `hashed` is the unsigned 64-bit hash that shards go by, if not xxhash64 of the key."""
+    return table.groupBy(shard_index(unsigned(F.xxhash64(key)) if hashed is None else hashed, power).alias("shard")).agg(*aggregates)
 
 
 def drain(table: DataFrame, *aggregates: Column) -> tuple[DataFrame, DataFrame]:
@@ -154,28 +154,40 @@ def net_state(log: DataFrame, key: str, order: list[str], deleted: Column, value
     return last.where(~F.col("__last.__gone")).select(key, *[F.col("__last")[v].alias(v) for v in values])
 
 
-def successors(probes: DataFrame, keys: DataFrame, probe: str, key: str, buckets: int = 1024) -> DataFrame:
+def in_ranges(table: DataFrame, *order: str | Column, into: str = "__range") -> DataFrame:
+    """A snapshot of the table in ranges of like size of the order columns, with the number of each row's range.
+
+    Spark samples the bounds; equal rows share a range. Ranges follow each other in order, and a window over one is a task's work.
+    """
+    return snapshot(table.repartitionByRange(*order).withColumn(into, F.spark_partition_id()))
+
+
+def numbered(table: DataFrame, order: list[str], into: str = "number") -> DataFrame:
+    """Rows numbered from 0 in an order, without a task that sees them all: inside ranges, plus the rows of the ranges before."""
+    ranged = in_ranges(table, *order)
+    counts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))  # a row a range
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    joined = ranged.withColumn("__inside", inside).join(F.broadcast(counts.select("__range", before.alias("__before"))), "__range")
+    return joined.withColumn(into, F.col("__inside") + F.col("__before")).drop("__range", "__inside", "__before")
+
+
+def successors(probes: DataFrame, keys: DataFrame, probe: str, key: str) -> DataFrame:
     """PF13: each probe with the least key that isn't below it (`successor`; null if none).
 
-    Keys are cut into ranges of like size by approximate quantiles. Within a range one sort
-    answers its probes; what finds none there takes the first key of the next range that has any, from
+    Keys and probes are dealt to ranges together. Within a range one sort answers its
+    probes; what finds none there takes the first key of the next range that has any, from
     a table of one row a range. So there's no range join, and a range is a task's work.
     """
-    at = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(keys.approxQuantile(key, at, 0.5 / buckets)))
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
-    bucket = lambda c: F.size(F.filter(bounds, lambda b: b <= c))
-    kept = keys.select(F.col(key).alias("__at"), F.lit(None).cast(probes.schema[probe].dataType).alias(probe), F.lit(True).alias("__is_key")).distinct()
+    kept = keys.select(F.col(key).alias("__at"), F.lit(None).cast(probes.schema[probe].dataType).alias(probe), F.lit(True).alias("__is_key")).where("__at is not null").distinct()
     asked = probes.select(F.col(probe).alias("__at"), probe, F.lit(False).alias("__is_key"))
-    rows = kept.unionByName(asked).withColumn("__bucket", bucket(F.col("__at")))
-    ahead = Window.partitionBy("__bucket").orderBy("__at", F.col("__is_key")).rowsBetween(0, Window.unboundedFollowing)
-    found = rows.withColumn("__own", F.first(F.when(F.col("__is_key"), F.col("__at")), ignorenulls=True).over(ahead)).where(~F.col("__is_key"))
-    firsts = rows.where("__is_key").groupBy("__bucket").agg(F.min("__at").alias("__first"))
-    later = Window.orderBy("__b").rowsBetween(1, Window.unboundedFollowing)
-    every = keys.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("__b"))
-    after = every.join(firsts, every["__b"] == firsts["__bucket"], "left").select("__b", F.min("__first").over(later).alias("__next"))
-    joined = found.join(F.broadcast(after), found["__bucket"] == after["__b"], "left")
-    return joined.select(probe, F.coalesce("__own", "__next").alias("successor"))
+    rows = in_ranges(kept.unionByName(asked), "__at")
+    above = Window.partitionBy("__range").orderBy(F.desc("__at"), F.desc("__is_key")).rowsBetween(Window.unboundedPreceding, 0)  # downwards: a running frame
+    found = rows.withColumn("__own", F.last(F.when(F.col("__is_key"), F.col("__at")), ignorenulls=True).over(above)).where(~F.col("__is_key"))
+    firsts = rows.groupBy("__range").agg(F.min(F.when(F.col("__is_key"), F.col("__at"))).alias("__first"))
+    later = Window.orderBy("__range").rowsBetween(1, Window.unboundedFollowing)
+    joined = found.join(F.broadcast(firsts.select("__range", F.min("__first").over(later).alias("__next"))), "__range")
+    return joined.select(probe, F.when(F.col(probe).isNotNull(), F.coalesce("__own", "__next")).alias("successor"))
 
 
 # Ordered containers: a table with a key or sequence column that orders it.

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -10,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from braidworks.functions.scalars import drawn
+
 #: Ranges of values that percentiles are first narrowed down to; so many rows go through one task at most.
 RANGES = 4096
 
@@ -70,27 +71,25 @@ def window_percentiles(traces: DataFrame, interval_us: int, percent: float, stre
     """PF06: (stream, absl_start_us, start_us, duration_us) of each window, a stream by itself.
 
     A row that starts after the window's end closes it, and the window moves by one interval only,
-    however long the gap; windows with fewer than `least` rows aren't put out, nor is the last. That's
-    a fold over the sorted rows of a stream: they are sorted by Spark and go through in batches.
-    """
-    schema = f"{stream} {traces.schema[stream].dataType.simpleString()}, absl_start_us long, start_us long, duration_us long"
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, window, held, out = None, (0, 0), [], []
-        for batch in batches:
-            for name, absl, start, duration in zip(batch[stream], batch["absl_start_us"], batch["start_us"], batch["duration_us"]):
-                if name != at:
-                    at, window, held = name, (absl, start), []
-                if window[1] + interval_us < start:
-                    if len(held) >= least:
-                        out.append((at, *window, sorted(held)[int(percent / 100.0 * len(held))]))
-                    window, held = (window[0] + interval_us, window[1] + interval_us), []
-                held.append(duration)
-            yield pd.DataFrame(out, columns=[stream, "absl_start_us", "start_us", "duration_us"])
-            out = []
+    however long the gap; windows with fewer than `least` rows aren't put out, nor is the last.
 
+    By its start alone the i-th row (from 0) of a stream belongs to window c_i, which never falls; and since a
+    row moves the window by one at most, it lands in the least of c_j + (i - j) over the rows j up to it: a running minimum.
+    """
     rows = traces.select(stream, "absl_start_us", "start_us", "duration_us").where(F.col(stream).isNotNull())
-    return rows.repartition(stream).sortWithinPartitions(stream, "start_us", "duration_us").mapInPandas(fold, schema)
+    upto = Window.partitionBy(stream).orderBy("start_us", "duration_us").rowsBetween(Window.unboundedPreceding, 0)
+    interval = F.lit(interval_us).cast("long")
+    since = F.col("start_us") - F.first("start_us").over(upto)
+    own = F.greatest(F.call_function("div", since + interval - 1, interval) - 1, F.lit(0).cast("long"))
+    rows = rows.withColumn("__i", F.count(F.lit(1)).over(upto) - 1).withColumn("__own", own - F.col("__i"))
+    rows = rows.withColumn("__window", F.col("__i") + F.min("__own").over(upto))
+    for c in ("absl_start_us", "start_us"):
+        rows = rows.withColumn(c, F.first(c).over(upto) + F.col("__window") * interval)
+    inside = Window.partitionBy(stream, "__window")
+    rows = rows.withColumn("__n", F.count(F.lit(1)).over(inside)).withColumn("__place", F.row_number().over(inside.orderBy("duration_us")) - 1)
+    rows = rows.withColumn("__last", F.max("__window").over(Window.partitionBy(stream)))
+    wanted = (F.col("__n") >= least) & (F.col("__window") < F.col("__last")) & (F.col("__place") == F.floor(F.lit(percent / 100.0) * F.col("__n")))
+    return rows.where(wanted).select(stream, "absl_start_us", "start_us", "duration_us")
 
 
 def tumbling_percentiles(traces: DataFrame, interval_us: int, percent: float, least: int = 100) -> DataFrame:
@@ -136,11 +135,19 @@ def sampled_load(readings: DataFrame, key: str, cores: int) -> DataFrame:
 
 
 def arrivals(spark: SparkSession, per_us: float, duration_us: int, seed: int = 0, streams: int = 1) -> DataFrame:
-    """PF01: (stream, start_us) of Poisson arrivals: gaps are exponential, rounded, 1 at least; each stream is drawn by itself."""
+    """PF01: (stream, start_us) of Poisson arrivals: gaps are exponential, rounded, 1 at least; each stream is drawn by itself.
+
+    Draws are hashes of seed, stream and number, so more of them begin alike: where the gaps drawn don't fill
+    the time in every stream, twice as many are drawn.
+    """
     most = int(duration_us * per_us * 2 + 100)
-    gap = F.greatest(F.lit(1).cast("long"), F.round(-F.log(1 - F.rand(seed)) / per_us).cast("long"))
-    drawn = spark.range(streams).select(F.col("id").alias("stream"), F.explode(F.sequence(F.lit(1), F.lit(most))).alias("i")).withColumn("gap", gap)
-    return drawn.withColumn("start_us", F.sum("gap").over(Window.partitionBy("stream").orderBy("i"))).where(F.col("start_us") <= duration_us).select("stream", "start_us")
+    gap = F.greatest(F.lit(1).cast("long"), F.round(-F.log(1 - drawn(seed, F.col("stream"), F.col("i"))) / per_us).cast("long"))
+    while True:
+        gaps = spark.range(streams).select(F.col("id").alias("stream"), F.explode(F.sequence(F.lit(1), F.lit(most))).alias("i")).withColumn("gap", gap)
+        if not streams or gaps.groupBy("stream").agg(F.sum("gap").alias("all")).agg(F.min("all")).first()[0] > duration_us:
+            break
+        most *= 2
+    return gaps.withColumn("start_us", F.sum("gap").over(Window.partitionBy("stream").orderBy("i"))).where(F.col("start_us") <= duration_us).select("stream", "start_us")
 
 
 def served(requests: DataFrame, most_late_us: int) -> DataFrame:
@@ -156,7 +163,7 @@ def zipf(spark: SparkSession, n: int, exponent: float, draws: int, seed: int = 0
     def pick(u: pd.Series) -> pd.Series:
         return pd.Series(np.minimum(np.searchsorted(sums, u.to_numpy() * sums[-1], side="right"), n - 1))
 
-    return spark.range(draws).select(F.col("id").alias("draw"), pick(F.rand(seed)).alias("value"))
+    return spark.range(draws).select(F.col("id").alias("draw"), pick(drawn(seed, F.col("id"))).alias("value"))
 
 
 #: The request mix in percent.
@@ -171,16 +178,16 @@ def request_mix(draw: Column, mix: list[tuple[str, int]] = MIX) -> Column:
     return result
 
 
-def service_time(spec: str, seed: int = 0) -> Column:
-    """PF14: `fixed:v`, `exponential:mean` or `bimodal:low:high:share of high` as a drawn column."""
+def service_time(spec: str, draw: Column | None = None) -> Column:
+    """PF14: `fixed:v`, `exponential:mean` or `bimodal:low:high:share of high` as a column, for a draw from [0, 1)."""
     kind, *numbers = spec.split(":")
     v = [float(x) for x in numbers]
     if kind == "fixed" and len(v) == 1:
         return F.lit(v[0])
     if kind == "exponential" and len(v) == 1:
-        return -F.log(1 - F.rand(seed)) * v[0]
+        return -F.log(1 - draw) * v[0]
     if kind == "bimodal" and len(v) == 3:
-        return F.when(F.rand(seed) < v[2], v[1]).otherwise(v[0])
+        return F.when(draw < v[2], v[1]).otherwise(v[0])
     raise ValueError(f"not a service time: {spec}")
 
 

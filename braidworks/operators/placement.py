@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keyed import numbered
+
 # Microseconds that any migration takes, link speed in GB/s (100 Gb), headroom in MB.
 FIXED_US, LINK_GBS, HEADROOM_MB = 25.0, 100 / 8, 1024
 
 
+#: Nodes of a cluster at most: what is broadcast of them.
+MOST_NODES = 100_000
+
+
+def of_checked_size(nodes: DataFrame) -> DataFrame:
+    if nodes.limit(MOST_NODES + 1).count() > MOST_NODES:
+        raise ValueError(f"more than {MOST_NODES} nodes")
+    return nodes
+
+
 def with_utility(loads: DataFrame, mem: str = "mem_size", load: str = "cpu_load") -> DataFrame:
     """PL01: microseconds that moving takes, and load and memory freed a microsecond."""
     time = F.lit(FIXED_US) + F.col(mem) / F.lit(LINK_GBS) / 1000
@@ -33,14 +45,15 @@ def initial_hosts(tasks: DataFrame, nodes: DataFrame, order: str) -> DataFrame:
     `nodes` (ip, isol) is a cluster's list: small, and broadcast as such. Turns are taken in the
     order of `order`, of those tasks only that need one.
     """
+    nodes = of_checked_size(nodes)
     turns = nodes.where("not isol").agg(F.array_sort(F.collect_list("ip")).alias("turn"), F.count(F.lit(1)).alias("n_open"))
     known = nodes.select(F.col("ip").alias("hint"), F.lit(True).alias("hint_known"))
-    rows = tasks.join(F.broadcast(known), "hint", "left").crossJoin(F.broadcast(turns))
     needs = F.col("hint").isNull() & F.col("prev_host").isNull()
-    nth = F.row_number().over(Window.partitionBy(needs).orderBy(order)) - 1
-    turn = F.try_element_at(F.col("turn"), (F.pmod(nth, F.greatest(F.col("n_open"), F.lit(1))) + 1).cast("int"))
+    needy = numbered(tasks.where(needs), [order], "__nth").unionByName(tasks.where(~needs), allowMissingColumns=True)
+    rows = needy.join(F.broadcast(known), "hint", "left").crossJoin(F.broadcast(turns))  # one row of turns
+    turn = F.try_element_at(F.col("turn"), (F.pmod(F.col("__nth"), F.greatest(F.col("n_open"), F.lit(1))) + 1).cast("int"))
     host = F.when(F.col("hint").isNotNull(), F.when(F.col("hint_known"), F.col("hint"))).when(F.col("prev_host").isNotNull(), F.col("prev_host")).otherwise(turn)
-    return rows.withColumn("host", host).drop("turn", "n_open", "hint_known")
+    return rows.withColumn("host", host).drop("turn", "n_open", "hint_known", "__nth")
 
 
 def migration_destinations(requests: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -51,7 +64,7 @@ def migration_destinations(requests: DataFrame, nodes: DataFrame) -> DataFrame:
     each other. `requests`: req_id, requestor, mem_pressure, cores, mem_mbs, turn; `nodes`: ip, isol,
     acquired, cores, mem_mbs, pos (the turn order), a cluster's list: small.
     """
-    n = nodes.select(F.col("ip"), "isol", "acquired", F.col("cores").alias("node_cores"), F.col("mem_mbs").alias("node_mem"), "pos")
+    n = of_checked_size(nodes).select(F.col("ip"), "isol", "acquired", F.col("cores").alias("node_cores"), F.col("mem_mbs").alias("node_mem"), "pos")
     listed = F.broadcast(n.agg(F.array_sort(F.collect_list(F.struct("pos", "ip", "isol", "acquired", "node_cores", "node_mem"))).alias("nodes")))
     rows = requests.crossJoin(listed)  # one row
     enough_mem = lambda x: x["node_mem"] >= F.col("mem_mbs") + HEADROOM_MB

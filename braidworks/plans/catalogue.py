@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import iterative_queries, keyed_queries, latency_queries, placement_queries, reduce_queries, scalar_queries, social_queries  # noqa: F401  they register themselves
+from . import iterative_queries, keyed_queries, latency_queries, placement_queries, reduce_queries, scalar_queries, social_queries, source_queries  # noqa: F401  they register themselves
 from .registry import ORACLES, QUERIES
 
 

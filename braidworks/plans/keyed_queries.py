@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from braidworks.operators import keyed
+from braidworks.sources.checkpoints import shared_folder
 
 from .registry import query, read
 
@@ -102,15 +105,15 @@ def kv_reduce_sum_max(spark, d):
 WITH h AS (SELECT p_size, CAST(CAST('0x' || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 16) AS UBIGINT) AS HUGEINT) AS h FROM part)
 SELECT CAST(least(h // 576460752303423487, 31) AS BIGINT) AS shard, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS sizes FROM h GROUP BY 1""")
 def kv_reduce_shards(spark, d):
-    h = F.conv(F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 16), 16, 10).cast("decimal(20,0)")
-    shard = keyed.shard_index(h, 5).alias("shard")
-    return read(spark, d, "part").groupBy(shard).agg(F.count(F.lit(1)).alias("n"), F.sum("p_size").alias("sizes"))
+    h = F.conv(F.substring(F.md5(F.col("p_partkey").cast("string").cast("binary")), 1, 16), 16, 10).cast("decimal(20,0)")
+    return keyed.reduce_shards(read(spark, d, "part"), "p_partkey", 5, F.count(F.lit(1)).alias("n"), F.sum("p_size").alias("sizes"), hashed=h)
 
 
-@query("SELECT count(*) AS n, CAST(sum(p_size) AS BIGINT) AS sizes FROM part")
+@query("SELECT count(*) AS n, CAST(sum(p_size) AS BIGINT) AS sizes, true AS spread FROM part")
 def kv_reduce_hashed_shards(spark, d):
     shards = keyed.reduce_shards(read(spark, d, "part"), "p_partkey", 5, F.count(F.lit(1)).alias("n"), F.sum("p_size").alias("sizes"))
-    return shards.agg(F.sum("n").alias("n"), F.sum("sizes").alias("sizes"))
+    even = (F.count(F.lit(1)) == 32) & (F.max("n") < 2 * F.min("n") + 60)
+    return shards.agg(F.sum("n").alias("n"), F.sum("sizes").alias("sizes"), even.alias("spread"))
 
 
 @query("SELECT count(*) AS drained, CAST(0 AS BIGINT) AS left_over FROM part")
@@ -156,19 +159,10 @@ def kv_op_log_net_state(spark, d):
     return keyed.net_state(read(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error", ["event_type", "value"])
 
 
-@query("""
-SELECT probe, min(l_extendedprice) AS successor FROM (SELECT DISTINCT o_totalprice / 3 AS probe FROM orders WHERE o_orderkey % 50 = 0)
-LEFT JOIN (SELECT DISTINCT l_extendedprice FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01') ON l_extendedprice >= probe GROUP BY 1""")
-def pf_successor_lookup(spark, d):
-    probes = read(spark, d, "orders").where("o_orderkey % 50 = 0").select((F.col("o_totalprice") / 3).alias("probe")).distinct()
-    keys = read(spark, d, "lineitem").where(F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp_ntz")).select("l_extendedprice")
-    return keyed.successors(probes, keys, "probe", "l_extendedprice")
-
-
 @query("""
 SELECT probe, l_extendedprice AS successor FROM (SELECT DISTINCT o_totalprice / 3 AS probe FROM orders)
 ASOF LEFT JOIN (SELECT DISTINCT l_extendedprice FROM lineitem) ON probe <= l_extendedprice""")
-def pf_successor_lookup_all(spark, d):
+def pf_successor_lookup(spark, d):
     probes = read(spark, d, "orders").select((F.col("o_totalprice") / 3).alias("probe")).distinct()
     return keyed.successors(probes, read(spark, d, "lineitem").select("l_extendedprice"), "probe", "l_extendedprice")
 
@@ -235,3 +229,46 @@ def set_put_remove(spark, d):
 @query("SELECT user_id, count(*) AS \"rows\" FROM events GROUP BY 1 HAVING count(*) > 1")
 def kv_unique_violations(spark, d):
     return keyed.violations(read(spark, d, "events"), "user_id")
+
+
+@query("SELECT user_id AS key, arg_max(event_type, (ts, event_id)) AS value FROM events GROUP BY 1")
+def kv_build(spark, d):
+    """Built by inserting in order: of equal keys the last one stays."""
+    events = read(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("value"), "ts", "event_id")
+    built = keyed.upsert(events.limit(0).select("key", "value"), events, "key", ["ts", "event_id"])
+    return keyed.build(built, "key").select("key", "value")
+
+
+@query("SELECT p_partkey, p_name FROM part")
+def kv_save_load(spark, d):
+    path = f"{shared_folder(spark)}/saved-{uuid.uuid4()}"
+    keyed.save(_parts(spark, d), path, "p_partkey")
+    return keyed.load(spark, path)
+
+
+@query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_partkey DESC) - 1 AS BIGINT) AS number FROM part")
+def gc_ordered(spark, d):
+    """Iteration in descending order: rows with their numbers."""
+    down = _parts(spark, d).select((-F.col("p_partkey")).alias("down"), "p_partkey")
+    return keyed.numbered(keyed.ordered(down, "down"), ["down"]).select("p_partkey", "number")
+
+
+@query("SELECT p_partkey, upper(p_name) AS p_name FROM part WHERE p_partkey % 2 = 0")
+def gc_compute(spark, d):
+    def closure(batches):
+        for batch in batches:
+            even = batch[batch["p_partkey"] % 2 == 0]
+            yield even.assign(p_name=even["p_name"].str.upper())
+
+    return keyed.compute(_parts(spark, d), closure, "p_partkey long, p_name string")
+
+
+@query("SELECT s_suppkey - (SELECT max(s_suppkey) + 1 - (SELECT min(p_partkey) FROM part) FROM supplier) AS seq, s_name AS name FROM supplier UNION ALL SELECT p_partkey, p_name FROM part")
+def gc_push_front(spark, d):
+    table = _parts(spark, d).select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("name"))
+    return keyed.push(table, read(spark, d, "supplier").select(F.col("s_suppkey").alias("seq"), F.col("s_name").alias("name")), "seq", front=True)
+
+
+@query("SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 25")
+def gc_pop_front(spark, d):
+    return keyed.pop(_parts(spark, d), "p_partkey", 25)[0]

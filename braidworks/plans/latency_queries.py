@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from braidworks.functions import scalars
 from braidworks.operators import latency
 
-from .registry import query, read
+from .registry import DRAWN, query, read
 
 _TRACES = "(SELECT l_suppkey AS thread, l_orderkey * 10 + l_linenumber AS start_us, CAST(floor(l_extendedprice) AS BIGINT) % 5000 AS duration_us FROM lineitem)"
 
@@ -52,7 +53,14 @@ def pf_histogram_deltas(spark, d):
     return latency.histogram_deltas(snapshots, "t")
 
 
-@query()
+@query(f"""
+WITH t AS (SELECT thread % 4 AS thread, start_us, duration_us FROM {_TRACES}),
+n AS (SELECT *, row_number() OVER w - 1 AS i, first_value(start_us) OVER w AS base FROM t WINDOW w AS (PARTITION BY thread ORDER BY start_us, duration_us)),
+c AS (SELECT *, greatest((start_us - base + 4999) // 5000 - 1, 0) - i AS own FROM n),
+p AS (SELECT *, i + min(own) OVER (PARTITION BY thread ORDER BY i) AS win FROM c),
+r AS (SELECT *, count(*) OVER (PARTITION BY thread, win) AS k, row_number() OVER (PARTITION BY thread, win ORDER BY duration_us) - 1 AS place, max(win) OVER (PARTITION BY thread) AS last FROM p)
+SELECT thread, base + win * 5000 AS absl_start_us, base + win * 5000 AS start_us, duration_us FROM r
+WHERE k >= 100 AND win < last AND place = CAST(floor(0.99::DOUBLE * k) AS BIGINT)""")
 def pf_timeseries_p99(spark, d):
     return latency.window_percentiles(_traces(spark, d).withColumn("thread", F.col("thread") % 4), 5000, 99.0, "thread")
 
@@ -126,21 +134,27 @@ def pf_request_mix(spark, d):
     return read(spark, d, "events").groupBy(latency.request_mix(F.col("event_id") % 100).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""
+WITH g AS (SELECT s AS stream, i, greatest(1, CAST(round(-ln(1 - {DRAWN.format(seed=7, of="s || ':' || i")}) / 0.01::DOUBLE) AS BIGINT)) AS gap FROM range(4) a(s), range(1, 4001) b(i))
+SELECT stream, start_us FROM (SELECT stream, CAST(sum(gap) OVER (PARTITION BY stream ORDER BY i) AS BIGINT) AS start_us FROM g) WHERE start_us <= 100000""")
 def pf_arrivals(spark, d):
     return latency.arrivals(spark, 0.01, 100_000, seed=7, streams=4)
 
 
-@query()
+@query(f"""
+WITH w AS (SELECT value, sum((value + 1) ** -0.9::DOUBLE) OVER (ORDER BY value) AS upto FROM range(100) r(value))
+SELECT draw, CAST(least((SELECT count(*) FROM w WHERE upto <= u * (SELECT max(upto) FROM w)), 99) AS BIGINT) AS value FROM (SELECT draw, {DRAWN.format(seed=7, of="draw")} AS u FROM range(5000) d(draw))""")
 def pf_zipf(spark, d):
     return latency.zipf(spark, 100, 0.9, 5000, seed=7)
 
 
-@query("SELECT c_custkey, 5.0::DOUBLE AS fixed, true AS drawn FROM customer")
+@query(f"""
+SELECT c_custkey, 5.0::DOUBLE AS fixed, CASE WHEN u < 0.1 THEN 9.0::DOUBLE ELSE 1.0::DOUBLE END AS bimodal, round(-ln(1 - u) * 4.0::DOUBLE, 6) AS exponential
+FROM (SELECT c_custkey, {DRAWN.format(seed=3, of="c_custkey")} AS u FROM customer)""")
 def pf_service_time(spark, d):
-    low = latency.service_time("bimodal:1:9:0.1", 3)
-    drawn = (latency.service_time("exponential:4", 3) >= 0) & low.isin(1.0, 9.0)
-    return read(spark, d, "customer").select("c_custkey", latency.service_time("fixed:5").alias("fixed"), drawn.alias("drawn"))
+    draw = scalars.drawn(3, F.col("c_custkey"))
+    time = latency.service_time
+    return read(spark, d, "customer").select("c_custkey", time("fixed:5").alias("fixed"), time("bimodal:1:9:0.1", draw).alias("bimodal"), F.round(time("exponential:4", draw), 6).alias("exponential"))
 
 
 @query("""

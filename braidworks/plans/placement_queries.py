@@ -64,7 +64,11 @@ def pl_migration_dest(spark, d):
     return placement.migration_destinations(requests, nodes).select("req_id", F.coalesce("ip", F.lit(0).cast("long")).alias("ip"))
 
 
-@query()
+@query("""
+WITH RECURSIVE s AS (SELECT s_nationkey AS ip, s_acctbal AS x, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier WHERE s_nationkey % 4 <> 0),
+r AS (SELECT ip, i, x AS a FROM s WHERE i = 1
+ UNION ALL SELECT s.ip, s.i, CASE WHEN a = 0 THEN x ELSE 0.25 * x + 0.75 * a END FROM r JOIN s ON s.ip = r.ip AND s.i = r.i + 1)
+SELECT ip, round(arg_max(a, i), 6) AS cores, round(arg_max(a, i) * 2, 6) AS mem_mbs FROM r GROUP BY 1""")
 def pl_free_resources(spark, d):
     nodes = read(spark, d, "nation").select(F.col("n_nationkey").alias("ip"), (F.col("n_nationkey") % 4 == 0).alias("isol"))
     reports = read(spark, d, "supplier").select(F.col("s_nationkey").alias("ip"), F.col("s_suppkey").alias("seq"), F.col("s_acctbal").alias("cores"), (F.col("s_acctbal") * 2).alias("mem_mbs"))

@@ -11,6 +11,10 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: scalars.drawn in SQL, of a text that names what it's drawn for.
+DRAWN = "CAST('0x' || substr(md5('{seed}:' || {of}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from braidworks.functions import scalars
 
-from .registry import query, read
+from .registry import DRAWN, query, read
 
 
 @query("SELECT p_partkey, sha256(p_name) AS sha256, md5(p_name) AS md5 FROM part")
@@ -42,14 +42,23 @@ def sc_stream_kernels(spark, d):
     return read(spark, d, "part").select("p_partkey", scalars.stream_scale(F.array("p_size"), F.lit(3))[0].alias("scaled"), scalars.stream_triad(a, b, three)[0].alias("triad"))
 
 
-@query()
+_STEP = "(CAST(CAST({z} AS UHUGEINT) * {k}::UHUGEINT % 18446744073709551616::UHUGEINT AS UBIGINT))"  # 64 bits of a product
+
+
+@query(f"""
+WITH s AS (SELECT p_partkey, CAST((42 + CAST(p_partkey + 1 AS UHUGEINT) * {0x9E3779B97F4A7C15}::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT) AS z FROM part),
+a AS (SELECT p_partkey, {_STEP.format(z="xor(z, z >> 30)", k=0xBF58476D1CE4E5B9)} AS z FROM s),
+b AS (SELECT p_partkey, {_STEP.format(z="xor(z, z >> 27)", k=0x94D049BB133111EB)} AS z FROM a)
+SELECT p_partkey, CAST(xor(z, z >> 31) AS VARCHAR) AS draw FROM b""")
 def sc_splitmix64(spark, d):
     return read(spark, d, "part").select("p_partkey", scalars.splitmix64(42, F.col("p_partkey") + 1).cast("string").alias("draw"))
 
 
-@query("SELECT p_partkey, 12 AS size FROM part")
+@query(f"""
+SELECT p_partkey, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789', CAST(floor({DRAWN.format(seed=0, of="p_partkey || ':' || i")} * 62) AS INTEGER) + 1, 1), '' ORDER BY i) AS text
+FROM part, range(1, 13) r(i) GROUP BY 1""")
 def sc_random_text(spark, d):
-    return read(spark, d, "part").select("p_partkey", F.length(F.regexp_extract(scalars.random_text(F.col("p_partkey"), 12), "^[A-Za-z0-9]+$", 0)).alias("size"))
+    return read(spark, d, "part").select("p_partkey", scalars.random_text(F.col("p_partkey"), 12).alias("text"))
 
 
 @query("SELECT event_id, event_id + 1000 AS physical FROM events")

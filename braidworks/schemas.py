@@ -28,7 +28,7 @@ COMPOSE = _struct(
 )
 FANOUT_MESSAGE = _struct(user_id=LongType(), req_id=LongType(), post_id=LongType(), timestamp=LongType(), user_mentions_id=ArrayType(LongType()))
 TRACE = _struct(absl_start_us=LongType(), start_us=LongType(), duration_us=LongType())
-LOAD = _struct(proclet_id=LongType(), migratable=BooleanType(), mem_size=LongType(), cpu_load=FloatType())
+LOAD = _struct(task_id=LongType(), migratable=BooleanType(), mem_size=LongType(), cpu_load=FloatType())
 NODE = _struct(ip=LongType(), isol=BooleanType(), acquired=BooleanType(), cores=FloatType(), mem_mbs=FloatType())
 
 POST_TYPES = ["POST", "REPOST", "REPLY", "DM"]

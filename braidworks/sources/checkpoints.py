@@ -4,15 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def snapshot(df: DataFrame) -> DataFrame:
-    """`df` as it is now, written to the folder in spark.checkpoint.dir. Where none is set: to a new local one if all of Spark is in this process, else it fails."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where none is set: a new local one if all of Spark is in this process, else it fails."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="braidworks-checkpoints-"))
+        named = tempfile.mkdtemp(prefix="braidworks-checkpoints-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return named
+
+
+def snapshot(df: DataFrame) -> DataFrame:
+    """`df` as it is now, written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -78,7 +78,7 @@ def test_every_order_gets_its_successor(spark):
     data = "/root/testdata/sf0.001"
     keys = sorted({r.k for r in spark.read.parquet(f"{data}/lineitem.parquet").selectExpr("l_extendedprice AS k").collect()})
     probes = {r.p for r in spark.read.parquet(f"{data}/orders.parquet").selectExpr("o_totalprice / 3 AS p").collect()}
-    got = keyed_queries.pf_successor_lookup_all(spark, data).collect()
+    got = keyed_queries.pf_successor_lookup(spark, data).collect()
     assert sorted((r.probe, r.successor) for r in got) == sorted((p, keys[i] if (i := bisect_left(keys, p)) < len(keys) else None) for p in probes)
 
 
@@ -105,3 +105,20 @@ def test_empty_tables(spark):
     none = table(spark).limit(0)
     assert keyed.size(none).first().empty and keyed.drain(none, F.count(F.lit(1)).alias("n"))[0].first().n == 0
     assert keyed.upsert(none, spark.createDataFrame([], "k long, v string, seq long"), "k", ["seq"]).count() == 0
+
+
+def test_rows_are_numbered_across_ranges(spark):
+    rows = [(i * 7919 % 1000, i) for i in range(1000)] + [(5, 5000), (5, 5001)]
+    df = spark.createDataFrame(rows, "k long, x long")
+    got = keyed.numbered(df, ["k", "x"], "n").collect()
+    assert [(r.k, r.x) for r in sorted(got, key=lambda r: r.n)] == sorted(rows) and sorted(r.n for r in got) == list(range(1002))
+    assert keyed.numbered(df.limit(0), ["k"]).count() == 0
+
+
+def test_successors_match_a_scan(spark):
+    keys, probes = [1.0, 5.0, 5.0, 9.5, None], [0.0, 1.0, 4.9, 5.0, 9.5, 9.6, None]
+    got = keyed.successors(spark.createDataFrame([(p,) for p in probes], "p double"), spark.createDataFrame([(k,) for k in keys], "k double"), "p", "k")
+    expected = {p: min((k for k in keys if k is not None and k >= p), default=None) if p is not None else None for p in probes}
+    assert {r.p: r.successor for r in got.collect()} == expected
+    none = keyed.successors(spark.createDataFrame([(1.0,)], "p double"), spark.createDataFrame([], "k double"), "p", "k")
+    assert [tuple(r) for r in none.collect()] == [(1.0, None)]

@@ -54,6 +54,12 @@ def test_arrivals_keep_their_rate(spark):
     assert abs(n - 5000) < 250
 
 
+def test_arrivals_fill_the_time_however_few_were_drawn_first(spark):
+    few = latency.arrivals(spark, 2.0, 3000, seed=4, streams=2).groupBy("stream").agg(F.count(F.lit(1)).alias("n"), F.max("start_us").alias("last")).collect()
+    assert len(few) == 2 and all(r["last"] > 2990 for r in few)
+    assert latency.arrivals(spark, 0.5, 100, streams=0).count() == 0
+
+
 def test_zipf_weights(spark):
     got = {r.value: r.n for r in latency.zipf(spark, 3, 1.0, 6000, seed=1).groupBy("value").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = 1 + 1 / 2 + 1 / 3

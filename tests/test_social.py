@@ -2,6 +2,7 @@ import base64
 import hashlib
 import hmac
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +55,44 @@ def test_removal_leaves_former_followers_entries(spark):
     assert sorted((r.user_id, r.post_id) for r in left.home_timeline.collect() if r.post_id == 2) == [(9, 2)]
 
 
+def test_pages_from_posts_are_those_of_written_timelines(spark):
+    draw = random.Random(3)
+    posts = [(draw.randrange(6), draw.randrange(40), i, [draw.randrange(9)] * draw.randrange(3)) for i in range(200)]
+    posts = spark.createDataFrame(posts, "user_id long, timestamp long, post_id long, mentioned array<long>")
+    edges = spark.createDataFrame(sorted({(draw.randrange(9), draw.randrange(6)) for _ in range(25)}), "follower long, followee long")
+    for start, stop in ((0, 5), (3, 12), (0, 300), (4, 4)):
+        whole = social.page(social.home_entries(posts, edges, "mentioned").distinct(), start, stop).collect()
+        assert sorted(whole) == sorted(social.home_page(posts, edges, start, stop, "mentioned").collect())
+    entries = social.home_entries(posts, edges, "mentioned")
+    assert entries.count() == entries.distinct().count()
+
+
+def test_tokens_are_verified(spark):
+    users = social.registered(spark.createDataFrame([("bob", 2, "pw"), ("zoë", 34567, "pw")], "username string, user_id long, password string"), F.lit("salt"))
+    tokens = social.login(spark.createDataFrame([("bob", "pw"), ("zoë", "pw")], "username string, password string"), users, "secret", F.lit(100)).select("token")
+    assert sorted(tuple(r)[1:] for r in social.verified(tokens, "secret", F.lit(3700)).collect()) == [(2, "bob"), (34567, "zoë")]
+    assert social.verified(tokens, "secret", F.lit(3701)).count() == 0 and social.verified(tokens, "other", F.lit(100)).count() == 0
+    odd = spark.createDataFrame([(None,), ("",), ("a.b",), ("a.b.c.d",)], "token string")
+    assert social.verified(odd, "secret", F.lit(0)).count() == 0
+
+
+def test_media_arrays_default_to_empty(spark):
+    media = lambda i, t: one(spark, social.decoded_media(F.lit(i), F.lit(t)))
+    assert media("[5, 6]", '["png","jpg"]') == [(5, "png"), (6, "jpg")] and media(None, "") == [] and media(" [ ] ", None) == []
+    for ids, types in (("[5]", "[]"), ("[5", '["png"]'), ("x", "[]")):
+        with pytest.raises(Exception, match="differ in number|JSON array"):
+            media(ids, types)
+
+
+def test_post_store(spark):
+    posts = spark.createDataFrame([(1, "a"), (2, "b")], "post_id long, text string")
+    assert sorted(map(tuple, social.store_posts(posts, spark.createDataFrame([(2, "x"), (3, "c")], "post_id long, text string")).collect())) == [(1, "a"), (2, "b"), (3, "c")]
+    ids = spark.createDataFrame([(2,), (2,), (9,)], "post_id long")
+    assert [r.text for r in social.posts_of(posts, ids).collect()] == ["b"]
+    left, gone = social.delete_posts(posts, ids)
+    assert [r.post_id for r in left.collect()] == [1] and sorted(map(tuple, gone.collect())) == [(2, True), (9, False)]
+
+
 def test_compose_writes_all_tables(spark):
     users = social.registered(spark.createDataFrame([("bob", 2, "B", "B", "pw"), ("eve", 3, "E", "E", "pw")], "username string, user_id long, first_name string, last_name string, password string"), F.lit("s"))
     asked = spark.createDataFrame(
