@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .bktree import Forest
 from .common import cut, fresh, looked_up
 from .components import connected_components
-from .signatures import mix, signatures
+from .signatures import OddSketches, mix, odd_sketch, signatures
 
 BITS = 64
 #: Members that a shard's tree holds at most; shards with more are searched slice against slice.
@@ -147,12 +147,28 @@ def near_duplicates(documents: DataFrame, radius: int = 4, words: int = 4, seed:
 
 #: Standard deviations by which the fingerprints of two texts at exactly the least similarity may differ more than expected. One pair in 10^9 does.
 SPREAD = 6.0
+#: Texts of candidate pairs that are broadcast at most to fetch their shingles, as 32 bytes each; more meet their rows by shuffle.
+BROADCAST_TEXTS = 1 << 20
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Shingle signatures that a task of the candidate search takes, about.
 TASK_SIGNATURES = 1 << 21
 #: Times as many candidates of another class a text gives in each further search.
 NEXT_CANDIDATES = 4
 
 
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The different hashes of a text's shingles, sorted. A shingle's is made of its words' hashes, so each word is hashed once."""
+    found = text.encode("utf-8", "surrogatepass").lower().split()
+    h = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+    size = min(words, len(h))
+    if not size:
+        return h
+    rolled = h[: len(h) - size + 1]
+    for j in range(1, size):
+        rolled = rolled * FACTOR + h[j : len(h) - size + 1 + j]
+    return np.unique(mix(rolled))
+
+
 def wide(own: np.ndarray) -> tuple[int, int]:
     """A 128-bit SimHash of a set of hashes: of themselves, and of themselves mixed."""
     return majority(own), majority(mix(own))
@@ -178,7 +194,7 @@ def shared_signatures(documents: DataFrame, words: int, similarity: float, tasks
             for i, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist()):
                 if i not in seen:
                     seen.add(i)
-                    marks.append(signatures(np.unique(shingle_hashes(text, words)), similarity))
+                    marks.append(signatures(shingle_set(text, words), similarity))
                     ids.append(np.full(len(marks[-1]), i, np.int64))
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(marks).view(np.int64)), pa.array(np.concatenate(ids))], names=["signature", "id"])
@@ -201,8 +217,8 @@ def shared_signatures(documents: DataFrame, words: int, similarity: float, tasks
     return dealt.repartition(tasks, "signature").mapInArrow(meet, "signature long, id long, first long")
 
 
-def nearest_of_classes(texts: DataFrame, radius: int, most: int, tasks: int) -> DataFrame:
-    """Candidate edges (a, b, d) among `texts` (signature, id, fp0, fp1, class): of a signature's texts, those of another class whose fingerprints differ in d bits, up to `radius`.
+def nearest_of_classes(texts: DataFrame, radius: int, similarity: float, most: int, tasks: int) -> DataFrame:
+    """Candidate edges (a, b, d) among `texts` (signature, id, fp0, fp1, size, odd, class): of a signature's texts, those of another class whose fingerprints differ in d bits, up to `radius`, and whose odd sketches let them be similar.
 
     The texts of a signature are a shard, and its BK-tree is searched for each of them. A text gives the `most` nearest of every
     other class in the shard; where that leaves out a pair from both sides, an edge with a d of -1 joins some text
@@ -221,13 +237,18 @@ def nearest_of_classes(texts: DataFrame, radius: int, most: int, tasks: int) ->
         same = np.r_[False, (np.diff(mark) == 0) & (np.diff(classes) == 0)]
         label = np.maximum.accumulate(np.where(same, 0, np.arange(len(mark))))
         forest = Forest(words, mark, -1, label)
+        sketches = OddSketches(rows["odd"].take(pa.array(order)).to_pylist(), rows["size"].to_numpy()[order])
 
         def edges(a, b, d):
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[a], ids[b])), pa.array(np.minimum(ids[a], ids[b])), pa.array(d.astype(np.int32))], names=["a", "b", "d"])
 
         left_out = [np.zeros((0, 2), np.int64)]  # (class, other class) of lists that were cut
         for start in range(0, len(ids), 4096):
-            found = list(forest.search(np.arange(start, min(len(ids), start + 4096)), radius))
+            found = []
+            for q, node, d in forest.search(np.arange(start, min(len(ids), start + 4096)), radius):
+                good = sketches.may_be_similar(q, node, similarity)
+                if good.any():
+                    found.append((q[good], node[good], d[good]))
             if not found:
                 continue
             q, node, d = (np.concatenate(x) for x in zip(*found))
@@ -242,7 +263,7 @@ def nearest_of_classes(texts: DataFrame, radius: int, most: int, tasks: int) ->
         both = (a < b) & np.isin(a * len(ids) + b, b * len(ids) + a)  # cut from one side only, the other side gave all
         yield edges(a[both], b[both], np.full(both.sum(), -1))
 
-    found = texts.select("signature", "id", "fp0", "fp1", "class").repartition(tasks, "signature").mapInArrow(grow, "a long, b long, d int")
+    found = texts.select("signature", "id", "fp0", "fp1", "size", "odd", "class").repartition(tasks, "signature").mapInArrow(grow, "a long, b long, d int")
     return found.groupBy("a", "b").agg(F.max("d").alias("d"), F.min("d").alias("least_d"))
 
 
@@ -260,52 +281,64 @@ def drop_near_duplicates(documents: DataFrame, words: int = 5, similarity: float
     `similarity`, and classes are connected components. Any two such texts share a signature (see
     signatures.py), so the texts of a signature are a shard. First each shard's texts are compared with one of them, which joins
     nearly all copies; in the shards that still hold several classes, BK-trees of 128-bit SimHash fingerprints find
-    what may be similar across classes, and this is repeated until nothing is left unchecked between two classes.
-    Each candidate is checked on the whole texts. Signatures are less than one a shingle whatever the number of texts.
+    what may be similar across classes, odd sketches leave out nearly all that isn't and nothing that is, and this is
+    repeated until nothing is left unchecked between two classes. Each candidate is checked on the whole texts. Signatures are less than one a shingle whatever the number of texts.
 
     Null texts are empty; texts without words are near copies of each
     other; a null doc_id comes last in its class; of rows that repeat one stays.
     """
     radius = wide_radius(similarity)
 
-    @F.pandas_udf("struct<fp0: long, fp1: long, size: long>")
+    @F.pandas_udf("struct<fp0: long, fp1: long, size: long, odd: binary>")
     def described(texts: pd.Series) -> pd.DataFrame:
-        sets = [np.unique(shingle_hashes(t, words)) for t in texts]
+        sets = [shingle_set(t, words) for t in texts]
         bits = np.array([wide(s) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
-        return pd.DataFrame({"fp0": bits[:, 0], "fp1": bits[:, 1], "size": np.array([len(s) for s in sets], np.int64)})
+        return pd.DataFrame({"fp0": bits[:, 0], "fp1": bits[:, 1], "size": np.array([len(s) for s in sets], np.int64), "odd": [odd_sketch(s) for s in sets]})
 
     @F.pandas_udf("binary")
-    def shingle_set(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, words)).astype("<u8").tobytes() for t in texts])
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, words).astype("<u8").tobytes() for t in texts])
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series, a_size: pd.Series, b_size: pd.Series) -> pd.Series:
+        n = np.arange(len(a))
+        both = OddSketches([*a, *b], np.concatenate([a_size, b_size])) if len(a) else None
+        return pd.Series(both.may_be_similar(n, n + len(a), similarity) if len(a) else [], dtype=bool)
 
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similarity_of(x, y) >= similarity for x, y in zip(a, b)], dtype=bool)
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    h0, h1, least = (fresh(documents, name) for name in ("__h0", "__h1", "__least"))
+    h0, h1, least, rows = (fresh(documents, name) for name in ("__h0", "__h1", "__least", "__rows"))
     keys = [F.xxhash64(text).alias(h0), F.xxhash64(F.lit(1), text).alias(h1)]  # together they name a text; h0 alone names it well enough for candidates
-    hashed = documents.select("doc_id", *keys, described.asNondeterministic()(text).alias("w"))
-    texts = hashed.groupBy(h0, h1).agg(F.min("doc_id").alias("least"), F.any_value("w").alias("w"))
-    texts = cut(texts.select(h0, h1, "least", "w.fp0", "w.fp1", "w.size").withColumn("id", F.monotonically_increasing_id()))
+    hashed = documents.select("doc_id", *keys, described.asNondeterministic()(text).alias("w")).groupBy(h0, h1, "doc_id").agg(F.any_value("w").alias("w"), F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id")
+    texts = hashed.groupBy(h0, h1).agg(F.min_by(F.struct("doc_id", "n"), order).alias("l"), F.any_value("w").alias("w"))
+    texts = cut(texts.select(h0, h1, F.col("l.doc_id").alias("least"), F.col("l.n").alias("rows"), "w.fp0", "w.fp1", "w.size", "w.odd").withColumn("id", F.monotonically_increasing_id()))
     tasks = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), (texts.agg(F.sum("size")).first()[0] or 0) // TASK_SIGNATURES)
     shards = cut(shared_signatures(documents.select(keys[0].alias("id"), text.alias("text")), words, similarity, tasks))
-    facts = ["id", "fp0", "fp1", "size"]
+    facts = ["id", "fp0", "fp1", "size", "odd"]
     ends = {side: texts.select(F.col(h0).alias(side + "_hash"), *[F.col(c).alias(side if c == "id" else f"{side}_{c}") for c in facts]) for side in ("a", "b")}
 
+    def few(some: DataFrame) -> DataFrame:
+        """As it is now, to be broadcast if that's of a bounded size."""
+        some = cut(some)
+        return F.broadcast(some) if some.count() <= BROADCAST_TEXTS else some
+
     def may_be_similar(pairs: DataFrame) -> DataFrame:
-        """(a, b) as numbers of texts, of pairs of hashes, as far as sizes and fingerprints let them be similar."""
+        """(a, b) as numbers of texts, of pairs of hashes, as far as sizes, fingerprints and sketches let them be similar."""
         both = pairs.join(ends["a"], "a_hash").join(ends["b"], "b_hash").where("a <> b")
         sized = F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * similarity - 1e-6
         bits = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in ("fp0", "fp1")), F.lit(0))
-        return both.where(sized & (bits <= radius)).select("a", "b")
+        return both.where(sized & (bits <= radius)).where(near("a_odd", "b_odd", "a_size", "b_size")).select("a", "b")
 
     def checked(some: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar, by their whole texts."""
         some = cut(some)
-        involved = some.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(texts, "id").select("id", h0, h1, "least")
+        involved = few(some.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(texts, "id").select("id", h0, h1, "least"))
         whole = documents.select(*keys, "doc_id", text.alias("__text")).join(involved, [h0, h1]).where(F.col("doc_id").eqNullSafe(F.col("least")))
-        sets = cut(whole.select("id", shingle_set("__text").alias("shingles")).groupBy("id").agg(F.any_value("shingles").alias("shingles")))
+        sets = cut(whole.select("id", hashes("__text").alias("shingles")).groupBy("id").agg(F.any_value("shingles").alias("shingles")))
         sides = [sets.select(F.col("id").alias(side), F.col("shingles").alias("s" + side)) for side in ("a", "b")]
         return cut(some.join(sides[0], "a").join(sides[1], "b").where(similar("sa", "sb")).select("a", "b"))
 
@@ -314,12 +347,12 @@ def drop_near_duplicates(documents: DataFrame, words: int = 5, similarity: float
     linked, most, open_ = checked(seen.unionByName(same_hash)), 1, None
     while True:
         roots = cut(connected_components(linked))
-        class_of = texts.join(roots, texts.id == roots.node, "left").select(h0, "id", "fp0", "fp1", F.coalesce("root", "id").alias("class"))
+        class_of = texts.join(roots, texts.id == roots.node, "left").select(h0, "id", "fp0", "fp1", "size", "odd", F.coalesce("root", "id").alias("class"))
         if open_ is not None:
             class_of = class_of.join(open_, "class", "left_semi")
         placed = shards.select("signature", F.col("id").alias(h0)).join(class_of, h0)
         mixed = placed.groupBy("signature").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("signature")
-        some = cut(nearest_of_classes(placed.join(mixed, "signature", "left_semi"), radius, most, tasks))
+        some = cut(nearest_of_classes(placed.join(mixed, "signature", "left_semi"), radius, similarity, most, tasks))
         pairs = some.where("d >= 0").select("a", "b").join(seen.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
         new = cut(pairs)
         linked = linked.unionByName(checked(new))
@@ -330,8 +363,9 @@ def drop_near_duplicates(documents: DataFrame, words: int = 5, similarity: float
         if open_.isEmpty():
             break
         seen, most = seen.unionByName(new), most * NEXT_CANDIDATES
-    rooted = texts.join(roots, texts.id == roots.node, "left").select(h0, h1, "least", "id", F.coalesce("root", "id").alias("root"))
+    rooted = texts.join(roots, texts.id == roots.node, "left").select(h0, h1, "least", "rows", "id", F.coalesce("root", "id").alias("root"))
     first = F.struct(F.col("least").isNull(), F.col("least"), F.col("id"))
-    kept = rooted.groupBy("root").agg(F.min_by(F.struct(F.col(h0).alias("h0"), F.col(h1).alias("h1"), "least"), first).alias("k")).select(F.col("k.h0").alias(h0), F.col("k.h1").alias(h1), F.col("k.least").alias(least))
+    kept = rooted.groupBy("root").agg(F.min_by(F.struct(h0, h1, "least", "rows"), first).alias("k")).select(f"k.{h0}", f"k.{h1}", F.col("k.least").alias(least), F.col("k.rows").alias(rows))
     marked = documents.withColumns({h0: keys[0], h1: keys[1]}).join(kept, [h0, h1]).where(F.col("doc_id").eqNullSafe(F.col(least)))
-    return marked.dropDuplicates([h0, h1]).select(*[F.col(f"`{c}`") for c in documents.columns])
+    repeated = marked.where(F.col(rows) > 1).dropDuplicates([h0, h1])  # the same id and text more than once
+    return marked.where(F.col(rows) == 1).unionByName(repeated).select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from braidworks.llm.signatures import signatures
+from braidworks.llm.signatures import OddSketches, odd_sketch, signatures
 from braidworks.llm import bktree, components, decontaminate, fmindex, packing, prefixhash, simhash, tokens
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -253,15 +253,27 @@ def test_similar_sets_share_a_signature():
     draw = np.random.default_rng(5)
     seen = 0
     for _ in range(6000):
-        a = draw.integers(0, 2**63, int(draw.choice([1, 2, 3, 4, 5, 7, 9, 12, 17, 25, 40, 80, 250])) + int(draw.integers(0, 6)), dtype=np.uint64)
-        b = np.concatenate([a[draw.integers(0, len(a) // 4 + 1) :], draw.integers(0, 2**63, draw.integers(0, len(a) // 4 + 1), dtype=np.uint64)])
+        a = draw.integers(0, 2**64, int(draw.choice([1, 2, 3, 4, 5, 7, 9, 12, 17, 25, 40, 80, 250])) + int(draw.integers(0, 6)), dtype=np.uint64)
+        b = np.concatenate([a[draw.integers(0, len(a) // 4 + 1) :], draw.integers(0, 2**64, draw.integers(0, len(a) // 4 + 1), dtype=np.uint64)])
         both = len(np.intersect1d(a, b))
         if both >= 0.8 * (len(a) + len(b) - both):
             seen += 1
-            assert len(np.intersect1d(signatures(a, 0.8), signatures(b, 0.8)))
+            assert len(np.intersect1d(signatures(np.sort(a), 0.8), signatures(np.sort(b), 0.8)))
     assert seen > 2000
     assert len(signatures(np.zeros(0, np.uint64), 0.8)) == 1
-    assert len(signatures(draw.integers(0, 2**63, 10**5, dtype=np.uint64), 0.8)) < 0.8 * 10**5
+    assert len(signatures(np.sort(draw.integers(0, 2**64, 10**5, dtype=np.uint64)), 0.8)) < 0.8 * 10**5
+
+
+def test_odd_sketches_leave_out_no_similar_pair():
+    draw = np.random.default_rng(12)
+    sets = []
+    for n in (0, 1, 5, 60, 250, 260, 1000, 1100):
+        base = np.unique(draw.integers(0, 2**64, n, dtype=np.uint64))
+        sets += [base] + [np.unique(np.r_[base[draw.integers(0, n // 4 + 1) :], draw.integers(0, 2**64, draw.integers(0, n // 4 + 1), dtype=np.uint64)]) for _ in range(6)]
+    a, b = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    got = OddSketches([odd_sketch(s) for s in sets], np.array([len(s) for s in sets])).may_be_similar(a, b, 0.8)
+    true = np.array([jaccard(set(sets[i].tolist()), set(sets[j].tolist())) for i, j in zip(a, b)])
+    assert got[true >= 0.8].all() and not got[true < 0.6].any() and got.sum() < 1.3 * (true >= 0.8).sum()
 
 
 def test_a_crowd_of_near_copies_gives_a_star(spark):
