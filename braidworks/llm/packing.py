@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 from .tokens import encode, encoder_at
 
 SEQUENCE_TOKENS = 1024
@@ -69,20 +69,21 @@ def place(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, group_pieces: int
     Pieces are dealt to groups at random, by a hash of the piece and of its place in the
     input, so rows that repeat spread too; each group is packed apart. The table is written
     to the shared checkpoint folder first: a lost executor can't deal a piece anew. All
-    columns are kept.
+    columns are kept, whatever their names.
     """
-    pieces = cut(pieces.withColumn("__nth", F.monotonically_increasing_id()))
+    nth, part = fresh(pieces, "__nth"), fresh(pieces, "__group")
+    pieces = cut(pieces.withColumn(nth, F.monotonically_increasing_id()))
     groups = max(1, -(-pieces.count() // group_pieces))
-    schema = pieces.drop("__nth").schema.add("sequence_id", "long").add("offset", "long")
+    schema = pieces.drop(nth).schema.add("sequence_id", "long").add("offset", "long")
 
     def pack(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by([("length", "descending"), ("__nth", "ascending")])
+        group = group.sort_by([("length", "descending"), (nth, "ascending")])
         bins, offsets = first_fit_decreasing(group["length"].to_numpy(), capacity)
         group = group.append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins)).append_column("offset", pa.array(offsets))
         return group.select(schema.names)
 
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "start", "__nth", F.lit(seed)), F.lit(groups)))
-    return dealt.groupBy("__group").applyInArrow(pack, schema)
+    dealt = pieces.withColumn(part, F.pmod(F.xxhash64("doc_id", "start", nth, F.lit(seed)), F.lit(groups)))
+    return dealt.groupBy(part).applyInArrow(pack, schema)
 
 
 def pack_documents(documents: DataFrame, path: str, capacity: int = SEQUENCE_TOKENS, with_ids: bool = True) -> DataFrame:
