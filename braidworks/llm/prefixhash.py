@@ -9,18 +9,20 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Hashes are modulo 2**31 - 1, whose products fit 64 bits and which is reduced by shifts, for two bases: both must agree.
 MODULUS = np.uint64(2**31 - 1)
 BASES = np.array([1102937413, 736492951], np.uint64)
 #: Code points of a block that is looked up anywhere in another text.
 BLOCK = 32
-#: Documents of one run of neighbouring ids, on average.
-RUN_DOCUMENTS = 512
-#: Runs at most: their first ids go through the driver.
-MOST_RUNS = 65_536
+#: Bytes of text in a range of neighbouring ids, about.
+RANGE_BYTES = 256 << 20
+#: Results that a task puts out at once.
+BATCH_ROWS = 1024
 
 
 def reduced(values: np.ndarray) -> np.ndarray:
@@ -34,12 +36,15 @@ def reduced(values: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of both bases, as many as the longest text so far has needed."""
+    """Powers of both bases, as many as the longest text of late has needed: what a very long one needed is given back."""
 
+    KEPT = 1 << 22
     table = np.ones((2, 1), np.uint64)
 
     @classmethod
     def upto(cls, n: int) -> np.ndarray:
+        if cls.table.shape[1] > cls.KEPT >= n:
+            cls.table = cls.table[:, : cls.KEPT].copy()
         while cls.table.shape[1] < n:
             top = reduced(cls.table[:, -1] * BASES)
             cls.table = np.concatenate([cls.table, reduced(cls.table * top[:, None])], axis=1)
@@ -135,70 +140,68 @@ def edited(own: PrefixHashes, following: PrefixHashes) -> PrefixHashes:
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: What a task puts out: results (`range` is null), and the first and last document of its range, whose neighbours are elsewhere.
+_EDGES = RESULT + ", range int, first struct<doc_id: long, text: string>, last struct<doc_id: long, text: string>"
 
 
-def _compare(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """A row for each document but the bounds; each is compared with the one after it in its run."""
-    previous = None
-    for run, bound, doc_id, text in rows:
-        hashes = PrefixHashes(text)
-        if previous is not None and previous[0] == run:
-            own = previous[2]
-            other = edited(own, hashes)
-            sha = hashlib.sha256(other.text.encode("utf-8", "surrogatepass")).hexdigest()
-            yield previous[1], own.n, sha, own.fingerprint, other.fingerprint, likeness(own, other), likeness(own, hashes)
-        previous = None if bound else (run, doc_id, hashes)
-
-
-def _run_of(doc_id: Column, cuts: list[int], parts: int) -> Column:
-    """Number of the run of an id: the cuts at or below it, and which of `parts` equal parts between two cuts."""
-    if not cuts:
-        return F.lit(0)
-    bounds = F.array(*[F.lit(c) for c in cuts])
-    nth = F.size(F.filter(bounds, lambda c: c <= doc_id))
-    low, high = F.try_element_at(bounds, nth), F.try_element_at(bounds, nth + 1)
-    part = F.floor((doc_id - low).cast("double") / (high - low) * parts).cast("int")
-    return F.coalesce(nth * parts + F.least(F.coalesce(part, F.lit(0)), F.lit(parts - 1)), F.lit(0))
-
-
-def runs_of_neighbours(documents: DataFrame, run_documents: int = RUN_DOCUMENTS) -> DataFrame:
-    """The documents in runs of neighbouring ids: (run, bound, doc_id, text), each run sorted inside one partition.
-
-    Each run ends with a `bound`, the first document of the next run (after the last run, of the
-    first one), so a task compares neighbours without looking into another run, and a
-    text is shuffled once. Only the runs' first ids, MOST_RUNS at most, pass the driver.
-    Rows sort by doc_id, nulls first, then by text.
-    """
-    spark = documents.sparkSession
-    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = docs.count()
-    quantiles = min(1024, n // run_documents)
-    parts = max(1, min(MOST_RUNS // 1024, n // (1024 * run_documents)))
-    at = [k / quantiles for k in range(quantiles)]
-    cuts = sorted({int(c) for c in docs.approxQuantile("doc_id", at, 0.1 / quantiles)}) if quantiles > 1 else []
-    placed = docs.withColumn("run", _run_of(F.col("doc_id"), cuts, parts))
-    firsts = sorted((r.run, r.k.doc_id) for r in placed.groupBy("run").agg(F.min(F.struct("doc_id")).alias("k")).toLocalIterator())
-    bounds = [(first, before[0]) for (_, first), before in zip(firsts, firsts[-1:] + firsts[:-1])]
-    bounds = F.broadcast(spark.createDataFrame(bounds, "first_id long, before int"))
-    marked = placed.join(bounds, placed.doc_id.eqNullSafe(F.col("first_id")), "left")
-    place = F.array(F.struct(F.col("run"), F.lit(False).alias("bound")), F.struct(F.col("before").alias("run"), F.lit(True).alias("bound")))
-    dealt = marked.select(F.explode(F.filter(place, lambda p: p["run"].isNotNull())).alias("p"), "doc_id", "text").select("p.run", "p.bound", "doc_id", "text")
-    return dealt.repartition("run").sortWithinPartitions("run", "bound", "doc_id", "text")
-
-
-def compare_with_edits(documents: DataFrame, run_documents: int = RUN_DOCUMENTS) -> DataFrame:
+def _compared(doc_id: int | None, own: PrefixHashes, following: PrefixHashes) -> tuple:
+    """A document's row of the result."""
+    other = edited(own, following)
+    sha = hashlib.sha256(other.text.encode("utf-8", "surrogatepass")).hexdigest()
+    return doc_id, own.n, sha, own.fingerprint, other.fingerprint, likeness(own, other), likeness(own, following)
+
+
+def compare_with_edits(documents: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how alike they and the next document's are.
 
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. A null
     text is empty; two empty texts are alike (1). Of rows that repeat, each is the next of the one
-    before; a single row is its own next. Null ids come first. Empty tables give empty ones.
+    before; a single row is its own next. Null ids come first; equal ids go by their texts' hashes. Empty tables give empty ones.
+
+    Documents are dealt to sorted ranges of about `range_bytes`, so a text is shuffled once, and a task streams through its range with two
+    texts in hand. What remains are a range's last document and the next range's first one: a pair a range, compared apart. Bounds
+    are sampled from ids and hashes alone, so many rows of one id are more than one range.
     """
+    spark = documents.sparkSession
+    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // range_bytes)
+    order = [F.asc_nulls_first("doc_id"), F.col("hash"), F.col("text")]
+    dealt = docs.repartitionByRange(ranges, *order[:2]).sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("range"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-        rows = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns)))
-        results = _compare(rows)
-        while part := list(islice(results, 4096)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), schema.types)], schema=schema)
-
-    return runs_of_neighbours(documents, run_documents).mapInArrow(compare, RESULT)
+        def results() -> Iterator[tuple]:
+            before = first = None
+            for batch in batches:
+                for doc_id, text, number in zip(*(column.to_pylist() for column in batch.columns)):
+                    hashes = PrefixHashes(text)
+                    if before is None:
+                        first = (number, {"doc_id": doc_id, "text": text})
+                    else:
+                        yield *_compared(*before, hashes), None, None, None
+                    before = (doc_id, hashes)
+            if before is not None:
+                yield *[None] * 7, *first, {"doc_id": before[0], "text": before[1].text}
+
+        rows = results()
+        while part := list(islice(rows, BATCH_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], schema=pa.schema(list(zip(names, types))))
+
+    edge = pa.struct([("doc_id", pa.int64()), ("text", pa.string())])
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "range", "first", "last"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), edge, edge]
+    done = cut(dealt.mapInArrow(compare, _EDGES))
+    inside = done.where("range is null").select(*names[:7])
+    ends = done.where("range is not null").select("range", "first", "last")
+    numbers = sorted(r["range"] for r in ends.select("range").collect())  # numbers of ranges that have rows
+    after = spark.createDataFrame(list(zip(numbers, numbers[1:] + numbers[:1])), "range int, next int")
+    pairs = ends.select("range", "last").join(after, "range").join(ends.select(F.col("range").alias("next"), "first"), "next")
+
+    def compare_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text, following in zip(*(column.to_pylist() for column in batch.columns)):
+                row = _compared(doc_id, PrefixHashes(text), PrefixHashes(following))
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], schema=pa.schema(list(zip(names[:7], types[:7]))))
+
+    apart = pairs.select(F.col("last.doc_id").alias("doc_id"), F.col("last.text").alias("text"), F.col("first.text").alias("following")).mapInArrow(compare_ends, RESULT)
+    return inside.unionByName(apart)

@@ -1,6 +1,7 @@
 """Text operators against brute force on small tables with nulls, repeats, ties, odd characters and clashing columns."""
 
 import hashlib
+import json
 import random
 import struct
 import zlib
@@ -51,6 +52,24 @@ def test_a_run_without_white_space_widens_to_the_whole():
     assert tokens.encode(encoder, text, 64, 4).tolist() == encoder.ids(text).tolist()
 
 
+def test_other_vocabularies_have_no_stable_places():
+    with open(VOCABULARY, encoding="utf-8") as file:
+        settings = json.load(file)
+    assert tokens.is_plain(settings)
+    model, split, special = settings["model"], settings["pre_tokenizer"], settings["added_tokens"][0]
+    swapped = [model["merges"][1], model["merges"][0], *model["merges"][2:]]
+    for other in (
+        {"normalizer": {"type": "NFC"}}, {"pre_tokenizer": split | {"add_prefix_space": True}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": model | {"ignore_merges": True}},
+        {"model": model | {"merges": swapped}}, {"added_tokens": [special | {"lstrip": True}]}, {"added_tokens": [special | {"content": "a b"}]},
+    ):
+        assert not tokens.is_plain(settings | other)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, encoder = Tokenizer.from_file(path), tokens.Encoder(path)
+    assert not encoder.plain and encoder.fast is None
+    for text in odd_texts(60, most=200):
+        assert tokens.encode(encoder, text, 20, 5).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_token_counts(spark):
     texts = [None, "", *odd_texts(30), "word " * 9000]
     rows = [(i, t) for i, t in enumerate(texts)] + [(1, ""), (None, "x")]
@@ -116,6 +135,13 @@ def test_packing_keeps_every_id_once(spark):
     assert packing.pack_documents(documents(spark, []), VOCABULARY).count() == 0
 
 
+def test_packing_keeps_columns_of_any_name(spark):
+    pieces = spark.createDataFrame([(i, 0, 1 + i % 9) for i in range(50)], "doc_id long, start long, length long").withColumns({c: F.lit(c) for c in ("__nth", "__group", "_", "n")})
+    got = packing.place(pieces, 16, 20)
+    assert got.columns == [*pieces.columns, "sequence_id", "offset"]
+    assert {(r["__nth"], r["__group"]) for r in got.collect()} == {("__nth", "__group")} and got.count() == 50
+
+
 # Fingerprints.
 
 
@@ -341,12 +367,12 @@ def test_extensions_match_a_scan():
         assert x.spliced(i, y, half).fingerprint == prefixhash.PrefixHashes(a[:i] + b[:half]).fingerprint
 
 
-@pytest.mark.parametrize("run_documents", [3, 1000])
-def test_edits_of_neighbours(spark, run_documents):
+@pytest.mark.parametrize("range_bytes", [80, 1 << 26])
+def test_edits_of_neighbours(spark, range_bytes):
     texts = [None, "", "🙂é", *odd_texts(40), "same text", "same text"]
     rows = [(i * i - 50, t) for i, t in enumerate(texts)]
     shuffled = rows[::2] + rows[1::2]
-    got = {r.doc_id: r for r in prefixhash.compare_with_edits(documents(spark, shuffled), run_documents).collect()}
+    got = {r.doc_id: r for r in prefixhash.compare_with_edits(documents(spark, shuffled), range_bytes).collect()}
     assert len(got) == len(rows)
     for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1]):
         t, after, r = t or "", after or "", got[i]
@@ -368,6 +394,18 @@ def test_single_empty_and_null_ids(spark):
     assert sorted((r.doc_id for r in got), key=repr) == [2, 2, None]
 
 
+def test_one_id_and_very_long_texts_are_whole(spark):
+    rows = [(7, f"text {i % 50}") for i in range(400)]
+    got = prefixhash.compare_with_edits(documents(spark, rows), 200).collect()
+    assert len(got) == 400 and {r.doc_id for r in got} == {7} and sum(r.near_next == 1 for r in got) >= 350
+    long = ["ab c" * 500_000, "ab c" * 499_999 + "x"]
+    a, b = prefixhash.compare_with_edits(documents(spark, list(enumerate(long)))).orderBy("doc_id").collect()
+    assert (a.n_chars, b.n_chars) == (2_000_000, 1_999_997) and a.near_next > 0.99 and b.near_next > 0.99
+    assert a.edited_sha256 == hashlib.sha256((long[0][:1_000_000] + long[1][:1_000_000]).encode()).hexdigest()
+    prefixhash.Powers.upto(prefixhash.Powers.KEPT + 5)
+    assert prefixhash.Powers.upto(3).shape[1] == prefixhash.Powers.KEPT
+
+
 # Decontamination.
 
 
