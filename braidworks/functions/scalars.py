@@ -80,7 +80,8 @@ def _with(x: Column, f) -> Column:
 
 def _wrapped(x: Column) -> Column:
     """A non-negative decimal modulo 2**64 as the signed long with its bits."""
-    return _with(x % F.lit(Decimal(1 << 64)).cast("decimal(38,0)"), lambda low: F.when(low >= F.lit(Decimal(1 << 63)).cast("decimal(38,0)"), low - F.lit(Decimal(1 << 64)).cast("decimal(38,0)")).otherwise(low).cast("long"))
+    whole, half = (F.lit(Decimal(1 << bits)).cast("decimal(38,0)") for bits in (64, 63))
+    return _with(x % whole, lambda low: F.when(low >= half, low - whole).otherwise(low).cast("long"))
 
 
 def shifted(time: Column, offset: Column) -> Column:

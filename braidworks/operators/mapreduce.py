@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from braidworks.sources.checkpoints import snapshot
+
 
 @dataclass(frozen=True)
 class Combiner:
@@ -65,15 +67,22 @@ class Job:
         return keys.join(self.run(), "key", "left").select("key", F.coalesce("val", empty).alias("val"))
 
 
-def fold(rows: DataFrame, key: str, value: str, init: Callable[[], Column], merge: Callable[[Column, Column], Column], salts: int = 64) -> DataFrame:
+#: Values that one list of a fold holds, about.
+FOLD_BLOCK = 4096
+
+
+def fold(rows: DataFrame, key: str, value: str, init: Callable[[], Column], merge: Callable[[Column, Column], Column], block: int = FOLD_BLOCK) -> DataFrame:
     """AG02, AG03: a user's associative and commutative fold.
 
-    Values are folded a (key, salt) first, then the salts' results a key, so no task ever
-    gathers a hot key's values as a whole.
+    While some key has more than `block` values, each key's are dealt at random to as many parts as the hottest one
+    needs, and folded part by part; so no list holds more than about `block`, however hot a key is.
     """
-    salted = rows.select(key, value).withColumn("__salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)))
-    part = salted.groupBy(key, "__salt").agg(F.aggregate(F.collect_list(value), init(), merge).alias("__part"))
-    return part.groupBy(key).agg(F.aggregate(F.collect_list("__part"), init(), merge).alias(value))
+    folded = lambda df, *by: df.groupBy(*by).agg(F.aggregate(F.collect_list(value), init(), merge).alias(value))
+    parts = rows.select(key, value)
+    while (most := parts.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) > block:
+        salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(-(-most // block)))
+        parts = snapshot(folded(parts.withColumn("__salt", salt), key, "__salt").drop("__salt"))
+    return folded(parts, key)
 
 
 def by_index(rows: DataFrame, index: str, value: str) -> DataFrame:

@@ -220,7 +220,10 @@ def compose_posts(requests: DataFrame, users: DataFrame, edges: DataFrame) -> Co
     who = resolved.groupBy("post_id").agg(F.array_sort(F.collect_list(F.struct("pos", "user_id", "username"))).alias("m"))
     posts = posts.join(who, "post_id", "left").select(
         "post_id", F.struct("user_id", "username").alias("creator"), "req_id", "text",
-        F.transform(F.coalesce("m", F.array().cast("array<struct<pos: int, user_id: bigint, username: string>>")), lambda m: F.struct(m["user_id"].alias("user_id"), m["username"].alias("username"))).alias("user_mentions"),
+        F.transform(
+            F.coalesce("m", F.array().cast("array<struct<pos: int, user_id: bigint, username: string>>")),
+            lambda m: F.struct(m["user_id"].alias("user_id"), m["username"].alias("username")),
+        ).alias("user_mentions"),
         composed_media(F.col("media_ids"), F.col("media_types")).alias("media"), "urls", "timestamp", "post_type", "user_id",
     )
     timed = posts.select("user_id", "timestamp", "post_id", F.transform("user_mentions", lambda m: m["user_id"]).alias("mentioned"))
@@ -279,7 +282,8 @@ def no_op(spark) -> DataFrame:
 
 def timeline_json(entries: DataFrame) -> Column:
     """FE01: a post as JSON, its ids as text."""
-    return F.to_json(F.struct(F.col("post_id").cast("string").alias("post_id"), F.struct(F.col("user_id").cast("string").alias("user_id")).alias("creator"), F.col("timestamp").cast("string").alias("timestamp")))
+    as_text = lambda c: F.col(c).cast("string").alias(c)
+    return F.to_json(F.struct(as_text("post_id"), F.struct(as_text("user_id")).alias("creator"), as_text("timestamp")))
 
 
 def live_sessions(requests: DataFrame, now: Column) -> DataFrame:

@@ -14,7 +14,8 @@ _TRACES = "(SELECT l_suppkey AS thread, l_orderkey * 10 + l_linenumber AS start_
 
 def _traces(spark, d):
     start = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    return read(spark, d, "lineitem").select(F.col("l_suppkey").alias("thread"), start.alias("absl_start_us"), start.alias("start_us"), (F.floor("l_extendedprice").cast("long") % 5000).alias("duration_us"))
+    duration = (F.floor("l_extendedprice").cast("long") % 5000).alias("duration_us")
+    return read(spark, d, "lineitem").select(F.col("l_suppkey").alias("thread"), start.alias("absl_start_us"), start.alias("start_us"), duration)
 
 
 def _ranked(where="true"):
@@ -116,7 +117,10 @@ def pf_trimmed(spark, d):
     return left.join(whole, "g")
 
 
-@query("SELECT CASE WHEN r = '' OR starts_with(r, 'Success') THEN 'success' WHEN starts_with(r, '500') THEN 'server_error' ELSE 'other' END AS result, count(*) AS n FROM (SELECT CASE event_type WHEN 'error' THEN '500 failed' WHEN 'signup' THEN '' WHEN 'purchase' THEN 'Success!' ELSE event_type END AS r FROM events) GROUP BY 1")
+@query(
+    "SELECT CASE WHEN r = '' OR starts_with(r, 'Success') THEN 'success' WHEN starts_with(r, '500') THEN 'server_error' ELSE 'other' END AS result, count(*) AS n"
+    " FROM (SELECT CASE event_type WHEN 'error' THEN '500 failed' WHEN 'signup' THEN '' WHEN 'purchase' THEN 'Success!' ELSE event_type END AS r FROM events) GROUP BY 1"
+)
 def pf_result_tally(spark, d):
     kind = F.expr("CASE event_type WHEN 'error' THEN '500 failed' WHEN 'signup' THEN '' WHEN 'purchase' THEN 'Success!' ELSE event_type END")
     return latency.result_tally(read(spark, d, "events").select(kind.alias("r")), "r")
@@ -129,7 +133,10 @@ def pf_served(spark, d):
     return latency.served(rows, 7).select("event_id")
 
 
-@query("SELECT CASE WHEN x < 60 THEN 'user_timeline' WHEN x < 90 THEN 'home_timeline' WHEN x < 95 THEN 'compose' ELSE 'remove' END AS kind, count(*) AS n FROM (SELECT event_id % 100 AS x FROM events) GROUP BY 1")
+@query(
+    "SELECT CASE WHEN x < 60 THEN 'user_timeline' WHEN x < 90 THEN 'home_timeline' WHEN x < 95 THEN 'compose' ELSE 'remove' END AS kind, count(*) AS n"
+    " FROM (SELECT event_id % 100 AS x FROM events) GROUP BY 1"
+)
 def pf_request_mix(spark, d):
     return read(spark, d, "events").groupBy(latency.request_mix(F.col("event_id") % 100).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -14,7 +14,8 @@ _UTILITY = f"(SELECT *, 25.0::DOUBLE + mem_size / 12.5::DOUBLE / 1000 AS move_us
 
 def _tasks(spark, d):
     s = F.col("s_suppkey")
-    return read(spark, d, "supplier").select("s_suppkey", "s_nationkey", (F.floor("s_acctbal").cast("long") + 2000).alias("mem_size"), (s % 17).cast("double").alias("cpu_load"), (s % 5 != 0).alias("migratable"))
+    memory, load = F.floor("s_acctbal").cast("long") + 2000, (s % 17).cast("double")
+    return read(spark, d, "supplier").select("s_suppkey", "s_nationkey", memory.alias("mem_size"), load.alias("cpu_load"), (s % 5 != 0).alias("migratable"))
 
 
 @query(f"SELECT s_suppkey, round(move_us, 6) AS move_us, round(cpu_load / move_us, 6) AS cpu_utility, round(mem_size / move_us, 6) AS mem_utility FROM {_UTILITY}")
@@ -47,7 +48,10 @@ def pl_initial_hosts(spark, d):
     return placement.initial_hosts(tasks, nodes, "s_suppkey").select("s_suppkey", F.coalesce("host", F.lit(-1).cast("long")).alias("host"))
 
 
-_NODES = "(SELECT CAST(n_nationkey AS BIGINT) AS ip, n_nationkey % 4 = 0 AS isol, n_nationkey % 6 = 1 AS acquired, (n_nationkey * 5) % 16 AS node_cores, 1000 + n_nationkey * 300 AS node_mem, n_nationkey AS pos FROM nation)"
+_NODES = (
+    "(SELECT CAST(n_nationkey AS BIGINT) AS ip, n_nationkey % 4 = 0 AS isol, n_nationkey % 6 = 1 AS acquired, (n_nationkey * 5) % 16 AS node_cores, 1000 + n_nationkey * 300 AS node_mem, n_nationkey AS pos FR"
+    "ROM nation)"
+)
 
 
 @query(f"""
@@ -60,7 +64,8 @@ def pl_migration_dest(spark, d):
     requests = read(spark, d, "supplier").select(
         s.alias("req_id"), F.col("s_nationkey").alias("requestor"), (s % 2 == 0).alias("mem_pressure"), (s % 19).alias("cores"), ((s % 30) * 250).alias("mem_mbs"), (s % 25).alias("turn")
     )
-    nodes = read(spark, d, "nation").select(n.cast("long").alias("ip"), (n % 4 == 0).alias("isol"), (n % 6 == 1).alias("acquired"), ((n * 5) % 16).alias("cores"), (n * 300 + 1000).alias("mem_mbs"), n.alias("pos"))
+    nodes = read(spark, d, "nation").select(
+        n.cast("long").alias("ip"), (n % 4 == 0).alias("isol"), (n % 6 == 1).alias("acquired"), ((n * 5) % 16).alias("cores"), (n * 300 + 1000).alias("mem_mbs"), n.alias("pos"))
     return placement.migration_destinations(requests, nodes).select("req_id", F.coalesce("ip", F.lit(0).cast("long")).alias("ip"))
 
 

@@ -19,7 +19,8 @@ SELECT p_partkey, CASE WHEN p_partkey > 0 THEN CAST(floor(log2(p_partkey)) AS IN
  CAST(CASE WHEN p_partkey <= 1 THEN 1 ELSE 2 ** ceil(log2(p_partkey)) END AS BIGINT) AS power, (p_partkey + 6) // 7 AS sevenths FROM part""")
 def sc_bits(spark, d):
     p = F.col("p_partkey")
-    return read(spark, d, "part").select("p_partkey", F.coalesce(scalars.highest_bit(p), F.lit(-1)).alias("high"), scalars.round_up_to_power2(p).alias("power"), scalars.div_round_up(p, F.lit(7).cast("long")).alias("sevenths"))
+    high, power = F.coalesce(scalars.highest_bit(p), F.lit(-1)), scalars.round_up_to_power2(p)
+    return read(spark, d, "part").select("p_partkey", high.alias("high"), power.alias("power"), scalars.div_round_up(p, F.lit(7).cast("long")).alias("sevenths"))
 
 
 @query("SELECT p_partkey, CAST(p_size AS BIGINT) * 16777216 + (p_partkey % 256) * 65536 + 7 * 256 + 9 AS ip FROM part")

@@ -31,7 +31,8 @@ def _edges(spark, d):
 
 def _texts(spark, d):
     e = read(spark, d, "events")
-    words = F.concat("event_type", F.lit(" @username_"), (F.col("user_id") % 50).cast("string"), F.lit(" http://h"), F.col("event_id").cast("string"), F.lit(".x/p and @nobody-here https://y"), (F.col("event_id") % 7).cast("string"), F.lit("?q end"))
+    user, event, seventh = ((F.col(c) % n).cast("string") for c, n in (("user_id", 50), ("event_id", 1 << 62), ("event_id", 7)))
+    words = F.concat("event_type", F.lit(" @username_"), user, F.lit(" http://h"), event, F.lit(".x/p and @nobody-here https://y"), seventh, F.lit("?q end"))
     return e.select(F.col("event_id").alias("post_id"), "user_id", words.alias("text"))
 
 
@@ -123,7 +124,7 @@ def sn_remove_posts(spark, d):
     short = timeline.select(links.alias("shortened_url"), "post_id")
     left = social.remove_posts(posts, timeline, _home(spark, d), _edges(spark, d), asked, "mentioned", "urls", short)
     count = lambda t, name: t.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("n"), F.sum("post_id").alias("ids"))
-    return count(left.posts, "posts").unionByName(count(left.user_timeline, "user_timeline")).unionByName(count(left.home_timeline, "home_timeline")).unionByName(count(left.short_links, "short_links"))
+    return reduce(DataFrame.unionByName, [count(getattr(left, name), name) for name in ("posts", "user_timeline", "home_timeline", "short_links")])
 
 
 @query(f"""
@@ -192,14 +193,20 @@ def sn_urls_shortened_text(spark, d):
     return done.select("post_id", F.array_join(F.transform("urls", lambda u: u["expanded_url"]), " ").alias("links"), "text")
 
 
-@query(f"SELECT DISTINCT {_SHORT.format(link='link', i='i')} AS shortened_url, link AS expanded_url FROM (SELECT post_id, unnest(links) AS link, unnest(range(len(links))) AS i FROM {_FOUND}) WHERE post_id % 2 = 0")
+@query(
+    f"SELECT DISTINCT {_SHORT.format(link='link', i='i')} AS shortened_url, link AS expanded_url FROM (SELECT post_id, unnest(links) AS link, unnest(range(len(links))) AS i"
+    f" FROM {_FOUND}) WHERE post_id % 2 = 0"
+)
 def sn_extended_urls(spark, d):
     made = social.composed_text(_texts(spark, d)).select("post_id", F.explode("urls").alias("u")).select("post_id", "u.*")
     asked = made.where("post_id % 2 = 0").select("shortened_url").distinct()
     return social.extended_urls(made.drop("post_id").distinct(), asked)
 
 
-@query(f"SELECT {_SHORT.format(link='link', i='i')} AS shortened_url, link AS expanded_url FROM (SELECT post_id, unnest(links) AS link, unnest(range(len(links))) AS i FROM {_FOUND}) WHERE post_id % 2 = 1")
+@query(
+    f"SELECT {_SHORT.format(link='link', i='i')} AS shortened_url, link AS expanded_url FROM (SELECT post_id, unnest(links) AS link, unnest(range(len(links))) AS i"
+    f" FROM {_FOUND}) WHERE post_id % 2 = 1"
+)
 def sn_remove_urls(spark, d):
     made = social.composed_text(_texts(spark, d)).select("post_id", F.explode("urls").alias("u")).select("post_id", "u.*")
     return social.remove_urls(made.drop("post_id"), made.where("post_id % 2 = 0"))
@@ -242,7 +249,8 @@ def sn_login_tokens(spark, d):
 def sn_verified_tokens(spark, d):
     """Of three users one sends the token as given, one with another's claims, one with a broken signature."""
     n = F.regexp_extract("username", "[0-9]+", 0).cast("long") % 3
-    sent = _logged_in(spark, d).select("username", F.when(n == 0, F.col("token")).when(n == 1, F.regexp_replace("token", "\\.[^.]+\\.", ".e30.")).otherwise(F.concat("token", F.lit("A"))).alias("token"))
+    other = F.when(n == 1, F.regexp_replace("token", "\\.[^.]+\\.", ".e30.")).otherwise(F.concat("token", F.lit("A")))
+    sent = _logged_in(spark, d).select("username", F.when(n == 0, F.col("token")).otherwise(other).alias("token"))
     return social.verified(sent.select("token"), "secret", F.lit(1700000100)).select("user_id", "username")
 
 
@@ -260,7 +268,10 @@ def sn_port_unique_id(spark, d):
     return read(spark, d, "events").select("event_id", scalars.port_unique_id(F.col("event_id") * 1000, F.col("user_id") % 46).alias("id"))
 
 
-@query("SELECT username, user_id, sha256('password_' || user_id || 'salt_' || user_id) AS password_hashed, user_id << 16 AS shifted_id FROM (SELECT DISTINCT 'username_' || user_id AS username, user_id FROM events)")
+@query(
+    "SELECT username, user_id, sha256('password_' || user_id || 'salt_' || user_id) AS password_hashed, user_id << 16 AS shifted_id"
+    " FROM (SELECT DISTINCT 'username_' || user_id AS username, user_id FROM events)"
+)
 def sn_register_users(spark, d):
     return _users(spark, d).select("username", "user_id", "password_hashed", social.user_id_of(F.col("user_id")).alias("shifted_id"))
 
@@ -339,7 +350,8 @@ def sn_two_tier_page(spark, d):
 @query("SELECT event_id FROM events WHERE event_id % 5 <> 0 AND NOT (event_id + 3600 < 5000)")
 def sn_live_sessions(spark, d):
     e = F.col("event_id")
-    rows = read(spark, d, "events").select("event_id", F.when(e % 5 != 0, F.col("user_id")).alias("user_id"), F.lit(0).alias("start"), F.lit(10).alias("stop"), e.alias("timestamp"), F.lit(3600).alias("ttl"))
+    user = F.when(e % 5 != 0, F.col("user_id")).alias("user_id")
+    rows = read(spark, d, "events").select("event_id", user, F.lit(0).alias("start"), F.lit(10).alias("stop"), e.alias("timestamp"), F.lit(3600).alias("ttl"))
     return social.live_sessions(rows, F.lit(5000)).select("event_id")
 
 
@@ -348,12 +360,16 @@ def io_graph_symmetrize(spark, d):
     return graphs.symmetric(_edges(spark, d).select(F.col("follower").alias("x"), F.col("followee").alias("y")))
 
 
-@query("SELECT user_id, event_id AS post_id FROM (SELECT follower AS user_id, event_id FROM events JOIN (SELECT DISTINCT o_custkey AS follower, l_suppkey AS followee FROM orders JOIN lineitem ON l_orderkey = o_orderkey) ON followee = user_id UNION SELECT (user_id + 1) % 150, event_id FROM events)")
+@query(
+    "SELECT user_id, event_id AS post_id FROM (SELECT follower AS user_id, event_id FROM events JOIN (SELECT DISTINCT o_custkey AS follower, l_suppkey AS followee"
+    " FROM orders JOIN lineitem ON l_orderkey = o_orderkey) ON followee = user_id UNION SELECT (user_id + 1) % 150, event_id FROM events)"
+)
 def io_fanout_messages(spark, d):
     from braidworks.streaming.fanout import entries_of_messages
 
     e = F.col("event_id")
-    messages = read(spark, d, "events").select(F.to_json(F.struct("user_id", e.alias("req_id"), e.alias("post_id"), e.alias("timestamp"), F.array((F.col("user_id") + 1) % 150).alias("user_mentions_id"))).alias("value"))
+    mentioned = F.array((F.col("user_id") + 1) % 150).alias("user_mentions_id")
+    messages = read(spark, d, "events").select(F.to_json(F.struct("user_id", e.alias("req_id"), e.alias("post_id"), e.alias("timestamp"), mentioned)).alias("value"))
     return entries_of_messages(messages, _edges(spark, d)).select("user_id", "post_id")
 
 

@@ -21,7 +21,10 @@ def _folder(spark):
     return f"{shared_folder(spark)}/io-{uuid.uuid4()}"
 
 
-_SUMS = "SELECT count(*) AS n, CAST(sum(s) AS BIGINT) AS starts, CAST(sum(t) AS BIGINT) AS durations, CAST(sum(s % 1000 * t) AS BIGINT) AS both_ FROM (SELECT l_orderkey * 10 + l_linenumber AS s, CAST(floor(l_extendedprice) AS BIGINT) % 5000 AS t FROM lineitem)"
+_SUMS = (
+    "SELECT count(*) AS n, CAST(sum(s) AS BIGINT) AS starts, CAST(sum(t) AS BIGINT) AS durations, CAST(sum(s % 1000 * t) AS BIGINT) AS both_"
+    " FROM (SELECT l_orderkey * 10 + l_linenumber AS s, CAST(floor(l_extendedprice) AS BIGINT) % 5000 AS t FROM lineitem)"
+)
 
 
 def _sums(traces):
