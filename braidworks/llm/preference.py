@@ -75,7 +75,8 @@ def branched(conversations: DataFrame) -> DataFrame:
     turns = turns.withColumn("pos", F.row_number().over(place)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("conv_id")))
     draw = F.conv(F.substring(F.md5(F.col("conv_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
     cuts = turns.where("pos = 1").select("conv_id", (F.pmod(draw, F.greatest(F.col("n") - 1, F.lit(1))) + 1).alias("keep"))
-    own = turns.join(cuts, "conv_id").select(F.col("conv_id").alias("pair_id"), F.explode(F.when(F.col("pos") <= F.col("keep"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("is_chosen"), "pos", "role", "text")
+    sides = F.when(F.col("pos") <= F.col("keep"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    own = turns.join(cuts, "conv_id").select(F.col("conv_id").alias("pair_id"), F.explode(sides).alias("is_chosen"), "pos", "role", "text")
     neighbour = F.col("conv_id").bitwiseXOR(F.lit(1).cast("long"))
     other = turns.withColumn("conv_id", neighbour).join(cuts, "conv_id").where("pos > keep").select(F.col("conv_id").alias("pair_id"), F.lit(False).alias("is_chosen"), "pos", "role", "text")
     return own.unionByName(other).withColumnRenamed("pos", "turn")

@@ -218,7 +218,9 @@ def shared_signatures(documents: DataFrame, words: int, similarity: float, tasks
 
 
 def nearest_of_classes(texts: DataFrame, radius: int, similarity: float, most: int, tasks: int) -> DataFrame:
-    """Candidate edges (a, b, d) among `texts` (signature, id, fp0, fp1, size, odd, class): of a signature's texts, those of another class whose fingerprints differ in d bits, up to `radius`, and whose odd sketches let them be similar.
+    """Candidate edges (a, b, d) among `texts` (signature, id, fp0, fp1, size, odd, class).
+
+    Of a signature's texts, those of another class whose fingerprints differ in d bits, up to `radius`, and whose odd sketches let them be similar.
 
     The texts of a signature are a shard, and its BK-tree is searched for each of them. A text gives the `most` nearest of every
     other class in the shard; where that leaves out a pair from both sides, an edge with a d of -1 joins some text

@@ -156,7 +156,8 @@ def train(documents: DataFrame, labels: DataFrame, texts: int = TRAIN_TEXTS) ->
     labels = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null").where(~held_out(F.col("doc_id")))
     labels = labels.groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
     taken = bounded_sample(labels, texts, "toxic")
-    rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(taken), "doc_id").groupBy(F.col("doc_id").cast("string").alias("doc_id"), "toxic").agg(F.min("text").alias("text"))
+    rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(taken), "doc_id")
+    rows = rows.groupBy(F.col("doc_id").cast("string").alias("doc_id"), "toxic").agg(F.min("text").alias("text"))
 
     def extract(batches):
         for batch in batches:
