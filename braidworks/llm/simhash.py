@@ -152,6 +152,10 @@ BROADCAST_TEXTS = 1 << 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Shingle signatures that a task of the candidate search takes, about.
 TASK_SIGNATURES = 1 << 21
+#: Candidate edges that a task holds before it puts them out.
+HELD_EDGES = 1 << 20
+#: Each text's nearest candidate alone is checked again while at least this share of these candidates joins classes.
+JOINING_SHARE = 0.1
 #: Times as many candidates of another class a text gives in each further search.
 NEXT_CANDIDATES = 4
 
@@ -222,7 +226,8 @@ def nearest_of_classes(texts: DataFrame, radius: int, similarity: float, most: i
 
     Of a signature's texts, those of another class whose fingerprints differ in d bits, up to `radius`, and whose odd sketches let them be similar.
 
-    The texts of a signature are a shard, and its BK-tree is searched for each of them. A text gives the `most` nearest of every
+    The texts of a signature are a shard, and its BK-tree is searched for each of them. With a `most` of 0 a text gives its nearest one of
+    another class alone, so there are no more edges than texts in shards. Else it gives the `most` nearest of every
     other class in the shard; where that leaves out a pair from both sides, an edge with a d of -1 joins some text
     of each of the two classes, which are to be searched again with a larger `most`.
     """
@@ -241,10 +246,11 @@ def nearest_of_classes(texts: DataFrame, radius: int, similarity: float, most: i
         forest = Forest(words, mark, -1, label)
         sketches = OddSketches(rows["odd"].take(pa.array(order)).to_pylist(), rows["size"].to_numpy()[order])
 
-        def edges(a, b, d):
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[a], ids[b])), pa.array(np.minimum(ids[a], ids[b])), pa.array(d.astype(np.int32))], names=["a", "b", "d"])
+        def edges(parts):  # each once: a pair meets from both sides, and in several shards
+            a, b, d = np.unique(np.concatenate(parts, axis=1), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d.astype(np.int32))], names=["a", "b", "d"])
 
-        left_out = [np.zeros((0, 2), np.int64)]  # (class, other class) of lists that were cut
+        left_out, kept = [np.zeros((0, 2), np.int64)], []  # (class, other class) of lists that were cut; edges so far
         for start in range(0, len(ids), 4096):
             found = []
             for q, node, d in forest.search(np.arange(start, min(len(ids), start + 4096)), radius):
@@ -254,16 +260,21 @@ def nearest_of_classes(texts: DataFrame, radius: int, similarity: float, most: i
             if not found:
                 continue
             q, node, d = (np.concatenate(x) for x in zip(*found))
-            by = np.lexsort((d, label[node], q))
+            by = np.lexsort((d, label[node], q) if most else (ids[node], d, q))
             q, node, d = q[by], node[by], d[by]
-            head = np.r_[True, (q[1:] != q[:-1]) | (label[node][1:] != label[node][:-1])]
+            head = np.r_[True, (q[1:] != q[:-1]) | ((label[node][1:] != label[node][:-1]) if most else False)]
             rank = np.arange(len(q)) - np.maximum.accumulate(np.where(head, np.arange(len(q)), 0))
-            near, over = rank < most, rank == most
+            near, over = rank < max(most, 1), (rank == most) & (most > 0)
             left_out.append(np.unique(np.stack([label[q[over]], label[node[over]]], axis=1), axis=0))
-            yield edges(q[near], node[near], d[near])
+            kept.append(np.stack([np.maximum(ids[q[near]], ids[node[near]]), np.minimum(ids[q[near]], ids[node[near]]), d[near]]))
+            if sum(k.shape[1] for k in kept) > HELD_EDGES:
+                yield edges(kept)
+                kept = []
+        if kept:
+            yield edges(kept)
         a, b = np.unique(np.concatenate(left_out), axis=0).T
         both = (a < b) & np.isin(a * len(ids) + b, b * len(ids) + a)  # cut from one side only, the other side gave all
-        yield edges(a[both], b[both], np.full(both.sum(), -1))
+        yield edges([np.stack([np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b]), np.full(len(a), -1)])[:, both]])
 
     found = texts.select("signature", "id", "fp0", "fp1", "size", "odd", "class").repartition(tasks, "signature").mapInArrow(grow, "a long, b long, d int")
     return found.groupBy("a", "b").agg(F.max("d").alias("d"), F.min("d").alias("least_d"))
@@ -282,9 +293,10 @@ def drop_near_duplicates(documents: DataFrame, words: int = 5, similarity: float
     Two texts are linked if the Jaccard similarity of their sets of word shingles is at least
     `similarity`, and classes are connected components. Any two such texts share a signature (see
     signatures.py), so the texts of a signature are a shard. First each shard's texts are compared with one of them, which joins
-    nearly all copies; in the shards that still hold several classes, BK-trees of 128-bit SimHash fingerprints find
-    what may be similar across classes, odd sketches leave out nearly all that isn't and nothing that is, and this is
-    repeated until nothing is left unchecked between two classes. Each candidate is checked on the whole texts. Signatures are less than one a shingle whatever the number of texts.
+    nearly all copies. In the shards that still hold several classes, BK-trees of 128-bit SimHash fingerprints find
+    each text's nearest one of another class while that joins many, and then all that may be similar across classes, until nothing is
+    left unchecked between two of them; odd sketches leave out nearly all that isn't similar and nothing that is. Each candidate
+    is checked on the whole texts. Signatures are less than one a shingle whatever the number of texts.
 
     Null texts are empty; texts without words are near copies of each
     other; a null doc_id comes last in its class; of rows that repeat one stays.
@@ -346,7 +358,7 @@ def drop_near_duplicates(documents: DataFrame, words: int = 5, similarity: float
 
     seen = cut(may_be_similar(shards.where("id <> first").select(F.col("id").alias("a_hash"), F.col("first").alias("b_hash")).distinct()))
     same_hash = texts.groupBy(h0).agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("a", "b")  # two texts of one hash, if ever
-    linked, most, open_ = checked(seen.unionByName(same_hash)), 1, None
+    linked, most, open_ = checked(seen.unionByName(same_hash)), 0, None
     while True:
         roots = cut(connected_components(linked))
         class_of = texts.join(roots, texts.id == roots.node, "left").select(h0, "id", "fp0", "fp1", "size", "odd", F.coalesce("root", "id").alias("class"))
@@ -357,7 +369,13 @@ def drop_near_duplicates(documents: DataFrame, words: int = 5, similarity: float
         some = cut(nearest_of_classes(placed.join(mixed, "signature", "left_semi"), radius, similarity, most, tasks))
         pairs = some.where("d >= 0").select("a", "b").join(seen.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
         new = cut(pairs)
-        linked = linked.unionByName(checked(new))
+        joined = checked(new)
+        linked = linked.unionByName(joined)
+        if not most:  # a crowd whose members are alike, but not like the first of their shards, becomes one class by and by
+            if joined.count() < JOINING_SHARE * new.count() or new.isEmpty():
+                most = 1
+            seen = seen.unionByName(new)
+            continue
         roots = cut(connected_components(linked))
         ends_of = [roots.select(F.col("node").alias(side), F.col("root").alias("r" + side)) for side in ("a", "b")]
         left = some.where("least_d < 0").join(ends_of[0], "a", "left").join(ends_of[1], "b", "left").select(F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
