@@ -32,9 +32,9 @@ def get(table: DataFrame, requests: DataFrame, key: str) -> DataFrame:
     return requests.join(table, key, "left")
 
 
-def get_with_location(table: DataFrame, requests: DataFrame, key: str) -> DataFrame:
-    """KV03, KV04: as get, and the partition that holds the row (null where there is none)."""
-    return requests.join(table.withColumn("partition", F.spark_partition_id()), key, "left")
+def get_with_location(table: DataFrame, requests: DataFrame, key: str, location: Column | None = None) -> DataFrame:
+    """KV03, KV04: as get, and the `partition` that holds the row (null where there is none): by the column given, or Spark's own number of it."""
+    return requests.join(table.withColumn("partition", F.spark_partition_id() if location is None else location), key, "left")
 
 
 def multi_get(table: DataFrame, requests: DataFrame, ids: str, key: str) -> DataFrame:

@@ -25,10 +25,18 @@ def kv_get_present_missing(spark, d):
     return keyed.get(_parts(spark, d), _ids(spark, d, 3), "p_partkey")
 
 
-@query("SELECT c_custkey * 3 AS p_partkey, p_name, p_partkey IS NOT NULL AS located FROM customer LEFT JOIN part ON p_partkey = c_custkey * 3")
+_SHARD = "CAST(least(CAST(CAST('0x' || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 16) AS UBIGINT) AS HUGEINT) // 576460752303423487, 31) AS BIGINT)"
+
+
+def _shard():
+    """One of 32 shards, by a hash that SQL has too."""
+    h = F.conv(F.substring(F.md5(F.col("p_partkey").cast("string").cast("binary")), 1, 16), 16, 10).cast("decimal(20,0)")
+    return h, keyed.shard_index(h, 5)
+
+
+@query(f"SELECT c_custkey * 3 AS p_partkey, p_name, shard AS partition FROM customer LEFT JOIN (SELECT p_partkey AS k, p_name, {_SHARD} AS shard FROM part) ON k = c_custkey * 3")
 def kv_get_with_location(spark, d):
-    found = keyed.get_with_location(keyed.build(_parts(spark, d), "p_partkey"), _ids(spark, d, 3), "p_partkey")
-    return found.select("p_partkey", "p_name", F.col("partition").isNotNull().alias("located"))
+    return keyed.get_with_location(keyed.build(_parts(spark, d), "p_partkey"), _ids(spark, d, 3), "p_partkey", _shard()[1])
 
 
 @query("""
@@ -101,12 +109,9 @@ def kv_reduce_sum_max(spark, d):
     return keyed.reduce(read(spark, d, "lineitem"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"), F.max("l_extendedprice").alias("highest"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""
-WITH h AS (SELECT p_size, CAST(CAST('0x' || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 16) AS UBIGINT) AS HUGEINT) AS h FROM part)
-SELECT CAST(least(h // 576460752303423487, 31) AS BIGINT) AS shard, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS sizes FROM h GROUP BY 1""")
+@query(f"SELECT {_SHARD} AS shard, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS sizes FROM part GROUP BY 1")
 def kv_reduce_shards(spark, d):
-    h = F.conv(F.substring(F.md5(F.col("p_partkey").cast("string").cast("binary")), 1, 16), 16, 10).cast("decimal(20,0)")
-    return keyed.reduce_shards(read(spark, d, "part"), "p_partkey", 5, F.count(F.lit(1)).alias("n"), F.sum("p_size").alias("sizes"), hashed=h)
+    return keyed.reduce_shards(read(spark, d, "part"), "p_partkey", 5, F.count(F.lit(1)).alias("n"), F.sum("p_size").alias("sizes"), hashed=_shard()[0])
 
 
 @query("SELECT count(*) AS n, CAST(sum(p_size) AS BIGINT) AS sizes, true AS spread FROM part")

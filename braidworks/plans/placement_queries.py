@@ -49,8 +49,8 @@ def pl_initial_hosts(spark, d):
 
 
 _NODES = (
-    "(SELECT CAST(n_nationkey AS BIGINT) AS ip, n_nationkey % 4 = 0 AS isol, n_nationkey % 6 = 1 AS acquired, (n_nationkey * 5) % 16 AS node_cores, 1000 + n_nationkey * 300 AS node_mem, n_nationkey AS pos FR"
-    "ROM nation)"
+    "(SELECT CAST(n_nationkey AS BIGINT) AS ip, n_nationkey % 4 = 0 AS isol, n_nationkey % 6 = 1 AS acquired, (n_nationkey * 5) % 16 AS node_cores,"
+    " 1000 + n_nationkey * 300 AS node_mem, n_nationkey AS pos FROM nation)"
 )
 
 
