@@ -34,9 +34,10 @@ def _shard():
     return h, keyed.shard_index(h, 5)
 
 
-@query(f"SELECT c_custkey * 3 AS p_partkey, p_name, shard AS partition FROM customer LEFT JOIN (SELECT p_partkey AS k, p_name, {_SHARD} AS shard FROM part) ON k = c_custkey * 3")
+@query(f"SELECT c_custkey * 3 AS p_partkey, p_name, coalesce(shard, -1) AS partition FROM customer LEFT JOIN (SELECT p_partkey AS k, p_name, {_SHARD} AS shard FROM part) ON k = c_custkey * 3")
 def kv_get_with_location(spark, d):
-    return keyed.get_with_location(keyed.build(_parts(spark, d), "p_partkey"), _ids(spark, d, 3), "p_partkey", _shard()[1])
+    found = keyed.get_with_location(keyed.build(_parts(spark, d), "p_partkey"), _ids(spark, d, 3), "p_partkey", _shard()[1])
+    return found.withColumn("partition", F.coalesce("partition", F.lit(-1).cast("long")))
 
 
 @query("""
