@@ -18,8 +18,8 @@ import numpy as np
 
 #: Buckets beyond the k that may differ, as a share of k: with more of them hardly any large set has too many empty ones.
 SPARE = 0.2
-#: Bits of a sketch at least.
-LEAST_SKETCH = 512
+#: Bits of a sketch at least, and bytes of sketches that are compared at once.
+LEAST_SKETCH, COMPARED_BYTES = 512, 4 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
 
@@ -86,7 +86,8 @@ class OddSketches:
         good = np.zeros(len(a), bool)
         for w, place in self.place.items():
             these = np.flatnonzero(width == w)
-            for start in range(0, len(these), 1 << 15):
-                some = these[start : start + (1 << 15)]
+            step = max(1, COMPARED_BYTES // w)
+            for start in range(0, len(these), step):
+                some = these[start : start + step]
                 good[some] = np.bitwise_count(self.folded[w][place[a[some]]] ^ self.folded[w][place[b[some]]]).sum(axis=1) <= most[some]
         return good

@@ -151,7 +151,7 @@ SPREAD = 6.0
 BROADCAST_TEXTS = 1 << 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Shingle signatures that a task of the candidate search takes, about.
-TASK_SIGNATURES = 1 << 21
+TASK_SIGNATURES = 1 << 19
 #: Candidate edges that a task holds before it puts them out.
 HELD_EDGES = 1 << 20
 #: Each text's nearest candidate alone is checked again while at least this share of these candidates joins classes.
