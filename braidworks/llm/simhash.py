@@ -152,6 +152,8 @@ BROADCAST_TEXTS = 1 << 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Shingle signatures that a task of the candidate search takes, about.
 TASK_SIGNATURES = 1 << 19
+#: Rows that a task of the candidate search hands on at once.
+BATCH_ROWS = 1 << 15
 #: Candidate edges that a task holds before it puts them out.
 HELD_EDGES = 1 << 20
 #: Each text's nearest candidate alone is checked again while at least this share of these candidates joins classes.
@@ -184,6 +186,12 @@ def wide_radius(similarity: float) -> int:
     return int(np.ceil(128 * differ + SPREAD * np.sqrt(128 * differ * (1 - differ))))
 
 
+def _batches(names: list[str], columns: list[np.ndarray]):
+    """Rows in batches of bounded size: what the JVM holds of a task's results outside its heap."""
+    for start in range(0, len(columns[0]), BATCH_ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(c[start : start + BATCH_ROWS]) for c in columns], names=names)
+
+
 def shared_signatures(documents: DataFrame, words: int, similarity: float, tasks: int) -> DataFrame:
     """(signature, id, first): the texts of each signature that several different texts have, with the least id of these.
 
@@ -201,7 +209,7 @@ def shared_signatures(documents: DataFrame, words: int, similarity: float, tasks
                     marks.append(signatures(shingle_set(text, words), similarity))
                     ids.append(np.full(len(marks[-1]), i, np.int64))
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(marks).view(np.int64)), pa.array(np.concatenate(ids))], names=["signature", "id"])
+                yield from _batches(["signature", "id"], [np.concatenate(marks).view(np.int64), np.concatenate(ids)])
 
     def meet(batches):
         held = [(b["signature"].to_numpy(), b["id"].to_numpy()) for b in batches]
@@ -215,7 +223,7 @@ def shared_signatures(documents: DataFrame, words: int, similarity: float, tasks
         mark, ids, same = mark[new], ids[new], same[new]
         first = np.maximum.accumulate(np.where(same, 0, np.arange(len(mark))))
         crowd = same | np.r_[same[1:], False]
-        yield pa.RecordBatch.from_arrays([pa.array(mark[crowd]), pa.array(ids[crowd]), pa.array(ids[first[crowd]])], names=["signature", "id", "first"])
+        yield from _batches(["signature", "id", "first"], [mark[crowd], ids[crowd], ids[first[crowd]]])
 
     dealt = documents.select("id", "text").mapInArrow(deal, "signature long, id long")
     return dealt.repartition(tasks, "signature").mapInArrow(meet, "signature long, id long, first long")
@@ -248,7 +256,7 @@ def nearest_of_classes(texts: DataFrame, radius: int, similarity: float, most: i
 
         def edges(parts):  # each once: a pair meets from both sides, and in several shards
             a, b, d = np.unique(np.concatenate(parts, axis=1), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d.astype(np.int32))], names=["a", "b", "d"])
+            return _batches(["a", "b", "d"], [a, b, d.astype(np.int32)])
 
         left_out, kept = [np.zeros((0, 2), np.int64)], []  # (class, other class) of lists that were cut; edges so far
         for start in range(0, len(ids), 4096):
@@ -268,13 +276,13 @@ def nearest_of_classes(texts: DataFrame, radius: int, similarity: float, most: i
             left_out.append(np.unique(np.stack([label[q[over]], label[node[over]]], axis=1), axis=0))
             kept.append(np.stack([np.maximum(ids[q[near]], ids[node[near]]), np.minimum(ids[q[near]], ids[node[near]]), d[near]]))
             if sum(k.shape[1] for k in kept) > HELD_EDGES:
-                yield edges(kept)
+                yield from edges(kept)
                 kept = []
         if kept:
-            yield edges(kept)
+            yield from edges(kept)
         a, b = np.unique(np.concatenate(left_out), axis=0).T
         both = (a < b) & np.isin(a * len(ids) + b, b * len(ids) + a)  # cut from one side only, the other side gave all
-        yield edges([np.stack([np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b]), np.full(len(a), -1)])[:, both]])
+        yield from edges([np.stack([np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b]), np.full(len(a), -1)])[:, both]])
 
     found = texts.select("signature", "id", "fp0", "fp1", "size", "odd", "class").repartition(tasks, "signature").mapInArrow(grow, "a long, b long, d int")
     return found.groupBy("a", "b").agg(F.max("d").alias("d"), F.min("d").alias("least_d"))
