@@ -201,15 +201,20 @@ def shared_signatures(documents: DataFrame, words: int, similarity: float, tasks
 
     def deal(batches):
         seen: set[int] = set()
+        ids, marks, rows = [], [], 0
         for batch in batches:
-            ids, marks = [], []
             for i, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist()):
-                if i not in seen:
-                    seen.add(i)
-                    marks.append(signatures(shingle_set(text, words), similarity))
-                    ids.append(np.full(len(marks[-1]), i, np.int64))
-            if ids:
-                yield from _batches(["signature", "id"], [np.concatenate(marks).view(np.int64), np.concatenate(ids)])
+                if i in seen:
+                    continue
+                seen.add(i)
+                marks.append(signatures(shingle_set(text, words), similarity))
+                ids.append(np.full(len(marks[-1]), i, np.int64))
+                rows += len(ids[-1])
+                if rows >= BATCH_ROWS:
+                    yield from _batches(["signature", "id"], [np.concatenate(marks).view(np.int64), np.concatenate(ids)])
+                    ids, marks, rows = [], [], 0
+        if ids:
+            yield from _batches(["signature", "id"], [np.concatenate(marks).view(np.int64), np.concatenate(ids)])
 
     def meet(batches):
         held = [(b["signature"].to_numpy(), b["id"].to_numpy()) for b in batches]
