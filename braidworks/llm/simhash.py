@@ -156,8 +156,6 @@ TASK_SIGNATURES = 1 << 19
 BATCH_ROWS = 1 << 15
 #: Candidate edges that a task holds before it puts them out.
 HELD_EDGES = 1 << 20
-#: Each text's nearest candidate alone is checked again while at least this share of these candidates joins classes.
-JOINING_SHARE = 0.1
 #: Times as many candidates of another class a text gives in each further search.
 NEXT_CANDIDATES = 4
 
@@ -307,7 +305,7 @@ def drop_near_duplicates(documents: DataFrame, words: int = 5, similarity: float
     `similarity`, and classes are connected components. Any two such texts share a signature (see
     signatures.py), so the texts of a signature are a shard. First each shard's texts are compared with one of them, which joins
     nearly all copies. In the shards that still hold several classes, BK-trees of 128-bit SimHash fingerprints find
-    each text's nearest one of another class while that joins many, and then all that may be similar across classes, until nothing is
+    each text's nearest one of another class, and then all that may be similar across classes, until nothing is
     left unchecked between two of them; odd sketches leave out nearly all that isn't similar and nothing that is. Each candidate
     is checked on the whole texts. Signatures are less than one a shingle whatever the number of texts.
 
@@ -382,12 +380,9 @@ def drop_near_duplicates(documents: DataFrame, words: int = 5, similarity: float
         some = cut(nearest_of_classes(placed.join(mixed, "signature", "left_semi"), radius, similarity, most, tasks))
         pairs = some.where("d >= 0").select("a", "b").join(seen.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
         new = cut(pairs)
-        joined = checked(new)
-        linked = linked.unionByName(joined)
-        if not most:  # a crowd whose members are alike, but not like the first of their shards, becomes one class by and by
-            if joined.count() < JOINING_SHARE * new.count() or new.isEmpty():
-                most = 1
-            seen = seen.unionByName(new)
+        linked = linked.unionByName(checked(new))
+        if not most:  # a crowd whose members are alike, but not like the first of their shards, is far fewer classes now
+            seen, most = seen.unionByName(new), 1
             continue
         roots = cut(connected_components(linked))
         ends_of = [roots.select(F.col("node").alias(side), F.col("root").alias("r" + side)) for side in ("a", "b")]
