@@ -63,11 +63,11 @@ def cut_pieces(documents: DataFrame, path: str, capacity: int = SEQUENCE_TOKENS)
     return pieces.select("doc_id", "doc_tokens", (F.col("nth").cast("long") * capacity).alias("start"), "ids")
 
 
-def place(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, group_pieces: int = GROUP_PIECES, seed: int = 42) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, group_pieces: int = GROUP_PIECES, seed: int = 42, packer=first_fit_decreasing) -> DataFrame:
     """Adds sequence_id and offset to a table of pieces that has doc_id, start and length (at most `capacity`).
 
     Pieces are dealt to groups at random, by a hash of the piece and of its place in the
-    input, so rows that repeat spread too; each group is packed apart. The table is written
+    input, so rows that repeat spread too; each group is packed apart, by `packer(lengths, capacity)`. The table is written
     to the shared checkpoint folder first: a lost executor can't deal a piece anew. All
     columns are kept, whatever their names.
     """
@@ -78,7 +78,7 @@ def place(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, group_pieces: int
 
     def pack(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by([("length", "descending"), (nth, "ascending")])
-        bins, offsets = first_fit_decreasing(group["length"].to_numpy(), capacity)
+        bins, offsets = packer(group["length"].to_numpy(), capacity)
         group = group.append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins)).append_column("offset", pa.array(offsets))
         return group.select(schema.names)
 

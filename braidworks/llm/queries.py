@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
+WORD_VOCABULARY = "word_bpe_49k.json"
 RULES = ["block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/"]
 
 
@@ -79,18 +81,37 @@ def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grade_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bestfit import pack_best_fit
+
+    return pack_best_fit(table(spark, sf_dir, "documents"), vocabulary_path(WORD_VOCABULARY), with_ids=False)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hardneg import mine, mixed_labels
+
+    return mine(mixed_labels(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_url_templates, op2_ffd_packing, op3_preference_pairs, op4_language_mixture, op5_simhash_bktree,
             op6_token_counts, op7_pu_quality, op8_prefix_hashes, op9_fm_decontamination, op10_ordinal_toxicity,
+            op11_tsqr_whitening, op12_best_fit_packing, op13_hard_negatives,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_preference_pairs": OP3_SQL, "op9_fm_decontamination": OP9_SQL}
+    return {"op3_preference_pairs": OP3_SQL, "op9_fm_decontamination": OP9_SQL, "op13_hard_negatives": OP13_SQL}
 
 
 OP3_SQL = """
@@ -143,3 +164,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hits USING (row_) LEFT JOIN items USING (row_)
 """
+
+OP13_SQL = """
+WITH e AS (
+  SELECT row_number() OVER () AS row_, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (
+  SELECT a.row_ AS anchor, a.vec_id AS anchor_id, e.vec_id, e.label = a.label AS same, CAST(list_inner_product(a.v, e.v) AS BIGINT) AS score
+  FROM e a JOIN e ON a.vec_id % 100 = 0 AND e.vec_id <> a.vec_id),
+p AS (SELECT anchor, anchor_id, vec_id, score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS place FROM s WHERE same QUALIFY place <= 5),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""

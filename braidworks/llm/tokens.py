@@ -45,6 +45,12 @@ def is_plain(settings: dict) -> bool:
     return None not in made and all(x < y for x, y in zip(made, made[1:]))
 
 
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
 class Encoder:
     """Ids of a text as the library gives them for a `.json` vocabulary, with special strings read as its default does.
 
@@ -72,8 +78,7 @@ class Encoder:
         import public_tokenizers
         import tiktoken
 
-        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+        shown = byte_characters()
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         own = {token: i for token, i in self.library.get_vocab().items() if token not in self.specials}
