@@ -69,6 +69,45 @@ def pl_migration_dest(spark, d):
     return placement.migration_destinations(requests, nodes).select("req_id", F.coalesce("ip", F.lit(0).cast("long")).alias("ip"))
 
 
+_LOG = """SELECT o_custkey % 40 AS lpid, o_orderkey AS seq,
+  CASE WHEN o_orderkey % 20 < 8 THEN 'destination' WHEN o_orderkey % 20 < 11 THEN 'acquire' WHEN o_orderkey % 20 < 17 THEN 'release' WHEN o_orderkey % 20 < 18 THEN 'report' ELSE 'place' END AS kind,
+  o_custkey * 7 % 27 AS ip, o_orderkey % 3 = 0 AS mem_pressure, o_orderkey * 5 % 17 AS cores, o_orderkey * 11 % 31 * 250 AS mem_mbs FROM orders"""
+
+
+@query(f"""
+WITH RECURSIVE n AS (SELECT list(ip ORDER BY ip) AS ips, list(isol ORDER BY ip) AS isols, list(acquired ORDER BY ip) AS taken, list(CAST(node_cores AS BIGINT) ORDER BY ip) AS cpu, list(CAST(node_mem AS BIGINT) ORDER BY ip) AS mem FROM {_NODES}),
+log AS (SELECT *, row_number() OVER (PARTITION BY lpid ORDER BY seq) AS i FROM ({_LOG})),
+r AS (
+  SELECT lpid, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS seq, '' AS kind, CAST(NULL AS BIGINT) AS k, taken, cpu, mem, CAST(0 AS BIGINT) AS turn FROM (SELECT DISTINCT lpid FROM log), n
+  UNION ALL
+  SELECT lpid, i, seq, kind, k,
+    CASE WHEN k IS NULL OR kind IN ('place', 'report') THEN taken ELSE list_transform(taken, lambda x, j: CASE WHEN j = k + 1 THEN kind <> 'release' ELSE x END) END,
+    CASE WHEN k IS NULL OR kind <> 'report' THEN cpu ELSE list_transform(cpu, lambda x, j: CASE WHEN j = k + 1 THEN cores ELSE x END) END,
+    CASE WHEN k IS NULL OR kind <> 'report' THEN mem ELSE list_transform(mem, lambda x, j: CASE WHEN j = k + 1 THEN mem_mbs ELSE x END) END,
+    CASE WHEN k IS NOT NULL AND kind IN ('destination', 'place') THEN k + 1 ELSE turn END
+  FROM (
+    SELECT *, CASE kind
+        WHEN 'destination' THEN coalesce(list_min(list_filter(ranked, lambda x: fits[x % 100 + 1] AND cpu[x % 100 + 1] >= cores)), CASE WHEN mem_pressure THEN list_min(list_filter(ranked, lambda x: fits[x % 100 + 1])) END) % 100
+        WHEN 'place' THEN list_min(list_filter(ranked, lambda x: NOT isols[x % 100 + 1])) % 100
+        WHEN 'report' THEN list_position(ips, ip) - 1
+        ELSE CASE WHEN taken[list_position(ips, ip)] = (kind = 'release') THEN list_position(ips, ip) - 1 END END AS k
+    FROM (
+      SELECT log.*, r.taken, r.cpu, r.mem, r.turn, n.ips, n.isols,
+        list_transform(range(len(n.ips)), lambda x: CASE WHEN x >= r.turn THEN x ELSE x + 100 END) AS ranked,
+        list_transform(range(len(n.ips)), lambda x: NOT n.isols[x + 1] AND NOT r.taken[x + 1] AND r.mem[x + 1] >= log.mem_mbs + 1024 AND n.ips[x + 1] <> log.ip) AS fits
+      FROM r JOIN log ON log.lpid = r.lpid AND log.i = r.i + 1, n)))
+SELECT lpid, seq, kind, coalesce(n.ips[k + 1], -1) AS ip FROM r, n WHERE i > 0""")
+def pl_migration_log(spark, d):
+    o, c, n = F.col("o_orderkey"), F.col("o_custkey"), F.col("n_nationkey")
+    kind = F.when(o % 20 < 8, "destination").when(o % 20 < 11, "acquire").when(o % 20 < 17, "release").when(o % 20 < 18, "report").otherwise("place")
+    log = read(spark, d, "orders").select(
+        (c % 40).alias("lpid"), o.alias("seq"), kind.alias("kind"), (c * 7 % 27).alias("ip"), (o % 3 == 0).alias("mem_pressure"), (o * 5 % 17).alias("cores"), (o * 11 % 31 * 250).alias("mem_mbs"))
+    lpids = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long")))
+    nodes = read(spark, d, "nation").select(
+        lpids.alias("lpid"), n.cast("long").alias("ip"), (n % 4 == 0).alias("isol"), (n % 6 == 1).alias("acquired"), ((n * 5) % 16).alias("cores"), (n * 300 + 1000).alias("mem_mbs"))
+    return placement.placements(log, nodes).withColumn("ip", F.coalesce("ip", F.lit(-1).cast("long")))
+
+
 @query("""
 WITH RECURSIVE s AS (SELECT s_nationkey AS ip, s_acctbal AS x, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier WHERE s_nationkey % 4 <> 0),
 r AS (SELECT ip, i, x AS a FROM s WHERE i = 1

@@ -65,12 +65,12 @@ def test_shards_of_extreme_hashes(spark):
     assert int(signed) == top
 
 
-def test_successors_match_a_scan(spark):
+def test_successors_of_many_probes(spark):
     import random
 
     draw = random.Random(3)
     keys, probes = [draw.randrange(1000) for _ in range(200)], list(range(-5, 1010, 3))
-    got = keyed.successors(spark.createDataFrame([(p,) for p in probes], "p long"), spark.createDataFrame([(k,) for k in keys], "k long"), "p", "k", 16)
+    got = keyed.successors(spark.createDataFrame([(p,) for p in probes], "p long"), spark.createDataFrame([(k,) for k in keys], "k long"), "p", "k")
     assert {r.p: r.successor for r in got.collect()} == {p: min((k for k in keys if k >= p), default=None) for p in probes}
 
 

@@ -79,3 +79,53 @@ def test_destination_rounds(spark):
         "req_id long, requestor long, mem_pressure boolean, cores double, mem_mbs double, turn int",
     )
     assert {r.req_id: r.ip for r in placement.migration_destinations(asked, nodes).collect()} == {1: 2, 2: None, 3: 2, 4: 1, 5: None}
+
+
+NODE = "lpid long, ip long, isol boolean, acquired boolean, cores double, mem_mbs double"
+ENTRY = "lpid long, seq long, kind string, ip long, mem_pressure boolean, cores double, mem_mbs double"
+
+
+def test_destinations_depend_on_earlier_ones(spark):
+    nodes = spark.createDataFrame([(1, ip, ip == 4, False, 8.0, 9000.0) for ip in (1, 2, 3, 4)] + [(2, 7, False, False, 1.0, 9000.0), (2, 7, False, False, 1.0, 9000.0)], NODE)
+    ask = lambda seq, ip=1, pressure=False, cores=4.0, lpid=1: (lpid, seq, "destination", ip, pressure, cores, 100.0)
+    log = [
+        ask(1), ask(2), ask(3), (1, 4, "release", 2, None, None, None), ask(5), (1, 6, "release", 2, None, None, None), (1, 7, "release", 2, None, None, None),
+        (1, 8, "acquire", 2, None, None, None), (1, 9, "acquire", 2, None, None, None), (1, 10, "acquire", 99, None, None, None),
+        (1, 11, "place", None, None, None, None), (1, 12, "place", None, None, None, None), (1, 13, "place", None, None, None, None), (1, 14, "place", None, None, None, None),
+        (1, 15, "release", 3, None, None, None), (1, 16, "report", 3, None, 2.0, 9000.0), ask(17), ask(18, pressure=True), ask(1, lpid=2, cores=2.0), ask(2, lpid=2, cores=2.0, pressure=True), ask(1, lpid=3),
+        (None, 1, "place", None, None, None, None), (1, None, "place", None, None, None, None),
+    ]
+    got = {(r.lpid, r.seq): r.ip for r in placement.placements(spark.createDataFrame(log, ENTRY).repartition(3), nodes).collect()}
+    first = [2, 3, None, 2, 2, 2, None, 2, None, None, 3, 1, 2, 3, 3, 3, None, 3]
+    assert got == {(1, seq): ip for seq, ip in enumerate(first, 1)} | {(2, 1): None, (2, 2): 7, (3, 1): None}
+
+
+def test_placements_match_a_loop(spark):
+    draw = random.Random(8)
+    nodes = [(p, ip, draw.random() < 0.2, draw.random() < 0.2, float(draw.randrange(9)), float(draw.randrange(9) * 1000)) for p in range(3) for ip in range(30)]
+    log = [
+        (draw.choice([0, 0, 0, 1, 2]), seq, draw.choice(["destination"] * 4 + ["place", "acquire", "release", "release", "release", "report"]), draw.randrange(33), draw.random() < 0.5, float(draw.randrange(9)), float(draw.randrange(8) * 1000))
+        for seq in range(3000)
+    ]
+    state = {p: {n[1]: list(n[2:]) for n in nodes if n[0] == p} for p in range(3)}
+    turns, expected = {p: 0 for p in range(3)}, {}
+    for p, seq, kind, ip, pressure, cores, memory in log:
+        circle = [k for k in state[p] if k >= turns[p]] + [k for k in state[p] if k < turns[p]]
+        found = None
+        if kind == "destination":
+            roomy = [k for k in circle if k != ip and not state[p][k][0] and not state[p][k][1] and state[p][k][3] >= memory + 1024]
+            found = next((k for k in roomy if state[p][k][2] >= cores), next(iter(roomy), None) if pressure else None)
+            if found is not None:
+                state[p][found][1], turns[p] = True, found + 1
+        elif kind == "place":
+            found = next(k for k in circle if not state[p][k][0])
+            turns[p] = found + 1
+        elif kind == "report":
+            if ip in state[p]:
+                found, state[p][ip][2:] = ip, [cores, memory]
+        elif ip in state[p] and state[p][ip][1] == (kind == "release"):
+            found, state[p][ip][1] = ip, kind == "acquire"
+        expected[seq] = found
+    got = placement.placements(spark.createDataFrame(log, ENTRY).repartition(5), spark.createDataFrame(nodes, NODE)).collect()
+    assert {r.seq: r.ip for r in got} == expected and len(got) == 3000
+    assert placement.placements(spark.createDataFrame([], ENTRY), spark.createDataFrame(nodes, NODE)).count() == 0
