@@ -278,3 +278,40 @@ def gc_push_front(spark, d):
 @query("SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 25")
 def gc_pop_front(spark, d):
     return keyed.pop(_parts(spark, d), "p_partkey", 25)[0]
+
+
+_CHURN = "(SELECT user_id % 16 AS thread, event_id AS seq, event_id % 10 = 3 AS is_delete, event_id * 7919 % 100003 AS key FROM events)"
+_REPLAYED = f"""
+WITH RECURSIVE log AS (SELECT *, row_number() OVER (PARTITION BY thread ORDER BY seq) AS i FROM {_CHURN}),
+r AS (
+  SELECT thread, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS seq, false AS is_delete, CAST(0 AS BIGINT) AS key, CAST(NULL AS BIGINT) AS victim, 0 AS change, CAST([] AS BIGINT[]) AS live FROM (SELECT DISTINCT thread FROM log)
+  UNION ALL
+  SELECT thread, i, seq, is_delete, key, victim, CASE WHEN is_delete THEN CASE WHEN victim IS NULL THEN 0 ELSE -1 END WHEN there THEN 0 ELSE 1 END,
+    CASE WHEN is_delete AND victim IS NOT NULL THEN list_filter(live, lambda x: x <> victim) WHEN is_delete OR there THEN live ELSE list_append(live, key) END
+  FROM (
+    SELECT log.*, r.live, list_contains(r.live, log.key) AS there, CASE WHEN log.is_delete THEN list_min(list_filter(r.live, lambda x: x >= log.key)) END AS victim
+    FROM r JOIN log ON log.thread = r.thread AND log.i = r.i + 1)),
+"""
+
+
+def _churn(spark, d):
+    from braidworks.operators import churn
+
+    e = F.col("event_id")
+    log = read(spark, d, "events").select((F.col("user_id") % 16).alias("thread"), e.alias("seq"), (e % 10 == 3).alias("is_delete"), (e * 7919 % 100003).alias("key"))
+    return churn.replay(log)
+
+
+@query(_REPLAYED + "x AS (SELECT 1) SELECT thread, seq, is_delete, key, coalesce(victim, -1) AS victim, CAST(change AS INTEGER) AS change FROM r WHERE i > 0")
+def pf_churn_log(spark, d):
+    return _churn(spark, d).withColumn("victim", F.coalesce("victim", F.lit(-1).cast("long")))
+
+
+@query(_REPLAYED + """
+s AS (SELECT *, sum(change) OVER (PARTITION BY thread ORDER BY i) AS held FROM r WHERE i > 0),
+l AS (SELECT thread, min(i) FILTER (held >= 300) AS last FROM s GROUP BY 1)
+SELECT thread, seq, is_delete, coalesce(victim, key) AS key FROM s JOIN l USING (thread) WHERE (last IS NULL OR i <= last) AND (NOT is_delete OR victim IS NOT NULL)""")
+def pf_churn_commands(spark, d):
+    from braidworks.operators import churn
+
+    return churn.commands(churn.until_size(_churn(spark, d), 300))
