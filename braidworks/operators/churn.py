@@ -12,7 +12,8 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from braidworks.sources.checkpoints import snapshot
 
-from .keyed import in_ranges, running_total
+from .keyed import in_ranges
+from .ordered import running_total
 
 #: Ranges of keys at most: a put's first place in each is what is broadcast.
 MOST_RANGES = 1 << 16

@@ -163,25 +163,6 @@ def in_ranges(table: DataFrame, *order: str | Column, into: str = "__range", ran
     return snapshot(dealt.withColumn(into, F.spark_partition_id()))
 
 
-def carried(ranged: DataFrame, key: str, combined: Column, part: str = "__range") -> DataFrame:
-    """(key, part, before) for tables dealt by in_ranges(key, ...): `combined` of each range's rows of a key, added up over that key's earlier ranges.
-
-    One row a key and range; only keys with rows in several ranges (one more than there are ranges at most) are in it, so it's
-    small enough to broadcast, and a range's other rows need no carry.
-    """
-    sums = ranged.groupBy(key, part).agg(combined.alias("__sum"))
-    earlier = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    return sums.withColumn("before", F.sum("__sum").over(earlier)).where("before IS NOT NULL").select(key, part, "before")
-
-
-def running_total(table: DataFrame, key: str, order: list[str], value: str, into: str, ranges: int | None = None) -> DataFrame:
-    """The table with the sum of `value` over a key's rows up to each, in order, however many rows a key has: inside ranges, plus the ranges before."""
-    ranged = in_ranges(table, key, *order, ranges=ranges)
-    inside = Window.partitionBy("__range", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = ranged.withColumn(into, F.sum(value).over(inside)).join(F.broadcast(carried(ranged, key, F.sum(value))), [key, "__range"], "left")
-    return joined.withColumn(into, F.col(into) + F.coalesce("before", F.lit(0))).drop("before", "__range")
-
-
 def numbered(table: DataFrame, order: list[str], into: str = "number") -> DataFrame:
     """Rows numbered from 0 in an order, without a task that sees them all: inside ranges, plus the rows of the ranges before."""
     ranged = in_ranges(table, *order)

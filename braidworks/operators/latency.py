@@ -11,29 +11,36 @@ from pyspark.sql import functions as F
 
 from braidworks.functions.scalars import drawn
 
-#: Ranges of values that percentiles are first narrowed down to; so many rows go through one task at most.
-RANGES = 4096
+from .keyed import in_ranges
+from .ordered import PART, previous, smoothed, with_carries, within
 
 
-def floor_rank_values(rows: DataFrame, value: str, percents: list[float]) -> DataFrame:
-    """PF05, SL01: (percent, value): the element at place floor(percent / 100 * count) of the sorted values, from 0.
+def values_at(rows: DataFrame, value: str, wanted: dict[float, Column], ranges: int | None = None) -> DataFrame:
+    """(percent, value): for each label in `wanted`, the element of the sorted values at a place (from 0) that is an expression of their number, `total`.
 
-    Exact, without sorting all rows: values are counted (combined before the shuffle), ranges of
-    values are summed up in at most RANGES rows, and running counts inside a range are a
-    task each. `value` is an integer column; nulls are left out; 100 percent has no element.
+    Exact, without sorting all rows: equal values are counted (combined before the shuffle), the different
+    ones are dealt to ranges of like size, whose bounds Spark samples from the values themselves, so that no outlier
+    gathers the others in one range. A row a range tells which ranges hold a place that is asked for; only their values are put in
+    order, each range by itself. Nulls are left out; a place beyond the last has no element.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    bounds = counts.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("total"))
-    width = F.greatest(F.call_function("div", F.col("high") - F.col("low"), F.lit(RANGES).cast("long")) + 1, F.lit(1).cast("long"))
-    ranged = counts.crossJoin(F.broadcast(bounds)).withColumn("range", F.call_function("div", F.col("v") - F.col("low"), width))  # one row of bounds
-    sums = ranged.groupBy("range").agg(F.sum("n").alias("range_n"))
-    before = F.coalesce(F.sum("range_n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranged = ranged.join(F.broadcast(sums.select("range", before.alias("before"))), "range")
-    upto = F.sum("n").over(Window.partitionBy("range").orderBy("v")) + F.col("before")
-    placed = ranged.select("v", "n", "total", upto.alias("upto"))
-    wanted = placed.withColumn("percent", F.explode(F.array(*[F.lit(float(p)) for p in percents])))
-    place = F.floor(F.col("percent") / 100 * F.col("total"))
-    return wanted.where((place < F.col("upto")) & (place >= F.col("upto") - F.col("n"))).select("percent", F.col("v").alias("value"))
+    ranged = in_ranges(counts, "v", ranges=ranges)
+    sums = ranged.groupBy("__range").agg(F.sum("n").alias("here"))  # a row a range
+    upto = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
+    places = sums.select("__range", (F.sum("here").over(upto) - F.col("here")).alias("before"), "here", F.sum("here").over(Window.partitionBy()).alias("total"))
+    asked = F.explode(F.array(*[F.struct(F.lit(float(label)).alias("percent"), place.cast("long").alias("place")) for label, place in wanted.items()]))
+    inside = (F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("here"))
+    found = places.select("__range", "before", "here", asked.alias("asked")).select("__range", "before", "here", "asked.*").where(inside)
+    found = found.groupBy("__range", "before").agg(F.collect_list(F.struct("percent", "place")).alias("asked"))  # as many as `wanted` has
+    running = F.sum("n").over(Window.partitionBy("__range").orderBy("v")) + F.col("before")
+    ordered = ranged.join(F.broadcast(found), "__range").select("v", "n", running.alias("upto"), "asked")
+    hits = ordered.select("v", "n", "upto", F.explode("asked").alias("asked")).where((F.col("asked.place") < F.col("upto")) & (F.col("asked.place") >= F.col("upto") - F.col("n")))
+    return hits.select("asked.percent", F.col("v").alias("value"))
+
+
+def floor_rank_values(rows: DataFrame, value: str, percents: list[float], ranges: int | None = None) -> DataFrame:
+    """PF05, SL01: (percent, value): the element at place floor(percent / 100 * count) of the sorted values, from 0. 100 percent has no element."""
+    return values_at(rows, value, {p: F.floor(F.lit(float(p)) / 100 * F.col("total")) for p in percents}, ranges)
 
 
 def median(rows: DataFrame, value: str) -> DataFrame:
@@ -42,8 +49,8 @@ def median(rows: DataFrame, value: str) -> DataFrame:
 
 
 def nth_smallest(rows: DataFrame, value: str, n: int) -> DataFrame:
-    """SL01: the value with place n, from 0."""
-    return rows.where(F.col(value).isNotNull()).orderBy(value).offset(n).limit(1).select(value)
+    """SL01: the value with place n, from 0, for any n; no row if there are no more than n."""
+    return values_at(rows, value, {0.0: F.lit(n)}).select(F.col("value").alias(value))
 
 
 def throughput(traces: DataFrame) -> Column:
@@ -67,7 +74,7 @@ def _name(p: float) -> str:
     return "p" + f"{p:g}".replace(".", "_")
 
 
-def window_percentiles(traces: DataFrame, interval_us: int, percent: float, stream: str, least: int = 100) -> DataFrame:
+def window_percentiles(traces: DataFrame, interval_us: int, percent: float, stream: str, least: int = 100, ranges: int | None = None) -> DataFrame:
     """PF06: (stream, absl_start_us, start_us, duration_us) of each window, a stream by itself.
 
     A row that starts after the window's end closes it, and the window moves by one interval only,
@@ -75,21 +82,28 @@ def window_percentiles(traces: DataFrame, interval_us: int, percent: float, stre
 
     By its start alone the i-th row (from 0) of a stream belongs to window c_i, which never falls; and since a
     row moves the window by one at most, it lands in the least of c_j + (i - j) over the rows j up to it: a running minimum.
+    Number, first start and minimum are carried from a stream's ranges to its next, and a window's equal durations are counted
+    before they meet, so neither a busy stream nor a long window is one task's work.
     """
-    rows = traces.select(stream, "absl_start_us", "start_us", "duration_us").where(F.col(stream).isNotNull())
-    upto = Window.partitionBy(stream).orderBy("start_us", "duration_us").rowsBetween(Window.unboundedPreceding, 0)
-    interval = F.lit(interval_us).cast("long")
-    since = F.col("start_us") - F.first("start_us").over(upto)
-    own = F.greatest(F.call_function("div", since + interval - 1, interval) - 1, F.lit(0).cast("long"))
-    rows = rows.withColumn("__i", F.count(F.lit(1)).over(upto) - 1).withColumn("__own", own - F.col("__i"))
-    rows = rows.withColumn("__window", F.col("__i") + F.min("__own").over(upto))
-    for c in ("absl_start_us", "start_us"):
-        rows = rows.withColumn(c, F.first(c).over(upto) + F.col("__window") * interval)
+    order = ["start_us", "duration_us", "absl_start_us"]
+    rows = traces.select(stream, *order).where(F.col(stream).isNotNull())
+    ranged = in_ranges(rows, stream, *order, into=PART, ranges=ranges)
+    row, upto, interval = F.struct(*order), within(stream, *order), F.lit(interval_us).cast("long")
+    numbered = with_carries(ranged, stream, __n=(F.count(F.lit(1)), F.sum), __first=(F.min(row), F.min))
+    numbered = numbered.withColumn("__i", F.count(F.lit(1)).over(upto) - 1 + F.coalesce("__n", F.lit(0))).withColumn("__first", F.coalesce("__first", F.first(row).over(upto)))
+    own = F.greatest(F.call_function("div", F.col("start_us") - F.col("__first.start_us") + interval - 1, interval) - 1, F.lit(0).cast("long"))
+    numbered = numbered.select(stream, *order, PART, "__i", "__first", (own - F.col("__i")).alias("__own"))
+    placed = with_carries(numbered, stream, __least=(F.min("__own"), F.min))
+    window = F.col("__i") + F.least(F.min("__own").over(upto), F.col("__least"))
+    placed = placed.select(stream, "duration_us", "__first", window.alias("__window"))
+    counts = placed.groupBy(stream, "__window", "duration_us").agg(F.count(F.lit(1)).alias("__c"), F.first("__first").alias("__first"))
     inside = Window.partitionBy(stream, "__window")
-    rows = rows.withColumn("__n", F.count(F.lit(1)).over(inside)).withColumn("__place", F.row_number().over(inside.orderBy("duration_us")) - 1)
-    rows = rows.withColumn("__last", F.max("__window").over(Window.partitionBy(stream)))
-    wanted = (F.col("__n") >= least) & (F.col("__window") < F.col("__last")) & (F.col("__place") == F.floor(F.lit(percent / 100.0) * F.col("__n")))
-    return rows.where(wanted).select(stream, "absl_start_us", "start_us", "duration_us")
+    ranked = counts.withColumn("__n", F.sum("__c").over(inside)).withColumn("__upto", F.sum("__c").over(inside.orderBy("duration_us")))
+    place = F.floor(F.lit(percent / 100.0) * F.col("__n"))
+    chosen = ranked.where((F.col("__n") >= least) & (place < F.col("__upto")) & (place >= F.col("__upto") - F.col("__c")))
+    last = counts.groupBy(stream).agg(F.max("__window").alias("__last"))
+    at = [(F.col("__first")[c] + F.col("__window") * interval).alias(c) for c in ("absl_start_us", "start_us")]
+    return chosen.join(last, stream).where("__window < __last").select(stream, *at, "duration_us")
 
 
 def tumbling_percentiles(traces: DataFrame, interval_us: int, percent: float, least: int = 100) -> DataFrame:
@@ -115,22 +129,21 @@ def histogram_deltas(snapshots: DataFrame, time: str) -> DataFrame:
     return snapshots.withColumn("delta", F.col("n") - before)
 
 
-def ewma(rows: DataFrame, key: str, order: list[str], value: str, weight: float) -> DataFrame:
-    """PF09: (key, average): weight * value + (1 - weight) * average in order; an average of zero is replaced."""
-    ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("__x"))))
-    step = lambda average, row: F.when(average == 0, row["__x"]).otherwise(F.lit(weight) * row["__x"] + F.lit(1 - weight) * average)
-    return rows.groupBy(key).agg(F.aggregate(ordered, F.lit(0.0), step).alias("average"))
+def ewma(rows: DataFrame, key: str, order: list[str], value: str, weight: float, ranges: int | None = None) -> DataFrame:
+    """PF09: (key, average): weight * value + (1 - weight) * average in order; an average of zero is replaced. Rows without key or value take no part."""
+    return smoothed(rows, key, order, value, weight, ranges)
 
 
-def sampled_load(readings: DataFrame, key: str, cores: int) -> DataFrame:
+def sampled_load(readings: DataFrame, key: str, cores: int, ranges: int | None = None) -> DataFrame:
     """PF10: (key, tsc, load) from cumulative counters: invocations a sample, times cycles a tick; readings beyond `cores` are dropped.
 
-    Ratios are as between neighbouring readings; pass them on to ewma for the smoothed load.
+    Ratios are as between neighbouring readings; pass them on to ewma for the smoothed load. One reading a key and tsc.
     """
-    step = Window.partitionBy(key).orderBy("tsc")
-    delta = {c: F.col(c) - F.coalesce(F.lag(c).over(step), F.lit(0)) for c in ("invocations", "samples", "cycles", "tsc")}
+    counters = ["invocations", "samples", "cycles", "tsc"]
+    rows = previous(readings.select(key, *counters), key, "tsc", counters, "__before", ranges)
+    delta = {c: F.col(c) - F.coalesce(F.col("__before")[c], F.lit(0)) for c in counters}
     ratio = F.when(delta["samples"] != 0, delta["invocations"] / delta["samples"]).otherwise(1.0)
-    loads = readings.withColumn("load", ratio * delta["cycles"] / delta["tsc"])
+    loads = rows.withColumn("load", ratio * delta["cycles"] / delta["tsc"])
     return loads.where(F.col("load") < cores).select(key, "tsc", "load")
 
 
