@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from braidworks.functions.scalars import drawn
 
 from .keyed import in_ranges
-from .ordered import PART, previous, smoothed, with_carries, within
+from .ordered import HOT_ROWS, PART, hot_apart, previous, smoothed, with_carries, within
 
 
 def values_at(rows: DataFrame, value: str, wanted: dict[float, Column], ranges: int | None = None) -> DataFrame:
@@ -74,7 +74,7 @@ def _name(p: float) -> str:
     return "p" + f"{p:g}".replace(".", "_")
 
 
-def window_percentiles(traces: DataFrame, interval_us: int, percent: float, stream: str, least: int = 100, ranges: int | None = None) -> DataFrame:
+def window_percentiles(traces: DataFrame, interval_us: int, percent: float, stream: str, least: int = 100, hot_rows: int = HOT_ROWS, ranges: int | None = None) -> DataFrame:
     """PF06: (stream, absl_start_us, start_us, duration_us) of each window, a stream by itself.
 
     A row that starts after the window's end closes it, and the window moves by one interval only,
@@ -82,28 +82,31 @@ def window_percentiles(traces: DataFrame, interval_us: int, percent: float, stre
 
     By its start alone the i-th row (from 0) of a stream belongs to window c_i, which never falls; and since a
     row moves the window by one at most, it lands in the least of c_j + (i - j) over the rows j up to it: a running minimum.
-    Number, first start and minimum are carried from a stream's ranges to its next, and a window's equal durations are counted
-    before they meet, so neither a busy stream nor a long window is one task's work.
+    A hot stream is dealt to ranges: number, first start and minimum are carried from a range to the stream's next. A window's equal durations
+    are counted before they meet. So neither a busy stream nor a long window is one task's work.
     """
-    order = ["start_us", "duration_us", "absl_start_us"]
-    rows = traces.select(stream, *order).where(F.col(stream).isNotNull())
-    ranged = in_ranges(rows, stream, *order, into=PART, ranges=ranges)
-    row, upto, interval = F.struct(*order), within(stream, *order), F.lit(interval_us).cast("long")
-    numbered = with_carries(ranged, stream, __n=(F.count(F.lit(1)), F.sum), __first=(F.min(row), F.min))
-    numbered = numbered.withColumn("__i", F.count(F.lit(1)).over(upto) - 1 + F.coalesce("__n", F.lit(0))).withColumn("__first", F.coalesce("__first", F.first(row).over(upto)))
-    own = F.greatest(F.call_function("div", F.col("start_us") - F.col("__first.start_us") + interval - 1, interval) - 1, F.lit(0).cast("long"))
-    numbered = numbered.select(stream, *order, PART, "__i", "__first", (own - F.col("__i")).alias("__own"))
-    placed = with_carries(numbered, stream, __least=(F.min("__own"), F.min))
-    window = F.col("__i") + F.least(F.min("__own").over(upto), F.col("__least"))
-    placed = placed.select(stream, "duration_us", "__first", window.alias("__window"))
+    order, interval = ["start_us", "duration_us", "absl_start_us"], F.lit(interval_us).cast("long")
+    hot, rest = hot_apart(traces.select(stream, *order).where(F.col(stream).isNotNull()), stream, hot_rows)
+    row = F.struct(*order)
+    own = F.greatest(F.call_function("div", F.col("start_us") - F.col("__first.start_us") + interval - 1, interval) - 1, F.lit(0).cast("long")) - F.col("__i")
+
+    def in_windows(rows: DataFrame, upto, with_ranges: bool) -> DataFrame:
+        rows = with_carries(rows, stream, __n=(F.count(F.lit(1)), F.sum), __before=(F.min(row), F.min)) if with_ranges else rows.withColumns({"__n": F.lit(0), "__before": F.lit(None)})
+        rows = rows.withColumns({"__i": F.count(F.lit(1)).over(upto) - 1 + F.coalesce("__n", F.lit(0)), "__first": F.coalesce("__before", F.first(row).over(upto))}).withColumn("__own", own)
+        rows = with_carries(rows, stream, __least=(F.min("__own"), F.min)) if with_ranges else rows.withColumn("__least", F.lit(None).cast("long"))
+        return rows.select(stream, "duration_us", "__first", (F.col("__i") + F.least(F.min("__own").over(upto), F.col("__least"))).alias("__window"))
+
+    placed = in_windows(rest, Window.partitionBy(stream).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0), False)
+    if hot is not None:
+        placed = placed.unionByName(in_windows(in_ranges(hot, stream, *order, into=PART, ranges=ranges), within(stream, *order), True))
     counts = placed.groupBy(stream, "__window", "duration_us").agg(F.count(F.lit(1)).alias("__c"), F.first("__first").alias("__first"))
     inside = Window.partitionBy(stream, "__window")
     ranked = counts.withColumn("__n", F.sum("__c").over(inside)).withColumn("__upto", F.sum("__c").over(inside.orderBy("duration_us")))
     place = F.floor(F.lit(percent / 100.0) * F.col("__n"))
-    chosen = ranked.where((F.col("__n") >= least) & (place < F.col("__upto")) & (place >= F.col("__upto") - F.col("__c")))
-    last = counts.groupBy(stream).agg(F.max("__window").alias("__last"))
+    chosen = ranked.where((place < F.col("__upto")) & (place >= F.col("__upto") - F.col("__c")))  # a row a window
+    last = F.max("__window").over(Window.partitionBy(stream))
     at = [(F.col("__first")[c] + F.col("__window") * interval).alias(c) for c in ("absl_start_us", "start_us")]
-    return chosen.join(last, stream).where("__window < __last").select(stream, *at, "duration_us")
+    return chosen.withColumn("__last", last).where((F.col("__window") < F.col("__last")) & (F.col("__n") >= least)).select(stream, *at, "duration_us")
 
 
 def tumbling_percentiles(traces: DataFrame, interval_us: int, percent: float, least: int = 100) -> DataFrame:
@@ -129,18 +132,18 @@ def histogram_deltas(snapshots: DataFrame, time: str) -> DataFrame:
     return snapshots.withColumn("delta", F.col("n") - before)
 
 
-def ewma(rows: DataFrame, key: str, order: list[str], value: str, weight: float, ranges: int | None = None) -> DataFrame:
+def ewma(rows: DataFrame, key: str, order: list[str], value: str, weight: float, hot_rows: int = HOT_ROWS, ranges: int | None = None) -> DataFrame:
     """PF09: (key, average): weight * value + (1 - weight) * average in order; an average of zero is replaced. Rows without key or value take no part."""
-    return smoothed(rows, key, order, value, weight, ranges)
+    return smoothed(rows, key, order, value, weight, hot_rows, ranges)
 
 
-def sampled_load(readings: DataFrame, key: str, cores: int, ranges: int | None = None) -> DataFrame:
+def sampled_load(readings: DataFrame, key: str, cores: int, hot_rows: int = HOT_ROWS, ranges: int | None = None) -> DataFrame:
     """PF10: (key, tsc, load) from cumulative counters: invocations a sample, times cycles a tick; readings beyond `cores` are dropped.
 
     Ratios are as between neighbouring readings; pass them on to ewma for the smoothed load. One reading a key and tsc.
     """
     counters = ["invocations", "samples", "cycles", "tsc"]
-    rows = previous(readings.select(key, *counters), key, "tsc", counters, "__before", ranges)
+    rows = previous(readings.select(key, *counters), key, "tsc", counters, "__before", hot_rows, ranges)
     delta = {c: F.col(c) - F.coalesce(F.col("__before")[c], F.lit(0)) for c in counters}
     ratio = F.when(delta["samples"] != 0, delta["invocations"] / delta["samples"]).otherwise(1.0)
     loads = rows.withColumn("load", ratio * delta["cycles"] / delta["tsc"])

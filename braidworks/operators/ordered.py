@@ -1,7 +1,8 @@
 """Work along an order within a key, in ranges: what a range needs of the ones before it is carried in one row.
 
-A key with most of the rows is in many ranges, and each is a task's work. Only keys with rows in several
-ranges need a carry, which is at most one more than there are ranges, and two rows a range; these are broadcast.
+A key with more than HOT_ROWS rows is dealt to ranges, and each is a task's work. Only keys with rows in several
+ranges need a carry, which is at most one more than there are ranges, and two rows a range; these are broadcast. The other
+keys need no ranges: all rows of such a key are less than a task's work, and meet by a hash of the key.
 """
 
 from __future__ import annotations
@@ -18,6 +19,16 @@ from braidworks.sources.checkpoints import snapshot
 from .keyed import in_ranges
 
 PART = "__range"
+#: Rows of a key above which it goes by ranges.
+HOT_ROWS = 1 << 20
+
+
+def hot_apart(table: DataFrame, key: str, hot_rows: int) -> tuple[DataFrame | None, DataFrame]:
+    """The rows of keys with more than `hot_rows` rows (None if there is no such key), and all others. Hot keys are so few that they are broadcast."""
+    hot = snapshot(table.groupBy(key).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > hot_rows).where(F.col(key).isNotNull()).select(key))
+    if hot.isEmpty():
+        return None, table
+    return table.join(F.broadcast(hot), key, "left_semi"), table.join(F.broadcast(hot), key, "left_anti")
 
 
 def within(key: str, *order: str | Column) -> Window:
@@ -41,22 +52,28 @@ def with_carries(ranged: DataFrame, key: str, **carries: tuple[Column, Callable]
     return ranged.join(F.broadcast(carried(ranged, key, **carries)), [key, PART], "left")
 
 
-def running_total(table: DataFrame, key: str, order: list[str], value: str, into: str, ranges: int | None = None) -> DataFrame:
-    """The table with the sum of `value` over a key's rows up to each, in order, however many rows a key has. Rows without a key have no carry: each range counts its own."""
-    ranged = in_ranges(table, key, *order, into=PART, ranges=ranges)
-    joined = with_carries(ranged, key, __before=(F.sum(value), F.sum))
+def running_total(table: DataFrame, key: str, order: list[str], value: str, into: str, hot_rows: int = HOT_ROWS, ranges: int | None = None) -> DataFrame:
+    """The table with the sum of `value` over a key's rows up to each, in order, however many rows a key has."""
+    hot, rest = hot_apart(table, key, hot_rows)
+    done = rest.withColumn(into, F.sum(value).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    if hot is None:
+        return done
+    joined = with_carries(in_ranges(hot, key, *order, into=PART, ranges=ranges), key, __before=(F.sum(value), F.sum))
     total = F.sum(value).over(within(key, *order)) + F.coalesce("__before", F.lit(0))
-    return joined.withColumn(into, total).drop("__before", PART)
+    return done.unionByName(joined.withColumn(into, total).drop("__before", PART))
 
 
-def previous(table: DataFrame, key: str, order: str, columns: list[str], into: str, ranges: int | None = None) -> DataFrame:
+def previous(table: DataFrame, key: str, order: str, columns: list[str], into: str, hot_rows: int = HOT_ROWS, ranges: int | None = None) -> DataFrame:
     """The table with the columns of the key's row before as a struct, null for the first, however many rows a key has. One row a key and place in the order."""
-    ranged = in_ranges(table, key, order, into=PART, ranges=ranges)
+    hot, rest = hot_apart(table, key, hot_rows)
+    done = rest.withColumn(into, F.lag(F.struct(*columns)).over(Window.partitionBy(key).orderBy(order)))
+    if hot is None:
+        return done
     row = F.struct(order, *[c for c in columns if c != order])
-    joined = with_carries(ranged, key, __earlier=(F.max(row), F.max))
+    joined = with_carries(in_ranges(hot, key, order, into=PART, ranges=ranges), key, __earlier=(F.max(row), F.max))
     before = F.lag(F.struct(*columns)).over(Window.partitionBy(PART, key).orderBy(order))
     earlier = F.when(F.col("__earlier").isNotNull(), F.struct(*[F.col("__earlier")[c].alias(c) for c in columns]))
-    return joined.withColumn(into, F.coalesce(before, earlier)).drop("__earlier", PART)
+    return done.unionByName(joined.withColumn(into, F.coalesce(before, earlier)).drop("__earlier", PART))
 
 
 #: Rounds after which carries that still change are taken for a fault.
@@ -65,27 +82,24 @@ MOST_ROUNDS = 1000
 SETTLED = 1e-13
 
 
-def smoothed(table: DataFrame, key: str, order: list[str], value: str, weight: float, ranges: int | None = None) -> DataFrame:
+def smoothed(table: DataFrame, key: str, order: list[str], value: str, weight: float, hot_rows: int = HOT_ROWS, ranges: int | None = None) -> DataFrame:
     """(key, average) after all of a key's rows in order: weight * value + (1 - weight) * average, where an average of zero is replaced by the value.
 
-    A range's rows are a map of the average before them, in two branches: what comes of zero, and a + b * average for any other.
-    Composed along a key's ranges these give the average before each range. From there the ranges of a key that has several are folded once more as they
+    Rows are sorted by key and order in their task and folded as a stream. Of a hot key a
+    range's rows are a map of the average before them, in two branches: what comes of zero, and a + b * average for any other.
+    Composed along the key's ranges these give the average before each range. From there its ranges are folded once more as they
     are, which also sees an average that comes to be zero on its way; where one comes out otherwise than
     composed, those after it are folded again, until nothing changes. Rows without key or value take no part.
     """
     known = table.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, *order, F.col(value).cast("double").alias("__x"))
-    ranged = in_ranges(known, key, *order, into=PART, ranges=ranges)
+    hot, rest = hot_apart(known, key, hot_rows)
+    alone = _folded(rest.withColumns({PART: F.lit(0), "__start": F.lit(0.0)}).repartition(key), key, order, weight).select(key, "average")
+    if hot is None:
+        return alone
+    ranged = in_ranges(hot, key, *order, into=PART, ranges=ranges)
     place = [ranged.schema[key], ranged.schema[PART]]
-
-    def folded(rows: DataFrame) -> DataFrame:
-        schema = StructType([*place, *[StructField(c, DoubleType()) for c in ("average", "a", "b")]])
-        return rows.sortWithinPartitions(PART, key, *order).select(key, PART, "__x", "__start").mapInArrow(_fold(key, weight), schema)
-
-    maps = snapshot(folded(ranged.withColumn("__start", F.lit(0.0))))
-    several = maps.groupBy(key).agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select(key)  # no more than there are ranges
-    alone = maps.join(F.broadcast(several), key, "left_anti").select(key, "average")
     chains: dict = {}
-    for row in sorted(maps.join(F.broadcast(several), key, "left_semi").collect(), key=lambda r: r[PART]):
+    for row in sorted(_folded(ranged.withColumn("__start", F.lit(0.0)), key, order, weight).collect(), key=lambda r: r[PART]):  # two rows a range at most
         chains.setdefault(row[key], []).append(row)
     starts, ends = {}, {}
     for own, chain in chains.items():
@@ -98,7 +112,7 @@ def smoothed(table: DataFrame, key: str, order: list[str], value: str, weight: f
         if not changed:
             break
         given = table.sparkSession.createDataFrame([(*k, v) for k, v in changed.items()], StructType([*place, StructField("__start", DoubleType())]))
-        ends |= {(r[key], r[PART]): r["average"] for r in folded(ranged.join(F.broadcast(given), [key, PART])).collect()}
+        ends |= {(r[key], r[PART]): r["average"] for r in _folded(ranged.join(F.broadcast(given), [key, PART]), key, order, weight).collect()}
         changed = {}
         for own, chain in chains.items():
             for before, after in zip(chain, chain[1:]):
@@ -111,6 +125,12 @@ def smoothed(table: DataFrame, key: str, order: list[str], value: str, weight: f
     return alone.unionByName(table.sparkSession.createDataFrame(last, StructType([place[0], StructField("average", DoubleType())])))
 
 
+def _folded(rows: DataFrame, key: str, order: list[str], weight: float) -> DataFrame:
+    """(key, range, average, a, b) of each range's rows of a key (key, order, __x, __start, range), which are in one partition."""
+    schema = StructType([rows.schema[key], rows.schema[PART], *[StructField(c, DoubleType()) for c in ("average", "a", "b")]])
+    return rows.sortWithinPartitions(PART, key, *order).select(key, PART, "__x", "__start").mapInArrow(_fold(key, weight), schema)
+
+
 def _fold(key: str, weight: float):
     """Rows sorted by range and key, folded in order: (key, range, average from its start, a, b) of each key in a range."""
 

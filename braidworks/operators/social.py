@@ -139,6 +139,8 @@ class Removal:
 
 #: Rows of a small side that are broadcast at most; with more, rows meet by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Ids in lists that are broadcast at most: 32 MB of them.
+BROADCAST_IDS = 4_000_000
 
 
 def remove_posts(
@@ -148,22 +150,34 @@ def remove_posts(
     """SN18: a page of a user's posts goes from all tables.
 
     Home entries go from the present followers and the mentioned users only: whoever
-    unfollowed since keeps an entry without a post. Only entries of removed posts are compared with these; all other rows of a
-    table pass by a look at their post's id, which is broadcast unless more than BROADCAST_ROWS posts go.
+    unfollowed since keeps an entry without a post. The home table is read once: an entry looks up its post among the removed ones, and
+    only if it's there, its reader among those whose entries go. These are broadcast, up to BROADCAST_ROWS posts and BROADCAST_IDS
+    readers; with more, only entries of removed posts are shuffled and compared, which reads the table twice.
     """
     cut = snapshot(pages(user_timeline, requests).select("user_id", "timestamp", "post_id").distinct())
     gone = snapshot(cut.join(posts.drop("user_id", "timestamp"), "post_id"))
-    few = F.broadcast if cut.count() <= BROADCAST_ROWS else lambda df: df
+    authors = gone.select(F.col("user_id").alias("followee")).distinct()
+    going = snapshot(home_entries(gone, edges.join(authors, "followee", "left_semi").distinct(), mentioned))
+    keys, small = ["user_id", "timestamp", "post_id"], cut.count() <= BROADCAST_ROWS
+    few = F.broadcast if small else lambda df: df
     removed = few(gone.select("post_id").distinct())
-    keys = ["user_id", "timestamp", "post_id"]
-    touched = home_timeline.join(removed, "post_id").select(*home_timeline.columns).join(home_entries(gone, edges, mentioned), keys, "left_anti")
+    if small and going.count() <= BROADCAST_IDS:
+        home = without_entries(home_timeline, going)
+    else:
+        touched = home_timeline.join(removed, "post_id").select(*home_timeline.columns).join(going, keys, "left_anti")
+        home = home_timeline.join(removed, "post_id", "left_anti").unionByName(touched)
     links = short_links
     if urls is not None and short_links is not None:
         links = remove_urls(short_links, gone.select(F.explode(urls).alias("u")).select("u.shortened_url"))
-    return Removal(
-        posts.join(removed, "post_id", "left_anti"), user_timeline.join(few(cut), keys, "left_anti"),
-        home_timeline.join(removed, "post_id", "left_anti").unionByName(touched), links,
-    )
+    return Removal(posts.join(removed, "post_id", "left_anti"), user_timeline.join(few(cut), keys, "left_anti"), home, links)
+
+
+def without_entries(timeline: DataFrame, going: DataFrame) -> DataFrame:
+    """The timeline without the given entries (user_id, timestamp, post_id), which are few enough to broadcast: a post's readers as one list."""
+    lists = going.groupBy(F.col("post_id").alias("__post"), F.col("timestamp").alias("__at")).agg(F.collect_list("user_id").alias("__readers"))
+    same_time = (F.col("timestamp") <= F.col("__at")) & (F.col("timestamp") >= F.col("__at"))  # not a second key: one number is the faster one
+    hit = (F.col("post_id") == F.col("__post")) & same_time & F.array_contains("__readers", F.col("user_id"))
+    return timeline.join(F.broadcast(lists), hit, "left_anti")
 
 
 def store_posts(posts: DataFrame, new: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ def plain(rows):
 
 def test_running_totals_cross_ranges(spark):
     rows = [(k, i, (i * 7) % 5 - 2) for k, n in ((0, 900), (1, 3), (2, 200)) for i in range(n)]
-    got = ordered.running_total(spark.createDataFrame(rows, "k long, i long, v long"), "k", ["i"], "v", "upto", ranges=6).collect()
+    got = ordered.running_total(spark.createDataFrame(rows, "k long, i long, v long"), "k", ["i"], "v", "upto", hot_rows=150, ranges=6).collect()
     sums, expected = {}, []
     for k, i, v in rows:
         sums[k] = sums.get(k, 0) + v
@@ -25,7 +25,7 @@ def test_running_totals_cross_ranges(spark):
 
 def test_previous_rows_cross_ranges(spark):
     rows = [(k, i, i * i) for k, n in ((0, 500), (1, 1), (2, 40)) for i in range(n)]
-    got = ordered.previous(spark.createDataFrame(rows, "k long, i long, v long").repartition(3), "k", "i", ["i", "v"], "p", ranges=8).collect()
+    got = ordered.previous(spark.createDataFrame(rows, "k long, i long, v long").repartition(3), "k", "i", ["i", "v"], "p", hot_rows=30, ranges=8).collect()
     assert {(r.k, r.i): r.p and tuple(r.p) for r in got} == {(k, i): (i - 1, (i - 1) ** 2) if i else None for k, i, _ in rows}
 
 
@@ -41,7 +41,7 @@ def test_a_hot_keys_average_is_the_loops(spark, weight):
     draw = random.Random(6)
     values = {0: [draw.choice([0.0, draw.uniform(-5, 9)]) for _ in range(3000)], 1: [0.0] * 700, 2: [4.0], 3: [0.0, 0.0, 5.0, -15.0, 2.0, 7.0], 4: [draw.uniform(1, 2) for _ in range(400)]}
     rows = [(k, i, x) for k, xs in values.items() for i, x in enumerate(xs)] + [(None, 1, 1.0), (2, 9, None)]
-    got = ordered.smoothed(spark.createDataFrame(rows, "k long, i long, x double").repartition(3), "k", ["i"], "x", weight, ranges=9).collect()
+    got = ordered.smoothed(spark.createDataFrame(rows, "k long, i long, x double").repartition(3), "k", ["i"], "x", weight, hot_rows=300, ranges=9).collect()
     assert {r.k: r.average for r in got} == {k: pytest.approx(loop(xs, weight), rel=1e-9, abs=1e-12) for k, xs in values.items()} and len(got) == 5
 
 
@@ -50,11 +50,11 @@ def test_an_average_that_comes_to_be_zero_is_replaced_after_a_carry(spark):
     values = [4.0] * 40 + [-4.0, 6.0] + [6.0] * 3 + [-6.0, 1.0]
     rows = spark.createDataFrame([(0, i, x) for i, x in enumerate(values)], "k long, i long, x double")
     for ranges in (1, 2, 7, 20, 45):
-        assert ordered.smoothed(rows, "k", ["i"], "x", 0.5, ranges=ranges).first().average == pytest.approx(loop(values, 0.5))
+        assert ordered.smoothed(rows, "k", ["i"], "x", 0.5, hot_rows=20, ranges=ranges).first().average == pytest.approx(loop(values, 0.5))
     # so many zeros that the average itself becomes zero
     values = [1.0] + [0.0] * 2800 + [3.0, 5.0]
     rows = spark.createDataFrame([(0, i, x) for i, x in enumerate(values)], "k long, i long, x double")
-    assert ordered.smoothed(rows, "k", ["i"], "x", 0.75, ranges=5).first().average == loop(values, 0.75) == 4.5
+    assert ordered.smoothed(rows, "k", ["i"], "x", 0.75, hot_rows=20, ranges=5).first().average == loop(values, 0.75) == 4.5
     assert ordered.smoothed(rows.limit(0), "k", ["i"], "x", 0.5).count() == 0
 
 
@@ -100,7 +100,7 @@ def test_windows_of_a_hot_stream_cross_ranges(spark, ranges):
             at += draw.choice([0, 1, 1, 2, 3]) if draw.random() < 0.99 else draw.randrange(4000)
             rows.append((s, at + 5, at, draw.choice([7, draw.randrange(500)])))
     df = spark.createDataFrame(rows, "s long, absl_start_us long, start_us long, duration_us long").repartition(5)
-    got = latency.window_percentiles(df, 50, 90.0, "s", least=10, ranges=ranges).collect()
+    got = latency.window_percentiles(df, 50, 90.0, "s", least=10, hot_rows=500, ranges=ranges).collect()
     expected = windows_by_loop([r for r in rows if r[0] is not None], 50, 90.0, 10)
     assert plain(got) == plain(expected) and len(expected) > 50
     if ranges == 12:
@@ -111,10 +111,10 @@ def test_windows_of_a_hot_stream_cross_ranges(spark, ranges):
 def test_loads_of_a_hot_key_cross_ranges(spark):
     rows = [(k, 10 * i + 10, i * 3 + 3, i // 2, i * 2 + 1) for k, n in ((0, 300), (1, 2)) for i in range(n)]
     df = spark.createDataFrame(rows, "k long, tsc long, invocations long, samples long, cycles long").repartition(4)
-    by = lambda n: sorted(map(tuple, latency.sampled_load(df, "k", 4, ranges=n).collect()))
+    by = lambda n: sorted(map(tuple, latency.sampled_load(df, "k", 4, hot_rows=n, ranges=9).collect()))
     expected, before = [], {}
     for k, *row in rows:
         tsc, inv, smp, cyc = (a - b for a, b in zip(row, before.get(k, (0, 0, 0, 0))))
         before[k] = row
         expected.append((k, row[0], (inv / smp if smp else 1.0) * cyc / tsc))
-    assert by(1) == by(9) == sorted(expected)
+    assert by(10) == by(1000) == sorted(expected)
