@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,6 +86,23 @@ def pairs(table: DataFrame) -> DataFrame:
     return table
 
 
+def for_each_until(table: DataFrame, visit: Callable[[dict], bool]) -> bool:
+    """RC05: visits rows until `visit` says False; whether all were visited.
+
+    Partitions are opened a few at a time, four times as many whenever none of the last ones has stopped it; what
+    is beyond those isn't read. In a partition the rows after the one that stopped it aren't visited; others opened with it may go on for a while.
+    """
+
+    def scan(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                if not visit(row):
+                    yield pa.RecordBatch.from_pydict({"stopped": [True]})
+                    return
+
+    return not table.mapInArrow(scan, "stopped boolean").take(1)
+
+
 def hashes_and_keys(table: DataFrame, key: str) -> DataFrame:
     """KV15: 64-bit hash and key of each row."""
     return table.select(F.xxhash64(key).alias("hash"), key)

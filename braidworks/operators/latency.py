@@ -220,11 +220,32 @@ def load_summary(samples: DataFrame, elapsed_us: float, busy: float, idle: float
 
 
 def trimmed(samples: DataFrame, thread: str, order: str, ends: int = 1000) -> DataFrame:
-    """PF16: without the first and last `ends` samples of each thread; a thread with no more than both fails."""
-    here = Window.partitionBy(thread)
-    ranked = samples.withColumn("__n", F.count(F.lit(1)).over(here)).withColumn("__i", F.row_number().over(here.orderBy(order)))
-    enough = F.when(F.col("__n") > 2 * ends, True).otherwise(F.raise_error(F.lit("a thread has too few samples")))
-    return ranked.where(enough & (F.col("__i") > ends) & (F.col("__i") <= F.col("__n") - ends)).drop("__n", "__i")
+    """PF16: without the first and last `ends` samples of each thread; a thread with no more than both fails.
+
+    Ties go by the whole row. Only what is cut is put in order: the `ends` first and last rows of a thread (a bound that goes below the
+    shuffle). The last row of the cut ones is a bound for the others, which stay where they are; equal rows on the bound are counted.
+    """
+    if not ends:
+        return samples
+    whole = F.struct(order, *[c for c in samples.columns if c != order])
+    rows = samples.select(F.col(thread).alias("__thread"), whole.alias("__row"))
+
+    def cut(side: str, first: Column, last) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy("__thread").orderBy(first))
+        gone = rows.withColumn("__nth", nth).where(F.col("__nth") <= ends).groupBy("__thread", "__row").agg(F.count(F.lit(1)).alias("c"))
+        return gone.groupBy("__thread").agg(last("__row").alias(side), F.sum("c").alias(f"{side}_n"), F.max_by("c", "__row").alias("hi_c"), F.min_by("c", "__row").alias("lo_c"))
+
+    low = cut("low", F.asc("__row"), F.max).withColumnRenamed("hi_c", "low_c").drop("lo_c")
+    high = cut("high", F.desc("__row"), F.min).withColumnRenamed("lo_c", "high_c").drop("hi_c")
+    totals = rows.groupBy("__thread").agg(F.count(F.lit(1)).alias("n"))
+    checked = F.when(F.col("n") > 2 * ends, F.col("n")).otherwise(F.raise_error(F.lit("a thread has too few samples")).cast("long"))
+    bounds = totals.join(low, "__thread").join(high, "__thread").withColumn("n", checked).where("n > 0")
+    near = rows.join(bounds, "__thread")  # a row a thread; a busy thread's rows are split by adaptive execution
+    between = near.where((F.col("__row") > F.col("low")) & (F.col("__row") < F.col("high"))).select("__row.*")
+    equal = near.where((F.col("__row") == F.col("low")) | (F.col("__row") == F.col("high"))).groupBy("__thread", "__row", "low", "high", "low_c", "high_c").agg(F.count(F.lit(1)).alias("c"))
+    left = F.col("c") - F.when(F.col("__row") == F.col("low"), F.col("low_c")).otherwise(0) - F.when(F.col("__row") == F.col("high"), F.col("high_c")).otherwise(0)
+    copies = equal.withColumn("left", left).where("left > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("left").cast("int"))).alias("__copy")).select("__row.*")
+    return between.unionByName(copies).select(*samples.columns)
 
 
 def phase_breakdown(lines: DataFrame, batch: int, overheads: dict[str, list[str]]) -> DataFrame:

@@ -16,6 +16,8 @@ from braidworks.functions import text as texts
 from braidworks.functions.scalars import signed_token, token_claims
 from braidworks.sources.checkpoints import snapshot
 
+from .ordered import HOT_ROWS, running_total
+
 
 @dataclass(frozen=True)
 class Composed:
@@ -32,6 +34,26 @@ def followers(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("followee").alias("user_id")).agg(F.array_sort(F.collect_set("follower")).alias("ids"))
 
 
+#: Ids of a list at most.
+CHUNK_IDS = 1 << 16
+
+
+def follower_chunks(edges: DataFrame, most: int = CHUNK_IDS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """SN20: (user_id, chunk, ids): who follows a user, ascending, in chunks (from 0) of `most` ids and a shorter last one: no list grows with a user's fame."""
+    known = edges.select(F.col("followee").alias("user_id"), "follower").distinct().withColumn("__one", F.lit(1))
+    placed = running_total(known, "user_id", ["follower"], "__one", "__place", hot_rows)
+    chunk = F.floor((F.col("__place") - 1) / most).alias("chunk")
+    return placed.groupBy("user_id", chunk).agg(F.array_sort(F.collect_list("follower")).alias("ids"))
+
+
+def is_follower(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """SN20 from chunks: each (user_id, follower) asked for with whether it `follows`; a chunk is opened only if its ends enclose the id."""
+    ends = chunks.select("user_id", F.col("ids")[0].alias("__low"), F.element_at("ids", -1).alias("__high"), "ids")
+    met = asked.distinct().join(ends, "user_id").where((F.col("follower") >= F.col("__low")) & (F.col("follower") <= F.col("__high")))
+    hits = met.where(F.array_contains("ids", F.col("follower"))).select("user_id", "follower", F.lit(True).alias("follows"))
+    return asked.join(hits, ["user_id", "follower"], "left").withColumn("follows", F.coalesce("follows", F.lit(False)))
+
+
 def followees(edges: DataFrame) -> DataFrame:
     """SN20: (user_id, ids): whom a user follows, ascending."""
     return edges.groupBy(F.col("follower").alias("user_id")).agg(F.array_sort(F.collect_set("followee")).alias("ids"))
@@ -65,7 +87,7 @@ def write_user_timeline(timeline: DataFrame, posts: DataFrame) -> DataFrame:
 def home_entries(posts: DataFrame, edges: DataFrame, mentioned: str | None = None) -> DataFrame:
     """SN14: an entry for each follower of a post's author and each mentioned user; the author only if among these.
 
-    Posts have different ids and edges are distinct, so only a mentioned user can have an entry twice: mentions
+    Whoever takes the tables in sees to it that posts have different ids and edges are distinct (store_posts, follow, keyed.violations); so only a mentioned user can have an entry twice: mentions
     of the author's followers are left out, and the fan-out itself, which is the bulk, isn't compared.
     """
     by_edge = posts.join(edges.select(F.col("followee").alias("user_id"), "follower"), "user_id").select(F.col("follower").alias("user_id"), "timestamp", "post_id")

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from braidworks.operators import keyed
-from braidworks.sources.checkpoints import shared_folder
+from braidworks.sources import shards
+from braidworks.sources.checkpoints import shared_folder, snapshot_and_drop
 
 from .registry import query, read
 
@@ -248,8 +249,28 @@ def kv_build(spark, d):
 @query("SELECT p_partkey, p_name FROM part")
 def kv_save_load(spark, d):
     path = f"{shared_folder(spark)}/saved-{uuid.uuid4()}"
-    keyed.save(_parts(spark, d), path, "p_partkey")
-    return keyed.load(spark, path)
+    shards.save_shards(_parts(spark, d), path, "p_partkey", 3)
+    return snapshot_and_drop(shards.load_shards(spark, path), path)
+
+
+@query("""
+WITH saved AS (SELECT p_partkey, p_name FROM part WHERE p_partkey % 3 <> 0),
+u AS (SELECT l_partkey, arg_max(l_orderkey * 10 + l_linenumber, (l_orderkey, l_linenumber)) AS name FROM lineitem WHERE l_partkey % 5 = 0 GROUP BY 1)
+SELECT coalesce(p_partkey, l_partkey) AS p_partkey, coalesce(CAST(name AS VARCHAR), p_name) AS p_name FROM saved FULL JOIN u ON l_partkey = p_partkey""")
+def kv_saved_upsert(spark, d):
+    """Line items rename every fifth part of a saved table, or put it there: only they are shuffled."""
+    path = f"{shared_folder(spark)}/saved-{uuid.uuid4()}"
+    shards.save_shards(_parts(spark, d).where("p_partkey % 3 <> 0"), path, "p_partkey", 3)
+    item = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    updates = read(spark, d, "lineitem").where("l_partkey % 5 = 0").select(F.col("l_partkey").alias("p_partkey"), item.cast("string").alias("p_name"), "l_orderkey", "l_linenumber")
+    return snapshot_and_drop(shards.upsert_shards(spark, path, updates, ["l_orderkey", "l_linenumber"]), path)
+
+
+@query("SELECT k AS p_partkey, EXISTS (SELECT 1 FROM part WHERE p_partkey = k) AS stopped FROM (SELECT unnest([0, 7, 1000000000]) AS k)")
+def kv_scan_until(spark, d):
+    """Scans that stop where they come upon a key, or have seen all."""
+    stopped = [(key, not keyed.for_each_until(_parts(spark, d), lambda row, key=key: row["p_partkey"] != key)) for key in (0, 7, 1_000_000_000)]
+    return spark.createDataFrame(stopped, "p_partkey int, stopped boolean")
 
 
 @query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_partkey DESC) - 1 AS BIGINT) AS number FROM part")

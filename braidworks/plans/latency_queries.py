@@ -117,6 +117,22 @@ def pf_trimmed(spark, d):
     return left.join(whole, "g")
 
 
+_LEFT = f"""(SELECT duration_us FROM (
+  SELECT duration_us, row_number() OVER (PARTITION BY thread % 3 ORDER BY start_us * 10 + thread % 10, duration_us) AS i, count(*) OVER (PARTITION BY thread % 3) AS n FROM {_TRACES})
+  WHERE i > 100 AND i <= n - 100 AND duration_us > 0)"""
+
+
+@query(f"""
+WITH r AS (SELECT duration_us, row_number() OVER (ORDER BY duration_us) - 1 AS i, count(*) OVER () AS n FROM {_LEFT})
+SELECT count(*) AS n, count(*) * 1e6 / 2000000 AS rate, 0.75::DOUBLE AS cpu, min(duration_us) AS min, CAST(sum(duration_us) AS DOUBLE) / count(*) AS mean, max(duration_us) AS max,
+ {", ".join(f"(SELECT duration_us FROM r WHERE i = CAST(floor({q} / 100 * n) AS BIGINT)) AS p{str(q).replace('.', '_').removesuffix('_0')}" for q in (90.0, 99.0, 99.9, 99.99))}
+FROM r""")
+def pf_load_summary_trimmed(spark, d):
+    """The load's summary without what each thread measured while it came up and went down."""
+    t = _traces(spark, d).select((F.col("thread") % 3).alias("g"), (F.col("start_us") * 10 + F.col("thread") % 10).alias("o"), "duration_us")
+    return latency.load_summary(latency.trimmed(t, "g", "o", 100), 2_000_000, 3.0, 1.0)
+
+
 @query(
     "SELECT CASE WHEN r = '' OR starts_with(r, 'Success') THEN 'success' WHEN starts_with(r, '500') THEN 'server_error' ELSE 'other' END AS result, count(*) AS n"
     " FROM (SELECT CASE event_type WHEN 'error' THEN '500 failed' WHEN 'signup' THEN '' WHEN 'purchase' THEN 'Success!' ELSE event_type END AS r FROM events) GROUP BY 1"

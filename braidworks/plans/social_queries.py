@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from braidworks.functions import scalars, text
 from braidworks.operators import social
-from braidworks.sources import graphs
+from braidworks.sources import graphs, timelines
+from braidworks.sources.checkpoints import shared_folder, snapshot
 
 from .registry import query, read
 
@@ -127,6 +129,24 @@ def sn_remove_posts(spark, d):
     return reduce(DataFrame.unionByName, [count(getattr(left, name), name) for name in ("posts", "user_timeline", "home_timeline", "short_links")])
 
 
+@query(f"""
+SELECT step, user_id, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM {_HOME} h, (SELECT unnest(['merged', 'compacted']) AS step) WHERE NOT EXISTS (
+  SELECT 1 FROM {_GONE} g JOIN {_EDGES} e ON e.followee = g.user_id WHERE e.follower = h.user_id AND g.event_id = h.event_id) GROUP BY 1, 2""")
+def sn_remove_by_tombstones(spark, d):
+    """Removed posts' entries go from a stored home timeline: hidden by tombstones first, then compacted away."""
+    store = timelines.TimelineStore(spark, f"{shared_folder(spark)}/timelines-{uuid.uuid4()}")
+    store.add(_home(spark, d), 1)
+    asked = _timeline(spark, d).select("user_id").distinct().select("user_id", F.col("user_id").alias("req_id"), F.lit(0).alias("start"), (F.col("user_id") % 2 + 3).cast("int").alias("stop"))
+    gone = social.pages(_timeline(spark, d), asked).join(_posts(spark, d).select("post_id"), "post_id").select("user_id", "timestamp", "post_id")
+    store.remove(social.home_entries(gone, _edges(spark, d)), 2)
+    sums = lambda step: snapshot(store.read().groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("post_id").alias("ids")).withColumn("step", F.lit(step)))
+    merged = sums("merged")
+    store.compact(3)
+    compacted = sums("compacted")
+    store.delete()
+    return merged.unionByName(compacted).select("step", "user_id", "n", "ids")
+
+
 @query(f"""
 SELECT 'stored' AS step, event_id AS post_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'new' END AS state FROM events WHERE event_type <> 'error' OR event_id % 2 = 1
 UNION ALL SELECT 'read', event_id, event_type FROM {_LIVE} WHERE event_id IN (SELECT c_custkey * 5 FROM customer)
@@ -150,6 +170,19 @@ def sn_followers(spark, d):
     return social.followers(_edges(spark, d)).select("user_id", F.array_join("ids", ",").alias("ids"))
 
 
+@query(f"""
+SELECT user_id, chunk, string_agg(follower, ',' ORDER BY follower) AS ids FROM (
+  SELECT followee AS user_id, follower, CAST((row_number() OVER (PARTITION BY followee ORDER BY follower) - 1) // 100 AS BIGINT) AS chunk FROM {_EDGES}) GROUP BY 1, 2""")
+def sn_follower_chunks(spark, d):
+    return social.follower_chunks(_edges(spark, d), 100).select("user_id", "chunk", F.array_join("ids", ",").alias("ids"))
+
+
+@query(f"SELECT followee AS user_id, follower, e IS NOT NULL AS follows FROM (SELECT c_custkey % 101 AS followee, c_custkey AS follower FROM customer) LEFT JOIN (SELECT *, 1 AS e FROM {_EDGES}) USING (followee, follower)")
+def sn_is_follower(spark, d):
+    asked = read(spark, d, "customer").select((F.col("c_custkey") % 101).alias("user_id"), F.col("c_custkey").alias("follower"))
+    return social.is_follower(social.follower_chunks(_edges(spark, d), 100), asked)
+
+
 @query(f"SELECT follower AS user_id, string_agg(followee, ',' ORDER BY followee) AS ids FROM {_EDGES} GROUP BY 1")
 def sn_followees(spark, d):
     return social.followees(_edges(spark, d)).select("user_id", F.array_join("ids", ",").alias("ids"))
@@ -322,6 +355,26 @@ def sn_compose_posts(spark, d):
     return posts.select("post_id", F.size("urls").cast("long").alias("n_urls"), F.size("user_mentions").alias("n_mentions"))
 
 
+@query(f"""
+WITH t AS (SELECT e.post_id, user_id, text FROM {_TEXTS} e JOIN (SELECT event_id AS post_id, user_id FROM events) USING (post_id)),
+named AS (SELECT post_id, u.user_id AS reader FROM {_TEXTS} x JOIN {_USERS} u ON text LIKE '%@' || u.username || ' %')
+SELECT 'user_timeline' AS "table", user_id, post_id, '' AS link FROM t
+UNION ALL SELECT 'home_timeline', user_id, post_id, '' FROM (SELECT follower AS user_id, post_id FROM t JOIN {_EDGES} ON followee = t.user_id UNION SELECT reader, post_id FROM named)
+UNION ALL SELECT 'short_links', CAST(-1 AS BIGINT), post_id, {_SHORT.format(link='link', i='i')} || ' ' || link FROM (SELECT post_id, unnest(links) AS link, unnest(range(len(links))) AS i FROM {_FOUND})""")
+def sn_compose_outputs(spark, d):
+    """What composing puts into the other tables: the author's timeline, the readers' home timelines, short links."""
+    e = _texts(spark, d)
+    asked = e.select(
+        "post_id", F.col("post_id").alias("req_id"), F.concat(F.lit("username_"), F.col("user_id").cast("string")).alias("username"), "user_id", "text",
+        F.array("post_id").alias("media_ids"), F.array(F.lit("png")).alias("media_types"), F.lit(0).alias("post_type"), F.col("post_id").alias("timestamp"),
+    )
+    made = social.compose_posts(asked, _users(spark, d), _edges(spark, d))
+    parts = {name: getattr(made, name).select("user_id", "post_id", F.lit("").alias("link")) for name in ("user_timeline", "home_timeline")}
+    links = made.posts.select("post_id", F.explode("urls").alias("u"))
+    parts["short_links"] = links.select(F.lit(-1).cast("long").alias("user_id"), "post_id", F.concat_ws(" ", "u.shortened_url", "u.expanded_url").alias("link"))
+    return reduce(DataFrame.unionByName, [t.select(F.lit(name).alias("table"), "user_id", "post_id", "link") for name, t in parts.items()])
+
+
 @query("SELECT event_id AS post_id, '{\"post_id\":\"' || event_id || '\",\"creator\":{\"user_id\":\"' || user_id || '\"},\"timestamp\":\"' || event_id * 2 || '\"}' AS json FROM events")
 def sn_post_json(spark, d):
     rows = read(spark, d, "events").select(F.col("event_id").alias("post_id"), "user_id", (F.col("event_id") * 2).alias("timestamp"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from braidworks.operators import kmeans
 from braidworks.sources import graphs
-from braidworks.sources.checkpoints import shared_folder
+from braidworks.sources.checkpoints import shared_folder, snapshot_and_drop
 
 from .registry import query, read
 
@@ -36,21 +36,21 @@ def _sums(traces):
 def io_text_traces(spark, d):
     path = _folder(spark)
     graphs.write_traces(_traces(spark, d), path)
-    return _sums(graphs.read_traces(spark, path))
+    return snapshot_and_drop(_sums(graphs.read_traces(spark, path)), path)
 
 
 @query(_SUMS)
 def pf_trace_dump(spark, d):
     path = _folder(spark)
     graphs.write_trace_dump(_traces(spark, d), path)
-    return _sums(spark.read.csv(path, header=True))
+    return snapshot_and_drop(_sums(spark.read.csv(path, header=True)), path)
 
 
 @query("SELECT 'service-' || max(n_name) AS name, CAST(count(*) AS BIGINT) AS port FROM nation")
 def io_config(spark, d):
     path = _folder(spark)
     read(spark, d, "nation").agg(F.concat(F.lit("service-"), F.max("n_name")).alias("name"), F.count(F.lit(1)).alias("port")).coalesce(1).write.json(path)
-    return graphs.config(spark, path).select("name", "port")
+    return snapshot_and_drop(graphs.config(spark, path).select("name", "port"), path)
 
 
 @query("SELECT CAST(5000 AS BIGINT) AS n, true AS shaped")

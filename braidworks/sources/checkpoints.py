@@ -24,3 +24,16 @@ def snapshot(df: DataFrame) -> DataFrame:
     """`df` as it is now, written to the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder, wherever Spark's file systems have it."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def snapshot_and_drop(df: DataFrame, path: str) -> DataFrame:
+    """`df` as it is now, and the folder that it was read from is removed."""
+    kept = snapshot(df)
+    drop_folder(df.sparkSession, path)
+    return kept

@@ -122,3 +122,29 @@ def test_successors_match_a_scan(spark):
     assert {r.p: r.successor for r in got.collect()} == expected
     none = keyed.successors(spark.createDataFrame([(1.0,)], "p double"), spark.createDataFrame([], "k double"), "p", "k")
     assert [tuple(r) for r in none.collect()] == [(1.0, None)]
+
+
+def test_a_scan_that_is_stopped_opens_few_partitions(spark, tmp_path):
+    opened = tmp_path / "opened"
+    opened.mkdir()
+
+    def visit(row, stop):
+        (opened / str(row["k"] // 10)).touch()
+        return row["k"] != stop
+
+    table = spark.range(0, 400, 1, 40).withColumnRenamed("id", "k")
+    assert keyed.for_each_until(table, lambda row: visit(row, 5)) is False
+    assert len(list(opened.iterdir())) == 1
+    assert keyed.for_each_until(table, lambda row: visit(row, 21)) is False
+    assert 2 < len(list(opened.iterdir())) < 10
+    assert keyed.for_each_until(table, lambda row: visit(row, -1)) is True and len(list(opened.iterdir())) == 40
+    assert keyed.for_each_until(table.limit(0), lambda row: False) is True
+
+
+def test_no_test_name_repeats():
+    import ast
+    import pathlib
+
+    for path in pathlib.Path(__file__).parent.rglob("test_*.py"):
+        names = [node.name for node in ast.parse(path.read_text()).body if isinstance(node, ast.FunctionDef)]
+        assert len(names) == len(set(names)), path

@@ -118,3 +118,14 @@ def test_loads_of_a_hot_key_cross_ranges(spark):
         before[k] = row
         expected.append((k, row[0], (inv / smp if smp else 1.0) * cyc / tsc))
     assert by(10) == by(1000) == sorted(expected)
+
+
+def test_trimming_counts_equal_rows_on_the_bounds(spark):
+    draw = random.Random(3)
+    rows = [(t, draw.randrange(12), draw.choice("ab")) for t in range(3) for _ in range(60)] + [(9, 5, "a")] * 25
+    got = latency.trimmed(spark.createDataFrame(rows, "t long, o long, x string").repartition(4), "t", "o", 10).collect()
+    by = {t: sorted((o, x) for s, o, x in rows if s == t)[10:-10] for t in (0, 1, 2, 9)}
+    assert plain(got) == plain((t, o, x) for t, kept in by.items() for o, x in kept)
+    assert latency.trimmed(spark.createDataFrame(rows, "t long, o long, x string"), "t", "o", 0).count() == len(rows)
+    with pytest.raises(Exception, match="too few"):
+        latency.trimmed(spark.createDataFrame(rows[:15], "t long, o long, x string"), "t", "o", 10).collect()

@@ -142,3 +142,14 @@ def test_splitmix(spark):
         expected.append(z ^ z >> 31)
     got = spark.range(1, 21).select(scalars.splitmix64(42, F.col("id")).alias("z")).collect()
     assert [int(r.z) for r in got] == expected
+
+
+def test_followers_of_a_hot_user_come_in_bounded_chunks(spark):
+    rows = [(f, 1) for f in range(1000)] * 2 + [(f, 2) for f in range(7)] + [(5, 3)]
+    edges = spark.createDataFrame(rows, "follower long, followee long").repartition(5)
+    for hot_rows in (100, 10_000):
+        chunks = social.follower_chunks(edges, 64, hot_rows)
+        got = {(r.user_id, r.chunk): r.ids for r in chunks.collect()}
+        assert got == {(1, c): list(range(64 * c, min(1000, 64 * c + 64))) for c in range(16)} | {(2, 0): list(range(7)), (3, 0): [5]}
+        asked = spark.createDataFrame([(1, 999), (1, 1000), (1, 64), (2, 7), (3, 5), (4, 4), (3, 5)], "user_id long, follower long")
+        assert sorted(map(tuple, social.is_follower(chunks, asked).collect())) == [(1, 64, True), (1, 999, True), (1, 1000, False), (2, 7, False), (3, 5, True), (3, 5, True), (4, 4, False)]
