@@ -67,17 +67,19 @@ def branched(conversations: DataFrame) -> DataFrame:
 
     The conversation is the chosen side. The rejected one has the same turns up to a place drawn by a
     hash of the conversation's id, and from there the turns that its neighbour (2k and 2k + 1 are neighbours) has after as many of its
-    own: an answer that belongs elsewhere. A conversation of n turns shares 1 to n - 1 of them, a single turn is
-    shared; without a neighbour the rejected side ends there. Conversations with a null id have no pair.
+    own: an answer that belongs elsewhere. The place is before the last turn of both, so both sides go on after it; a conversation's single turn is
+    shared. Without a neighbour, or where that has one turn alone, the rejected side ends at the place. Conversations with a null id have no pair.
     """
     turns = conversations.where("conv_id is not null").select("conv_id", "turn", "role", "text")
     place = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
     turns = turns.withColumn("pos", F.row_number().over(place)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("conv_id")))
     draw = F.conv(F.substring(F.md5(F.col("conv_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
-    cuts = turns.where("pos = 1").select("conv_id", (F.pmod(draw, F.greatest(F.col("n") - 1, F.lit(1))) + 1).alias("keep"))
+    neighbour = F.col("conv_id").bitwiseXOR(F.lit(1).cast("long"))
+    lengths = turns.where("pos = 1").select("conv_id", "n")
+    both = lengths.join(lengths.select(neighbour.alias("conv_id"), F.col("n").alias("other_n")), "conv_id", "left")
+    cuts = both.select("conv_id", (F.pmod(draw, F.greatest(F.least("n", "other_n") - 1, F.lit(1))) + 1).alias("keep"))
     sides = F.when(F.col("pos") <= F.col("keep"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
     own = turns.join(cuts, "conv_id").select(F.col("conv_id").alias("pair_id"), F.explode(sides).alias("is_chosen"), "pos", "role", "text")
-    neighbour = F.col("conv_id").bitwiseXOR(F.lit(1).cast("long"))
     other = turns.withColumn("conv_id", neighbour).join(cuts, "conv_id").where("pos > keep").select(F.col("conv_id").alias("pair_id"), F.lit(False).alias("is_chosen"), "pos", "role", "text")
     return own.unionByName(other).withColumnRenamed("pos", "turn")
 

@@ -120,7 +120,10 @@ WITH c AS (
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
          count(*) OVER (PARTITION BY conv_id) AS n
   FROM conversations WHERE conv_id IS NOT NULL),
-cuts AS (SELECT conv_id, CAST('0x' || substr(md5(CAST(conv_id AS VARCHAR)), 1, 8) AS BIGINT) % greatest(n - 1, 1) + 1 AS keep FROM c WHERE pos = 1),
+lengths AS (SELECT conv_id, n FROM c WHERE pos = 1),
+cuts AS (
+  SELECT a.conv_id, CAST('0x' || substr(md5(CAST(a.conv_id AS VARCHAR)), 1, 8) AS BIGINT) % greatest(least(a.n, b.n) - 1, 1) + 1 AS keep
+  FROM lengths a LEFT JOIN lengths b ON b.conv_id = xor(a.conv_id, 1)),
 t AS (
   SELECT conv_id AS pair_id, 0 AS side, role, text, pos FROM c
   UNION ALL SELECT conv_id, 1, role, text, pos FROM c JOIN cuts USING (conv_id) WHERE pos <= keep

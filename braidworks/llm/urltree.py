@@ -70,7 +70,7 @@ def _node_above(shared: str) -> Column:
 
 
 def learn_templates(urls: DataFrame) -> DataFrame:
-    """(host, shape, n, template, purity, rejected) of every shape of `urls` (host, shape, bad: 1, 0 or null), which n URLs have.
+    """(host, shape, n, template, purity, labelled, bad, host_labelled, rejected) of every shape of `urls` (host, shape, bad: 1, 0 or null), which n URLs have.
 
     The tree is grown for all hosts at once, over counts of shapes, not over URLs; a node is a (host,
     template so far), and its shapes differ in the `rest` of their segments. In a round each open node first goes down the
@@ -123,7 +123,36 @@ def learn_templates(urls: DataFrame) -> DataFrame:
         open_ = cut(named.withColumn("rest", F.slice("rest", 2, F.size("rest"))).withColumnRenamed("purity", "above").drop("child", "step"))
     of_host = shapes.groupBy("host").agg(F.sum("labelled").alias("host_labelled"))
     found = reduce(DataFrame.unionByName, ended).join(of_host, "host")
-    return cut(found.select("host", "shape", "n", "template", "purity", ((F.col("purity") >= REJECT_PURITY) & (F.col("host_labelled") >= LEAST_LABELS)).alias("rejected")))
+    return cut(found.select("host", "shape", "n", "template", "purity", "labelled", "bad", "host_labelled", ((F.col("purity") >= REJECT_PURITY) & (F.col("host_labelled") >= LEAST_LABELS)).alias("rejected")))
+
+
+def registered_domain(host: Column) -> Column:
+    """The last two labels of a host: whoever shares them is taken for one owner."""
+    return F.regexp_extract(host, "[^.]*\\.?[^.]*$", 0)
+
+
+def scoped_templates(urls: DataFrame) -> DataFrame:
+    """(host, shape, n, template, purity, rejected) of every host's shapes (host, shape, bad), with evidence from other hosts.
+
+    Trees are grown for each host, for each registered domain and for all hosts, in the same rounds. What the template of a shape has of labels
+    counts in that order: the host's own; smoothed toward that, the domain's template of the shape; toward that, the one of all hosts; and that toward the purity
+    that the host's tree gives it, which is the evidence above: the node, the host, all labels. So a path is judged by the same
+    path elsewhere before its host is asked. It's rejected from REJECT_PURITY on, where its host or its template among all hosts has LEAST_LABELS labels.
+    """
+    host = F.col("host")
+    keys = F.array(F.concat(F.lit("host "), host), F.concat(F.lit("domain "), registered_domain(host)), F.lit("all"))
+    found = learn_templates(urls.select(F.explode(keys).alias("host"), "shape", "bad"))
+    sums = found.groupBy("host", "template").agg(F.sum("labelled").alias("labels"), F.sum("bad").alias("bads"))
+    found = found.join(sums, ["host", "template"])
+    own = found.where("host LIKE 'host %'").select(F.substr("host", F.lit(6)).alias("host"), "shape", "n", "template", "purity", "host_labelled", "labels", "bads")
+    of_domain = found.where("host LIKE 'domain %'").select(F.substr("host", F.lit(8)).alias("domain"), "shape", F.col("labels").alias("domain_labels"), F.col("bads").alias("domain_bads"))
+    of_all = found.where("host = 'all'").select("shape", F.col("labels").alias("all_labels"), F.col("bads").alias("all_bads"))
+    met = own.withColumn("domain", registered_domain(host)).join(of_domain, ["domain", "shape"]).join(of_all, "shape")
+    purity = F.col("purity")
+    for labels, bads in (("all_labels", "all_bads"), ("domain_labels", "domain_bads"), ("labels", "bads")):
+        purity = (F.col(bads) + PRIOR_WEIGHT * purity) / (F.col(labels) + PRIOR_WEIGHT)
+    known = F.greatest("host_labelled", "all_labels") >= LEAST_LABELS
+    return cut(met.select("host", "shape", "n", "template", purity.alias("purity"), ((purity >= REJECT_PURITY) & known).alias("rejected")))
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], labels: Column | None = None) -> DataFrame:
@@ -140,7 +169,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], labels: Column | None = None
     ruled = urls.withColumn("rule", name).withColumn("ruled", verdict).withColumn("shape", shape_of(F.col("path")))
     if labels is None:
         ruled = ruled.withColumn("bad", F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0))
-    templates = learn_templates(ruled.select("host", "shape", "bad"))
+    templates = scoped_templates(ruled.select("host", "shape", "bad"))
     judged = looked_up(ruled, templates, ["host", "shape"], "n")
     verdict = F.coalesce("ruled", F.when(F.col("rejected"), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")

@@ -145,6 +145,46 @@ def test_urls_without_a_rule_get_both_verdicts(spark):
     assert got["block"] > 100 and got["allow"] > 100
 
 
+def test_a_path_is_judged_by_the_same_path_elsewhere_before_its_host_is(spark):
+    rows = [(f"http://a.x.com/en/{i}", 1) for i in range(30)] + [(f"http://b.y.net/de/{i}", 0) for i in range(30)]
+    rows += [("http://a.x.com/de/1", None), ("http://b.y.net/en/1", None), ("http://a.x.com/fr/1", None), ("http://c.x.com/en/1", None), ("http://new.org/en/1", None), ("http://new.org/de/1", None)]
+    got = labelled(spark, rows)
+    assert [got[i].verdict for i in range(60, 66)] == ["allow", "block", "block", "block", "block", "allow"]
+
+
+def brute_scopes(rows):
+    """Purities and rejections by walks over the trees of hosts, domains and all."""
+    domain = lambda h: ".".join(h.split(".")[-2:])
+    trees = {name: brute_tree([(of(h), s, b) for h, s, b in rows]) for name, of in (("host", lambda h: h), ("domain", domain), ("all", lambda h: "all"))}
+    out = {}
+    for host, shape in {(h, tuple(s)) for h, s, _ in rows}:
+        purity, labels = trees["host"][host, shape][1], {}
+        for name, key in (("all", lambda h: "all"), ("domain", domain), ("host", lambda h: h)):
+            tree, mine = trees[name], key(host)
+            own = [b for h, s, b in rows if b is not None and key(h) == mine and tree[mine, tuple(s)][0] == tree[mine, shape][0]]
+            purity, labels[name] = (sum(own) + 2.0 * purity) / (len(own) + 2.0), len(own)
+        known = max(labels["all"], sum(b is not None for h, _, b in rows if h == host)) >= urltree.LEAST_LABELS
+        out[host, shape] = (purity, purity >= urltree.REJECT_PURITY and known)
+    return out
+
+
+def test_scopes_match_walks_over_their_trees(spark):
+    draw, rows = random.Random(12), []
+    for host in ("a.x.com", "b.x.com", "c.y.net", "lone"):
+        for _ in range(90):
+            segments = [draw.choice(["en", "de", "fr"]), *draw.choice([["{n}"], ["item", draw.choice("pqrstuvw") * draw.randint(1, 5)], []])]
+            rows.append((host, segments, draw.choice([None, None, int(segments[0] == "en")]) if host[0] in "ac" else None))
+    got = urltree.scoped_templates(spark.createDataFrame(rows, "host string, shape array<string>, bad int")).collect()
+    expected = brute_scopes(rows)
+    assert {(r.host, tuple(r.shape)): r.rejected for r in got} == {k: v[1] for k, v in expected.items()} and len(got) == len(expected)
+    assert all(abs(r.purity - expected[r.host, tuple(r.shape)][0]) < 1e-9 for r in got) and {r.rejected for r in got} == {True, False}
+
+
+def test_hosts_have_both_verdicts_among_urls_without_a_rule(spark):
+    rows = urltree.judge_urls(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"), PARSED).where("rule is null").select("host", "verdict").distinct().groupBy("host").count()
+    assert rows.where("count = 2").count() > 10
+
+
 def test_few_labels_reject_nothing(spark):
     got = labelled(spark, [("http://h/a/1", 1), ("http://h/a/2", 1), ("http://h/a/3", None)])
     assert all(r.verdict == "allow" for r in got.values())
@@ -212,7 +252,7 @@ def test_branches_share_their_first_turns(spark):
     got = {r.pair_id: r for r in preference.format_turns(preference.branched(conversations)).collect()}
     assert got.keys() == talks.keys()
     for c, talk in talks.items():
-        keep = int(hashlib.md5(str(c).encode()).hexdigest()[:8], 16) % max(len(talk) - 1, 1) + 1
+        keep = int(hashlib.md5(str(c).encode()).hexdigest()[:8], 16) % max(min(len(talk), len(talks.get(c ^ 1, talk))) - 1, 1) + 1
         n, prompt, chosen, mask, rejected, other_mask = brute_pair(talk, talk[:keep] + talks.get(c ^ 1, [])[keep:])
         r = got[c]
         assert n == min(keep, len(talk)) and (r.n_common, r.prompt, r.chosen, r.rejected) == (n, prompt, chosen, rejected)
