@@ -145,7 +145,8 @@ def near_duplicates(documents: DataFrame, radius: int = 4, words: int = 4, seed:
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Standard deviations by which the fingerprints of two texts at exactly the least similarity may differ more than expected. One pair in 10^9 does.
+#: Standard deviations by which the fingerprints of two texts at exactly the least similarity may differ more than expected for large sets. Of pairs of large sets
+#: about one in 5 * 10^7 does (binomial tail); small sets of odd and even size differ in more bits: of pairs of 4 and 5 shingles about one in 10^5 is beyond.
 SPREAD = 6.0
 #: Texts of candidate pairs that are broadcast at most to fetch their shingles, as 32 bytes each; more meet their rows by shuffle.
 BROADCAST_TEXTS = 1 << 20
@@ -305,8 +306,8 @@ def drop_near_duplicates(documents: DataFrame, words: int = 5, similarity: float
     `similarity`, and classes are connected components. Any two such texts share a signature (see
     signatures.py), so the texts of a signature are a shard. First each shard's texts are compared with one of them, which joins
     nearly all copies. In the shards that still hold several classes, BK-trees of 128-bit SimHash fingerprints find
-    each text's nearest one of another class, and then all that may be similar across classes, until nothing is
-    left unchecked between two of them; odd sketches leave out nearly all that isn't similar and nothing that is. Each candidate
+    each text's nearest one of another class, and then all within the radius that SPREAD gives, until nothing of these is
+    left unchecked between two classes (a pair beyond the radius is missed: SPREAD says how often); odd sketches leave out nearly all that isn't similar and nothing that is. Each candidate
     is checked on the whole texts. Signatures are less than one a shingle whatever the number of texts.
 
     Null texts are empty; texts without words are near copies of each
