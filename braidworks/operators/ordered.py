@@ -25,9 +25,10 @@ HOT_ROWS = 1 << 20
 
 def hot_apart(table: DataFrame, key: str, hot_rows: int) -> tuple[DataFrame | None, DataFrame]:
     """The rows of keys with more than `hot_rows` rows (None if there is no such key), and all others. Hot keys are so few that they are broadcast."""
-    hot = snapshot(table.groupBy(key).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > hot_rows).where(F.col(key).isNotNull()).select(key))
+    hot = table.groupBy(key).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > hot_rows).where(F.col(key).isNotNull()).select(key)
     if hot.isEmpty():
         return None, table
+    hot = snapshot(hot)
     return table.join(F.broadcast(hot), key, "left_semi"), table.join(F.broadcast(hot), key, "left_anti")
 
 
