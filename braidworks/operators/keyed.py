@@ -103,9 +103,9 @@ def for_each_until(table: DataFrame, visit: Callable[[dict], bool]) -> bool:
     return not table.mapInArrow(scan, "stopped boolean").take(1)
 
 
-def hashes_and_keys(table: DataFrame, key: str) -> DataFrame:
-    """KV15: 64-bit hash and key of each row."""
-    return table.select(F.xxhash64(key).alias("hash"), key)
+def hashes_and_keys(table: DataFrame, key: str, hashed: Column | None = None) -> DataFrame:
+    """KV15: 64-bit hash and key of each row; by `hashed`, if not xxhash64 of the key."""
+    return table.select((F.xxhash64(key) if hashed is None else hashed).alias("hash"), key)
 
 
 def reduce(table: DataFrame, *aggregates: Column) -> DataFrame:

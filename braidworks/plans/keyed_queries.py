@@ -111,6 +111,14 @@ def kv_reduce_sum_max(spark, d):
     return keyed.reduce(read(spark, d, "lineitem"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"), F.max("l_extendedprice").alias("highest"), F.count(F.lit(1)).alias("n"))
 
 
+@query(f"SELECT p_partkey, CAST(CAST('0x' || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 16) AS UBIGINT) AS VARCHAR) AS hash, {_SHARD} AS shard FROM part")
+def kv_hash_key_shard(spark, d):
+    """Each key with its hash and the shard that this leads to."""
+    h, shard = _shard()
+    rows = keyed.hashes_and_keys(_parts(spark, d), "p_partkey", h)
+    return rows.select("p_partkey", F.col("hash").cast("string").alias("hash"), shard.alias("shard"))
+
+
 @query(f"SELECT {_SHARD} AS shard, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS sizes FROM part GROUP BY 1")
 def kv_reduce_shards(spark, d):
     return keyed.reduce_shards(read(spark, d, "part"), "p_partkey", 5, F.count(F.lit(1)).alias("n"), F.sum("p_size").alias("sizes"), hashed=_shard()[0])
