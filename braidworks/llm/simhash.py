@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bktree import Forest
-from .common import cut, fresh, looked_up
+from .common import cut, fresh, looked_up, release
 from .components import connected_components
 from .signatures import OddSketches, mix, odd_sketch, signatures
 
@@ -344,6 +344,7 @@ def drop_near_duplicates(documents: DataFrame, words: int = 5, similarity: float
     texts = cut(texts.select(h0, h1, F.col("l.doc_id").alias("least"), F.col("l.n").alias("rows"), "w.fp0", "w.fp1", "w.size", "w.odd").withColumn("id", F.monotonically_increasing_id()))
     tasks = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), (texts.agg(F.sum("size")).first()[0] or 0) // TASK_SIGNATURES)
     shards = cut(shared_signatures(documents.select(keys[0].alias("id"), text.alias("text")), words, similarity, tasks))
+    release(documents.sparkSession)  # the signatures' shuffle is the largest there is
     facts = ["id", "fp0", "fp1", "size", "odd"]
     ends = {side: texts.select(F.col(h0).alias(side + "_hash"), *[F.col(c).alias(side if c == "id" else f"{side}_{c}") for c in facts]) for side in ("a", "b")}
 
@@ -365,6 +366,7 @@ def drop_near_duplicates(documents: DataFrame, words: int = 5, similarity: float
         involved = few(some.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(texts, "id").select("id", h0, h1, "least"))
         whole = documents.select(*keys, "doc_id", text.alias("__text")).join(involved, [h0, h1]).where(F.col("doc_id").eqNullSafe(F.col("least")))
         sets = cut(whole.select("id", hashes("__text").alias("shingles")).groupBy("id").agg(F.any_value("shingles").alias("shingles")))
+        release(documents.sparkSession)
         sides = [sets.select(F.col("id").alias(side), F.col("shingles").alias("s" + side)) for side in ("a", "b")]
         return cut(some.join(sides[0], "a").join(sides[1], "b").where(similar("sa", "sb")).select("a", "b"))
 
