@@ -313,7 +313,8 @@ _CHURN = "(SELECT user_id % 16 AS thread, event_id AS seq, event_id % 10 = 3 AS
 _REPLAYED = f"""
 WITH RECURSIVE log AS (SELECT *, row_number() OVER (PARTITION BY thread ORDER BY seq) AS i FROM {_CHURN}),
 r AS (
-  SELECT thread, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS seq, false AS is_delete, CAST(0 AS BIGINT) AS key, CAST(NULL AS BIGINT) AS victim, 0 AS change, CAST([] AS BIGINT[]) AS live FROM (SELECT DISTINCT thread FROM log)
+  SELECT thread, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS seq, false AS is_delete, CAST(0 AS BIGINT) AS key, CAST(NULL AS BIGINT) AS victim, 0 AS change, CAST([] AS BIGINT[]) AS live
+  FROM (SELECT DISTINCT thread FROM log)
   UNION ALL
   SELECT thread, i, seq, is_delete, key, victim, CASE WHEN is_delete THEN CASE WHEN victim IS NULL THEN 0 ELSE -1 END WHEN there THEN 0 ELSE 1 END,
     CASE WHEN is_delete AND victim IS NOT NULL THEN list_filter(live, lambda x: x <> victim) WHEN is_delete OR there THEN live ELSE list_append(live, key) END

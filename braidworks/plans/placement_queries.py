@@ -75,7 +75,8 @@ _LOG = """SELECT o_custkey % 40 AS lpid, o_orderkey AS seq,
 
 
 @query(f"""
-WITH RECURSIVE n AS (SELECT list(ip ORDER BY ip) AS ips, list(isol ORDER BY ip) AS isols, list(acquired ORDER BY ip) AS taken, list(CAST(node_cores AS BIGINT) ORDER BY ip) AS cpu, list(CAST(node_mem AS BIGINT) ORDER BY ip) AS mem FROM {_NODES}),
+WITH RECURSIVE n AS (SELECT list(ip ORDER BY ip) AS ips, list(isol ORDER BY ip) AS isols, list(acquired ORDER BY ip) AS taken, list(CAST(node_cores AS BIGINT) ORDER BY ip) AS cpu,
+    list(CAST(node_mem AS BIGINT) ORDER BY ip) AS mem FROM {_NODES}),
 log AS (SELECT *, row_number() OVER (PARTITION BY lpid ORDER BY seq) AS i FROM ({_LOG})),
 r AS (
   SELECT lpid, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS seq, '' AS kind, CAST(NULL AS BIGINT) AS k, taken, cpu, mem, CAST(0 AS BIGINT) AS turn FROM (SELECT DISTINCT lpid FROM log), n
@@ -87,7 +88,8 @@ r AS (
     CASE WHEN k IS NOT NULL AND kind IN ('destination', 'place') THEN k + 1 ELSE turn END
   FROM (
     SELECT *, CASE kind
-        WHEN 'destination' THEN coalesce(list_min(list_filter(ranked, lambda x: fits[x % 100 + 1] AND cpu[x % 100 + 1] >= cores)), CASE WHEN mem_pressure THEN list_min(list_filter(ranked, lambda x: fits[x % 100 + 1])) END) % 100
+        WHEN 'destination' THEN coalesce(
+          list_min(list_filter(ranked, lambda x: fits[x % 100 + 1] AND cpu[x % 100 + 1] >= cores)), CASE WHEN mem_pressure THEN list_min(list_filter(ranked, lambda x: fits[x % 100 + 1])) END) % 100
         WHEN 'place' THEN list_min(list_filter(ranked, lambda x: NOT isols[x % 100 + 1])) % 100
         WHEN 'report' THEN list_position(ips, ip) - 1
         ELSE CASE WHEN taken[list_position(ips, ip)] = (kind = 'release') THEN list_position(ips, ip) - 1 END END AS k

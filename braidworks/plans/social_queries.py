@@ -177,7 +177,9 @@ def sn_follower_chunks(spark, d):
     return social.follower_chunks(_edges(spark, d), 100).select("user_id", "chunk", F.array_join("ids", ",").alias("ids"))
 
 
-@query(f"SELECT followee AS user_id, follower, e IS NOT NULL AS follows FROM (SELECT c_custkey % 101 AS followee, c_custkey AS follower FROM customer) LEFT JOIN (SELECT *, 1 AS e FROM {_EDGES}) USING (followee, follower)")
+@query(f"""
+SELECT followee AS user_id, follower, e IS NOT NULL AS follows FROM (SELECT c_custkey % 101 AS followee, c_custkey AS follower FROM customer)
+LEFT JOIN (SELECT *, 1 AS e FROM {_EDGES}) USING (followee, follower)""")
 def sn_is_follower(spark, d):
     asked = read(spark, d, "customer").select((F.col("c_custkey") % 101).alias("user_id"), F.col("c_custkey").alias("follower"))
     return social.is_follower(social.follower_chunks(_edges(spark, d), 100), asked)
@@ -360,7 +362,8 @@ WITH t AS (SELECT e.post_id, user_id, text FROM {_TEXTS} e JOIN (SELECT event_id
 named AS (SELECT post_id, u.user_id AS reader FROM {_TEXTS} x JOIN {_USERS} u ON text LIKE '%@' || u.username || ' %')
 SELECT 'user_timeline' AS "table", user_id, post_id, '' AS link FROM t
 UNION ALL SELECT 'home_timeline', user_id, post_id, '' FROM (SELECT follower AS user_id, post_id FROM t JOIN {_EDGES} ON followee = t.user_id UNION SELECT reader, post_id FROM named)
-UNION ALL SELECT 'short_links', CAST(-1 AS BIGINT), post_id, {_SHORT.format(link='link', i='i')} || ' ' || link FROM (SELECT post_id, unnest(links) AS link, unnest(range(len(links))) AS i FROM {_FOUND})""")
+UNION ALL SELECT 'short_links', CAST(-1 AS BIGINT), post_id, {_SHORT.format(link='link', i='i')} || ' ' || link
+FROM (SELECT post_id, unnest(links) AS link, unnest(range(len(links))) AS i FROM {_FOUND})""")
 def sn_compose_outputs(spark, d):
     """What composing puts into the other tables: the author's timeline, the readers' home timelines, short links."""
     e = _texts(spark, d)
