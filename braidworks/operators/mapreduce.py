@@ -12,7 +12,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidworks.sources.checkpoints import snapshot
 
 
 @dataclass(frozen=True)
@@ -67,21 +66,22 @@ class Job:
         return keys.join(self.run(), "key", "left").select("key", F.coalesce("val", empty).alias("val"))
 
 
-#: Values that one list of a fold holds, about.
-FOLD_BLOCK = 4096
+#: Values that one list of a fold holds at most; and how often lists are folded to lists before the last one.
+FOLD_BLOCK, FOLD_LEVELS = 4096, 3
 
 
-def fold(rows: DataFrame, key: str, value: str, init: Callable[[], Column], merge: Callable[[Column, Column], Column], block: int = FOLD_BLOCK) -> DataFrame:
-    """AG02, AG03: a user's associative and commutative fold.
+def fold(rows: DataFrame, key: str, value: str, init: Callable[[], Column], merge: Callable[[Column, Column], Column], block: int = FOLD_BLOCK, levels: int = FOLD_LEVELS) -> DataFrame:
+    """AG02, AG03: a user's associative and commutative fold, of which `init` gives the neutral value. `block` is a power of two.
 
-    While some key has more than `block` values, each key's are dealt at random to as many parts as the hottest one
-    needs, and folded part by part; so no list holds more than about `block`, however hot a key is.
+    Rows are numbered where they are; a key's values among `block` neighbouring numbers are one list, folded to one value, then those of `block` neighbouring
+    lists, and so on: however hot a key is, no list holds more than `block`, but for the last, which has one of block**levels rows (and of eight partitions) each.
     """
+    if block & (block - 1):
+        raise ValueError("a block is a power of two")
     folded = lambda df, *by: df.groupBy(*by).agg(F.aggregate(F.collect_list(value), init(), merge).alias(value))
-    parts = rows.select(key, value)
-    while (most := parts.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) > block:
-        salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(-(-most // block)))
-        parts = snapshot(folded(parts.withColumn("__salt", salt), key, "__salt").drop("__salt"))
+    parts = rows.select(key, value, F.monotonically_increasing_id().alias("__at"))
+    for _ in range(levels):
+        parts = folded(parts.withColumn("__at", F.shiftrightunsigned("__at", (block - 1).bit_length())), key, "__at")
     return folded(parts, key)
 
 

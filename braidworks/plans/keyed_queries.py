@@ -77,6 +77,12 @@ def kv_take(spark, d):
     return count(taken, "taken").unionByName(count(rest, "rest"))
 
 
+@query("SELECT p_partkey, p_name, p_partkey IN (SELECT c_custkey * 2 FROM customer) AS taken FROM part")
+def kv_take_rows(spark, d):
+    taken, rest = keyed.take(_parts(spark, d), _ids(spark, d, 2), "p_partkey")
+    return taken.withColumn("taken", F.lit(True)).unionByName(rest.withColumn("taken", F.lit(False)))
+
+
 @query("""
 SELECT coalesce(c_custkey, user_id) AS key, CASE WHEN n IS NULL THEN size ELSE coalesce(size, 0) * 2 + n END AS value
 FROM (SELECT c_custkey, CAST(floor(c_acctbal) AS BIGINT) AS size FROM customer)
@@ -212,6 +218,12 @@ def gc_split(spark, d):
     return keyed.insert(low.withColumn("latter", F.lit(False)), high.withColumn("latter", F.lit(True))).groupBy("latter").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT p_partkey, p_name, p_partkey >= 100 AS latter FROM part")
+def gc_split_rows(spark, d):
+    low, high = keyed.split(_parts(spark, d), "p_partkey", 100)
+    return keyed.insert(low.withColumn("latter", F.lit(False)), high.withColumn("latter", F.lit(True)))
+
+
 @query("SELECT s_suppkey + (SELECT max(p_partkey) + 1 - (SELECT min(s_suppkey) FROM supplier) FROM part) AS seq, s_name AS name FROM supplier UNION ALL SELECT p_partkey, p_name FROM part")
 def gc_push_back(spark, d):
     table = _parts(spark, d).select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("name"))
@@ -309,6 +321,12 @@ def gc_pop_front(spark, d):
     return keyed.pop(_parts(spark, d), "p_partkey", 25)[0]
 
 
+@query("SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey) <= 25 AS popped FROM part")
+def gc_pop_rows(spark, d):
+    popped, rest = keyed.pop(_parts(spark, d), "p_partkey", 25)
+    return popped.withColumn("popped", F.lit(True)).unionByName(rest.withColumn("popped", F.lit(False)))
+
+
 _CHURN = "(SELECT user_id % 16 AS thread, event_id AS seq, event_id % 10 = 3 AS is_delete, event_id * 7919 % 100003 AS key FROM events)"
 _REPLAYED = f"""
 WITH RECURSIVE log AS (SELECT *, row_number() OVER (PARTITION BY thread ORDER BY seq) AS i FROM {_CHURN}),
