@@ -44,7 +44,9 @@ def test_follow_script(spark):
     assert {r.user_id: r.ids for r in social.followees(edges).collect()} == {0: [1, 2], 1: [0, 2], 2: [0, 1]}
 
 
-def test_removal_leaves_former_followers_entries(spark):
+@pytest.mark.parametrize("most_ids", [social.BROADCAST_IDS, 0])
+def test_removal_leaves_former_followers_entries(spark, monkeypatch, most_ids):
+    monkeypatch.setattr(social, "BROADCAST_IDS", most_ids)  # with none, entries meet by shuffle
     posts = timeline(spark).withColumn("mentioned", F.array(F.lit(50).cast("long")))
     before = spark.createDataFrame([(8, 7), (9, 7)], "follower long, followee long")
     home = social.home_entries(posts, before, "mentioned")
