@@ -179,15 +179,15 @@ def remove_posts(
     cut = snapshot(pages(user_timeline, requests).select("user_id", "timestamp", "post_id").distinct())
     gone = snapshot(cut.join(posts.drop("user_id", "timestamp"), "post_id"))
     authors = gone.select(F.col("user_id").alias("followee")).distinct()
-    going = snapshot(home_entries(gone, edges.join(authors, "followee", "left_semi").distinct(), mentioned))
+    going = home_entries(gone, edges.join(authors, "followee", "left_semi").distinct(), mentioned)
     keys, small = ["user_id", "timestamp", "post_id"], cut.count() <= BROADCAST_ROWS
     few = F.broadcast if small else lambda df: df
     removed = few(gone.select("post_id").distinct())
     if small and going.count() <= BROADCAST_IDS:
         home = without_entries(home_timeline, going)
     else:
-        touched = home_timeline.join(removed, "post_id").select(*home_timeline.columns).join(going, keys, "left_anti")
-        home = home_timeline.join(removed, "post_id", "left_anti").unionByName(touched)
+        touched = home_timeline.join(removed, "post_id", "left_semi").join(going, keys, "left_anti")  # Spark would put the second join below an inner one, on all entries
+        home = home_timeline.join(removed, "post_id", "left_anti").unionByName(touched.select(*home_timeline.columns))
     links = short_links
     if urls is not None and short_links is not None:
         links = remove_urls(short_links, gone.select(F.explode(urls).alias("u")).select("u.shortened_url"))

@@ -84,8 +84,8 @@ def _mentioning(spark, d):
     return _timeline(spark, d).withColumn("mentioned", mentioned)
 
 
-def _home(spark, d):
-    return social.home_entries(_mentioning(spark, d), _edges(spark, d), "mentioned")
+def _home(spark, d, edges=None):
+    return social.home_entries(_mentioning(spark, d), _edges(spark, d) if edges is None else edges, "mentioned")
 
 
 @query(f"SELECT user_id, event_id AS post_id FROM {_HOME}")
@@ -120,11 +120,11 @@ UNION ALL SELECT 'home_timeline', count(*), CAST(sum(event_id) AS BIGINT) FROM {
 UNION ALL SELECT 'short_links', count(*), CAST(sum(event_id) AS BIGINT) FROM events WHERE event_id NOT IN (SELECT event_id FROM {_GONE})""")
 def sn_remove_posts(spark, d):
     """Of every user's newest three or four posts: posts, both kinds of entries, mentioned users' entries and short links go."""
-    timeline, links = _timeline(spark, d), F.concat(F.lit("s"), F.col("post_id").cast("string"))
+    timeline, edges, links = _timeline(spark, d), snapshot(_edges(spark, d)), F.concat(F.lit("s"), F.col("post_id").cast("string"))
     asked = timeline.select("user_id").distinct().select("user_id", F.col("user_id").alias("req_id"), F.lit(0).alias("start"), (F.col("user_id") % 2 + 3).cast("int").alias("stop"))
     posts = _posts(spark, d).join(_mentioning(spark, d).select("post_id", "mentioned"), "post_id").withColumn("urls", F.array(F.struct(links.alias("shortened_url"))))
     short = timeline.select(links.alias("shortened_url"), "post_id")
-    left = social.remove_posts(posts, timeline, _home(spark, d), _edges(spark, d), asked, "mentioned", "urls", short)
+    left = social.remove_posts(posts, timeline, _home(spark, d, edges), edges, asked, "mentioned", "urls", short)
     count = lambda t, name: t.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("n"), F.sum("post_id").alias("ids"))
     return reduce(DataFrame.unionByName, [count(getattr(left, name), name) for name in ("posts", "user_timeline", "home_timeline", "short_links")])
 

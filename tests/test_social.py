@@ -57,6 +57,17 @@ def test_removal_leaves_former_followers_entries(spark, monkeypatch, most_ids):
     assert sorted((r.user_id, r.post_id) for r in left.home_timeline.collect() if r.post_id == 2) == [(9, 2)]
 
 
+def test_only_entries_of_removed_posts_meet_those_that_go(spark, monkeypatch):
+    monkeypatch.setattr(social, "BROADCAST_IDS", 0)
+    home = spark.range(50).select((F.col("id") % 9).alias("user_id"), (F.col("id") % 3 + 3).alias("timestamp"), (F.col("id") % 3 + 1).alias("post_id"))
+    edges, asked = spark.createDataFrame([(8, 7)], "follower long, followee long"), spark.createDataFrame([(1, 7, 0, 1)], "req_id long, user_id long, start int, stop int")
+    left = social.remove_posts(timeline(spark), timeline(spark), home, edges, asked)
+    lines = [line.lstrip(" :+-") for line in left.home_timeline._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    at = next(i for i, line in enumerate(lines) if line.startswith("Join LeftAnti") and "user_id" in line)
+    below = next(line for line in lines[at + 1 :] if not line.startswith("Project"))
+    assert below.startswith("Join LeftSemi") and "post_id" in below
+
+
 def test_pages_from_posts_are_those_of_written_timelines(spark):
     draw = random.Random(3)
     posts = [(draw.randrange(6), draw.randrange(40), i, [draw.randrange(9)] * draw.randrange(3)) for i in range(200)]
