@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .checkpoints import drop_folder
 
 ENTRY = "user_id long, timestamp timestamp_ntz, post_id long"
+#: Posts with tombstones that are broadcast at most: some 130 MB of ids.
+BROADCAST_POSTS = 4_000_000
+#: Buckets that are compacted at once: so many are there twice until the old ones go.
+BUCKETS_AT_ONCE = 8
+#: Bytes of a row group: a writer holds one for each bucket.
+ROW_GROUP = 4 << 20
 
 
 class TimelineStore:
@@ -20,10 +26,20 @@ class TimelineStore:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64, entry: str = ENTRY):
         self.spark, self.path, self.buckets, self.entry = spark, path, buckets, entry
 
-    def _put(self, rows: DataFrame, kind: str, version: int) -> None:
+    def _put(self, rows: DataFrame, kind: str, version: int, keep: bool = False) -> None:
+        """Each task writes its rows into their buckets' files, all open at once: neither shuffled nor sorted. With `keep`, buckets that get no rows stay as they are.
+
+        Values are plain and compressed, so rows that come author by author take a few bytes: the same posts follow each other for one reader after another.
+        """
         bucket = F.pmod(F.xxhash64("user_id"), F.lit(self.buckets)).cast("int")
-        dealt = rows.select("user_id", "timestamp", "post_id", bucket.alias("bucket")).repartition("bucket", F.pmod(F.xxhash64("post_id"), F.lit(8)))  # a hot user is several tasks
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{kind}/version={version}")
+        dealt, writers = rows.select("user_id", "timestamp", "post_id", bucket.alias("bucket")), "spark.sql.maxConcurrentOutputFileWriters"
+        put = dealt.write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).option("parquet.enable.dictionary", "false")
+        before = self.spark.conf.get(writers)
+        self.spark.conf.set(writers, str(self.buckets + 1))  # Spark sorts once so many are open
+        try:
+            put.option("partitionOverwriteMode", "dynamic" if keep else "static").parquet(f"{self.path}/{kind}/version={version}")
+        finally:
+            self.spark.conf.set(writers, before)
 
     def add(self, entries: DataFrame, version: int) -> None:
         """SN12, SN14."""
@@ -43,9 +59,14 @@ class TimelineStore:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{kind}") if self._there(kind) else self.spark.createDataFrame([], schema)
 
     def _merged(self, entries: DataFrame, removed: DataFrame) -> DataFrame:
+        """Entries without those that tombstones hide. Only entries of posts that have tombstones meet these by shuffle, if the posts are few enough to broadcast."""
         keys = ["bucket", "user_id", "timestamp", "post_id"]
         last = removed.groupBy(*keys).agg(F.max("version").alias("gone"))
-        return entries.join(last, keys, "left").where("gone IS NULL OR version > gone").drop("gone")
+        shown = lambda rows: rows.join(last, keys, "left").where("gone IS NULL OR version > gone").select(*entries.columns)
+        posts = removed.select("post_id").distinct()
+        if posts.count() > BROADCAST_POSTS:
+            return shown(entries)
+        return entries.join(F.broadcast(posts), "post_id", "left_anti").select(*entries.columns).unionByName(shown(entries.join(F.broadcast(posts), "post_id", "left_semi")))
 
     def read(self) -> DataFrame:
         """SN13, SN15: the entries that are there; only the buckets of the users asked for are opened where `where` names a bucket.
@@ -66,19 +87,20 @@ class TimelineStore:
         """Writes the buckets that have tombstones up to a version without what these hide, drops the tombstones, and tells the buckets.
 
         Other buckets aren't read or written. All versions of a touched bucket become one, of the version `upto`, whose folder must have no
-        entries of its own yet. The merged files are put beside the old ones before those go, and tombstones go last: whoever breaks off on the way
+        entries of its own yet. Some buckets follow others. The merged files are put beside the old ones before those go, and tombstones go last: whoever breaks off on the way
         leaves entries twice, which a timeline's readers take as one, but brings back none.
         """
         removed = self._rows("removed").where(F.col("version") <= upto)
         touched = sorted(r["bucket"] for r in removed.select("bucket").distinct().collect())
         if not touched:
             return []
-        old = self._rows("entries").where(F.col("bucket").isin(touched) & (F.col("version") < upto))
-        versions = [r["version"] for r in old.select("version").distinct().collect()]
-        self._put(self._merged(old, removed), "entries", upto)
-        for version in versions:
-            for bucket in touched:
-                self._drop(f"entries/version={version}/bucket={bucket}")
+        for at in range(0, len(touched), BUCKETS_AT_ONCE):
+            some = F.col("bucket").isin(touched[at : at + BUCKETS_AT_ONCE])
+            old = self._rows("entries").where(some & (F.col("version") < upto))
+            there = old.select("version", "bucket").distinct().collect()
+            self._put(self._merged(old, removed.where(some)), "entries", upto, keep=True)
+            for r in there:
+                self._drop(f"entries/version={r['version']}/bucket={r['bucket']}")
         for version in {r["version"] for r in removed.select("version").distinct().collect()}:
             self._drop(f"removed/version={version}")
         return touched

@@ -65,6 +65,25 @@ def files_of(path):
     return {str(p.relative_to(path)): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
 
 
+def test_entries_of_posts_without_tombstones_are_not_shuffled(spark, tmp_path, monkeypatch):
+    store = timelines.TimelineStore(spark, str(tmp_path), buckets=8, entry=ENTRY)
+    frame = lambda r: spark.createDataFrame(r, ENTRY)
+    store.add(frame([(u, p, p) for u in range(40) for p in range(5)] + [(1, 9, None)]).repartition(4), 1)
+    store.remove(frame([(u, 3, 3) for u in range(0, 40, 2)]), 2)
+    left = sorted([(u, p, p) for u in range(40) for p in range(5) if p != 3 or u % 2] + [(1, 9, None)], key=repr)
+    plan = store.read()._jdf.queryExecution().optimizedPlan().toString()
+    lines = [line.lstrip(" :+-") for line in plan.splitlines()]
+    at = next(i for i, line in enumerate(lines) if line.startswith("Join LeftOuter"))
+    assert next(line for line in lines[at + 1 :] if not line.startswith("Project")).startswith("Join LeftSemi")
+    for most in (timelines.BROADCAST_POSTS, 0):  # with none, all entries meet the tombstones by shuffle
+        monkeypatch.setattr(timelines, "BROADCAST_POSTS", most)
+        assert plain(store.read().select("user_id", "timestamp", "post_id").collect()) == left
+    monkeypatch.setattr(timelines, "BUCKETS_AT_ONCE", 3)
+    assert len(store.compact(3)) > 3 and store.touched() == []
+    assert plain(store.read().select("user_id", "timestamp", "post_id").collect()) == left
+    assert {p.parent.parent.name for p in tmp_path.rglob("*.parquet")} >= {"version=3"}
+
+
 def test_tombstones_hide_and_compaction_rewrites_what_they_touch(spark, tmp_path):
     store = timelines.TimelineStore(spark, str(tmp_path), buckets=8, entry=ENTRY)
     assert store.read().count() == 0 and store.compact(1) == []
