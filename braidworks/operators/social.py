@@ -190,7 +190,7 @@ def remove_posts(
         home = home_timeline.join(removed, "post_id", "left_anti").unionByName(touched.select(*home_timeline.columns))
     links = short_links
     if urls is not None and short_links is not None:
-        links = remove_urls(short_links, gone.select(F.explode(urls).alias("u")).select("u.shortened_url"))
+        links = remove_urls(short_links, gone.select("post_id", F.explode(urls).alias("u")).select("post_id", "u.shortened_url"))
     return Removal(posts.join(removed, "post_id", "left_anti"), user_timeline.join(few(cut), keys, "left_anti"), home, links)
 
 
@@ -269,17 +269,23 @@ def compose_posts(requests: DataFrame, users: DataFrame, edges: DataFrame) -> Co
     )
 
 
+def _link_key(a: DataFrame, b: DataFrame) -> list[str]:
+    """What tells short links apart: their post too, where both tables have it. Forty bits of a hash alone meet by chance among some million links."""
+    return [c for c in ("shortened_url", "post_id") if c == "shortened_url" or (c in a.columns and c in b.columns)]
+
+
 def extended_urls(short_links: DataFrame, asked: DataFrame, strict: bool = True) -> DataFrame:
-    """SN08: expanded links of short ones; unknown ones fail if strict, else drop."""
-    found = asked.join(short_links, "shortened_url", "left")
+    """SN08: expanded links of short ones, those of the same post if both tables have `post_id`; unknown ones fail if strict, else drop."""
+    found = asked.join(short_links, _link_key(asked, short_links), "left")
     if strict:
         return found.withColumn("expanded_url", _known("expanded_url", "string", F.lit("an unknown short link")))
     return found.where("expanded_url is not null")
 
 
 def remove_urls(short_links: DataFrame, gone: DataFrame) -> DataFrame:
-    """SN09."""
-    return short_links.join(gone.select("shortened_url").distinct(), "shortened_url", "left_anti")
+    """SN09: without the links that are gone, those of the same post if both tables have `post_id`."""
+    key = _link_key(short_links, gone)
+    return short_links.join(gone.select(*key).distinct(), key, "left_anti").select(*short_links.columns)
 
 
 def get_media(files: DataFrame, asked: DataFrame) -> DataFrame:

@@ -235,8 +235,8 @@ def sn_urls_shortened_text(spark, d):
 )
 def sn_extended_urls(spark, d):
     made = social.composed_text(_texts(spark, d)).select("post_id", F.explode("urls").alias("u")).select("post_id", "u.*")
-    asked = made.where("post_id % 2 = 0").select("shortened_url").distinct()
-    return social.extended_urls(made.drop("post_id").distinct(), asked)
+    asked = made.where("post_id % 2 = 0").select("post_id", "shortened_url").distinct()
+    return social.extended_urls(made, asked).select("shortened_url", "expanded_url").distinct()
 
 
 @query(
@@ -245,7 +245,7 @@ def sn_extended_urls(spark, d):
 )
 def sn_remove_urls(spark, d):
     made = social.composed_text(_texts(spark, d)).select("post_id", F.explode("urls").alias("u")).select("post_id", "u.*")
-    return social.remove_urls(made.drop("post_id"), made.where("post_id % 2 = 0"))
+    return social.remove_urls(made, made.where("post_id % 2 = 0")).drop("post_id")
 
 
 @query(f"""

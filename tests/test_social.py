@@ -68,6 +68,14 @@ def test_only_entries_of_removed_posts_meet_those_that_go(spark, monkeypatch):
     assert below.startswith("Join LeftSemi") and "post_id" in below
 
 
+def test_short_links_that_meet_by_chance_stay_apart(spark):
+    links = spark.createDataFrame([(1, "s", "http://a"), (2, "s", "http://b"), (2, "t", "http://c")], "post_id long, shortened_url string, expanded_url string")
+    asked = links.where("post_id = 2").select("post_id", "shortened_url")
+    assert sorted(r.expanded_url for r in social.extended_urls(links, asked).collect()) == ["http://b", "http://c"]
+    assert [tuple(r) for r in social.remove_urls(links, asked).collect()] == [(1, "s", "http://a")]
+    assert social.remove_urls(links, asked.select("shortened_url")).count() == 0  # tables without posts: by the link alone
+
+
 def test_pages_from_posts_are_those_of_written_timelines(spark):
     draw = random.Random(3)
     posts = [(draw.randrange(6), draw.randrange(40), i, [draw.randrange(9)] * draw.randrange(3)) for i in range(200)]
