@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from braidworks.functions.scalars import drawn
+from braidworks.sources.checkpoints import snapshot
 
 from .keyed import in_ranges
 from .ordered import HOT_ROWS, PART, hot_apart, previous, smoothed, with_carries, within
@@ -219,6 +220,10 @@ def load_summary(samples: DataFrame, elapsed_us: float, busy: float, idle: float
     return whole.crossJoin(F.broadcast(values))  # two single rows
 
 
+#: Threads whose bounds are broadcast at most; with more, a thread has few of the rows, and rows meet bounds by shuffle.
+BROADCAST_THREADS = 200_000
+
+
 def trimmed(samples: DataFrame, thread: str, order: str, ends: int = 1000) -> DataFrame:
     """PF16: without the first and last `ends` samples of each thread; a thread with no more than both fails.
 
@@ -240,7 +245,8 @@ def trimmed(samples: DataFrame, thread: str, order: str, ends: int = 1000) -> Da
     totals = rows.groupBy("__thread").agg(F.count(F.lit(1)).alias("n"))
     checked = F.when(F.col("n") > 2 * ends, F.col("n")).otherwise(F.raise_error(F.lit("a thread has too few samples")).cast("long"))
     bounds = totals.join(low, "__thread").join(high, "__thread").withColumn("n", checked).where("n > 0")
-    near = rows.join(bounds, "__thread")  # a row a thread; a busy thread's rows are split by adaptive execution
+    bounds = snapshot(bounds)  # a row a thread
+    near = rows.join(F.broadcast(bounds) if bounds.count() <= BROADCAST_THREADS else bounds, "__thread")
     between = near.where((F.col("__row") > F.col("low")) & (F.col("__row") < F.col("high"))).select("__row.*")
     equal = near.where((F.col("__row") == F.col("low")) | (F.col("__row") == F.col("high"))).groupBy("__thread", "__row", "low", "high", "low_c", "high_c").agg(F.count(F.lit(1)).alias("c"))
     left = F.col("c") - F.when(F.col("__row") == F.col("low"), F.col("low_c")).otherwise(0) - F.when(F.col("__row") == F.col("high"), F.col("high_c")).otherwise(0)

@@ -129,3 +129,16 @@ def test_placements_match_a_loop(spark):
     got = placement.placements(spark.createDataFrame(log, ENTRY).repartition(5), spark.createDataFrame(nodes, NODE)).collect()
     assert {r.seq: r.ip for r in got} == expected and len(got) == 3000
     assert placement.placements(spark.createDataFrame([], ENTRY), spark.createDataFrame(nodes, NODE)).count() == 0
+
+
+def test_a_busy_threads_samples_stay_where_they_are(spark):
+    samples = spark.range(3000, numPartitions=4).select((F.col("id") % 2).alias("thread"), F.col("id").alias("at"))
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = latency.trimmed(samples, "thread", "at", 100)
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert sorted(r["at"] for r in left.collect()) == list(range(200, 2800))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
