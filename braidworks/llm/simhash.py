@@ -148,7 +148,7 @@ def near_duplicates(documents: DataFrame, radius: int = 4, words: int = 4, seed:
 #: Standard deviations by which the fingerprints of two texts at exactly the least similarity may differ more than expected for large sets. Of pairs of large sets
 #: about one in 5 * 10^7 does (binomial tail); small sets of odd and even size differ in more bits: of pairs of 4 and 5 shingles about one in 10^5 is beyond.
 SPREAD = 6.0
-#: Texts of candidate pairs that are broadcast at most to fetch their shingles, as 32 bytes each; more meet their rows by shuffle.
+#: Texts of candidate pairs, as 32 bytes each, or their pairs that are broadcast at most to fetch their shingles; more meet their rows by shuffle.
 BROADCAST_TEXTS = 1 << 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Shingle signatures that a task of the candidate search takes, about.
@@ -348,11 +348,6 @@ def drop_near_duplicates(documents: DataFrame, words: int = 5, similarity: float
     facts = ["id", "fp0", "fp1", "size", "odd"]
     ends = {side: texts.select(F.col(h0).alias(side + "_hash"), *[F.col(c).alias(side if c == "id" else f"{side}_{c}") for c in facts]) for side in ("a", "b")}
 
-    def few(some: DataFrame) -> DataFrame:
-        """As it is now, to be broadcast if that's of a bounded size."""
-        some = cut(some)
-        return F.broadcast(some) if some.count() <= BROADCAST_TEXTS else some
-
     def may_be_similar(pairs: DataFrame) -> DataFrame:
         """(a, b) as numbers of texts, of pairs of hashes, as far as sizes, fingerprints and sketches let them be similar."""
         both = pairs.join(ends["a"], "a_hash").join(ends["b"], "b_hash").where("a <> b")
@@ -360,27 +355,34 @@ def drop_near_duplicates(documents: DataFrame, words: int = 5, similarity: float
         bits = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in ("fp0", "fp1")), F.lit(0))
         return both.where(sized & (bits <= radius)).where(near("a_odd", "b_odd", "a_size", "b_size")).select("a", "b")
 
+    def whole(ids: DataFrame, held: Column) -> DataFrame:
+        """`ids` (id and other columns) with the text's shingles, as often as the text's row is there. `held`: ids that a row of `ids` holds."""
+        named = cut(ids.join(texts, "id").select(*ids.columns, h0, h1, "least"))
+        named = F.broadcast(named) if (named.agg(F.sum(held)).first()[0] or 0) <= BROADCAST_TEXTS else named
+        rows = documents.select(*keys, "doc_id", text.alias("__text")).join(named, [h0, h1]).where(F.col("doc_id").eqNullSafe(F.col("least")))
+        return rows.select(*ids.columns, hashes("__text").alias("shingles"))
+
     def checked(some: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are similar, by their whole texts."""
+        """The pairs (a, b) that are similar, by their whole texts. Shingles are stored for each b alone; those of an a go straight to its pairs."""
         some = cut(some)
-        involved = few(some.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(texts, "id").select("id", h0, h1, "least"))
-        whole = documents.select(*keys, "doc_id", text.alias("__text")).join(involved, [h0, h1]).where(F.col("doc_id").eqNullSafe(F.col("least")))
-        sets = cut(whole.select("id", hashes("__text").alias("shingles")).groupBy("id").agg(F.any_value("shingles").alias("shingles")))
+        seconds = cut(whole(some.select(F.col("b").alias("id")).distinct(), F.lit(1)).groupBy("id").agg(F.any_value("shingles").alias("sb")).withColumnRenamed("id", "b"))
         release(documents.sparkSession)
-        sides = [sets.select(F.col("id").alias(side), F.col("shingles").alias("s" + side)) for side in ("a", "b")]
-        return cut(some.join(sides[0], "a").join(sides[1], "b").where(similar("sa", "sb")).select("a", "b"))
+        firsts = whole(some.groupBy(F.col("a").alias("id")).agg(F.collect_list("b").alias("others")), F.size("others"))
+        pairs = firsts.select(F.col("id").alias("a"), F.explode("others").alias("b"), F.col("shingles").alias("sa"))
+        return cut(pairs.join(seconds, "b").where(similar("sa", "sb")).select("a", "b").distinct())
 
     seen = cut(may_be_similar(shards.where("id <> first").select(F.col("id").alias("a_hash"), F.col("first").alias("b_hash")).distinct()))
     same_hash = texts.groupBy(h0).agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("a", "b")  # two texts of one hash, if ever
     linked, most, open_ = checked(seen.unionByName(same_hash)), 0, None
     while True:
         roots = cut(connected_components(linked))
-        class_of = texts.join(roots, texts.id == roots.node, "left").select(h0, "id", "fp0", "fp1", "size", "odd", F.coalesce("root", "id").alias("class"))
+        class_of = texts.join(roots, texts.id == roots.node, "left").select(h0, "id", F.coalesce("root", "id").alias("class"))
         if open_ is not None:
             class_of = class_of.join(open_, "class", "left_semi")
-        placed = shards.select("signature", F.col("id").alias(h0)).join(class_of, h0)
+        placed = shards.select("signature", F.col("id").alias(h0)).join(class_of, h0).drop(h0)
         mixed = placed.groupBy("signature").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("signature")
-        some = cut(nearest_of_classes(placed.join(mixed, "signature", "left_semi"), radius, similarity, most, tasks))
+        searched = placed.join(mixed, "signature", "left_semi").join(texts.select(*facts), "id")  # sketches come last: they're shuffled once a signature that is searched
+        some = cut(nearest_of_classes(searched, radius, similarity, most, tasks))
         pairs = some.where("d >= 0").select("a", "b").join(seen.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
         new = cut(pairs)
         linked = linked.unionByName(checked(new))

@@ -317,6 +317,22 @@ def test_a_crowd_of_near_copies_gives_a_star(spark):
     assert simhash.drop_near_duplicates(documents(spark, rows)).count() == 1
 
 
+def test_near_dedup_stores_shingles_of_one_side_of_its_pairs(spark, monkeypatch):
+    stored, cut = [], simhash.cut
+
+    def seen(df):
+        done = cut(df)
+        if any(kind == "binary" for c, kind in done.dtypes if c != "odd"):
+            stored.append(done.count())
+        return done
+
+    monkeypatch.setattr(simhash, "cut", seen)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*base, *(f"x{j}" for j in range(i))])) for i in range(20)]
+    assert [r.doc_id for r in simhash.drop_near_duplicates(documents(spark, rows)).collect()] == [0]
+    assert 0 < max(stored) < 19
+
+
 def test_near_dedup_matches_all_pairs(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     sets = {i: shingles(t) for i, t in rows}
