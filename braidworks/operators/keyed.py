@@ -16,6 +16,14 @@ from pyspark.sql import functions as F
 from braidworks.sources.checkpoints import snapshot
 
 UNSIGNED_64 = 1 << 64
+#: Rows that a task gets on average where rows are dealt by their number.
+TASK_ROWS = 1 << 18
+
+
+def dealt(table: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """The table dealt by the keys to as many tasks as `rows` asks for. Left to itself, adaptive execution puts up to 64 MB of compressed
+    rows in a task, whose sorts and hash tables are then a gigabyte."""
+    return table.repartition(max(1, -(-rows // TASK_ROWS)), *keys)
 
 
 def build(rows: DataFrame, key: str, power: int | None = None) -> DataFrame:

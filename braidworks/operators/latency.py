@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from braidworks.functions.scalars import drawn
 from braidworks.sources.checkpoints import snapshot
 
-from .keyed import in_ranges
-from .ordered import HOT_ROWS, PART, hot_apart, previous, smoothed, with_carries, within
+from .keyed import dealt, in_ranges
+from .ordered import HOT_ROWS, PART, hot_apart, hot_ranges, previous, smoothed, with_carries, within
 
 
 def values_at(rows: DataFrame, value: str, wanted: dict[float, Column], ranges: int | None = None) -> DataFrame:
@@ -86,27 +86,34 @@ def window_percentiles(traces: DataFrame, interval_us: int, percent: float, stre
     A hot stream is dealt to ranges: number, first start and minimum are carried from a range to the stream's next. A window's equal durations
     are counted before they meet. So neither a busy stream nor a long window is one task's work.
     """
-    order, interval = ["start_us", "duration_us", "absl_start_us"], F.lit(interval_us).cast("long")
-    hot, rest = hot_apart(traces.select(stream, *order).where(F.col(stream).isNotNull()), stream, hot_rows)
+    order, interval, firsts = ["start_us", "duration_us", "absl_start_us"], F.lit(interval_us).cast("long"), ["__absl_first", "__first"]
+    known = traces.select(stream, *order).where(F.col(stream).isNotNull())
+    hot, rest = hot_apart(known, stream, hot_rows)
     row = F.struct(*order)
-    own = F.greatest(F.call_function("div", F.col("start_us") - F.col("__first.start_us") + interval - 1, interval) - 1, F.lit(0).cast("long")) - F.col("__i")
+    own = F.greatest(F.call_function("div", F.col("start_us") - F.col("__first") + interval - 1, interval) - 1, F.lit(0).cast("long")) - F.col("__i")
 
     def in_windows(rows: DataFrame, upto, with_ranges: bool) -> DataFrame:
-        rows = with_carries(rows, stream, __n=(F.count(F.lit(1)), F.sum), __before=(F.min(row), F.min)) if with_ranges else rows.withColumns({"__n": F.lit(0), "__before": F.lit(None)})
-        rows = rows.withColumns({"__i": F.count(F.lit(1)).over(upto) - 1 + F.coalesce("__n", F.lit(0)), "__first": F.coalesce("__before", F.first(row).over(upto))}).withColumn("__own", own)
+        """(stream, window, duration, firsts, number) of a task's rows, counted where they are. `rows` has the stream's first row in `firsts`, numbers and nothing else: no task sorts structs."""
+        rows = with_carries(rows, stream, __before=(F.count(F.lit(1)), F.sum)) if with_ranges else rows.withColumn("__before", F.lit(0))
+        rows = rows.withColumn("__i", F.row_number().over(upto) - 1 + F.coalesce("__before", F.lit(0))).withColumn("__own", own)
         rows = with_carries(rows, stream, __least=(F.min("__own"), F.min)) if with_ranges else rows.withColumn("__least", F.lit(None).cast("long"))
-        return rows.select(stream, "duration_us", "__first", (F.col("__i") + F.least(F.min("__own").over(upto), F.col("__least"))).alias("__window"))
+        placed = rows.withColumn("__window", F.col("__i") + F.least(F.min("__own").over(upto), F.col("__least")))
+        here = [stream, PART] if with_ranges else [stream]
+        return placed.groupBy(*here, "__window", "duration_us", *firsts).agg(F.count(F.lit(1)).alias("__c")).select(stream, "__window", "duration_us", *firsts, "__c")
 
-    placed = in_windows(rest, Window.partitionBy(stream).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0), False)
+    total = known.count()
+    up = Window.partitionBy(stream).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    counts = in_windows(rest.withColumns({firsts[0]: F.first("absl_start_us").over(up), firsts[1]: F.first("start_us").over(up)}), up, False)
     if hot is not None:
-        placed = placed.unionByName(in_windows(in_ranges(hot, stream, *order, into=PART, ranges=ranges), within(stream, *order), True))
-    counts = placed.groupBy(stream, "__window", "duration_us").agg(F.count(F.lit(1)).alias("__c"), F.first("__first").alias("__first"))
+        first = hot.groupBy(stream).agg(F.min(row).alias("f")).select(stream, F.col("f.absl_start_us").alias(firsts[0]), F.col("f.start_us").alias(firsts[1]))
+        counts = counts.unionByName(in_windows(hot_ranges(hot, stream, *order, ranges=ranges).join(F.broadcast(first), stream), within(stream, *order), True))
+    counts = dealt(counts, total, stream, "__window").groupBy(stream, "__window", "duration_us", *firsts).agg(F.sum("__c").alias("__c"))
     inside = Window.partitionBy(stream, "__window")
     ranked = counts.withColumn("__n", F.sum("__c").over(inside)).withColumn("__upto", F.sum("__c").over(inside.orderBy("duration_us")))
     place = F.floor(F.lit(percent / 100.0) * F.col("__n"))
     chosen = ranked.where((place < F.col("__upto")) & (place >= F.col("__upto") - F.col("__c")))  # a row a window
     last = F.max("__window").over(Window.partitionBy(stream))
-    at = [(F.col("__first")[c] + F.col("__window") * interval).alias(c) for c in ("absl_start_us", "start_us")]
+    at = [(F.col(c) + F.col("__window") * interval).alias(name) for c, name in zip(firsts, ("absl_start_us", "start_us"))]
     return chosen.withColumn("__last", last).where((F.col("__window") < F.col("__last")) & (F.col("__n") >= least)).select(stream, *at, "duration_us")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from braidworks.sources.checkpoints import snapshot
 
-from .keyed import in_ranges
+from .keyed import TASK_ROWS, in_ranges
 
 PART = "__range"
 #: Rows of a key above which it goes by ranges.
@@ -32,6 +32,12 @@ def hot_apart(table: DataFrame, key: str, hot_rows: int) -> tuple[DataFrame | No
     return table.join(F.broadcast(hot), key, "left_semi"), table.join(F.broadcast(hot), key, "left_anti")
 
 
+def hot_ranges(hot: DataFrame, key: str, *order: str, ranges: int | None = None) -> DataFrame:
+    """Hot keys' rows in ranges of TASK_ROWS rows on average, each in one task: as many ranges as rows ask for, which adaptive execution leaves apart."""
+    ranges = ranges or max(1, -(-hot.count() // TASK_ROWS))
+    return in_ranges(hot, key, *order, into=PART, ranges=ranges).repartitionByRange(ranges, PART)  # a hash would put several in a task
+
+
 def within(key: str, *order: str | Column) -> Window:
     """The rows of a key in a range up to each, in order."""
     return Window.partitionBy(PART, key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -59,7 +65,7 @@ def running_total(table: DataFrame, key: str, order: list[str], value: str, into
     done = rest.withColumn(into, F.sum(value).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     if hot is None:
         return done
-    joined = with_carries(in_ranges(hot, key, *order, into=PART, ranges=ranges), key, __before=(F.sum(value), F.sum))
+    joined = with_carries(hot_ranges(hot, key, *order, ranges=ranges), key, __before=(F.sum(value), F.sum))
     total = F.sum(value).over(within(key, *order)) + F.coalesce("__before", F.lit(0))
     return done.unionByName(joined.withColumn(into, total).drop("__before", PART))
 
@@ -71,7 +77,7 @@ def previous(table: DataFrame, key: str, order: str, columns: list[str], into: s
     if hot is None:
         return done
     row = F.struct(order, *[c for c in columns if c != order])
-    joined = with_carries(in_ranges(hot, key, order, into=PART, ranges=ranges), key, __earlier=(F.max(row), F.max))
+    joined = with_carries(hot_ranges(hot, key, order, ranges=ranges), key, __earlier=(F.max(row), F.max))
     before = F.lag(F.struct(*columns)).over(Window.partitionBy(PART, key).orderBy(order))
     earlier = F.when(F.col("__earlier").isNotNull(), F.struct(*[F.col("__earlier")[c].alias(c) for c in columns]))
     return done.unionByName(joined.withColumn(into, F.coalesce(before, earlier)).drop("__earlier", PART))
@@ -97,7 +103,7 @@ def smoothed(table: DataFrame, key: str, order: list[str], value: str, weight: f
     alone = _folded(rest.withColumns({PART: F.lit(0), "__start": F.lit(0.0)}).repartition(key), key, order, weight).select(key, "average")
     if hot is None:
         return alone
-    ranged = in_ranges(hot, key, *order, into=PART, ranges=ranges)
+    ranged = hot_ranges(hot, key, *order, ranges=ranges)
     place = [ranged.schema[key], ranged.schema[PART]]
     chains: dict = {}
     for row in sorted(_folded(ranged.withColumn("__start", F.lit(0.0)), key, order, weight).collect(), key=lambda r: r[PART]):  # two rows a range at most

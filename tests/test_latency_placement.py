@@ -142,3 +142,15 @@ def test_a_busy_threads_samples_stay_where_they_are(spark):
         assert sorted(r["at"] for r in left.collect()) == list(range(200, 2800))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+
+
+def test_ranges_follow_the_number_of_a_hot_key_s_rows(spark, monkeypatch):
+    from braidworks.operators import ordered
+
+    monkeypatch.setattr(ordered, "TASK_ROWS", 100)
+    rows = spark.range(2000).select(F.lit(1).alias("key"), "id")
+    ranged = ordered.hot_ranges(rows, "key", "id")
+    sizes = [n for n in ranged.groupBy(F.spark_partition_id().alias("p")).count().select("count").toPandas()["count"]]
+    assert sum(sizes) == 2000 and ranged.select(ordered.PART).distinct().count() == 20 and max(sizes) < 600
+    total = ordered.running_total(rows, "key", ["id"], "id", "total", hot_rows=50)
+    assert total.where(F.col("total") != F.col("id") * (F.col("id") + 1) / 2).isEmpty()
