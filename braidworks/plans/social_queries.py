@@ -25,10 +25,14 @@ def _posts(spark, d):
     return read(spark, d, "events").where("event_type <> 'error'").select(F.col("event_id").alias("post_id"), "user_id", F.col("ts").alias("timestamp"), "event_type", "value")
 
 
+def _pairs(spark, d):
+    """Who bought of whom, as often as it happened."""
+    orders, items = read(spark, d, "orders").select("o_orderkey", "o_custkey"), read(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
+    return items.join(orders, items.l_orderkey == orders.o_orderkey).select(F.col("o_custkey").alias("follower"), F.col("l_suppkey").alias("followee"))
+
+
 def _edges(spark, d):
-    orders, items = read(spark, d, "orders"), read(spark, d, "lineitem")
-    pairs = items.join(orders, items.l_orderkey == orders.o_orderkey)
-    return pairs.select(F.col("o_custkey").alias("follower"), F.col("l_suppkey").alias("followee")).distinct()
+    return _pairs(spark, d).distinct()
 
 
 def _texts(spark, d):
@@ -414,7 +418,7 @@ def sn_live_sessions(spark, d):
 
 @query(f"SELECT follower AS x, followee AS y FROM {_EDGES} UNION SELECT followee, follower FROM {_EDGES}")
 def io_graph_symmetrize(spark, d):
-    return graphs.symmetric(_edges(spark, d).select(F.col("follower").alias("x"), F.col("followee").alias("y")))
+    return graphs.symmetric(_pairs(spark, d).select(F.col("follower").alias("x"), F.col("followee").alias("y")))
 
 
 @query(

@@ -17,8 +17,12 @@ def matrix_market(spark: SparkSession, path: str) -> DataFrame:
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
-    """IO01: both directions of each edge, once."""
-    return edges.select("x", "y").union(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
+    """IO01: both directions of each edge, once. Edges may repeat: each is compared once, its lesser end first, and turned round after that."""
+    turned = F.coalesce(F.col("x") > F.col("y"), F.col("y").isNull())
+    once = edges.select(F.when(turned, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(turned, F.col("x")).otherwise(F.col("y")).alias("y")).distinct()
+    back = F.struct(F.col("y").alias("x"), F.col("x").alias("y"))
+    both = F.when(F.col("x").eqNullSafe(F.col("y")), F.array(back)).otherwise(F.array(back, F.struct("x", "y")))
+    return once.select(F.explode(both).alias("e")).select("e.x", "e.y")
 
 
 def graph_users(spark: SparkSession, n: int) -> DataFrame:

@@ -60,3 +60,11 @@ def test_windows_and_sessions_run(spark, tmp_path):
         q.awaitTermination()
         rows = spark.table(name).selectExpr("k", "n", "date_format(`" + df.columns[0] + "`.start, 'HH:mm') AS a", "date_format(`" + df.columns[0] + "`.end, 'HH:mm') AS b").collect()
         assert [tuple(r) for r in rows] == [(1, 2, "00:00", end)]  # the last window is still open
+
+
+def test_symmetric_edges_are_compared_once(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (3, 3), (None, 4), (5, None), (None, None)], "x long, y long")
+    found = graphs.symmetric(edges)
+    key = lambda e: tuple((v is None, v or 0) for v in e)
+    assert sorted(map(tuple, found.collect()), key=key) == sorted([(1, 2), (2, 1), (3, 3), (None, 4), (4, None), (5, None), (None, 5), (None, None)], key=key)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Union") == 0
