@@ -155,6 +155,8 @@ FACTOR = np.uint64(0x9E3779B97F4A7C15)
 TASK_SIGNATURES = 1 << 19
 #: Rows that a task of the candidate search hands on at once.
 BATCH_ROWS = 1 << 15
+#: Rows of an Arrow batch whose texts or sets of hashes are Python's own at once.
+SLICE_ROWS = 256
 #: Candidate edges that a task holds before it puts them out.
 HELD_EDGES = 1 << 20
 #: Times as many candidates of another class a text gives in each further search.
@@ -185,6 +187,27 @@ def wide_radius(similarity: float) -> int:
     return int(np.ceil(128 * differ + SPREAD * np.sqrt(128 * differ * (1 - differ))))
 
 
+def _slices(batches):
+    """Batches of SLICE_ROWS at most: a batch's texts or sets of hashes take as much memory again once they're Python's own values."""
+    for batch in batches:
+        yield from (batch.slice(start, SLICE_ROWS) for start in range(0, batch.num_rows, SLICE_ROWS))
+
+
+def _with_made(rows: DataFrame, of: str, make, **kinds: pa.DataType) -> DataFrame:
+    """`rows` with the columns that `make` makes of each value of the column `of`, and without that one. Results leave a task slice by slice."""
+    kept = rows.drop(of)
+
+    def run(batches):
+        for part in _slices(batches):
+            made = zip(*map(make, part[of].to_pylist()))
+            yield pa.RecordBatch.from_arrays([*[part[c] for c in names], *map(pa.array, made, kinds.values())], names=[*names, *kinds])
+
+    names, schema = kept.columns, kept.schema
+    for name, kind in kinds.items():
+        schema = schema.add(name, {pa.int64(): "long", pa.binary(): "binary"}[kind])
+    return rows.mapInArrow(run, schema)
+
+
 def _batches(names: list[str], columns: list[np.ndarray]):
     """Rows in batches of bounded size: what the JVM holds of a task's results outside its heap."""
     for start in range(0, len(columns[0]), BATCH_ROWS):
@@ -201,7 +224,7 @@ def shared_signatures(documents: DataFrame, words: int, similarity: float, tasks
     def deal(batches):
         seen: set[int] = set()
         ids, marks, rows = [], [], 0
-        for batch in batches:
+        for batch in _slices(batches):
             for i, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist()):
                 if i in seen:
                     continue
@@ -315,15 +338,12 @@ def drop_near_duplicates(documents: DataFrame, words: int = 5, similarity: float
     """
     radius = wide_radius(similarity)
 
-    @F.pandas_udf("struct<fp0: long, fp1: long, size: long, odd: binary>")
-    def described(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t, words) for t in texts]
-        bits = np.array([wide(s) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
-        return pd.DataFrame({"fp0": bits[:, 0], "fp1": bits[:, 1], "size": np.array([len(s) for s in sets], np.int64), "odd": [odd_sketch(s) for s in sets]})
+    def described(text: str) -> tuple[int, int, int, bytes]:
+        own = shingle_set(text, words)
+        return *np.array(wide(own), np.uint64).view(np.int64).tolist(), len(own), odd_sketch(own)
 
-    @F.pandas_udf("binary")
-    def hashes(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, words).astype("<u8").tobytes() for t in texts])
+    def hashes(text: str) -> tuple[bytes]:
+        return (shingle_set(text, words).astype("<u8").tobytes(),)
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series, a_size: pd.Series, b_size: pd.Series) -> pd.Series:
@@ -331,21 +351,23 @@ def drop_near_duplicates(documents: DataFrame, words: int = 5, similarity: float
         both = OddSketches([*a, *b], np.concatenate([a_size, b_size])) if len(a) else None
         return pd.Series(both.may_be_similar(n, n + len(a), similarity) if len(a) else [], dtype=bool)
 
-    @F.pandas_udf("boolean")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similarity_of(x, y) >= similarity for x, y in zip(a, b)], dtype=bool)
+    def similar(batches):
+        for part in _slices(batches):
+            yield part.filter(pa.array([similarity_of(x, y) >= similarity for x, y in zip(part["sa"].to_pylist(), part["sb"].to_pylist())], pa.bool_())).select(["a", "b"])
 
     text = F.coalesce(F.col("text"), F.lit(""))
     h0, h1, least, rows = (fresh(documents, name) for name in ("__h0", "__h1", "__least", "__rows"))
     keys = [F.xxhash64(text).alias(h0), F.xxhash64(F.lit(1), text).alias(h1)]  # together they name a text; h0 alone names it well enough for candidates
-    hashed = documents.select("doc_id", *keys, described.asNondeterministic()(text).alias("w")).groupBy(h0, h1, "doc_id").agg(F.any_value("w").alias("w"), F.count(F.lit(1)).alias("n"))
+    facts = {"fp0": pa.int64(), "fp1": pa.int64(), "size": pa.int64(), "odd": pa.binary()}
+    hashed = _with_made(documents.select("doc_id", *keys, text.alias("__text")), "__text", described, **facts)
+    hashed = hashed.groupBy(h0, h1, "doc_id").agg(F.any_value(F.struct(*facts)).alias("w"), F.count(F.lit(1)).alias("n"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id")
     texts = hashed.groupBy(h0, h1).agg(F.min_by(F.struct("doc_id", "n"), order).alias("l"), F.any_value("w").alias("w"))
     texts = cut(texts.select(h0, h1, F.col("l.doc_id").alias("least"), F.col("l.n").alias("rows"), "w.fp0", "w.fp1", "w.size", "w.odd").withColumn("id", F.monotonically_increasing_id()))
     tasks = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), (texts.agg(F.sum("size")).first()[0] or 0) // TASK_SIGNATURES)
     shards = cut(shared_signatures(documents.select(keys[0].alias("id"), text.alias("text")), words, similarity, tasks))
     release(documents.sparkSession)  # the signatures' shuffle is the largest there is
-    facts = ["id", "fp0", "fp1", "size", "odd"]
+    facts = ["id", *facts]
     ends = {side: texts.select(F.col(h0).alias(side + "_hash"), *[F.col(c).alias(side if c == "id" else f"{side}_{c}") for c in facts]) for side in ("a", "b")}
 
     def may_be_similar(pairs: DataFrame) -> DataFrame:
@@ -360,7 +382,7 @@ def drop_near_duplicates(documents: DataFrame, words: int = 5, similarity: float
         named = cut(ids.join(texts, "id").select(*ids.columns, h0, h1, "least"))
         named = F.broadcast(named) if (named.agg(F.sum(held)).first()[0] or 0) <= BROADCAST_TEXTS else named
         rows = documents.select(*keys, "doc_id", text.alias("__text")).join(named, [h0, h1]).where(F.col("doc_id").eqNullSafe(F.col("least")))
-        return rows.select(*ids.columns, hashes("__text").alias("shingles"))
+        return _with_made(rows.select(*ids.columns, "__text"), "__text", hashes, shingles=pa.binary())
 
     def checked(some: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar, by their whole texts. Shingles are stored for each b alone; those of an a go straight to its pairs."""
@@ -369,7 +391,7 @@ def drop_near_duplicates(documents: DataFrame, words: int = 5, similarity: float
         release(documents.sparkSession)
         firsts = whole(some.groupBy(F.col("a").alias("id")).agg(F.collect_list("b").alias("others")), F.size("others"))
         pairs = firsts.select(F.col("id").alias("a"), F.explode("others").alias("b"), F.col("shingles").alias("sa"))
-        return cut(pairs.join(seconds, "b").where(similar("sa", "sb")).select("a", "b").distinct())
+        return cut(pairs.join(seconds, "b").select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long").distinct())
 
     seen = cut(may_be_similar(shards.where("id <> first").select(F.col("id").alias("a_hash"), F.col("first").alias("b_hash")).distinct()))
     same_hash = texts.groupBy(h0).agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("a", "b")  # two texts of one hash, if ever

@@ -496,3 +496,20 @@ def test_contamination_report_of_no_rows_and_no_items(spark):
     got = decontaminate.contamination_report(documents(spark, [(1, "a b")]), none).first()
     assert (got.n_words, got.n_hit, got.n_items, got.items_sha256, got.contaminated) == (2, 0, 0, hashlib.sha256(b"").hexdigest(), False)
     assert decontaminate.contamination_report(documents(spark, []), none).count() == 0
+
+
+def test_sets_of_hashes_are_made_slice_by_slice(spark):
+    import pyarrow as pa
+
+    n = 2 * simhash.SLICE_ROWS + 3
+    parts = list(simhash._slices([pa.RecordBatch.from_pydict({"x": list(range(n))})]))
+    assert [p.num_rows for p in parts] == [simhash.SLICE_ROWS, simhash.SLICE_ROWS, 3] and [x for p in parts for x in p["x"].to_pylist()] == list(range(n))
+    rows = spark.range(n).select(F.nullif("id", F.lit(5)).alias("doc_id"), F.concat(F.lit("a b c d e "), "id").alias("t")).coalesce(1)
+    made = simhash._with_made(rows, "t", lambda t: (len(t), t.encode()), size=pa.int64(), raw=pa.binary())
+    assert made.dtypes == [("doc_id", "bigint"), ("size", "bigint"), ("raw", "binary")]
+    assert [(r.doc_id, r["size"], bytes(r.raw)) for r in made.collect()] == [(i if i != 5 else None, len(f"a b c d e {i}"), f"a b c d e {i}".encode()) for i in range(n)]
+
+    def rows_of(batches):
+        yield from (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+
+    assert made.mapInArrow(rows_of, "n long").agg(F.sum("n")).first()[0] == n
