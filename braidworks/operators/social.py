@@ -88,12 +88,24 @@ def home_entries(posts: DataFrame, edges: DataFrame, mentioned: str | None = Non
     """SN14: an entry for each follower of a post's author and each mentioned user; the author only if among these.
 
     Whoever takes the tables in sees to it that posts have different ids and edges are distinct (store_posts, follow, keyed.violations); so only a mentioned user can have an entry twice: mentions
-    of the author's followers are left out, and the fan-out itself, which is the bulk, isn't compared.
+    of the author's followers are left out, and the fan-out itself, which is the bulk, isn't compared. A post meets its author's followers as lists and is fanned out
+    from these, so neither the shuffle nor the join makes a row an entry.
     """
-    by_edge = posts.join(edges.select(F.col("followee").alias("user_id"), "follower"), "user_id").select(F.col("follower").alias("user_id"), "timestamp", "post_id")
+    met = posts.select("user_id", "timestamp", "post_id").join(reader_lists(edges), "user_id")
+    by_edge = met.select(F.explode("readers").alias("user_id"), "timestamp", "post_id")
     return by_edge if mentioned is None else by_edge.unionByName(_mention_entries(posts, edges, mentioned))
 
 
+def reader_lists(edges: DataFrame, most: int = CHUNK_IDS) -> DataFrame:
+    """(user_id, readers): who follows a user, in any order; one list of up to `most` ids, of those with more followers several lists of half as many on average."""
+    famous = edges.groupBy(F.col("followee").alias("__famous")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most)  # at most one in `most` edges
+    famous = F.broadcast(famous.select("__famous", F.ceil(2 * F.col("__n") / most).alias("__slices")))
+    part = F.when(F.col("__slices").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("follower"), "__slices"))
+    dealt = edges.where("followee is not null").join(famous, F.col("followee") == F.col("__famous"), "left").groupBy(F.col("followee").alias("user_id"), part.alias("__part"))
+    lists = dealt.agg(F.collect_list("follower").alias("__ids"), F.count_if(F.col("follower").isNull()).alias("__nulls"))  # a list leaves nulls out
+    return lists.select("user_id", F.when(F.col("__nulls") == 0, F.col("__ids")).otherwise(F.concat("__ids", F.array_repeat(F.lit(None).cast("long"), F.col("__nulls").cast("int")))).alias("readers"))
+
+
 def _mention_entries(posts: DataFrame, edges: DataFrame, mentioned: str) -> DataFrame:
     """Entries of mentioned users that don't follow the author."""
     by_name = posts.select(F.col("user_id").alias("followee"), F.explode(mentioned).alias("follower"), "timestamp", "post_id").distinct()
@@ -262,11 +274,10 @@ def compose_posts(requests: DataFrame, users: DataFrame, edges: DataFrame) -> Co
         ).alias("user_mentions"),
         composed_media(F.col("media_ids"), F.col("media_types")).alias("media"), "urls", "timestamp", "post_type", "user_id",
     )
-    timed = posts.select("user_id", "timestamp", "post_id", F.transform("user_mentions", lambda m: m["user_id"]).alias("mentioned"))
-    return Composed(
-        posts.drop("user_id"), timed.select("user_id", "timestamp", "post_id"), home_entries(timed, edges, "mentioned"),
-        posts.select(F.explode("urls").alias("u")).select("u.*"),
-    )
+    # An author's and its followers' entries, and links, need no mentions looked up.
+    authored, named = requests.select("user_id", "timestamp", "post_id"), posts.select("user_id", "timestamp", "post_id", F.transform("user_mentions", lambda m: m["user_id"]).alias("mentioned"))
+    links = composed_text(requests).select("post_id", F.explode("urls").alias("u")).select("u.*", "post_id")
+    return Composed(posts.drop("user_id"), authored, home_entries(authored, edges).unionByName(_mention_entries(named, edges, "mentioned")), links)
 
 
 def _link_key(a: DataFrame, b: DataFrame) -> list[str]:

@@ -378,8 +378,7 @@ def sn_compose_outputs(spark, d):
     )
     made = social.compose_posts(asked, _users(spark, d), _edges(spark, d))
     parts = {name: getattr(made, name).select("user_id", "post_id", F.lit("").alias("link")) for name in ("user_timeline", "home_timeline")}
-    links = made.posts.select("post_id", F.explode("urls").alias("u"))
-    parts["short_links"] = links.select(F.lit(-1).cast("long").alias("user_id"), "post_id", F.concat_ws(" ", "u.shortened_url", "u.expanded_url").alias("link"))
+    parts["short_links"] = made.short_links.select(F.lit(-1).cast("long").alias("user_id"), "post_id", F.concat_ws(" ", "shortened_url", "expanded_url").alias("link"))
     return reduce(DataFrame.unionByName, [t.select(F.lit(name).alias("table"), "user_id", "post_id", "link") for name, t in parts.items()])
 
 

@@ -174,3 +174,31 @@ def test_followers_of_a_hot_user_come_in_bounded_chunks(spark):
         assert got == {(1, c): list(range(64 * c, min(1000, 64 * c + 64))) for c in range(16)} | {(2, 0): list(range(7)), (3, 0): [5]}
         asked = spark.createDataFrame([(1, 999), (1, 1000), (1, 64), (2, 7), (3, 5), (4, 4), (3, 5)], "user_id long, follower long")
         assert sorted(map(tuple, social.is_follower(chunks, asked).collect())) == [(1, 64, True), (1, 999, True), (1, 1000, False), (2, 7, False), (3, 5, True), (3, 5, True), (4, 4, False)]
+
+
+def test_readers_come_in_bounded_lists(spark):
+    edges = [(f, 7) for f in range(200)] + [(1, 8), (None, 8), (None, 7), (2, None)]
+    lists = [(r.user_id, r.readers) for r in social.reader_lists(spark.createDataFrame(edges, "follower long, followee long"), 40).collect()]
+    assert all(len(ids) <= 40 for _, ids in lists) and len([u for u, _ in lists if u == 7]) > 1 and len([u for u, _ in lists if u == 8]) == 1
+    key = lambda e: (e[1], e[0] is None, e[0] or 0)
+    assert sorted(((f, u) for u, ids in lists for f in ids), key=key) == sorted((e for e in edges if e[1] is not None), key=key)
+
+
+def test_fan_out_makes_entries_after_the_join(spark):
+    posts = spark.createDataFrame([(7, 1, 10), (7, 2, 11), (8, 3, 12), (9, 4, 13)], "user_id long, timestamp long, post_id long")
+    entries = social.home_entries(posts, spark.createDataFrame([(1, 7), (None, 7), (2, 8)], "follower long, followee long"))
+    assert sorted((str(r.user_id), r.timestamp, r.post_id) for r in entries.collect()) == [("1", 1, 10), ("1", 2, 11), ("2", 3, 12), ("None", 1, 10), ("None", 2, 11)]
+    plan = entries._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(readers" in plan.split("Join Inner")[0]
+
+
+def test_composing_looks_mentions_up_only_where_they_matter(spark):
+    users = spark.createDataFrame([("eve", 3)], "username string, user_id long")
+    asked = spark.createDataFrame(
+        [(100, 1, "bob", 2, "hi @eve http://a.b/c http://a.b/d", [5], ["png"], 0, 9), (101, 1, "bob", 2, "none", [5], ["png"], 0, 9)],
+        "post_id long, req_id long, username string, user_id long, text string, media_ids array<long>, media_types array<string>, post_type int, timestamp long",
+    )
+    made = social.compose_posts(asked, users, spark.createDataFrame([(4, 2)], "follower long, followee long"))
+    assert "Join" not in "".join(t._jdf.queryExecution().optimizedPlan().toString() for t in (made.user_timeline, made.short_links))
+    assert sorted((r.user_id, r.post_id) for r in made.home_timeline.collect()) == [(3, 100), (4, 100), (4, 101)]
+    assert [(r.post_id, r.expanded_url) for r in made.short_links.collect()] == [(100, "http://a.b"), (100, "http://a.b")]
