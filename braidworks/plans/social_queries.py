@@ -31,8 +31,14 @@ def _pairs(spark, d):
     return items.join(orders, items.l_orderkey == orders.o_orderkey).select(F.col("o_custkey").alias("follower"), F.col("l_suppkey").alias("followee"))
 
 
+#: Pairs that a task compares, about: their number decides how many tasks there are, so what one holds stays the same.
+TASK_PAIRS = 1 << 18
+
+
 def _edges(spark, d):
-    return _pairs(spark, d).distinct()
+    """Who bought of whom, once. Dealt as the look-up of a mentioned user among the author's followers needs it."""
+    tasks = max(spark.sparkContext.defaultParallelism, read(spark, d, "lineitem").count() // TASK_PAIRS)
+    return _pairs(spark, d).repartition(tasks, "followee", "follower").distinct()
 
 
 def _texts(spark, d):

@@ -202,3 +202,14 @@ def test_composing_looks_mentions_up_only_where_they_matter(spark):
     assert "Join" not in "".join(t._jdf.queryExecution().optimizedPlan().toString() for t in (made.user_timeline, made.short_links))
     assert sorted((r.user_id, r.post_id) for r in made.home_timeline.collect()) == [(3, 100), (4, 100), (4, 101)]
     assert [(r.post_id, r.expanded_url) for r in made.short_links.collect()] == [(100, "http://a.b"), (100, "http://a.b")]
+
+
+def test_tasks_that_compare_pairs_follow_their_number(spark, monkeypatch):
+    from braidworks.plans import social_queries
+
+    data = "/root/testdata/sf0.001"
+    rows = social_queries.read(spark, data, "lineitem").count()
+    monkeypatch.setattr(social_queries, "TASK_PAIRS", 500)
+    edges = social_queries._edges(spark, data)
+    assert f", {rows // 500}" in next(line for line in edges._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in line)
+    assert edges.count() == social_queries._pairs(spark, data).distinct().count()
