@@ -215,10 +215,12 @@ def _batches(names: list[str], columns: list[np.ndarray]):
 
 
 def shared_signatures(documents: DataFrame, words: int, similarity: float, tasks: int) -> DataFrame:
-    """(signature, id, first): the texts of each signature that several different texts have, with the least id of these.
+    """(shard, id, first): the texts of each signature that several different texts have, with the least id of these.
 
     `documents` has id (a hash of the text) and text. A text that a task has seen before isn't
-    dealt again, so however many exact copies there are, few rows leave each task.
+    dealt again, so however many exact copies there are, few rows leave each task. Copies share many signatures: those
+    that the same texts have are one shard, which is a hash of their ids. Should two sets of texts have one hash,
+    they'd be one shard together, in which no pair is lost.
     """
 
     def deal(batches):
@@ -250,18 +252,21 @@ def shared_signatures(documents: DataFrame, words: int, similarity: float, tasks
         mark, ids, same = mark[new], ids[new], same[new]
         first = np.maximum.accumulate(np.where(same, 0, np.arange(len(mark))))
         crowd = same | np.r_[same[1:], False]
-        yield from _batches(["signature", "id", "first"], [mark[crowd], ids[crowd], ids[first[crowd]]])
+        ids, first, same = ids[crowd], ids[first[crowd]], same[crowd]
+        heads = np.flatnonzero(~same)
+        shard = mix(np.add.reduceat(mix(ids.view(np.uint64)), heads)).view(np.int64)
+        yield from _batches(["shard", "id", "first"], [np.repeat(shard, np.diff(np.r_[heads, len(ids)])), ids, first])
 
     dealt = documents.select("id", "text").mapInArrow(deal, "signature long, id long")
-    return dealt.repartition(tasks, "signature").mapInArrow(meet, "signature long, id long, first long")
+    return dealt.repartition(tasks, "signature").mapInArrow(meet, "shard long, id long, first long").distinct()
 
 
 def nearest_of_classes(texts: DataFrame, radius: int, similarity: float, most: int, tasks: int) -> DataFrame:
-    """Candidate edges (a, b, d) among `texts` (signature, id, fp0, fp1, size, odd, class).
+    """Candidate edges (a, b, d) among `texts` (shard, id, fp0, fp1, size, odd, class).
 
-    Of a signature's texts, those of another class whose fingerprints differ in d bits, up to `radius`, and whose odd sketches let them be similar.
+    Of a shard's texts, those of another class whose fingerprints differ in d bits, up to `radius`, and whose odd sketches let them be similar.
 
-    The texts of a signature are a shard, and its BK-tree is searched for each of them. With a `most` of 0 a text gives its nearest one of
+    A shard's BK-tree is searched for each of its texts. With a `most` of 0 a text gives its nearest one of
     another class alone, so there are no more edges than texts in shards. Else it gives the `most` nearest of every
     other class in the shard; where that leaves out a pair from both sides, an edge with a d of -1 joins some text
     of each of the two classes, which are to be searched again with a larger `most`.
@@ -272,7 +277,7 @@ def nearest_of_classes(texts: DataFrame, radius: int, similarity: float, most: i
         if not held:
             return
         rows = pa.Table.from_batches(held)
-        mark, ids, classes = (rows[c].to_numpy() for c in ("signature", "id", "class"))
+        mark, ids, classes = (rows[c].to_numpy() for c in ("shard", "id", "class"))
         words = np.stack([rows[name].to_numpy().view(np.uint64) for name in ("fp0", "fp1")], axis=1)
         order = np.lexsort((ids, classes, mark))
         mark, ids, classes, words = mark[order], ids[order], classes[order], words[order]
@@ -311,7 +316,7 @@ def nearest_of_classes(texts: DataFrame, radius: int, similarity: float, most: i
         both = (a < b) & np.isin(a * len(ids) + b, b * len(ids) + a)  # cut from one side only, the other side gave all
         yield from edges([np.stack([np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b]), np.full(len(a), -1)])[:, both]])
 
-    found = texts.select("signature", "id", "fp0", "fp1", "size", "odd", "class").repartition(tasks, "signature").mapInArrow(grow, "a long, b long, d int")
+    found = texts.select("shard", "id", "fp0", "fp1", "size", "odd", "class").repartition(tasks, "shard").mapInArrow(grow, "a long, b long, d int")
     return found.groupBy("a", "b").agg(F.max("d").alias("d"), F.min("d").alias("least_d"))
 
 
@@ -327,7 +332,7 @@ def drop_near_duplicates(documents: DataFrame, words: int = 5, similarity: float
 
     Two texts are linked if the Jaccard similarity of their sets of word shingles is at least
     `similarity`, and classes are connected components. Any two such texts share a signature (see
-    signatures.py), so the texts of a signature are a shard. First each shard's texts are compared with one of them, which joins
+    signatures.py), so the texts of a signature are a shard, once for all signatures that the same texts have. First each shard's texts are compared with one of them, which joins
     nearly all copies. In the shards that still hold several classes, BK-trees of 128-bit SimHash fingerprints find
     each text's nearest one of another class, and then all within the radius that SPREAD gives, until nothing of these is
     left unchecked between two classes (a pair beyond the radius is missed: SPREAD says how often); odd sketches leave out nearly all that isn't similar and nothing that is. Each candidate
@@ -364,6 +369,7 @@ def drop_near_duplicates(documents: DataFrame, words: int = 5, similarity: float
     order = F.struct(F.col("doc_id").isNull(), "doc_id")
     texts = hashed.groupBy(h0, h1).agg(F.min_by(F.struct("doc_id", "n"), order).alias("l"), F.any_value("w").alias("w"))
     texts = cut(texts.select(h0, h1, F.col("l.doc_id").alias("least"), F.col("l.n").alias("rows"), "w.fp0", "w.fp1", "w.size", "w.odd").withColumn("id", F.monotonically_increasing_id()))
+    release(documents.sparkSession)
     tasks = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), (texts.agg(F.sum("size")).first()[0] or 0) // TASK_SIGNATURES)
     shards = cut(shared_signatures(documents.select(keys[0].alias("id"), text.alias("text")), words, similarity, tasks))
     release(documents.sparkSession)  # the signatures' shuffle is the largest there is
@@ -401,9 +407,9 @@ def drop_near_duplicates(documents: DataFrame, words: int = 5, similarity: float
         class_of = texts.join(roots, texts.id == roots.node, "left").select(h0, "id", F.coalesce("root", "id").alias("class"))
         if open_ is not None:
             class_of = class_of.join(open_, "class", "left_semi")
-        placed = shards.select("signature", F.col("id").alias(h0)).join(class_of, h0).drop(h0)
-        mixed = placed.groupBy("signature").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("signature")
-        searched = placed.join(mixed, "signature", "left_semi").join(texts.select(*facts), "id")  # sketches come last: they're shuffled once a signature that is searched
+        placed = shards.select("shard", F.col("id").alias(h0)).join(class_of, h0).drop(h0)
+        mixed = placed.groupBy("shard").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("shard")
+        searched = placed.join(mixed, "shard", "left_semi").join(texts.select(*facts), "id")  # sketches come last: they're shuffled once a shard that is searched
         some = cut(nearest_of_classes(searched, radius, similarity, most, tasks))
         pairs = some.where("d >= 0").select("a", "b").join(seen.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
         new = cut(pairs)

@@ -317,6 +317,18 @@ def test_a_crowd_of_near_copies_gives_a_star(spark):
     assert simhash.drop_near_duplicates(documents(spark, rows)).count() == 1
 
 
+def test_signatures_of_the_same_texts_are_one_shard(spark):
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base), " ".join([*base[:20], "x", *base[21:]]), " ".join([*base[:180], "y", *base[181:]]), "one two three four five six"]
+    rows = simhash.shared_signatures(spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(2), 5, 0.8, 8).collect()
+    members: dict = {}
+    for shard, i, first in rows:
+        members.setdefault(shard, []).append(i)
+    sets = [tuple(sorted(ids)) for ids in members.values()]
+    assert len(sets) == len(set(sets)) and (0, 1, 2) in sets and all(1 < len(ids) == len(set(ids)) for ids in sets)
+    assert {(i, first) for _, i, first in rows} >= {(1, 0), (2, 0)} and all(first == min(members[shard]) for shard, _, first in rows)
+
+
 def test_near_dedup_stores_shingles_of_one_side_of_its_pairs(spark, monkeypatch):
     stored, cut = [], simhash.cut
 
