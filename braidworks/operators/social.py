@@ -89,21 +89,36 @@ def home_entries(posts: DataFrame, edges: DataFrame, mentioned: str | None = Non
 
     Whoever takes the tables in sees to it that posts have different ids and edges are distinct (store_posts, follow, keyed.violations); so only a mentioned user can have an entry twice: mentions
     of the author's followers are left out, and the fan-out itself, which is the bulk, isn't compared. A post meets its author's followers as lists and is fanned out
-    from these, so neither the shuffle nor the join makes a row an entry.
+    from these, so neither the shuffle nor the join makes a row an entry. Its mentions go with it and are looked up in the list, so posts are read once.
     """
-    met = posts.select("user_id", "timestamp", "post_id").join(reader_lists(edges), "user_id")
-    by_edge = met.select(F.explode("readers").alias("user_id"), "timestamp", "post_id")
-    return by_edge if mentioned is None else by_edge.unionByName(_mention_entries(posts, edges, mentioned))
-
-
-def reader_lists(edges: DataFrame, most: int = CHUNK_IDS) -> DataFrame:
-    """(user_id, readers): who follows a user, in any order; one list of up to `most` ids, of those with more followers several lists of half as many on average."""
-    famous = edges.groupBy(F.col("followee").alias("__famous")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most)  # at most one in `most` edges
-    famous = F.broadcast(famous.select("__famous", F.ceil(2 * F.col("__n") / most).alias("__slices")))
-    part = F.when(F.col("__slices").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("follower"), "__slices"))
-    dealt = edges.where("followee is not null").join(famous, F.col("followee") == F.col("__famous"), "left").groupBy(F.col("followee").alias("user_id"), part.alias("__part"))
-    lists = dealt.agg(F.collect_list("follower").alias("__ids"), F.count_if(F.col("follower").isNull()).alias("__nulls"))  # a list leaves nulls out
-    return lists.select("user_id", F.when(F.col("__nulls") == 0, F.col("__ids")).otherwise(F.concat("__ids", F.array_repeat(F.lit(None).cast("long"), F.col("__nulls").cast("int")))).alias("readers"))
+    lists = reader_lists(edges, every_part=mentioned is not None)
+    if mentioned is None:
+        met = posts.select("user_id", "timestamp", "post_id").join(lists.select("user_id", "readers"), "user_id")
+    else:
+        met = posts.select("user_id", "timestamp", "post_id", F.array_distinct(mentioned).alias("__named")).join(lists, "user_id", "left")
+        other = lambda u: F.coalesce(F.pmod(F.xxhash64(u), "slices") != F.col("part"), F.lit(False)) | (u.isNotNull() & F.coalesce(F.array_contains("readers", u), F.lit(False)))  # noqa: E731  of another list, or in this one
+        met = met.select(F.concat(*[F.coalesce(c, F.array().cast("array<bigint>")) for c in (F.col("readers"), F.filter("__named", lambda u: ~other(u)))]).alias("readers"), "timestamp", "post_id")
+    return met.select(F.explode("readers").alias("user_id"), "timestamp", "post_id")
+
+
+def reader_lists(edges: DataFrame, most: int | None = None, every_part: bool = False) -> DataFrame:
+    """(user_id, readers, part, slices): who follows a user, in any order; one list of up to `most` (else CHUNK_IDS) ids, of those with more followers several lists of half as many on average.
+
+    Of these the list `part` has the followers whose hash modulo `slices` it is; other users' `slices` is null. With `every_part` a part that nobody falls to is an empty list.
+    """
+    most = CHUNK_IDS if most is None else most
+    known = edges.where("followee is not null")
+    famous = known.groupBy(F.col("followee").alias("__famous")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most)  # at most one in `most` edges
+    famous = famous.select("__famous", F.ceil(2 * F.col("__n") / most).alias("__slices"))
+    part = F.when(F.col("__slices").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("follower"), "__slices"))
+    dealt = known.join(F.broadcast(famous), F.col("followee") == F.col("__famous"), "left").select("followee", "follower", "__slices", part.alias("__part"), F.lit(True).alias("__edge"))
+    if every_part:
+        parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__slices") - 1)).alias("__part")
+        dealt = dealt.unionByName(famous.select(F.col("__famous").alias("followee"), F.lit(None).cast(edges.schema["follower"].dataType).alias("follower"), "__slices", parts, F.lit(False).alias("__edge")))
+    grouped = dealt.groupBy(F.col("followee").alias("user_id"), F.col("__part").alias("part"), F.col("__slices").alias("slices"))
+    lists = grouped.agg(F.collect_list("follower").alias("__ids"), F.count_if(F.col("follower").isNull() & F.col("__edge")).alias("__nulls"))  # a list leaves nulls out
+    readers = F.when(F.col("__nulls") == 0, F.col("__ids")).otherwise(F.concat("__ids", F.array_repeat(F.lit(None).cast("long"), F.col("__nulls").cast("int"))))
+    return lists.select("user_id", readers.alias("readers"), "part", "slices")
 
 
 def _mention_entries(posts: DataFrame, edges: DataFrame, mentioned: str) -> DataFrame:

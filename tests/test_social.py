@@ -192,6 +192,28 @@ def test_fan_out_makes_entries_after_the_join(spark):
     assert "Generate explode(readers" in plan.split("Join Inner")[0]
 
 
+def test_mentions_are_looked_up_in_the_readers_lists(spark, monkeypatch):
+    monkeypatch.setattr(social, "CHUNK_IDS", 4)  # 7's followers come in three lists, 9 has one, 5 has none
+    edges = [(f, 7) for f in range(6)] + [(None, 7), (1, 9), (None, 9), (3, None)]
+    named = [*range(12), 3, 11, None, None]
+    posts = [(u, 10 + i, 100 + i, m) for i, (u, m) in enumerate([(7, named), (9, named), (5, named), (None, [1, 3]), (7, None), (9, [1]), (5, None)])]
+    entries = social.home_entries(
+        spark.createDataFrame(posts, "user_id long, timestamp long, post_id long, mentioned array<long>"), spark.createDataFrame(edges, "follower long, followee long"), "mentioned"
+    )
+    expected = []
+    for u, t, p, m in posts:
+        own = [f for f, e in edges if u is not None and e == u]
+        expected += [(f, t, p) for f in own + [x for x in dict.fromkeys(m or []) if x is None or x not in own]]
+    assert sorted(map(str, map(tuple, entries.collect()))) == sorted(map(str, expected))
+
+
+def test_messages_are_parsed_once(spark):
+    from braidworks.streaming.fanout import entries_of_messages
+
+    entries = entries_of_messages(spark.createDataFrame([('{"post_id": 1}',)], "value string"), spark.createDataFrame([(1, 7)], "follower long, followee long"))
+    assert entries._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [value") == 1
+
+
 def test_composing_looks_mentions_up_only_where_they_matter(spark):
     users = spark.createDataFrame([("eve", 3)], "username string, user_id long")
     asked = spark.createDataFrame(
