@@ -186,8 +186,8 @@ class Removal:
     short_links: DataFrame | None
 
 
-#: Rows of a small side that are broadcast at most; with more, rows meet by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a small side that are broadcast at most: some 130 MB of posts' ids; with more, rows meet by shuffle.
+BROADCAST_ROWS = 4_000_000
 #: Ids in lists that are broadcast at most: 32 MB of them.
 BROADCAST_IDS = 4_000_000
 
@@ -218,7 +218,14 @@ def remove_posts(
     links = short_links
     if urls is not None and short_links is not None:
         links = remove_urls(short_links, gone.select("post_id", F.explode(urls).alias("u")).select("post_id", "u.shortened_url"))
-    return Removal(posts.join(removed, "post_id", "left_anti"), user_timeline.join(few(cut), keys, "left_anti"), home, links)
+    return Removal(posts.join(removed, "post_id", "left_anti"), without_page(user_timeline, few(cut)), home, links)
+
+
+def without_page(timeline: DataFrame, cut: DataFrame) -> DataFrame:
+    """The timeline without the given entries. These meet by their post alone, so that a broadcast is keyed by one number."""
+    other = cut.select(*[F.col(c).alias(f"__{c}") for c in ("user_id", "timestamp", "post_id")])
+    same = [(F.col(c) <= F.col(f"__{c}")) & (F.col(c) >= F.col(f"__{c}")) for c in ("user_id", "timestamp")]
+    return timeline.join(other, (F.col("post_id") == F.col("__post_id")) & same[0] & same[1], "left_anti")
 
 
 def without_entries(timeline: DataFrame, going: DataFrame) -> DataFrame:

@@ -235,3 +235,21 @@ def test_tasks_that_compare_pairs_follow_their_number(spark, monkeypatch):
     edges = social_queries._edges(spark, data)
     assert f", {rows // 500}" in next(line for line in edges._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in line)
     assert edges.count() == social_queries._pairs(spark, data).distinct().count()
+
+
+def test_a_home_table_stays_where_it_is_with_over_a_million_removed_posts(spark, monkeypatch):
+    monkeypatch.setattr(social, "BROADCAST_IDS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mine = spark.range(1_050_000).select(F.col("id").alias("user_id"), F.lit(1).cast("long").alias("timestamp"), F.col("id").alias("post_id"))
+        home = spark.range(9).select((F.col("id") + 1).alias("user_id"), F.lit(1).cast("long").alias("timestamp"), F.col("id").alias("post_id"))
+        edges = spark.createDataFrame([(1, 0), (3, 3)], "follower long, followee long")
+        asked = spark.range(1_049_999).select("id", F.col("id").alias("user_id"), F.col("id").alias("req_id"), F.lit(0).alias("start"), F.lit(1).alias("stop")).drop("id")
+        left = social.remove_posts(mine, mine, home, edges, asked)
+        plan = left.home_timeline._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join [post_id" in line]
+        assert len(joins) > 1 and all("BroadcastHashJoin" in line for line in joins)
+        assert sorted(r.post_id for r in left.home_timeline.collect()) == [1, 2, 3, 4, 5, 6, 7, 8]  # only post 0 has a reader among its author's followers here
+        assert [tuple(r) for r in left.user_timeline.collect()] == [(1_049_999, 1, 1_049_999)] and left.posts.count() == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
