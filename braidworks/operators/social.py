@@ -7,6 +7,7 @@ is shorter where posts are gone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -101,24 +102,34 @@ def home_entries(posts: DataFrame, edges: DataFrame, mentioned: str | None = Non
     return met.select(F.explode("readers").alias("user_id"), "timestamp", "post_id")
 
 
-def reader_lists(edges: DataFrame, most: int | None = None, every_part: bool = False) -> DataFrame:
+def home_lists(posts: DataFrame, lists: DataFrame, edges: DataFrame | None = None, bucket: Callable[[Column], Column] | None = None, mentioned: str | None = None) -> DataFrame:
+    """SN14 as lists (readers, timestamp, post_id, bucket): home_entries before they are fanned out, a post's readers bucket by bucket. `lists` are reader_lists by bucket; mentioned users are looked up in `edges`."""
+    met = posts.select("user_id", "timestamp", "post_id").join(lists.select("user_id", "readers", "bucket"), "user_id").select("readers", "timestamp", "post_id", "bucket")
+    if mentioned is None:
+        return met
+    named = _mention_entries(posts, edges, mentioned)
+    return met.unionByName(named.select(F.array("user_id").alias("readers"), "timestamp", "post_id", bucket(F.col("user_id")).alias("bucket")))
+
+
+def reader_lists(edges: DataFrame, most: int | None = None, every_part: bool = False, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """(user_id, readers, part, slices): who follows a user, in any order; one list of up to `most` (else CHUNK_IDS) ids, of those with more followers several lists of half as many on average.
 
     Of these the list `part` has the followers whose hash modulo `slices` it is; other users' `slices` is null. With `every_part` a part that nobody falls to is an empty list.
+    With `bucket` each list has followers of one `bucket` only, which is one more column; then there are no empty lists.
     """
     most = CHUNK_IDS if most is None else most
     known = edges.where("followee is not null")
     famous = known.groupBy(F.col("followee").alias("__famous")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most)  # at most one in `most` edges
     famous = famous.select("__famous", F.ceil(2 * F.col("__n") / most).alias("__slices"))
     part = F.when(F.col("__slices").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("follower"), "__slices"))
-    dealt = known.join(F.broadcast(famous), F.col("followee") == F.col("__famous"), "left").select("followee", "follower", "__slices", part.alias("__part"), F.lit(True).alias("__edge"))
-    if every_part:
+    dealt = known.join(F.broadcast(famous), F.col("followee") == F.col("__famous"), "left").select("followee", "follower", "__slices", part.alias("__part"), F.lit(True).alias("__edge"), *([] if bucket is None else [bucket(F.col("follower")).alias("bucket")]))
+    if every_part and bucket is None:
         parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__slices") - 1)).alias("__part")
         dealt = dealt.unionByName(famous.select(F.col("__famous").alias("followee"), F.lit(None).cast(edges.schema["follower"].dataType).alias("follower"), "__slices", parts, F.lit(False).alias("__edge")))
-    grouped = dealt.groupBy(F.col("followee").alias("user_id"), F.col("__part").alias("part"), F.col("__slices").alias("slices"))
+    grouped = dealt.groupBy(F.col("followee").alias("user_id"), F.col("__part").alias("part"), F.col("__slices").alias("slices"), *([] if bucket is None else ["bucket"]))
     lists = grouped.agg(F.collect_list("follower").alias("__ids"), F.count_if(F.col("follower").isNull() & F.col("__edge")).alias("__nulls"))  # a list leaves nulls out
     readers = F.when(F.col("__nulls") == 0, F.col("__ids")).otherwise(F.concat("__ids", F.array_repeat(F.lit(None).cast("long"), F.col("__nulls").cast("int"))))
-    return lists.select("user_id", readers.alias("readers"), "part", "slices")
+    return lists.select("user_id", readers.alias("readers"), "part", "slices", *([] if bucket is None else ["bucket"]))
 
 
 def _mention_entries(posts: DataFrame, edges: DataFrame, mentioned: str) -> DataFrame:

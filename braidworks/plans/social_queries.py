@@ -145,11 +145,12 @@ SELECT step, user_id, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM {
 def sn_remove_by_tombstones(spark, d):
     """Removed posts' entries go from a stored home timeline: hidden by tombstones first, then compacted away."""
     store = timelines.TimelineStore(spark, f"{shared_folder(spark)}/timelines-{uuid.uuid4()}")
-    edges = snapshot(_edges(spark, d).repartition("followee").sortWithinPartitions("followee"))  # the store is smaller if an author's entries follow each other
-    store.add(_home(spark, d, edges), 1)
+    edges = snapshot(_edges(spark, d))
+    lists = snapshot(social.reader_lists(edges, bucket=store.bucket))
+    store.add(social.home_lists(_mentioning(spark, d), lists, edges, store.bucket, "mentioned"), 1)
     asked = _timeline(spark, d).select("user_id").distinct().select("user_id", F.col("user_id").alias("req_id"), F.lit(0).alias("start"), (F.col("user_id") % 2 + 3).cast("int").alias("stop"))
     gone = social.pages(_timeline(spark, d), asked).join(_posts(spark, d).select("post_id"), "post_id").select("user_id", "timestamp", "post_id")
-    store.remove(social.home_entries(gone, edges), 2)
+    store.remove(social.home_lists(gone, lists), 2)
     sums = lambda step: snapshot(store.read().groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("post_id").alias("ids")).withColumn("step", F.lit(step)))
     merged = sums("merged")
     store.compact(3)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .checkpoints import drop_folder
 
@@ -17,22 +18,26 @@ ROW_GROUP = 4 << 20
 
 
 class TimelineStore:
-    """Entries (user_id, timestamp, post_id) in buckets of users, and tombstones beside them.
+    """Entries (user_id, timestamp, post_id) in buckets of users, and tombstones beside them. Both lie there as lists: a post with those of its readers who are of one bucket.
 
     Each write has a version that is larger than those before it. A tombstone hides the entries of its version and
     older ones, so what is written again later is seen. A write that is repeated after a failure replaces its own folder.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64, entry: str = ENTRY):
-        self.spark, self.path, self.buckets, self.entry = spark, path, buckets, entry
+        self.spark, self.path, self.buckets = spark, path, buckets
+        kinds = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(entry)}
+        self.stored = f"readers array<{kinds['user_id']}>, timestamp {kinds['timestamp']}, post_id {kinds['post_id']}"
 
-    def _put(self, rows: DataFrame, kind: str, version: int, keep: bool = False) -> None:
+    def bucket(self, user: Column) -> Column:
+        return F.pmod(F.xxhash64(user), F.lit(self.buckets)).cast("int")
+
+    def _put(self, lists: DataFrame, kind: str, version: int, keep: bool = False) -> None:
         """Each task writes its rows into their buckets' files, all open at once: neither shuffled nor sorted. With `keep`, buckets that get no rows stay as they are.
 
-        Values are plain and compressed, so rows that come author by author take a few bytes: the same posts follow each other for one reader after another.
+        Values are plain and compressed, so rows that come author by author take a few bytes: the same readers follow each other for one post after another.
         """
-        bucket = F.pmod(F.xxhash64("user_id"), F.lit(self.buckets)).cast("int")
-        dealt, writers = rows.select("user_id", "timestamp", "post_id", bucket.alias("bucket")), "spark.sql.maxConcurrentOutputFileWriters"
+        dealt, writers = lists.select("readers", "timestamp", "post_id", "bucket"), "spark.sql.maxConcurrentOutputFileWriters"
         put = dealt.write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).option("parquet.enable.dictionary", "false")
         before = self.spark.conf.get(writers)
         self.spark.conf.set(writers, str(self.buckets + 1))  # Spark sorts once so many are open
@@ -41,13 +46,17 @@ class TimelineStore:
         finally:
             self.spark.conf.set(writers, before)
 
+    def _lists(self, rows: DataFrame) -> DataFrame:
+        """Lists (readers, timestamp, post_id, bucket), each of users of its bucket, as they are; an entry is a list of one."""
+        return rows if "readers" in rows.columns else rows.select(F.array("user_id").alias("readers"), "timestamp", "post_id", self.bucket(F.col("user_id")).alias("bucket"))
+
     def add(self, entries: DataFrame, version: int) -> None:
-        """SN12, SN14."""
-        self._put(entries, "entries", version)
+        """SN12, SN14: entries, or lists of them (social.home_lists)."""
+        self._put(self._lists(entries), "entries", version)
 
     def remove(self, going: DataFrame, version: int) -> None:
-        """SN18: tombstones; nothing that is there is read or written."""
-        self._put(going, "removed", version)
+        """SN18: tombstones, of entries or lists; nothing that is there is read or written."""
+        self._put(self._lists(going), "removed", version)
 
     def _there(self, kind: str) -> bool:
         folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
@@ -55,14 +64,19 @@ class TimelineStore:
         return files.exists(folder) and len(files.listStatus(folder)) > 0
 
     def _rows(self, kind: str) -> DataFrame:
-        schema = f"{self.entry}, version int, bucket int"
+        schema = f"{self.stored}, version int, bucket int"
         return self.spark.read.schema(schema).parquet(f"{self.path}/{kind}") if self._there(kind) else self.spark.createDataFrame([], schema)
 
     def _merged(self, entries: DataFrame, removed: DataFrame) -> DataFrame:
-        """Entries without those that tombstones hide. Only entries of posts that have tombstones meet these by shuffle, if the posts are few enough to broadcast."""
-        keys = ["bucket", "user_id", "timestamp", "post_id"]
-        last = removed.groupBy(*keys).agg(F.max("version").alias("gone"))
-        shown = lambda rows: rows.join(last, keys, "left").where("gone IS NULL OR version > gone").select(*entries.columns)
+        """Lists without the readers whom tombstones hide. Only lists of posts that have tombstones meet these by shuffle, if the posts are few enough to broadcast."""
+        keys = ["bucket", "timestamp", "post_id"]
+        last = removed.groupBy(*keys).agg(F.collect_list(F.struct("version", "readers")).alias("gone"))
+        hidden = F.array_compact(F.flatten(F.transform(F.filter("gone", lambda g: g["version"] >= F.col("version")), lambda g: g["readers"])))
+        once = F.size(F.array_distinct("readers")) == F.size("readers")  # else array_except would leave one of several
+        left = F.when(once, F.array_except("readers", "hidden")).otherwise(F.filter("readers", lambda u: ~F.coalesce(F.array_contains("hidden", u), F.lit(False))))
+        left = F.when(F.col("hidden").isNull(), F.col("readers")).otherwise(left)
+        columns = [c for c in entries.columns if c != "readers"]
+        shown = lambda rows: rows.join(last, keys, "left").withColumn("hidden", hidden).select(left.alias("readers"), *columns).where("size(readers) > 0").select(*entries.columns)
         posts = removed.select("post_id").distinct()
         if posts.count() > BROADCAST_POSTS:
             return shown(entries)
@@ -73,11 +87,11 @@ class TimelineStore:
 
         Entries of buckets without tombstones pass without meeting any.
         """
-        entries, touched = self._rows("entries"), self.touched()
-        if not touched:
-            return entries.drop("version")
-        clean, mixed = entries.where(~F.col("bucket").isin(touched)), entries.where(F.col("bucket").isin(touched))
-        return clean.unionByName(self._merged(mixed, self._rows("removed"))).drop("version")
+        lists, touched = self._rows("entries"), self.touched()
+        if touched:
+            clean, mixed = lists.where(~F.col("bucket").isin(touched)), lists.where(F.col("bucket").isin(touched))
+            lists = clean.unionByName(self._merged(mixed, self._rows("removed")))
+        return lists.select(F.explode("readers").alias("user_id"), "timestamp", "post_id", "bucket")
 
     def touched(self) -> list[int]:
         """Buckets with tombstones: a list of at most `buckets` numbers, from folder names."""

@@ -199,3 +199,24 @@ def test_a_message_delivered_again_shifts_no_page(spark, tmp_path):
     assert entries.count() == 18
     assert [r.post_id for r in social.page(entries, 1, 4).where("user_id = 4").orderBy("rank").collect()] == [4, 3, 2]
     assert plain(entries.select("user_id", "timestamp", "post_id").collect()) == plain(fanout.entries_of_messages(spark.read.text(str(tmp_path / "in")), edges).collect())
+
+
+def test_a_store_keeps_a_posts_readers_as_lists(spark, tmp_path):
+    store = timelines.TimelineStore(spark, str(tmp_path), buckets=2, entry=ENTRY)
+    edges = spark.createDataFrame([(f, 7) for f in range(40)] + [(None, 7), (3, 8)], "follower long, followee long")
+    posts = spark.createDataFrame([(7, 1, 10, [99, 3]), (8, 2, 11, [5]), (9, 3, 12, None)], "user_id long, timestamp long, post_id long, mentioned array<long>")
+    lists = social.reader_lists(edges, bucket=store.bucket)
+    store.add(social.home_lists(posts, lists, edges, store.bucket, "mentioned"), 1)
+    assert spark.read.parquet(f"{tmp_path}/entries").count() <= 6  # 44 entries
+    entries = lambda: plain(store.read().select("user_id", "timestamp", "post_id").collect())
+    whole = plain(social.home_entries(posts, edges, "mentioned").collect())
+    assert entries() == whole
+    store.add(spark.createDataFrame([([4, 4, 6], 1, 10)], "readers array<long>, timestamp long, post_id long").select("*", F.explode(F.array(store.bucket(F.lit(4).cast("long")))).alias("bucket")), 2)
+    gone = edges.where("follower is null or follower between 6 and 9")
+    store.remove(social.home_lists(posts.where("user_id = 7"), social.reader_lists(gone, bucket=store.bucket)), 3)
+    same = store.bucket(F.lit(4).cast("long")), store.bucket(F.lit(6).cast("long"))
+    more = [(4, 1, 10), (4, 1, 10)] + ([] if spark.range(1).select(same[0] == same[1]).first()[0] else [(6, 1, 10)])
+    left = plain([r for r in whole if r[2] != 10 or r[0] not in (6, 7, 8, 9)] + more)  # an entry without a reader stays, one that is there twice stays twice
+    assert entries() == left
+    store.compact(4)
+    assert entries() == left
